@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from cartlake.llm import media_columns, packing, token_counts, warc_bundles
+from cartlake.llm import language_id, media_columns, packing, pii, token_counts, warc_bundles
 from cartlake.llm.staging import staged
 
 
@@ -36,5 +35,14 @@ def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_gif_columns, op5_warc_bundles, op8_sum_of_squares_packing)}
+def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_spans(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs)).drop("rejected")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_gif_columns, op5_warc_bundles, op8_sum_of_squares_packing, op9_pii_spans, op10_language_id)}
 ORACLES: dict[str, str] = {}
