@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartlake.llm import language_id, media_columns, packing, pii, token_counts, warc_bundles
+from cartlake.llm import language_id, media_columns, mixing, near_dedup, packing, pii, token_counts, warc_bundles
 from cartlake.llm.staging import staged
 
 
@@ -27,6 +27,14 @@ def op2_gif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.payload_features(staged(media_columns.store_payloads(table(spark, sf_dir, "documents")), "media"))
 
 
+def op3_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents")).drop("copies")
+
+
+def op4_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_bundles.archive_pages(table(spark, sf_dir, "pages"))
 
@@ -44,5 +52,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit(docs)).drop("rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_gif_columns, op5_warc_bundles, op8_sum_of_squares_packing, op9_pii_spans, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_gif_columns, op3_splitting_tree_mix, op4_tensored_minhash, op5_warc_bundles, op8_sum_of_squares_packing, op9_pii_spans, op10_language_id)}
 ORACLES: dict[str, str] = {}
