@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartlake.llm import language_id, media_columns, mixing, near_dedup, packing, pii, token_counts, warc_bundles, winnowing
+from cartlake.llm import language_id, media_columns, mixing, near_dedup, packing, pii, suffix_tree, token_counts, warc_bundles, winnowing
 from cartlake.llm.staging import staged
 
 
@@ -39,6 +39,11 @@ def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_bundles.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op6_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return suffix_tree.score(docs, *suffix_tree.train(docs))
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -56,5 +61,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit(docs)).drop("rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_gif_columns, op3_splitting_tree_mix, op4_tensored_minhash, op5_warc_bundles, op7_winnowing, op8_sum_of_squares_packing, op9_pii_spans, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_gif_columns, op3_splitting_tree_mix, op4_tensored_minhash, op5_warc_bundles, op6_suffix_tree_scores, op7_winnowing, op8_sum_of_squares_packing, op9_pii_spans, op10_language_id)}
 ORACLES: dict[str, str] = {}
