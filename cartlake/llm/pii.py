@@ -217,11 +217,16 @@ def mask(text: str) -> str:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """The same rows and columns, the text without its identifiers."""
+    """The same rows and columns, the text without its identifiers, and ``n_chars`` as long as the text is then."""
     at = docs.columns.index("text")
+    length = docs.columns.index("n_chars") if dict(docs.dtypes).get("n_chars") == "bigint" else None
 
     def work(batch: pa.RecordBatch):
-        texts = [t if t is None else mask(t) for t in batch.column(at).to_pylist()]
-        yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+        texts = batch.column(at).to_pylist()
+        new = [t if t is None else mask(t) for t in texts]
+        if length is not None:  # a stated length follows the text where that changes
+            counts = [len(b) if a != b else n for a, b, n in zip(texts, new, batch.column(length).to_pylist(), strict=True)]
+            batch = batch.set_column(length, batch.schema.field(length), pa.array(counts, batch.schema.field(length).type))
+        yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
     return map_batches(docs, work, docs.schema)
