@@ -1,4 +1,6 @@
 """Registered queries over the driver's tables and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from cartlake.plans import star_queries  # noqa: F401  (registers)
+from cartlake.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
