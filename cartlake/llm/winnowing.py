@@ -111,10 +111,11 @@ def fingerprint_edits(docs: DataFrame, *, k: int = 5, w: int = 8) -> DataFrame:
     """
     ranged = id_ranges(docs)
     firsts = ranged.groupBy("range").agg(F.min_by("text", F.struct(F.coalesce("doc_id", F.lit(0)), "tie", "text")).alias("first_text"))
-    # One row for each range: their number is that of the quantiles asked for.
+    # The ring of ranges holds a number for each; the texts are joined to it.
     ring = Window.orderBy("range")
-    after = F.coalesce(F.lead("first_text").over(ring), F.first("first_text").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    firsts = firsts.select(F.col("range").alias("at"), after.alias("after_text"))
+    follower = F.coalesce(F.lead("range").over(ring), F.first("range").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    followers = ranged.select("range").distinct().select(F.col("range").alias("at"), follower.alias("follower"))
+    firsts = followers.join(firsts.withColumnRenamed("range", "follower"), "follower").select("at", F.col("first_text").alias("after_text"))
     near = Window.partitionBy("range").orderBy("doc_id", "tie", "text_key")
     rows = ranged.withColumn("text_key", F.sha2(F.col("text").cast("binary"), 256)).withColumn("next_text", F.lead("text").over(near))
     rows = rows.join(firsts, F.col("next_text").isNull() & (F.col("range") == F.col("at")), "left")
