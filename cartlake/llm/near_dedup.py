@@ -8,12 +8,15 @@ each class; every pair of one key from each collection is a table key, so that 2
 
 Within a table's bucket no pairs of all members are formed. Members are compared with the bucket's smallest
 member; what is confirmed forms components; then only members outside the smallest one's component ("strays")
-are compared with members of other components. A bucket with more than ``STRAYS`` of them (documents that
-share a passage, say) goes to a second level of longer keys, where unlike documents no longer meet and the strays
-that remain are all compared. So a link is lost only if its pair shares no table of a level.
+are compared with members of other components. The members of a bucket with more than ``STRAYS`` of them (documents
+that share a passage, or far-edited copies of one text) go to a second level of longer keys. There the shingles
+that only one of these documents holds are counted first: they cannot be common to two, which bounds a pair's
+similarity from above, and the bound is part of the join. So a link is lost only if its pair shares no table of
+a level.
 
-Before a pair's full sets are brought together, sizes must allow the threshold (exact) and at least half of 60
-minhashes must agree (a link at the threshold fails this with probability below 1e-9).
+Before a pair's full sets are brought together, sizes must allow the threshold (exact), and sketches must not rule
+it out: each sketch keeps the smallest shingle of each of 256 ranges, and a pair is dropped if the share of ranges
+that agree lies six standard deviations below the threshold (a link does so with probability of about 1e-9).
 
 Defined cases: texts without words have empty sets and link with nothing; null ids are never linked, have no component
 and are kept; rows that repeat an id are one node with the links of all its texts; empty tables give empty
@@ -35,7 +38,8 @@ from cartlake.llm.staging import staged
 from cartlake.llm.words import mix, shingle_sets
 
 LEVELS = ((3, 10), (5, 20))
-STRAYS = 24
+STRAYS = 8
+RANGES = 256
 SIGNATURES = "doc_id long, n_shingles long, set_a long, set_b long, left array<long>, right array<long>, sketch binary"
 
 
@@ -55,6 +59,15 @@ def _keys(hashes: np.ndarray, k: int) -> np.ndarray:
     return total.view(np.int64)
 
 
+def _sketch(values: np.ndarray) -> bytes:
+    """For each of the ranges of hashes one byte of the smallest shingle in it; 0 where there is none."""
+    out = np.zeros(RANGES, np.uint8)
+    ranges = values >> np.uint64(56)
+    first = np.flatnonzero(np.diff(ranges, prepend=~ranges[:1]))
+    out[ranges[first].astype(np.int64)] = values[first] % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
 def signatures(docs: DataFrame, k: int, m: int) -> DataFrame:
     """Set size, two set fingerprints, the two collections of keys and a short sketch of each text."""
 
@@ -63,7 +76,7 @@ def signatures(docs: DataFrame, k: int, m: int) -> DataFrame:
         for doc, values in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist()), strict=True):
             if len(values):
                 hashes = _minhashes(values, 2 * k * m)
-                row = (doc, len(values), int(mix(values).sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(values + np.uint64(1))).view(np.int64)), _keys(hashes[: k * m], k), _keys(hashes[k * m :], k), hashes[:60].astype("<u2").tobytes())
+                row = (doc, len(values), int(mix(values).sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(values + np.uint64(1))).view(np.int64)), _keys(hashes[: k * m], k), _keys(hashes[k * m :], k), _sketch(values))
             else:
                 row = (doc, 0, 0, 0, None, None, None)
             for name, value in zip(out, row, strict=True):
@@ -90,21 +103,29 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
     def work(batch: pa.RecordBatch):
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, 60) for i in (2, 3))
-        yield batch.select([0, 1]).filter(pa.array((a == b).sum(axis=1) >= 30))
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, RANGES) for i in (2, 3))
+        held, same = ((a > 0) | (b > 0)).sum(axis=1), ((a > 0) & (a == b)).sum(axis=1)
+        share = percent / 100
+        yield batch.select([0, 1]).filter(pa.array(same >= held * share - 6 * np.sqrt(held * share * (1 - share))))
 
     return map_batches(sized.select("a", "b", "s_a", "s_b"), work, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs that are links by their full sets. ``pairs`` must be a stored table."""
+def _sets(texts: DataFrame) -> DataFrame:
+    """``node, values``: the full sets of (node, utf8) rows."""
 
-    def sets(batch: pa.RecordBatch):
+    def work(batch: pa.RecordBatch):
         yield {"node": batch.column(0), "values": [v.view(np.int64) for v in shingle_sets(batch.column(1).to_pylist())]}
 
+    return map_batches(texts.select("node", "utf8"), work, "node long, values array<long>")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs that are links by their full sets. ``pairs`` must be a stored table."""
+
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), utf8().alias("utf8")).join(nodes, "node", "left_semi")
-    values = staged(map_batches(texts.select("node", "utf8"), sets, "node long, values array<long>"), "sets")
+    values = staged(_sets(texts), "sets")
     first = pairs.join(values.withColumnRenamed("node", "b").withColumnRenamed("values", "v_b"), "b")
     joined = first.join(values.withColumnRenamed("node", "a").withColumnRenamed("values", "v_a"), "a")
     both = F.size(F.array_intersect("v_a", "v_b"))
@@ -118,22 +139,36 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.where("c_a <> c_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _strays(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """``key, node, component, strays``: members with components; strays lie outside the first one's component."""
+def _strays(buckets: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``key, node, c_node, c_first, n, common, strays``: members with components and sizes; strays lie outside the first one's component."""
     marked = buckets
     for name in ("node", "first"):
         marked = marked.join(found.select(F.col("node").alias(name), F.col("component").alias(f"c_{name}")), name, "left").withColumn(f"c_{name}", F.coalesce(f"c_{name}", name))
-    odd = marked.where("c_node <> c_first")
-    counts = odd.groupBy("key").agg(F.count("*").alias("strays"))
-    return staged(marked.join(counts, "key").select("key", "node", "c_node", "c_first", "strays"), "strays")
+    counts = marked.where("c_node <> c_first").groupBy("key").agg(F.count("*").alias("strays"))
+    return staged(marked.join(counts, "key").join(sizes, "node").select("key", "node", "c_node", "c_first", "n", "common", "strays"), "strays")
+
 
+def _stray_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Strays with members of other components, each pair of strays once; ``common`` is the most that a set can share with another."""
 
-def _stray_pairs(members: DataFrame) -> DataFrame:
-    odd = members.where("c_node <> c_first").select("key", F.col("node").alias("b"), F.col("c_node").alias("c_b"))
-    pairs = members.select("key", F.col("node").alias("a"), F.col("c_node").alias("c_a")).join(odd, "key").where("c_a <> c_b")
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("key", F.col("node").alias(name), F.col("c_node").alias(f"c_{name}"), F.col("n").alias(f"n_{name}"), F.col("common").alias(f"m_{name}"), (F.col("c_node") != F.col("c_first")).alias(f"o_{name}"))
+
+    most = F.least("m_a", "m_b")
+    possible = 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
+    once = ~F.col("o_a") | (F.col("a") < F.col("b"))
+    odd = side(members.where("c_node <> c_first"), "b")
+    pairs = side(members, "a").join(odd, "key").where((F.col("c_a") != F.col("c_b")) & once & possible)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _sharing(sets: DataFrame) -> DataFrame:
+    """``node, n, common``: set sizes, and how many of a set's shingles another of these sets holds too."""
+    once = sets.select("node", F.explode("values").alias("v")).groupBy("v").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    own = once.groupBy("node").agg(F.count("*").alias("own"))
+    return sets.select("node", F.size("values").cast("long").alias("n")).join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row; 100 * intersection >= percent * union links two sets."""
     docs = need(docs, "doc_id", "text")
@@ -156,17 +191,18 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     stars = staged(buckets.where("first <> node").groupBy(F.col("first").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n")), "candidates")
     links.append(confirm(stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")))
     found = joined_up()
-    members = _strays(buckets, found)
-    few = _stray_pairs(members.where(F.col("strays") <= STRAYS))
+    members = _strays(buckets, found, classes.select("node", F.col("n_shingles").alias("n"), F.col("n_shingles").alias("common")))
+    few = _stray_pairs(members.where(F.col("strays") <= STRAYS), percent)
     links.append(confirm(_across(stars.select("a", "b").unionByName(few), found)))
     found = joined_up()
     crowded = members.where(F.col("strays") > STRAYS).select("node").distinct()
     crowded = staged(crowded, "crowded")
     if crowded.take(1):
-        again = signatures(docs.join(crowded, docs["doc_id"] == crowded["node"], "left_semi"), *LEVELS[1])
-        finer = classes.drop("left", "right").join(again.select(F.col("doc_id").alias("node"), "set_a", "set_b", "left", "right"), ["node", "set_a", "set_b"])
-        members = _strays(_buckets(finer.dropDuplicates(["node", "set_a"])), found)
-        links.append(confirm(_across(_stray_pairs(members), found)))
+        chosen = docs.join(crowded, docs["doc_id"] == crowded["node"], "left_semi")
+        again = signatures(chosen, *LEVELS[1]).select(F.col("doc_id").alias("node"), "set_a", "set_b", "left", "right")
+        finer = classes.drop("left", "right").join(again, ["node", "set_a", "set_b"]).dropDuplicates(["node"])
+        sets = staged(_sets(chosen.select(F.col("doc_id").cast("long").alias("node"), utf8().alias("utf8"))).dropDuplicates(["node"]), "crowded_sets")
+        links.append(confirm(_across(_stray_pairs(_strays(_buckets(finer), found, _sharing(sets)), percent), found)))
         found = joined_up()
 
     result = signed.select("doc_id", "n_shingles").join(member.distinct().groupBy("doc_id").agg(F.min("node").alias("node")), "doc_id", "left")
