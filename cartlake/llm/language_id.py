@@ -77,9 +77,13 @@ def held_out(remainder: int = 2, parts: int = 4) -> Column:
 
 def _training_rows(docs: DataFrame, per_language: int) -> DataFrame:
     labelled = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    shares = labelled.groupBy("lang").count().select("lang", (F.lit(float(per_language)) / F.col("count")).alias("share"))
+    # One row a language; their shares are part of the filter, so that no text is shuffled.
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().toLocalIterator()}
+    if not counts:
+        return labelled.select("doc_id", "text", "lang").limit(0)
+    share = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, per_language / n)))[F.col("lang")]
     draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return labelled.join(shares, "lang").where(draw < F.col("share")).select("doc_id", "text", "lang")
+    return labelled.where(draw < share).select("doc_id", "text", "lang")
 
 
 def fit(docs: DataFrame, *, per_language: int = 600, dimension: int = 16, epochs: int = 8, rate: float = 0.5, reject_share: float = 0.001, above_chance: float = 1.5, seed: int = 7) -> Model | None:
