@@ -60,7 +60,7 @@ _STEP = r"[\s,-]{1,3}"
 _SPELLED = re.compile(rf"(?<!\w)(?:plus{_STEP})?(?:{_WORD}|[0-9])(?:{_STEP}(?:{_WORD}|[0-9]|dot|point|punkt|punto)(?!\w)){{3,}}", re.IGNORECASE)
 _SPELLED_SIGN = re.compile(rf"(?<!\w){_WORD}{_STEP}(?:{_WORD}|[0-9]|dot|point|punkt|punto)(?!\w)", re.IGNORECASE)
 _SPELLED_PART = re.compile(r"[^\W\d_]+|[0-9]|[\s,-]+", re.IGNORECASE)
-_BRACKETED = re.compile(r"\s?[\[({<]\s?(at|dot|punkt|punto|point|arobase|arroba|[.@])\s?[\])}>]\s?", re.IGNORECASE)
+_BRACKETED = re.compile(r"[\[({<]\s?(at|dot|punkt|punto|point|arobase|arroba|[.@])\s?[\])}>]", re.IGNORECASE)
 _BARE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{1,64}(?:(?:\.|\sdot\s)[A-Za-z0-9_%+-]{1,64}){0,4}(?:\sat\s|@)[A-Za-z0-9-]{1,63}(?:(?:\.|\sdot\s)[A-Za-z0-9-]{1,63}){1,6}", re.IGNORECASE)
 _BARE_IP = re.compile(r"(?<![\w.])[0-9]{1,3}(?:(?:\.|\sdot\s)[0-9]{1,3}){3}(?![\w.])", re.IGNORECASE)
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]+")
@@ -146,13 +146,15 @@ def _signs(text: str) -> list[tuple[int, int, str]]:
     edits = [] if text.isascii() else [(m.start(), m.end(), "") for m in _INVISIBLE.finditer(text)]
     lower = text.lower()
     for m in _BRACKETED.finditer(text):
-        edits.append((m.start(), m.end(), "@" if m[1].lower() in ("at", "arobase", "arroba", "@") else "."))
+        lo = m.start() - (m.start() > 0 and text[m.start() - 1].isspace())
+        hi = m.end() + (m.end() < len(text) and text[m.end()].isspace())
+        edits.append((lo, hi, "@" if m[1].lower() in ("at", "arobase", "arroba", "@") else "."))
     if "dot" in lower:
         for pattern in (_BARE_EMAIL, _BARE_IP):
             for m in pattern.finditer(text):
                 if "dot" in m.group().lower():
                     edits += [(s.start(), s.end(), "@" if s[1].lower() == "at" else ".") for s in _BARE_SIGN.finditer(text, m.start(), m.end())]
-    if _SPELLED_SIGN.search(text):
+    if not DIGIT_OF.keys().isdisjoint(lower.replace("-", " ").replace(",", " ").split()) and _SPELLED_SIGN.search(text):
         for m in _SPELLED.finditer(text):
             parts = list(_SPELLED_PART.finditer(m.group()))
             for k, p in enumerate(parts):
