@@ -54,7 +54,6 @@ def _lookalikes() -> dict[int, str]:
 
 
 HOMOGLYPHS = _lookalikes()
-_HOMOGLYPH = re.compile("[" + "".join(map(re.escape, map(chr, HOMOGLYPHS))) + "]")
 _WORD = "(?:" + "|".join(sorted(DIGIT_OF, key=len, reverse=True)) + ")"
 _STEP = r"[\s,-]{1,3}"
 _SPELLED = re.compile(rf"(?<!\w)(?:plus{_STEP})?(?:{_WORD}|[0-9])(?:{_STEP}(?:{_WORD}|[0-9]|dot|point|punkt|punto)(?!\w)){{3,}}", re.IGNORECASE)
@@ -141,6 +140,14 @@ class Rewritten:
         return lo, hi, any(self.edited[first : last + 1])
 
 
+def _has_lookalike(text: str) -> bool:
+    """Whether some character stands for an ASCII one; texts in Latin-1 can only hold the no-break space."""
+    try:
+        return not text.isascii() and b"\xa0" in text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not HOMOGLYPHS.keys().isdisjoint(map(ord, set(text)))
+
+
 def _signs(text: str) -> list[tuple[int, int, str]]:
     """Edits that turn spelled digits and disguised signs into characters."""
     edits = [] if text.isascii() else [(m.start(), m.end(), "") for m in _INVISIBLE.finditer(text)]
@@ -172,7 +179,7 @@ def _signs(text: str) -> list[tuple[int, int, str]]:
 
 def disguised_spans(text: str, base: list[Span]) -> list[Span]:
     """Identifiers that show only after rewriting, in source characters."""
-    plain = text.translate(HOMOGLYPHS) if not text.isascii() and _HOMOGLYPH.search(text) else text
+    plain = text.translate(HOMOGLYPHS) if _has_lookalike(text) else text
     edits = _signs(plain)
     if plain is text and not edits:
         return []
