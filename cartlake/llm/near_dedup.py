@@ -11,8 +11,9 @@ member; what is confirmed forms components; then only members outside the smalle
 are compared with members of other components. The members of a bucket with more than ``STRAYS`` of them (documents
 that share a passage, or far-edited copies of one text) go to a second level of longer keys. There the shingles
 that only one of these documents holds are counted first: they cannot be common to two, which bounds a pair's
-similarity from above, and the bound is part of the join. So a link is lost only if its pair shares no table of
-a level.
+similarity from above, and the bound is part of the join. These keys are not paired: 80 tables of 12 minhashes find a
+pair at 0.85 with probability 0.999995, and let unlike pairs meet in few tables, where paired keys multiply them.
+So a link is lost only if its pair shares no table of a level.
 
 Before a pair's full sets are brought together, sizes must allow the threshold (exact), and sketches must not rule
 it out: each sketch keeps the smallest shingle of each of 256 ranges, and a pair is dropped if the share of ranges
@@ -37,7 +38,7 @@ from cartlake.llm.components import components
 from cartlake.llm.staging import staged
 from cartlake.llm.words import mix, shingle_sets
 
-LEVELS = ((3, 10), (5, 20))
+FIRST, SECOND = (3, 10), (12, 80)
 STRAYS = 8
 RANGES = 256
 SIGNATURES = "doc_id long, n_shingles long, set_a long, set_b long, left array<long>, right array<long>, sketch binary"
@@ -68,15 +69,15 @@ def _sketch(values: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def signatures(docs: DataFrame, k: int, m: int) -> DataFrame:
-    """Set size, two set fingerprints, the two collections of keys and a short sketch of each text."""
+def signatures(docs: DataFrame, k: int, m: int, *, paired: bool = True) -> DataFrame:
+    """Set size, two set fingerprints, the two collections of keys (or one, if not paired) and a short sketch of each text."""
 
     def work(batch: pa.RecordBatch):
         out: dict[str, list] = {f.split()[0]: [] for f in SIGNATURES.split(", ")}
         for doc, values in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist()), strict=True):
             if len(values):
-                hashes = _minhashes(values, 2 * k * m)
-                row = (doc, len(values), int(mix(values).sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(values + np.uint64(1))).view(np.int64)), _keys(hashes[: k * m], k), _keys(hashes[k * m :], k), _sketch(values))
+                hashes = _minhashes(values, (1 + paired) * k * m)
+                row = (doc, len(values), int(mix(values).sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(values + np.uint64(1))).view(np.int64)), _keys(hashes[: k * m], k), _keys(hashes[k * m :], k) if paired else [0], _sketch(values))
             else:
                 row = (doc, 0, 0, 0, None, None, None)
             for name, value in zip(out, row, strict=True):
@@ -172,7 +173,7 @@ def _sharing(sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row; 100 * intersection >= percent * union links two sets."""
     docs = need(docs, "doc_id", "text")
-    signed = staged(signatures(docs, *LEVELS[0]), "signatures")
+    signed = staged(signatures(docs, *FIRST), "signatures")
     # Classes of equal sets, named by their smallest id; ids with several texts tie their classes together.
     named = signed.where("doc_id is not null and n_shingles > 0")
     classes = staged(named.groupBy("n_shingles", "set_a", "set_b").agg(F.min_by(F.struct("left", "right", "sketch"), "doc_id").alias("keys"), F.min("doc_id").alias("node")).select("node", "n_shingles", "set_a", "set_b", "keys.left", "keys.right", "keys.sketch"), "classes")
@@ -199,7 +200,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     crowded = staged(crowded, "crowded")
     if crowded.take(1):
         chosen = docs.join(crowded, docs["doc_id"] == crowded["node"], "left_semi")
-        again = signatures(chosen, *LEVELS[1]).select(F.col("doc_id").alias("node"), "set_a", "set_b", "left", "right")
+        again = signatures(chosen, *SECOND, paired=False).select(F.col("doc_id").alias("node"), "set_a", "set_b", "left", "right")
         finer = classes.drop("left", "right").join(again, ["node", "set_a", "set_b"]).dropDuplicates(["node"])
         sets = staged(_sets(chosen.select(F.col("doc_id").cast("long").alias("node"), utf8().alias("utf8"))).dropDuplicates(["node"]), "crowded_sets")
         links.append(confirm(_across(_stray_pairs(_strays(_buckets(finer), found, _sharing(sets)), percent), found)))
