@@ -7,7 +7,7 @@ sys.path[:0] = [str(Path(__file__).parent.parent), str(Path(__file__).parent)]
 
 from cartlake.session import build_session  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
+
 
 
 @pytest.fixture(scope="session")

@@ -1,7 +1,7 @@
 """Change application: properties against a plain dictionary, tables, restarts of the streaming apply."""
 
 import pytest
-from conftest import SMALL
+from oracle import SMALL
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

@@ -1,7 +1,7 @@
 """Invariants of operators that SQL does not cover."""
 
 import pytest
-from conftest import SMALL
+from oracle import SMALL
 from pyspark.sql import functions as F
 
 from cartlake.operators import churn, evaluation, quality, recommend, reports, serving

@@ -1,8 +1,7 @@
 """Every registered query of the commerce operators against its SQL over whole small tables."""
 
 import pytest
-from conftest import SMALL
-from oracle import compare
+from oracle import SMALL, compare
 
 from cartlake.catalogue import ORACLES, QUERIES
 
