@@ -62,4 +62,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_gif_columns, op3_splitting_tree_mix, op4_tensored_minhash, op5_warc_bundles, op6_suffix_tree_scores, op7_winnowing, op8_sum_of_squares_packing, op9_pii_spans, op10_language_id)}
-ORACLES: dict[str, str] = {}
+#: The other nine depend on compression, trained models, random draws, hash functions or tokenizers that SQL does not have.
+ORACLES: dict[str, str] = {
+    "op5_warc_bundles": """select page_id, n as payload_bytes, digest as payload_digest, case when page_id > first_id then 'revisit' else 'response' end as record_type, case when page_id > first_id then first_id end as refers_to from (
+        select page_id, n, digest, case when n >= 100 then min(page_id) over (partition by digest) end as first_id from (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as digest from pages) p) q""",
+}
