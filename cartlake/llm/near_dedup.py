@@ -124,7 +124,7 @@ def _sets(texts: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Pairs that are links by their full sets. ``pairs`` must be a stored table."""
 
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), utf8().alias("utf8")).join(nodes, "node", "left_semi")
     values = staged(_sets(texts), "sets")
     first = pairs.join(values.withColumnRenamed("node", "b").withColumnRenamed("values", "v_b"), "b")
