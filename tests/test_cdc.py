@@ -48,7 +48,7 @@ def test_timestamps(spark):
 def test_streaming_apply_equals_batch_and_survives_restart(spark, tmp_path):
     raw = cdc.order_envelopes(Commerce(spark, SMALL).orders)
     source, table = f"{tmp_path}/in", VersionedTable(spark, f"{tmp_path}/table")
-    for part in raw.randomSplit([1, 1], seed=3):
+    for part in raw.randomSplit([1.0, 1.0], seed=3):
         part.repartition(2).write.mode("append").text(source)
         rows = stream_rows(read_cdc_stream(spark, path=source, files_per_trigger=1), "orders", cdc.ORDER_CHANGE).drop("_ingested_at", "_source_table")
         stream_apply(rows, table, ["order_id"], f"{tmp_path}/checkpoint", name="orders_apply").awaitTermination()
