@@ -1,16 +1,18 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Tokens are a text's words (ASCII letters in lower case) and one end. The tree's symbols are the words with at least
-``symbol_share`` of all training tokens, the end, and one class for all other words; a word of that class has its
-context's class probability times its own share of the class. A context (one or two symbols) is a candidate if it
-has entries, n-grams with at least ``edge_share`` of all tokens, and it is retained if its next-symbol
-distribution differs from that of its longest retained suffix: count times divergence reaches ``keep_nats``.
-Distributions are smoothed by absolute discounting: what is taken off goes to the suffix's distribution, at the root
-to the base model. Each position is scored in the state of its longest retained suffix.
-
-All counts are exact and cover all training documents: tasks count their own n-grams in numpy, Spark sums them.
-What is broadcast has a bound that does not depend on the data: at most 1 / share entries a table. Words below
-``lookup_share`` are not broadcast: their occurrences meet their counts in a join, in which no key can be hot.
+Tokens are a text's words (ASCII letters in lower case) and one end. Every word of the training texts is a symbol of its
+own; a start stands before each text. A context is a run of words before a position, as long as it may be within its
+text. It is a candidate if it has entries, n-grams that occur at least ``least`` times, and it is retained if its
+next-symbol distribution differs from that of its longest retained suffix: count times divergence reaches
+``keep_nats``. Contexts become longer, word by word, until a length of which none is retained. Distributions are
+smoothed by absolute discounting: what is taken off goes to the suffix's distribution, at the root to the base model.
+Each position is scored in the state of its longest retained suffix.
+
+All counts are exact, cover all training documents and are cut at a number, not at a share: the tree grows with the
+corpus. N-grams and contexts are Spark tables. An entry's value is what it adds to the score in its suffix's state, so a
+text's score is a sum over its runs of words, each met once, in any order. Two things are broadcast, and neither changes
+a result: the values of runs with at least ``lookup_share`` of all tokens (at most 1 / share a length), which are so not
+joined and cannot be hot keys; and sets of bits that tell which runs surely are not in a table.
 
 Defined cases: null text is empty and has one token, the end; null ids are learned from; with no training text every
 base probability is 1; equal texts get equal scores; rows that repeat are scored each; an empty table gives an
@@ -20,6 +22,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -28,12 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartlake.llm.columns import _arrow, map_batches, need, record, utf8
-from cartlake.llm.staging import staged
+from cartlake.llm.staging import freed, short_shuffles, staged
 from cartlake.llm.words import blocks, hash_words, mix
 
 END = np.uint64(0xE0D0E0D0E0D0E0D1)  # stands for the end among word hashes
-RARE_ID, END_ID = 0, 1
+START = np.uint64(0x57A257A257A257A3)
 HELD = 4_000_000
+RUNS = "gram long, ctx long, tail long, n long"
+BITS = 1 << 27
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Table:
@@ -72,21 +78,55 @@ class Table:
         return found
 
 
+class Bits:
+    """A set of bits for keys: where one of a key's two bits is missing, the key is in no row."""
+
+    def __init__(self, keys: DataFrame) -> None:
+        places = keys.select(F.explode(F.array(F.col("gram").bitwiseAND(BITS - 1), F.shiftrightunsigned("gram", 32).bitwiseAND(BITS - 1))).alias("at"))
+        found = places.groupBy(F.shiftright("at", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+        self.words = np.zeros(BITS >> 6, np.uint64)
+        self.words[found.column(0).to_numpy()] = found.column(1).to_numpy().view(np.uint64)
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        held = self._bit(keys & np.uint64(BITS - 1))
+        held[held] = self._bit(keys[held] >> np.uint64(32) & np.uint64(BITS - 1))
+        return held
+
+    def _bit(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 class Tree(NamedTuple):
-    """All that scoring needs of the model, its tables bounded by the shares."""
+    """The stored tree. ``model``: gram, c (of words), n, entry and back, natural logarithms that a run of words adds."""
 
     n: int
     v: int
-    lookup: Table  # word hash -> count
-    symbols: Table  # word hash -> symbol
-    root: np.ndarray  # probability of each symbol
-    entries: tuple[Table, ...]  # by order: code of context and symbol -> discounted probability
-    back_off: tuple[Table, ...]  # by order: code of a retained context -> share left to its suffix
+    longest: int  # words in the longest run
+    model: DataFrame
+    near: Table  # run of words -> place in the next two
+    near_c: np.ndarray
+    near_add: np.ndarray
+    bits: Bits  # of runs of two words and more
 
     @property
     def total(self) -> float:
         return self.n + 0.5 * (self.v + 1)
 
+    @property
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and counts of all words: collected, to look into small trees."""
+        codes, n = _collected(self.model.where("c > 0").select(F.col("gram").alias("code"), F.col("c").alias("n")))
+        return codes[codes != END], n[codes != END]
+
+    @property
+    def root(self) -> np.ndarray:
+        """Probabilities of an unseen word, the end and each of ``words``."""
+        return (np.concatenate([[0], _collected(self.model.where((F.col("c") > 0) & (F.col("gram") == _signed(END))).select("gram", F.col("c").alias("n")))[1][:1], self.words[1]]) + 0.5) / self.total
+
+
+def _signed(x: np.uint64) -> int:
+    return int(x.astype(np.int64))
+
 
 def held_out(remainder: int = 1, parts: int = 5) -> Column:
     """Whether a document is kept out of learning."""
@@ -94,168 +134,214 @@ def held_out(remainder: int = 1, parts: int = 5) -> Column:
 
 
 def _tokens(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For ranges of texts: the first text's place, all token hashes, and the place of each text's first token."""
+    """For ranges of texts: the first text's place, all hashes with starts and ends, and the place of each text's start."""
     for lo, hi in blocks(texts):
         hashes, first = hash_words(texts[lo:hi])
-        yield lo, np.insert(hashes, first[1:], END), first + np.arange(len(first))
+        m = len(first) - 1
+        at = np.stack([first[:-1], first[1:]], axis=1).reshape(-1)
+        yield lo, np.insert(hashes, at, np.tile(np.array([START, END]), m)), first + 2 * np.arange(len(first))
+
+
+def _place(first: np.ndarray) -> np.ndarray:
+    """Each token's place in its text; the start has 0."""
+    return np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
+
 
+def _longer(runs: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Hashes of runs of one more token, by their last token, from those of the runs before them."""
+    return mix(np.concatenate([np.zeros(1, np.uint64), runs[:-1]]) * _BASE + tokens)
 
-def _summed(docs: DataFrame, codes_of) -> DataFrame:
-    """``code, n``: how often each code occurs; tasks send each code once for every few million of theirs."""
-    kinds = _arrow("code long, n long")
+
+def _summed(docs: DataFrame, length: int, bits: Bits | None = None) -> DataFrame:
+    """``gram, ctx, tail, n``: how often each run of ``length`` occurs, and the runs without its last and its first token.
+
+    Runs that hold a shorter one missing in ``bits`` are left out. Tasks send each run once for every few million tokens.
+    """
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(bits) if bits else None
+    kinds = _arrow(RUNS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            codes, n = np.unique(np.concatenate(parts), return_counts=True)
-            return record({"code": pa.array(codes.view(np.int64)), "n": pa.array(n)}, kinds)
+            gram, ctx, tail = (np.concatenate(x) for x in zip(*parts, strict=True))
+            gram, at, n = np.unique(gram, return_index=True, return_counts=True)
+            return record({"gram": pa.array(gram.view(np.int64)), "ctx": pa.array(ctx[at].view(np.int64)), "tail": pa.array(tail[at].view(np.int64)), "n": pa.array(n)}, kinds)
 
         for batch in batches:
             for _, tokens, first in _tokens(batch.column(0).to_pylist()):
-                parts.append(codes_of(tokens, first))
-                size += len(parts[-1])
+                tail = tokens
+                for _ in range(length - 2):
+                    tail = _longer(tail, tokens)
+                place = _place(first)
+                inside = np.flatnonzero(place >= max(1, length - 1))
+                if shared:
+                    held = shared.value.may_hold(tail[inside])
+                    inside = inside[held]
+                    inside = inside[shared.value.may_hold(tail[inside - 1])]
+                if length == 1:
+                    parts.append((tokens[inside],) * 3)
+                else:
+                    parts.append((mix(tail[inside - 1] * _BASE + tokens[inside]), tail[inside - 1], tail[inside]))
+                size += len(inside)
                 if size >= HELD:
                     yield flush()
                     parts, size = [], 0
         if size:
             yield flush()
 
-    return docs.select("utf8").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def _contexts(symbols: np.ndarray, first: np.ndarray, order: int) -> np.ndarray:
-    """Symbols ``order`` places before each; an end stands before each text's first word."""
-    before = np.concatenate([np.full(order, END_ID, np.int64), symbols[: len(symbols) - order]]) if len(symbols) >= order else np.full(len(symbols), END_ID, np.int64)
-    for j in range(order):
-        at = first[:-1] + j
-        before[at[at < first[1:]]] = END_ID
-    return before
+    made = docs.select("utf8").mapInArrow(run, RUNS)
+    # A task's runs are distinct by now: they are dealt out first, and not grouped before that in vain.
+    if length == 1:
+        return made.groupBy("gram").agg(F.sum("n").alias("n"))
+    if length == 2:
+        return made.select("ctx", "tail", "n").repartition("ctx", "tail").groupBy("ctx", "tail").agg(F.sum("n").alias("n"))
+    return made.repartition("gram").groupBy("gram").agg(F.first("ctx").alias("ctx"), F.first("tail").alias("tail"), F.sum("n").alias("n"))
 
 
 def _code(*symbols: np.ndarray) -> np.ndarray:
-    """One number for a sequence of up to three symbols, never 0."""
+    """One number for a sequence of up to three places in ``Tree.root``, never 0; to look into small trees."""
     total = np.ones(1, np.uint64)
     for s in symbols:
         total = total << np.uint64(21) | s.astype(np.uint64)
     return total
 
 
-def train(docs: DataFrame, *, symbol_share: float = 3e-5, lookup_share: float = 5e-7, edge_share: float = 2e-6, keep_nats: float = 12.0, discount: float = 0.5) -> tuple[Tree, DataFrame]:
-    """The tree and the stored table (code, n) of all training tokens' counts."""
+def train(docs: DataFrame, *, lookup_share: float = 2e-7, least: int = 2, keep_nats: float = 12.0, discount: float = 0.5) -> tuple[Tree, DataFrame]:
+    """The tree and the stored table (gram, n) of all training tokens' counts."""
+    with short_shuffles(docs.sparkSession):
+        return _trained(docs, lookup_share, least, keep_nats, discount)
+
+
+def _trained(docs: DataFrame, lookup_share: float, least: int, keep_nats: float, discount: float) -> tuple[Tree, DataFrame]:
     learned = need(docs, "doc_id", "text").where(~held_out()).select(utf8().alias("utf8"))
-    context = docs.sparkSession.sparkContext
-    unigrams = staged(_summed(learned, lambda tokens, first: tokens), "unigrams")
+    unigrams = staged(_summed(learned, 1), "unigrams")
     n, v = (int(x or 0) for x in unigrams.agg(F.sum("n"), F.count("*")).first())
     total = n + 0.5 * (v + 1)
-    words, counts = _collected(unigrams.where(F.col("n") >= max(1.0, lookup_share * n)))
-    lookup = Table(words, counts)
-    common = (counts >= symbol_share * n) & (words != END)
-    order = np.argsort(words[common])
-    symbol_words = words[common][order]
-    symbols = Table(np.append(symbol_words, END), np.append(np.arange(2, len(symbol_words) + 2), END_ID))
-    root = np.zeros(len(symbol_words) + 2)
-    root[2:], root[END_ID] = (counts[common][order] + 0.5) / total, (lookup.find(np.array([END]), 0)[0] + 0.5) / total
-    root[RARE_ID] = 1 - root.sum()
-    shared = context.broadcast(symbols)
-
-    def bigrams(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-        s = shared.value.find(tokens, RARE_ID)
-        return _code(_contexts(s, first, 1), s)
-
-    pairs, pair_counts = _collected(_summed(learned, bigrams).where(F.col("n") >= max(2.0, edge_share * n)))
-    known = context.broadcast((symbols, Table(pairs, np.ones(len(pairs), bool))))
-
-    def trigrams(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-        own, kept = known.value
-        s = own.find(tokens, RARE_ID)
-        a, b = _contexts(s, first, 2), _contexts(s, first, 1)
-        both = kept.find(_code(b, s), False)
-        both[both] = kept.find(_code(a[both], b[both]), False)
-        return _code(a[both], b[both], s[both])
-
-    triples, triple_counts = _collected(_summed(learned, trigrams).where(F.col("n") >= max(2.0, edge_share * n)))
-    tree = Tree(n, v, lookup, symbols, root, (), ())
-    starts = root * total - 0.5
-    starts[RARE_ID] = max(1.0, n - starts[1:].sum())
-    tree = _grown(tree, pairs, pair_counts, starts[(pairs >> np.uint64(21) & np.uint64((1 << 21) - 1)).astype(np.int64)], keep_nats, discount)
-    heads = Table(pairs, pair_counts).find(triples >> np.uint64(21), 0)
-    return _grown(tree, triples, triple_counts, heads, keep_nats, discount), unigrams
+    started = unigrams.where(F.col("gram") == _signed(END)).select(F.lit(_signed(START)).alias("gram"), "n")
+    shorter = unigrams.unionByName(started).withColumn("lp", F.log((F.col("n") + 0.5) / total))
+    parts = [unigrams.select("gram", F.col("n").alias("c"), "n", F.lit(0.0).alias("entry"), F.lit(0.0).alias("back"))]
+    length, bits = 1, Bits(shorter.where(F.col("n") >= least))
+    grown = None
+    while True:
+        rows = _candidates(learned, length, bits, shorter, least)
+        grown, last = _grown(rows, keep_nats, discount), grown
+        kept = grown.where("back is not null")
+        if not kept.take(1):
+            break
+        length += 1
+        parts.append(staged(kept.select("gram", F.lit(None).cast("long").alias("c"), "n", "entry", F.lit(0.0).alias("back")), "entries"))
+        parts.append(staged(kept.groupBy("ctx").agg(F.max("of").alias("n"), F.max("back").alias("back")).select(F.col("ctx").alias("gram"), F.lit(None).cast("long").alias("c"), "n", F.lit(0.0).alias("entry"), "back"), "contexts"))
+        shorter, bits = grown.select("gram", "n", "lp"), Bits(grown)
+        freed(rows, *([last] if last else []))
+    freed(rows, grown, *([last] if last else []))
+    model = staged(reduce(DataFrame.unionByName, parts).groupBy("gram").agg(F.max("c").alias("c"), F.max("n").alias("n"), F.sum("entry").alias("entry"), F.sum("back").alias("back")), "model")
+    freed(*parts[1:])
+    near = model.where(F.col("n") >= max(1.0, lookup_share * n)).select("gram", F.coalesce("c", F.lit(0)).alias("c"), (F.col("entry") + F.col("back")).alias("add")).toArrow()
+    keys = near.column(0).to_numpy().view(np.uint64)
+    far = model.where("c is null")
+    return Tree(n, v, length, model, Table(keys, np.arange(len(keys))), near.column(1).to_numpy(), near.column(2).to_numpy(), Bits(far)), unigrams
+
+
+def _paired(counts: DataFrame) -> DataFrame:
+    """Runs of two words with their hashes."""
+
+    def work(batch: pa.RecordBatch):
+        ctx, tail = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+        yield {"gram": mix(ctx * _BASE + tail).view(np.int64), "ctx": batch.column(0), "tail": batch.column(1), "n": batch.column(2)}
+
+    return map_batches(counts.select("ctx", "tail", "n"), work, RUNS)
 
 
 def _collected(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """A table of bounded size (its rows hold at least a fixed share of all tokens each) as arrays, by code."""
-    found = counts.select("code", "n").toArrow()
+    """A small table's two columns as arrays, by the first."""
+    found = counts.toArrow()
     codes, n = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
     order = np.argsort(codes)
     return codes[order], n[order]
 
 
-def _grown(tree: Tree, codes: np.ndarray, counts: np.ndarray, context_counts: np.ndarray, keep_nats: float, discount: float) -> Tree:
-    """The tree with the contexts of one more order that pass the divergence test."""
-    low = np.uint64((1 << 21) - 1)
-    contexts, group, sizes = np.unique(codes >> np.uint64(21), return_inverse=True, return_counts=True)
-    symbol = (codes & low).astype(np.int64)
-    parent = probabilities(tree, contexts[group], symbol) if len(codes) else np.zeros(0)
-    of = np.maximum(context_counts, counts).astype(float)
-    share = counts / of
-    n = np.zeros(len(contexts))
-    n[group] = of
-    divergence = np.bincount(group, share * np.log(share / parent), len(contexts)) if len(codes) else n
-    rest = np.maximum(1e-12, 1 - np.bincount(group, share, len(contexts)))
-    parent_rest = np.maximum(1e-12, 1 - np.bincount(group, parent, len(contexts)))
-    kept = n * (divergence + rest * np.log(rest / parent_rest)) >= keep_nats
-    taken = (counts - discount) / of
-    left = 1 - np.bincount(group, taken, len(contexts))
-    inside = kept[group] if len(codes) else np.zeros(0, bool)
-    return tree._replace(entries=(*tree.entries, Table(codes[inside], taken[inside])), back_off=(*tree.back_off, Table(contexts[kept], left[kept])))
+def _candidates(learned: DataFrame, length: int, bits: Bits, shorter: DataFrame, least: int) -> DataFrame:
+    """gram, ctx, n, of (the context's count) and parent (the last word's log probability after the suffix) of runs of one more token."""
+    counts = _summed(learned, length + 1, bits).where(F.col("n") >= least)
+    if length == 1:
+        counts = _paired(counts)
+    rows = counts.join(shorter.select(F.col("gram").alias("tail"), F.col("lp").alias("parent")), "tail").join(shorter.select(F.col("gram").alias("ctx"), F.col("n").alias("of")), "ctx")
+    return staged(rows.select("gram", "ctx", "n", "of", "parent"), "candidates")
+
+
+def _grown(rows: DataFrame, keep_nats: float, discount: float) -> DataFrame:
+    """gram, ctx, n, of, lp, entry and back of candidates; entry and back are null where the context is not retained."""
+    share = F.col("n") / F.col("of")
+    sums = rows.groupBy("ctx").agg(F.max("of").alias("of"), F.sum(share * (F.log(share) - F.col("parent"))).alias("divergence"), F.sum(share).alias("held"), F.sum(F.exp("parent")).alias("below"), F.sum((F.col("n") - discount) / F.col("of")).alias("taken"))
+    rest, parent_rest = (F.greatest(F.lit(1e-12), 1 - F.col(x)) for x in ("held", "below"))
+    kept = sums.where(F.col("of") * (F.col("divergence") + rest * F.log(rest / parent_rest)) >= keep_nats).select("ctx", F.log(1 - F.col("taken")).alias("back"))
+    lp = F.log((F.col("n") - discount) / F.col("of") + F.exp(F.col("back") + F.col("parent")))
+    made = rows.join(kept, "ctx", "left").withColumn("lp", F.coalesce(lp, "parent"))
+    return staged(made.select("gram", "ctx", "n", "of", "lp", (F.col("lp") - F.col("parent") - F.col("back")).alias("entry"), "back"), "grown")
 
 
 def probabilities(tree: Tree, contexts: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """P(symbol | context) for arrays of context codes (of up to two symbols) and symbols."""
-    p = tree.root[symbol]
-    for order, (entries, back_off) in enumerate(zip(tree.entries, tree.back_off, strict=True), start=1):
-        last = contexts & np.uint64((1 << 21 * order) - 1) | np.uint64(1 << 21 * order)
-        left = back_off.find(last, -1.0)
-        state = left >= 0
-        p[state] = p[state] * left[state] + entries.find(last[state] << np.uint64(21) | symbol[state].astype(np.uint64), 0.0)
-    return p
+    """P(symbol | context) for arrays of context codes (of two symbols) and symbols; collects the tree, so for small ones."""
+    words, root = tree.words[0], tree.root
+    found = tree.model.select("gram", "entry", "back").toArrow()
+    keys = found.column(0).to_numpy().view(np.uint64)
+    at, low = Table(keys, np.arange(len(keys))), np.uint64((1 << 21) - 1)
+    entry, back = (np.append(found.column(i).to_numpy(), 0.0) for i in (1, 2))
+    as_context, as_symbol = (np.concatenate([np.array([1, x], np.uint64), words]) for x in (START, END))
+    last, before = (as_context[(contexts >> np.uint64(k) & low).astype(np.int64)] for k in (0, 21))
+    own = as_symbol[symbol]
+    log_p = np.log(root[symbol])
+    for run in (last, mix(before * _BASE + last)):
+        log_p += back[at.find(run, -1)] + entry[at.find(mix(run * _BASE + own), -1)]
+    return np.exp(log_p)
 
 
-SCORED = "row_id long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, word long, n long"
+SCORED = "row_id long, doc_id long, held_out boolean, n_tokens long, known long, base double, added double, gram long, n long, words long"
 
 
 def score(docs: DataFrame, tree: Tree, unigrams: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-    kinds = _arrow(SCORED)
-    rare_root = float(np.log10(tree.root[RARE_ID])) if tree.root[RARE_ID] > 0 else 0.0
+    shared = docs.sparkSession.sparkContext.broadcast((tree.near, np.append(tree.near_c, 0), np.append(tree.near_add, 0.0), tree.bits))
+    kinds, total, longest = _arrow(SCORED), tree.total, tree.longest
 
     def work(batch: pa.RecordBatch):
-        model = shared.value
+        near, near_c, near_add, bits = shared.value
         row, doc, held = (batch.column(i) for i in range(3))
         for lo, tokens, first in _tokens(batch.column(3).to_pylist()):
             m = len(first) - 1
-            of = np.repeat(np.arange(m), np.diff(first))
-            s = model.symbols.find(tokens, RARE_ID)
-            p = np.log10(probabilities(model, _code(_contexts(s, first, 2), _contexts(s, first, 1)), s))
-            c = model.lookup.find(tokens, 0)
-            base = np.where(c > 0, np.log10((c + 0.5) / model.total), 0.0)
-            p += np.where(s == RARE_ID, base - rare_root, 0.0)  # its own share of the class, if it is looked up here
-            sums = [np.bincount(of, x, m) for x in (c > 0, base, p)]
+            of, place = np.repeat(np.arange(m), np.diff(first)), _place(first)
+            at = near.find(tokens, -1)
+            c = near_c[at]
+            base = np.where(c > 0, np.log10((np.maximum(c, 1) + 0.5) / total), 0.0)
+            sums = [np.bincount(of, x, m) for x in (c > 0, base, near_add[at])]
+            unmet = np.flatnonzero(at < 0)
+            far, far_of, far_words = [tokens[unmet]], [of[unmet]], [(place[unmet] > 0).astype(np.int64)]
+            runs = tokens
+            for length in range(2, longest + 1):
+                runs = _longer(runs, tokens)
+                inside = np.flatnonzero(place >= length - 1)
+                inside = inside[bits.may_hold(runs[inside])]
+                at = near.find(runs[inside], -1)
+                sums[2] += np.bincount(of[inside], near_add[at], m)
+                unmet = inside[at < 0]
+                far.append(runs[unmet])
+                far_of.append(of[unmet])
+                far_words.append(np.zeros(len(unmet), np.int64))
+            far, far_of, far_words = (np.concatenate(x) for x in (far, far_of, far_words))
             ids = row.slice(lo, m).to_numpy()
-            far = np.flatnonzero(c == 0)
-            by = np.lexsort((tokens[far], of[far]))
-            w, d = tokens[far][by], of[far][by]
+            by = np.lexsort((far, far_of))
+            w, d, one = far[by], far_of[by], far_words[by]
             new = np.flatnonzero(np.diff(w, prepend=~w[:1]).astype(bool) | np.diff(d, prepend=-1).astype(bool))
             n = np.diff(np.append(new, len(w)))
             k = len(new)
-            # The text's own row meets no word: a number that spreads rows, and zero occurrences.
-            yield record({"row_id": pa.array(np.concatenate([ids, ids[d[new]]])), "doc_id": pa.concat_arrays([doc.slice(lo, m), pa.nulls(k, pa.int64())]), "held_out": pa.concat_arrays([held.slice(lo, m), pa.nulls(k, pa.bool_())]), "n_tokens": pa.array(np.concatenate([np.diff(first), np.zeros(k, np.int64)])), "known": pa.array(np.concatenate([sums[0], np.zeros(k)]).astype(np.int64)), "base": pa.array(np.concatenate([sums[1], np.zeros(k)])), "model": pa.array(np.concatenate([sums[2], np.zeros(k)])), "word": pa.array(np.concatenate([mix(ids.view(np.uint64)), w[new]]).view(np.int64)), "n": pa.array(np.concatenate([np.zeros(m, np.int64), n]))}, kinds)
+            # The text's own row meets no run: a number that spreads rows, and zero occurrences.
+            yield record({"row_id": pa.array(np.concatenate([ids, ids[d[new]]])), "doc_id": pa.concat_arrays([doc.slice(lo, m), pa.nulls(k, pa.int64())]), "held_out": pa.concat_arrays([held.slice(lo, m), pa.nulls(k, pa.bool_())]), "n_tokens": pa.array(np.concatenate([np.diff(first) - 1, np.zeros(k, np.int64)])), "known": pa.array(np.concatenate([sums[0], np.zeros(k)]).astype(np.int64)), "base": pa.array(np.concatenate([sums[1], np.zeros(k)])), "added": pa.array(np.concatenate([sums[2], np.zeros(k)])), "gram": pa.array(np.concatenate([mix(ids.view(np.uint64)), w[new]]).view(np.int64)), "n": pa.array(np.concatenate([np.zeros(m, np.int64), n])), "words": pa.array(np.concatenate([np.zeros(m, np.int64), n * one[new]]))}, kinds)
 
     rows = need(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), held_out().alias("held_out"), utf8().alias("utf8"))
-    rare = unigrams.select(F.col("code").alias("word"), F.col("n").alias("c"))
-    met = map_batches(rows, work, SCORED).join(rare, "word", "left")
-    lone = F.when(F.col("n") > 0, F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / tree.total)).otherwise(0.0)
-    parts = met.groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("known") + F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"), (F.sum("base") + F.sum(lone)).alias("base_score"), (F.sum("model") + F.sum(lone)).alias("score"))
-    return parts.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), "base_score", "score")
+    met = map_batches(rows, work, SCORED).join(tree.model.select("gram", "c", (F.col("entry") + F.col("back")).alias("add")), "gram", "left")
+    lone = F.when(F.col("words") > 0, F.col("words") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / tree.total)).otherwise(0.0)
+    more = F.col("added") + F.col("n") * F.coalesce("add", F.lit(0.0))
+    parts = met.groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("known") + F.when(F.col("c") > 0, F.col("words")).otherwise(0)).alias("n_known"), (F.sum("base") + F.sum(lone)).alias("base_score"), (F.sum(more) / float(np.log(10))).alias("added"))
+    return parts.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("added")).alias("score"))

@@ -172,6 +172,57 @@ def test_suffix_tree_scores(spark, odd, none):
     assert all(r.base_score == 0 for r in suffix_tree.score(odd, *suffix_tree.train(none)).collect() if r.n_tokens == 1)
 
 
+def brute_tree(texts, keep=12.0, discount=0.5):
+    """Counts of all runs of words, and a function for log P(word | all words before it)."""
+    seen = [["<s>", *t.lower().split(), "</s>"] for t in texts]
+    runs = collections.Counter(tuple(ts[i:j]) for ts in seen for i in range(len(ts)) for j in range(i + 1, min(len(ts), i + 9) + 1))
+    n = sum(len(ts) - 1 for ts in seen)
+    total = n + 0.5 * (len({t for ts in seen for t in ts[1:]}) + 1)
+    entries = collections.defaultdict(dict)
+    for r, c in runs.items():
+        if len(r) > 1 and c >= 2:
+            entries[r[:-1]][r[-1]] = c
+    kept = {}
+
+    def p(context, word):
+        for k in range(len(context)):
+            if (c := context[k:]) in kept:
+                return kept[c][0] * p(c[1:], word) + max(0.0, entries[c].get(word, 0) - discount) / runs[c]
+        return (0.5 + (runs[(word,)] if word != "<s>" else 0)) / total
+
+    for length in range(1, 9):
+        new = {}
+        for c in [c for c in entries if len(c) == length]:
+            below = {w: p(c[1:], w) for w in entries[c]}
+            share = {w: x / runs[c] for w, x in entries[c].items()}
+            rest, other = max(1e-12, 1 - sum(share.values())), max(1e-12, 1 - sum(below.values()))
+            if runs[c] * (sum(s * math.log(s / below[w]) for w, s in share.items()) + rest * math.log(rest / other)) >= keep:
+                new[c] = (1 - sum((x - discount) / runs[c] for x in entries[c].values()),)
+        kept.update(new)
+        if not new:
+            break
+    return kept, p
+
+
+def test_suffix_tree_keeps_all_runs(spark):
+    """A word and runs seen a few times among many others count, contexts of three words too, whatever the corpus' size."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 30) % 3000) for _ in range(300)]
+    texts += [f"{a} {b} {c} then {'yes' if (a + b + c).count('q') % 2 else 'no'} u{k}" for k in range(40) for a in ("q", "r") for b in ("q", "r") for c in ("q", "r")]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    learned = [t for k, t in rows if zlib.crc32(str(k).encode()) % 5 != 1]
+    kept, p = brute_tree(learned)
+    assert max(map(len, kept)) >= 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for share in (2e-7, 0.01):
+        tree, unigrams = suffix_tree.train(docs, lookup_share=share)
+        assert tree.longest == max(map(len, kept)) + 1
+        for r in suffix_tree.score(docs, tree, unigrams).collect():
+            ts = ["<s>", *texts[r.doc_id].split(), "</s>"]
+            wanted = sum(math.log10(p(tuple(ts[max(0, i - 8) : i]), ts[i])) for i in range(1, len(ts)))
+            assert math.isclose(r.score, wanted, rel_tol=1e-9)
+
+
 def brute_windows(codes, w):
     """Positions that windows keep: the smallest, the rightmost on ties."""
     last = max(1, len(codes) - w + 1)
