@@ -13,7 +13,8 @@ that share a passage, or far-edited copies of one text) go to a second level of
 that only one of these documents holds are counted first: they cannot be common to two, which bounds a pair's
 similarity from above, and the bound is part of the join. These keys are not paired: 80 tables of 12 minhashes find a
 pair at 0.85 with probability 0.999995, and let unlike pairs meet in few tables, where paired keys multiply them.
-So a link is lost only if its pair shares no table of a level.
+So a link is lost only if its pair shares no table of a level. For another threshold than 0.85 the number of keys
+follows, so that a pair at the threshold is missed as rarely (at 0.8: 14 x 14 tables and 173).
 
 Before a pair's full sets are brought together, sizes must allow the threshold (exact), and sketches must not rule
 it out: each sketch keeps the smallest shingle of each of 256 ranges, and a pair is dropped if the share of ranges
@@ -26,6 +27,7 @@ results; other columns are ignored by ``near_duplicates`` and kept by ``without_
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -38,12 +40,19 @@ from cartlake.llm.components import components
 from cartlake.llm.staging import staged
 from cartlake.llm.words import mix, shingle_sets
 
-FIRST, SECOND = (3, 10), (12, 80)
+FIRST, SECOND = (3, 10), (12, 80)  # k and m at TUNED percent
+TUNED = 85
 STRAYS = 8
 RANGES = 256
 SIGNATURES = "doc_id long, n_shingles long, set_a long, set_b long, left array<long>, right array<long>, sketch binary"
 
 
+def _level(km: tuple[int, int], percent: int) -> tuple[int, int]:
+    """k, and as many keys as make a miss at ``percent`` as rare as the level's own are at TUNED."""
+    k, m = km
+    return k, m if percent == TUNED else math.ceil(m * math.log1p(-((TUNED / 100) ** k)) / math.log1p(-((min(percent, 99) / 100) ** k)))
+
+
 def _minhashes(values: np.ndarray, count: int) -> np.ndarray:
     """The smallest value of the set under each of ``count`` random multiply-add maps."""
     rng = np.random.default_rng(20240229)
@@ -173,7 +182,7 @@ def _sharing(sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row; 100 * intersection >= percent * union links two sets."""
     docs = need(docs, "doc_id", "text")
-    signed = staged(signatures(docs, *FIRST), "signatures")
+    signed = staged(signatures(docs, *_level(FIRST, percent)), "signatures")
     # Classes of equal sets, named by their smallest id; ids with several texts tie their classes together.
     named = signed.where("doc_id is not null and n_shingles > 0")
     classes = staged(named.groupBy("n_shingles", "set_a", "set_b").agg(F.min_by(F.struct("left", "right", "sketch"), "doc_id").alias("keys"), F.min("doc_id").alias("node")).select("node", "n_shingles", "set_a", "set_b", "keys.left", "keys.right", "keys.sketch"), "classes")
@@ -200,7 +209,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     crowded = staged(crowded, "crowded")
     if crowded.take(1):
         chosen = docs.join(crowded, docs["doc_id"] == crowded["node"], "left_semi")
-        again = signatures(chosen, *SECOND, paired=False).select(F.col("doc_id").alias("node"), "set_a", "set_b", "left", "right")
+        again = signatures(chosen, *_level(SECOND, percent), paired=False).select(F.col("doc_id").alias("node"), "set_a", "set_b", "left", "right")
         finer = classes.drop("left", "right").join(again, ["node", "set_a", "set_b"]).dropDuplicates(["node"])
         sets = staged(_sets(chosen.select(F.col("doc_id").cast("long").alias("node"), utf8().alias("utf8"))).dropDuplicates(["node"]), "crowded_sets")
         links.append(confirm(_across(_stray_pairs(_strays(_buckets(finer), found, _sharing(sets)), percent), found)))

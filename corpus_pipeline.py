@@ -15,8 +15,8 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
-    return near_dedup.without_duplicates(docs)
+    """The document with the smallest id of each group of near-duplicates, of a similarity of 0.8 or more."""
+    return near_dedup.without_duplicates(docs, percent=80)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -131,6 +131,20 @@ def test_crowded_buckets_lose_no_link(spark):
     assert found == wanted
 
 
+def test_pipeline_drops_pairs_between_80_and_85(spark):
+    rows = []
+    for k in range(60):
+        words = [f"d{k}w{j}" for j in range(200)]
+        copy = [f"n{k}_{j}" if j in (40, 80, 120, 160) else w for j, w in enumerate(words)]
+        a, b = shingles(" ".join(words)), shingles(" ".join(copy))
+        assert 0.8 <= len(a & b) / len(a | b) < 0.85
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect()) == [2 * k for k in range(60)]
+    for k, m in (near_dedup.FIRST, near_dedup.SECOND):
+        assert near_dedup._level((k, m), 85) == (k, m) and (1 - 0.8**k) ** near_dedup._level((k, m), 80)[1] <= (1 - 0.85**k) ** m
+
+
 def test_warc_round_trip(spark):
     page = "<p>" + "é" * 80
     pages = spark.createDataFrame([(3, "u", page), (1, None, page), (2, "http://x\r\nEvil: 1", page + "!"), (4, "u", None), (5, "u", "short"), (6, "u", "short"), (None, "u", page), (7, "u", "\r\n\r\n" * 40)], "page_id long, url string, html string")
