@@ -20,15 +20,34 @@ def utf8(column: str = "text"):
     return F.coalesce(F.col(f"`{column}`").cast("binary"), F.lit(b""))
 
 
-def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[dict[str, list] | pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` for a function from one input batch to any number of output batches."""
+#: Bytes of a batch that are worked on at once: what Python copies of it stays of that order, whatever a batch holds.
+PART_BYTES = 4 << 20
+
+
+def parts(batches: Iterable[pa.RecordBatch], size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``size`` bytes (of single rows where these are larger), without the empty ones."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * size // max(size, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            if rows > 1 and part.nbytes > 2 * size:
+                yield from parts([part], size)
+            else:
+                yield part
+
+
+def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[dict[str, list] | pa.RecordBatch]], schema: str | StructType, *, done: Callable[[], None] | None = None) -> DataFrame:
+    """``mapInArrow`` for a function from a part of a batch to any number of batches; ``done`` is called when a task's input ends."""
     kinds = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                for out in work(batch):
+        try:
+            for part in parts(batches):
+                for out in work(part):
                     yield out if isinstance(out, pa.RecordBatch) else record(out, kinds)
+        finally:
+            if done is not None:
+                done()
 
     return df.mapInArrow(run, schema)
 

@@ -29,15 +29,18 @@ from cartlake.llm.staging import staged
 
 PIECES = "row_id long, doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-CACHE_WORDS = 1_000_000
+CACHE_BYTES = 48 << 20  # of a generation of remembered words; two are held
+ENTRY_BYTES = 160  # of a remembered word, beside its characters and ids
 ENDS = {b".", b",", b";", b":", b"!", b"?"}
 
 
 class WordIds:
-    """Token ids of whitespace-free words as little-endian bytes, remembered up to a fixed number of words.
+    """Token ids of whitespace-free words as little-endian bytes, remembered up to a fixed number of bytes:
+    when the younger generation of words is full it becomes the older one, and words met again move to the new one.
 
     The tokenizer lower-cases, drops white space, and joins neither characters across it nor letters with
-    punctuation, so a text's ids are its words' ids, and "word." has those of "word" and of ".".
+    punctuation, so a text's ids are its words' ids, and "word." has those of "word" and of ".". A text that names one of
+    the vocabulary's own added tokens is given to the tokenizer as it is.
     """
 
     def __init__(self, path: str) -> None:
@@ -45,8 +48,14 @@ class WordIds:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = re.compile(b"|".join(re.escape(t.content.lower().encode()) for t in self.tokenizer.get_added_tokens_decoder().values()) or b"(?!)")
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def _keep(self, word: bytes, ids: bytes) -> None:
+        self.known[word] = ids
+        self.held += len(word) + len(ids) + ENTRY_BYTES
 
     def _encode_alone(self, words: list[bytes]) -> None:
         """Many words in one call: a token's place in the joined text tells its word."""
@@ -56,7 +65,7 @@ class WordIds:
             if text.isascii() or unicodedata.is_normalized("NFC", text) and not re.search(r"\s", text):
                 joined.append(text), plain.append(word)
             else:
-                self.known[word] = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                self._keep(word, self._whole(text))
         for at in range(0, len(plain), 512):
             part = joined[at : at + 512]
             coded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
@@ -64,30 +73,43 @@ class WordIds:
             ids = np.asarray(coded.ids, "<u4")
             cuts = np.searchsorted(np.fromiter((o[0] for o in coded.offsets), np.int64, len(ids)), starts)
             for k, word in enumerate(plain[at : at + 512]):
-                self.known[word] = ids[cuts[k] : cuts[k + 1]].tobytes()
+                self._keep(word, ids[cuts[k] : cuts[k + 1]].tobytes())
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
+        if self.held > CACHE_BYTES:
+            self.older, self.known, self.held = self.known, {}, 0
+        for word in self.older.keys() & words:
+            self._keep(word, self.older.pop(word))
         new = [w for w in words if w not in self.known]
         cored = [(w, w[:-1], w[-1:]) for w in new if w[-1:] in ENDS and w[:-1].decode("utf-8", "replace")[-1:].isalpha()]
         within = {w for w, _, _ in cored}
         alone = {w for w in new if w not in within} | {c for _, core, end in cored for c in (core, end)}
         self._encode_alone([w for w in alone if w not in self.known])
         for word, core, end in cored:
-            self.known[word] = self.known[core] + self.known[end]
+            self._keep(word, self.known[core] + self.known[end])
 
     def encode(self, texts: list[bytes]) -> Iterable[bytes]:
         for at in range(0, len(texts), 500):
-            split = [t.lower().split() for t in texts[at : at + 500]]
+            lower = [t.lower() for t in texts[at : at + 500]]
+            special = [self.added.search(t) is not None for t in lower]
+            split = [[] if s else t.split() for t, s in zip(lower, special, strict=True)]
             self.learn(set().union(*split))
-            for words in split:
-                yield b"".join(map(self.known.__getitem__, words))
+            for text, s, words in zip(texts[at : at + 500], special, split, strict=True):
+                yield self._whole(text.decode("utf-8", "replace")) if s else b"".join(map(self.known.__getitem__, words))
 
 
 _loaded: dict[str, WordIds] = {}
 
 
+def _forget() -> None:
+    """Between tasks a worker keeps one generation of words only."""
+    for encoder in _loaded.values():
+        encoder.older = {}
+
+
 def word_ids(path: str) -> WordIds:
     """One encoder for each Python worker and vocabulary file."""
     if path not in _loaded:
@@ -111,7 +133,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, *, capacity: int = 4096, end_
         yield out
 
     rows = need(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), utf8().alias("utf8"))
-    return map_batches(rows, work, PIECES)
+    return map_batches(rows, work, PIECES, done=_forget)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

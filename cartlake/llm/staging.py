@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that driver and executors share.
 
-The folder is the one that the cluster names in ``spark.checkpoint.dir``; a folder of our own is
-taken only where that is unset, as in local tests.
+The folder is the one that the cluster names in ``spark.checkpoint.dir``; a folder of our own is taken only where that is
+unset and driver and executors are one process, as in local tests. Staged tables go when the application ends.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
     if named is None and current is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="cartlake-")
     if current is None:
         context.setCheckpointDir(named)
@@ -33,9 +35,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/cartlake/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _on_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _on_exit(spark: SparkSession, path: str) -> None:
+    """Marks a folder for deletion at the end of the application."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
+
+
 def freed(*tables: DataFrame) -> None:
     """Removes staged tables that nothing reads any more."""
     for table in tables:

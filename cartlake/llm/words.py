@@ -1,19 +1,23 @@
 """Words and shingles of texts as 64-bit hashes, computed over many texts at once in numpy.
 
 Words are runs of bytes other than space and \\x09-\\x0D of the text's UTF-8 form, ASCII letters in lower case.
+A word is read in blocks of eight bytes; the hash is mixed after each, so that no sum of a word's bytes decides it.
+Words of more than ``LONG`` bytes take a digest of their bytes instead.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 
 BLOCK = 1 << 20
-_BASE, _BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+LONG = 256
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_HELD = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # bits of n bytes
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,16 +27,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(BLOCK * 2, n)
-    if size in _powers:
-        return _powers[size]
-    tables = tuple(np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(size, base, np.uint64))]) for base in (_BASE, _BACK))
-    if size == BLOCK * 2:
-        _powers[size] = tables
-    return tables
-
-
 def blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about BLOCK bytes; a longer text stands alone."""
     start = size = 0
@@ -45,16 +39,26 @@ def blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def _digest(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+
+
 def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the place of each text's first word (with the end as last entry)."""
-    joined = np.frombuffer(b" ".join([*texts, b""]).lower(), np.uint8)
+    whole = b" ".join([*texts, b""]).lower() + bytes(8)
+    joined = np.frombuffer(whole, np.uint8)[:-8]
     offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    inside = ~_SPACE[joined]
-    change = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-    starts, ends = change[::2], change[1::2]
-    up, back = _power_tables(len(joined))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((joined + np.uint64(1)) * up[: len(joined)])])
-    hashes = mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    change = np.flatnonzero(np.diff(~_SPACE[joined], prepend=False, append=False))
+    starts, lengths = change[::2], change[1::2] - change[::2]
+    eight = np.ndarray(len(joined), "<u8", whole, strides=(1,))  # the eight bytes from each place on
+    hashes = mix(lengths.astype(np.uint64) * _BASE)
+    on, at = np.flatnonzero(lengths <= LONG), 0
+    while len(on):
+        left = lengths[on] - at
+        hashes[on] = mix((hashes[on] ^ (eight[starts[on] + at] & _HELD[np.minimum(left, 8)])) * _BASE)
+        on, at = on[left > 8], at + 8
+    for i in np.flatnonzero(lengths > LONG):
+        hashes[i] = _digest(whole[starts[i] : starts[i] + lengths[i]])
     return hashes, np.searchsorted(starts, offsets)
 
 
@@ -63,8 +67,8 @@ def runs(hashes: np.ndarray, length: int) -> np.ndarray:
     n = len(hashes) - length + 1
     total = np.zeros(max(0, n), np.uint64)
     for j in range(length) if n > 0 else ():
-        total = total * _BASE + hashes[j : j + n]
-    return mix(total)
+        total = mix(total * _BASE + hashes[j : j + n])
+    return total
 
 
 def shingle_sets(texts: list[bytes], length: int = 5) -> Iterator[np.ndarray]:

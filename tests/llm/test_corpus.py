@@ -7,10 +7,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+
 SMALL = "/root/testdata/sf0.001"
 
 import corpus_pipeline
-from cartlake.llm import mixing, near_dedup, packing, suffix_tree, warc_bundles, winnowing
+from cartlake.llm import columns, mixing, near_dedup, packing, suffix_tree, warc_bundles, winnowing, words
 from cartlake.llm.queries import QUERIES, vocabulary_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -78,6 +80,23 @@ def test_splitting_tree_keeps_quotas(spark):
     assert abs(draws.mean() - 12) < 0.05 and abs(draws.std() - math.sqrt(40 * 0.3 * 0.7 * 60 / 99)) < 0.05
 
 
+def test_word_hashes_are_mixed():
+    """Words that sums of powers confuse whatever the base, and long and short words, have hashes of their own."""
+    for n in (64, 256, 1024):
+        word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+        hashes, first = words.hash_words([word.encode(), word.translate(str.maketrans("ab", "ba")).encode()])
+        assert len(set(hashes.tolist())) == 2 and first.tolist() == [0, 1, 2]
+    texts = [r.encode() for r in ("One  two\tone", "", "TWO " + "x" * 300, "twox", " two x\n")]
+    hashes, first = words.hash_words(texts)
+    assert len(set(hashes.tolist())) == 5 and hashes[0] == hashes[2] and hashes[1] == hashes[3] == hashes[6] and first.tolist() == [0, 3, 3, 5, 6, 8]
+
+
+def test_batches_are_cut_by_bytes():
+    batch = pa.record_batch({"t": pa.array(["x" * (1 << 20) if i == 5 else "y" for i in range(40)] * 5)})
+    cut = list(columns.parts([batch, batch.slice(0, 0)], 1 << 20))
+    assert pa.Table.from_batches(cut).to_pydict() == batch.to_pydict() and max(p.nbytes for p in cut) < 2.1 * (1 << 20)
+
+
 def shingles(text):
     words = (text or "").encode().lower().split()
     return set(zip(*(words[i:] for i in range(5)))) if len(words) >= 5 else {tuple(words)} if words else set()
@@ -275,7 +294,6 @@ def test_packing(spark, odd, none):
 
     path = vocabulary_path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     texts = {r.doc_id: r.text or "" for r in documents(spark).collect()}
     rows = QUERIES["op8_sum_of_squares_packing"](spark, SMALL).collect()
     for k, text in texts.items():
@@ -285,6 +303,10 @@ def test_packing(spark, odd, none):
         assert all(r.ids_crc32 == zlib.crc32(np.asarray(ids[r.start : r.start + r.length], "<u4").tobytes()) for r in own)
     check_sequences(rows)
     assert len({r.sequence_id for r in rows}) <= -(-sum(r.length for r in rows) // 4096) + 2
+    coder = packing.WordIds(path)
+    odd_texts = ["a <|endoftext|> b", "x<|startoftext|>Y é", "A <|ENDOFTEXT|> b", "<|endoftext|>", "U\u0308 \xa0 x\x1cy"]
+    for text, coded in zip(odd_texts, coder.encode([t.encode() for t in odd_texts]), strict=True):
+        assert np.frombuffer(coded, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
     for docs, n in ((odd, 12), (none, 0)):
         made = packing.pack_documents(docs, path).collect()
         check_sequences(made)
