@@ -6,13 +6,14 @@ each class; every pair of one key from each collection is a table key, so that 2
 2k minhashes. Two sets of similarity s share a table with probability (1 - (1 - s^k)^m)^2: for the first level
 (k 3, m 10) 0.99985 at s = 0.85 and 0.999996 at 0.9.
 
-Within a table's bucket no pairs of all members are formed. Members are compared with the bucket's smallest
-member; what is confirmed forms components; then only members outside the smallest one's component ("strays")
-are compared with members of other components. The members of a bucket with more than ``STRAYS`` of them (documents
-that share a passage, or far-edited copies of one text) go to a second level of longer keys. There the shingles
-that only one of these documents holds are counted first: they cannot be common to two, which bounds a pair's
-similarity from above, and the bound is part of the join. These keys are not paired: 80 tables of 12 minhashes find a
-pair at 0.85 with probability 0.999995, and let unlike pairs meet in few tables, where paired keys multiply them.
+Within a table's bucket no pairs of all members are formed. Members are compared with the smallest members of their
+buckets, and what is confirmed forms components. The members of every bucket that then still holds more than one
+component (documents that share a passage, or far-edited copies of one text), whatever its size, go to a second level of
+longer keys. There, members outside the component of a bucket's smallest member ("strays") are compared with members of
+other components. The shingles that only one of these documents holds are counted first: they cannot be common to two,
+which bounds a pair's similarity from above, and the bound is part of the join. The keys of the second level are not
+paired: 80 tables of 12 minhashes find a pair at 0.85 with probability 0.999995 and let unlike pairs meet in few tables,
+where paired keys multiply them (a pair at 0.7 meets in 1.1 of these, in 18 of 30 x 30 pairs of keys of 6).
 So a link is lost only if its pair shares no table of a level. For another threshold than 0.85 the number of keys
 follows, so that a pair at the threshold is missed as rarely (at 0.8: 14 x 14 tables and 173).
 
@@ -27,6 +28,7 @@ results; other columns are ignored by ``near_duplicates`` and kept by ``without_
 
 from __future__ import annotations
 
+import hashlib
 import math
 from functools import reduce
 
@@ -42,7 +44,6 @@ from cartlake.llm.words import mix, shingle_sets
 
 FIRST, SECOND = (3, 10), (12, 80)  # k and m at TUNED percent
 TUNED = 85
-STRAYS = 8
 RANGES = 256
 SIGNATURES = "doc_id long, n_shingles long, set_a long, set_b long, left array<long>, right array<long>, sketch binary"
 
@@ -61,6 +62,11 @@ def _minhashes(values: np.ndarray, count: int) -> np.ndarray:
     return np.min([(factors[:, None] * values[at : at + 4096] + terms[:, None]).min(axis=1) for at in range(0, len(values), 4096)], axis=0)
 
 
+def _digest(values: np.ndarray) -> list[int]:
+    """128 bits of a cryptographic digest of a sorted set, as two numbers: equal for equal sets only."""
+    return np.frombuffer(hashlib.blake2b(values, digest_size=16).digest(), np.int64).tolist()
+
+
 def _keys(hashes: np.ndarray, k: int) -> np.ndarray:
     groups = hashes.reshape(-1, k)
     total = np.arange(len(groups), dtype=np.uint64)
@@ -86,7 +92,7 @@ def signatures(docs: DataFrame, k: int, m: int, *, paired: bool = True) -> DataF
         for doc, values in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist()), strict=True):
             if len(values):
                 hashes = _minhashes(values, (1 + paired) * k * m)
-                row = (doc, len(values), int(mix(values).sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(values + np.uint64(1))).view(np.int64)), _keys(hashes[: k * m], k), _keys(hashes[k * m :], k) if paired else [0], _sketch(values))
+                row = (doc, len(values), *_digest(values), _keys(hashes[: k * m], k), _keys(hashes[k * m :], k) if paired else [0], _sketch(values))
             else:
                 row = (doc, 0, 0, 0, None, None, None)
             for name, value in zip(out, row, strict=True):
@@ -149,13 +155,13 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.where("c_a <> c_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _strays(buckets: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``key, node, c_node, c_first, n, common, strays``: members with components and sizes; strays lie outside the first one's component."""
+def _strays(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """``key, node, c_node, c_first``: the members of buckets that hold several components, with their own and the first one's."""
     marked = buckets
     for name in ("node", "first"):
         marked = marked.join(found.select(F.col("node").alias(name), F.col("component").alias(f"c_{name}")), name, "left").withColumn(f"c_{name}", F.coalesce(f"c_{name}", name))
-    counts = marked.where("c_node <> c_first").groupBy("key").agg(F.count("*").alias("strays"))
-    return staged(marked.join(counts, "key").join(sizes, "node").select("key", "node", "c_node", "c_first", "n", "common", "strays"), "strays")
+    mixed = marked.where("c_node <> c_first").select("key").distinct()
+    return staged(marked.join(mixed, "key", "left_semi").select("key", "node", "c_node", "c_first"), "strays")
 
 
 def _stray_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -173,7 +179,7 @@ def _stray_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _sharing(sets: DataFrame) -> DataFrame:
-    """``node, n, common``: set sizes, and how many of a set's shingles another of these sets holds too."""
+    """``node, n, common``: set sizes, and how many of a set's shingles another of these sets may hold too."""
     once = sets.select("node", F.explode("values").alias("v")).groupBy("v").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
     own = once.groupBy("node").agg(F.count("*").alias("own"))
     return sets.select("node", F.size("values").cast("long").alias("n")).join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
@@ -201,18 +207,17 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     stars = staged(buckets.where("first <> node").groupBy(F.col("first").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n")), "candidates")
     links.append(confirm(stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")))
     found = joined_up()
-    members = _strays(buckets, found, classes.select("node", F.col("n_shingles").alias("n"), F.col("n_shingles").alias("common")))
-    few = _stray_pairs(members.where(F.col("strays") <= STRAYS), percent)
-    links.append(confirm(_across(stars.select("a", "b").unionByName(few), found)))
+    links.append(confirm(_across(stars.select("a", "b"), found)))
     found = joined_up()
-    crowded = members.where(F.col("strays") > STRAYS).select("node").distinct()
-    crowded = staged(crowded, "crowded")
+    crowded = staged(_strays(buckets, found).select("node").distinct(), "crowded")
     if crowded.take(1):
+        mixed = classes.join(crowded, "node", "left_semi")
         chosen = docs.join(crowded, docs["doc_id"] == crowded["node"], "left_semi")
         again = signatures(chosen, *_level(SECOND, percent), paired=False).select(F.col("doc_id").alias("node"), "set_a", "set_b", "left", "right")
-        finer = classes.drop("left", "right").join(again, ["node", "set_a", "set_b"]).dropDuplicates(["node"])
-        sets = staged(_sets(chosen.select(F.col("doc_id").cast("long").alias("node"), utf8().alias("utf8"))).dropDuplicates(["node"]), "crowded_sets")
-        links.append(confirm(_across(_stray_pairs(_strays(_buckets(finer), found, _sharing(sets)), percent), found)))
+        finer = mixed.drop("left", "right").join(again, ["node", "set_a", "set_b"]).dropDuplicates(["node", "set_a", "set_b"])
+        again_buckets = _buckets(finer)
+        sharing = _sharing(staged(_sets(chosen.select(F.col("doc_id").cast("long").alias("node"), utf8().alias("utf8"))), "crowded_sets"))
+        links.append(confirm(_across(_stray_pairs(_strays(again_buckets, found).join(sharing, "node"), percent), found)))
         found = joined_up()
 
     result = signed.select("doc_id", "n_shingles").join(member.distinct().groupBy("doc_id").agg(F.min("node").alias("node")), "doc_id", "left")
