@@ -1,10 +1,14 @@
 """Personal data behind disguises: transducers that rewrite a text and remember where each character came from.
 
-Plain identifiers (emails, IP addresses, card and phone numbers) are found in the text as it stands. Texts that
-show signs of a disguise then pass through transducers: look-alike characters become ASCII, digits spelled in four
-languages become digits, and "at" and "dot" in brackets, or spelled between the parts of an address, become signs.
-What the same detectors find in the rewritten text, touching something rewritten, is mapped back to the
-characters of the source. Plain spans always stay; a disguised one that overlaps a span of its kind is left out.
+Plain identifiers (emails, IP addresses, card and phone numbers) are found in the text as it stands. Texts that show
+signs of a disguise are put on a ``Tape``, a sequence of characters each with the source characters that it stands for,
+and pass through transducers, tape to tape: look-alike characters become ASCII and invisible ones go; digits spelled in
+four languages ("double five" too) become digits; "at" and "dot", in brackets or spelled between the parts of an address,
+become signs. What the same detectors find on the last tape, over something rewritten, is mapped back to the source's
+characters. Plain spans always stay; a disguised span that reaches beyond a plain one of its kind is added beside it.
+
+A bare "at" before a plain domain counts only after a local part with a digit, dot or sign in it, or after a word such as
+"mail" or "contact"; "arroba" and "arobase" always do. Not covered: numbers spelled as tens, other languages' words.
 
 Defined cases: null text is empty and holds nothing; equal texts have equal spans; rows repeat as given; null ids stay
 null; empty tables give empty results; texts of any length are read whole, in time that grows with their
@@ -16,8 +20,9 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_right
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,21 +59,33 @@ def _lookalikes() -> dict[int, str]:
 
 
 HOMOGLYPHS = _lookalikes()
+# Words for the two signs, words that announce an address, and last parts of domains that no sentence ends with.
+AT_WORDS = ("at", "arroba", "arobase", "klammeraffe")
+DOT_WORDS = ("dot", "punkt", "punto", "point")
+CUES = ("mail", "email", "e-mail", "mailto", "contact", "contacto", "kontakt", "write", "reach", "correo", "courriel", "adresse", "address", "schreib", "schreiben", "escribe", "contactez")
+DOMAIN_ENDS = frozenset("com org net edu gov mil int info biz name io dev app ai co de fr uk eu ch ca au nl be se no dk pl ru cn jp kr br mx ar cl pt gr cz hu ro ie nz za tv cc example test invalid".split())
+
 _WORD = "(?:" + "|".join(sorted(DIGIT_OF, key=len, reverse=True)) + ")"
+_AT, _DOT = "(?:" + "|".join(AT_WORDS) + ")", "(?:" + "|".join(DOT_WORDS) + ")"
 _STEP = r"[\s,-]{1,3}"
-_SPELLED = re.compile(rf"(?<!\w)(?:plus{_STEP})?(?:{_WORD}|[0-9])(?:{_STEP}(?:{_WORD}|[0-9]|dot|point|punkt|punto)(?!\w)){{3,}}", re.IGNORECASE)
-_SPELLED_SIGN = re.compile(rf"(?<!\w){_WORD}{_STEP}(?:{_WORD}|[0-9]|dot|point|punkt|punto)(?!\w)", re.IGNORECASE)
-_SPELLED_PART = re.compile(r"[^\W\d_]+|[0-9]|[\s,-]+", re.IGNORECASE)
-_BRACKETED = re.compile(r"[\[({<]\s?(at|dot|punkt|punto|point|arobase|arroba|[.@])\s?[\])}>]", re.IGNORECASE)
-_BARE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{1,64}(?:(?:\.|\sdot\s)[A-Za-z0-9_%+-]{1,64}){0,4}(?:\sat\s|@)[A-Za-z0-9-]{1,63}(?:(?:\.|\sdot\s)[A-Za-z0-9-]{1,63}){1,6}", re.IGNORECASE)
-_BARE_IP = re.compile(r"(?<![\w.])[0-9]{1,3}(?:(?:\.|\sdot\s)[0-9]{1,3}){3}(?![\w.])", re.IGNORECASE)
-_INVISIBLE = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]+")
-_BARE_SIGN = re.compile(r"\s(at|dot)\s", re.IGNORECASE)
+_UNIT = rf"(?:(?:double|triple){_STEP})?(?:{_WORD}|[0-9]{{1,4}})(?!\w)"
+_SPELLED = re.compile(rf"(?<!\w)(?:plus{_STEP}|\+)?{_UNIT}(?:{_STEP}(?:{_UNIT}|{_DOT}(?!\w))){{3,}}", re.IGNORECASE)
+_SPELLED_SIGN = re.compile(rf"(?<!\w)(?:(?:{_WORD}|double|triple){_STEP}(?:{_WORD}|[0-9]|{_DOT}(?!\w))|[0-9]{{1,4}}{_STEP}(?:{_DOT}{_STEP}(?:[0-9]|{_WORD})|{_WORD}(?!\w)))", re.IGNORECASE)
+_SPELLED_PART = re.compile(r"[^\W\d_]+|[0-9]+|\+|[\s,-]+", re.IGNORECASE)
+_BRACKETED = re.compile(rf"[\[({{<]\s?({_AT}|{_DOT}|[.@])\s?[\])}}>]", re.IGNORECASE)
+_INVISIBLE = re.compile("[­​-‍⁠﻿]+")
+_SPELLED_DOT = rf"(?:\s{{1,3}}{_DOT}\s{{1,3}}|_{_DOT}_)"
+_SEPARATOR = re.compile(_SPELLED_DOT, re.IGNORECASE)
+_BARE_AT = re.compile(rf"\s{{1,3}}{_AT}\s{{1,3}}|_{_AT}_|\s{{0,3}}@\s{{0,3}}", re.IGNORECASE)
+_AFTER_AT = re.compile(rf"[A-Za-z0-9-]{{1,63}}(?:(?:\.|{_SPELLED_DOT})[A-Za-z0-9-]{{1,63}}){{1,8}}", re.IGNORECASE)
+_BEFORE_AT = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9%+-]{{1,64}}(?:(?:[._]|{_SPELLED_DOT})[A-Za-z0-9%+-]{{1,64}}){{0,8}}$", re.IGNORECASE)
+_BARE_IP = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?:(?:\.|{_SPELLED_DOT})[0-9]{{1,3}}){{3}}(?![\w.])", re.IGNORECASE)
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
-_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
+_NUMBER = re.compile(r"[0-9]++")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 Span = tuple[int, int, int]  # start, place of the kind, end
@@ -101,43 +118,59 @@ def _is_phone(text: str) -> bool:
     return sum(map(text.count, "0123456789")) in range(10, 16)
 
 
+def _ips(text: str) -> Iterator[re.Match | tuple[int, int]]:
+    """Every four numbers of a run of dotted numbers, from its start on; each character is read a few times at most."""
+    for run in _DOTTED.finditer(text):
+        parts = [m.span() for m in _NUMBER.finditer(text, *run.span())]
+        for i in range(0, len(parts) - 3, 4):
+            yield parts[i][0], parts[i + 3][1]
+
+
 def base_spans(text: str) -> list[Span]:
     """Identifiers of each kind in the text as it stands, by start and then kind."""
-    found = _emails(text)
-    for kind, pattern, holds in ((1, _IP, _is_ip), (2, _CARD, _is_card), (3, _PHONE, _is_phone)):
+    found = _emails(text) + [(start, 1, end) for start, end in _ips(text) if _is_ip(text[start:end])]
+    for kind, pattern, holds in ((2, _CARD, _is_card), (3, _PHONE, _is_phone)):
         found += [(m.start(), kind, m.end()) for m in pattern.finditer(text) if holds(m.group())]
     return sorted(found)
 
 
-class Rewritten:
-    """A text with pieces replaced, and for each of its characters the source characters that it stands for."""
-
-    def __init__(self, text: str, edits: list[tuple[int, int, str]]) -> None:
-        out, self.starts, self.sources, self.edited = [], [], [], []
-        length = done = 0
-        for start, end, new in sorted(edits):
-            if start < done:
-                continue
-            for piece, lo, hi, edited in ((text[done:start], done, start, False), (new, start, end, True)):
-                if piece:
-                    out.append(piece)
-                    self.starts.append(length)
-                    self.sources.append((lo, hi))
-                    self.edited.append(edited)
-                    length += len(piece)
-            done = end
-        out.append(text[done:])
-        self.starts.append(length)
-        self.sources.append((done, len(text)))
-        self.edited.append(False)
-        self.text = "".join(out)
+class Tape:
+    """Characters, and for each of them the source characters that it stands for and whether it was rewritten."""
+
+    def __init__(self, text: str, begin: np.ndarray, end: np.ndarray, rewritten: np.ndarray) -> None:
+        self.text, self.begin, self.end, self.rewritten = text, begin, end, rewritten
+
+    @classmethod
+    def of(cls, text: str) -> Tape:
+        at = np.arange(len(text))
+        return cls(text, at, at + 1, np.zeros(len(text), bool))
+
+    def mapped(self, table: dict[int, str]) -> Tape:
+        """Single characters replaced by others."""
+        new = self.text.translate(table)
+        changed = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), "<u4") != np.frombuffer(new.encode("utf-32-le", "surrogatepass"), "<u4")
+        return Tape(new, self.begin, self.end, self.rewritten | changed)
+
+    def edited(self, edits: list[tuple[int, int, str]]) -> Tape:
+        """Stretches replaced; each new character stands for all of its stretch. Of overlapping edits the first stays."""
+        if not edits:
+            return self
+        texts, pieces, done = [], [], 0  # pieces: length here, first and last source place, whether kept
+        for start, end, new in [*sorted(edits), (len(self.text), len(self.text), "")]:
+            if start >= done:
+                texts += [self.text[done:start], new]
+                pieces += [(start - done, done, 0, True), (len(new), start, end - 1, False)]
+                done = end
+        lengths, first, last, kept = (np.array(x) for x in zip(*pieces, strict=True))
+        place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        kept, first = np.repeat(kept, lengths), np.repeat(first, lengths)
+        lo = first + place * kept
+        return Tape("".join(texts), self.begin[lo], self.end[np.where(kept, lo, np.repeat(last, lengths))], self.rewritten[lo] | ~kept)
 
     def source(self, start: int, end: int) -> tuple[int, int, bool]:
-        """Source span of a span here, and whether it holds a replaced piece."""
-        first, last = bisect_right(self.starts, start) - 1, bisect_right(self.starts, end - 1) - 1
-        lo = self.sources[first][0] + (0 if self.edited[first] else start - self.starts[first])
-        hi = self.sources[last][1] if self.edited[last] else self.sources[last][0] + end - self.starts[last]
-        return lo, hi, any(self.edited[first : last + 1])
+        """Source span of a span here, and whether it holds something rewritten or passes over something left out."""
+        lo, hi = int(self.begin[start]), int(self.end[end - 1])
+        return lo, hi, bool(self.rewritten[start:end].any()) or hi - lo != end - start
 
 
 def _has_lookalike(text: str) -> bool:
@@ -148,56 +181,108 @@ def _has_lookalike(text: str) -> bool:
         return not HOMOGLYPHS.keys().isdisjoint(map(ord, set(text)))
 
 
-def _signs(text: str) -> list[tuple[int, int, str]]:
-    """Edits that turn spelled digits and disguised signs into characters."""
-    edits = [] if text.isascii() else [(m.start(), m.end(), "") for m in _INVISIBLE.finditer(text)]
-    lower = text.lower()
+def spelled_digits(text: str) -> list[tuple[int, int, str]]:
+    """Edits that turn runs of digits as words into digits, without the gaps between them."""
+    edits = []
+    for m in _SPELLED.finditer(text):
+        times = 1
+        for p in _SPELLED_PART.finditer(text, *m.span()):
+            word = p.group().lower()
+            if word in ("double", "triple"):
+                times, new = 2 if word == "double" else 3, ""
+            elif word in DIGIT_OF:
+                times, new = 1, DIGIT_OF[word] * times
+            elif word.isdigit():
+                times, new = 1, word[0] * (times - 1) + word if times > 1 else word
+            else:
+                new = "+" if word == "plus" else "." if word in DOT_WORDS else "+" if word == "+" else ""
+            edits.append((p.start(), p.end(), new))
+    return edits
+
+
+def bracketed_signs(text: str) -> list[tuple[int, int, str]]:
+    """Edits for signs in brackets, with a space on either side."""
+    edits = []
     for m in _BRACKETED.finditer(text):
         lo = m.start() - (m.start() > 0 and text[m.start() - 1].isspace())
         hi = m.end() + (m.end() < len(text) and text[m.end()].isspace())
-        edits.append((lo, hi, "@" if m[1].lower() in ("at", "arobase", "arroba", "@") else "."))
-    if "dot" in lower:
-        for pattern in (_BARE_EMAIL, _BARE_IP):
-            for m in pattern.finditer(text):
-                if "dot" in m.group().lower():
-                    edits += [(s.start(), s.end(), "@" if s[1].lower() == "at" else ".") for s in _BARE_SIGN.finditer(text, m.start(), m.end())]
-    if not DIGIT_OF.keys().isdisjoint(lower.replace("-", " ").replace(",", " ").split()) and _SPELLED_SIGN.search(text):
-        for m in _SPELLED.finditer(text):
-            parts = list(_SPELLED_PART.finditer(m.group()))
-            for k, p in enumerate(parts):
-                word, lo, hi = p.group().lower(), m.start() + p.start(), m.start() + p.end()
-                if word in DIGIT_OF:
-                    edits.append((lo, hi, DIGIT_OF[word]))
-                elif word == "plus":
-                    edits.append((lo, hi, "+"))
-                elif word in ("dot", "point", "punkt", "punto"):
-                    edits.append((lo, hi, "."))
-                elif not word.isalnum() and k:
-                    edits.append((lo, hi, ""))
+        edits.append((lo, hi, "@" if m[1] == "@" or m[1].lower() in AT_WORDS else "."))
+    return edits
+
+
+def _dots(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
+    return [(d.start(), d.end(), ".") for d in _SEPARATOR.finditer(text, start, end)]
+
+
+def bare_signs(text: str) -> list[tuple[int, int, str]]:
+    """Edits for signs spelled between what can be the parts of an address."""
+    edits = []
+    for at in _BARE_AT.finditer(text):
+        sign = at.group().strip().strip("_").lower()
+        domain = _AFTER_AT.match(text, at.end())
+        if domain is None:
+            continue
+        window = text[max(0, at.start() - 100) : at.start()]
+        local = _BEFORE_AT.search(window)
+        if local is None:
+            continue
+        dots = _dots(text, domain.start(), domain.end())
+        first = at.start() - len(window) + local.start()
+        known = re.split(rf"\.|{_SPELLED_DOT}", domain.group(), flags=re.IGNORECASE)[-1].lower() in DOMAIN_ENDS
+        if sign == "at":
+            clear = any("dot" in text[a:b].lower() or "punkt" in text[a:b].lower() for a, b, _ in dots)
+            cued = window[: local.start()].lower().replace(":", " ").split()[-3:]
+            likely = re.search(r"[0-9._%+]", local.group()) is not None or any(w in CUES for w in cued)
+            taken = clear or known and (bool(dots) or likely)
+        else:
+            taken = sign != "@" or bool(dots) or known and at.group() != "@"
+        if taken:
+            edits += [*_dots(text, first, at.start()), (at.start(), at.end(), "@"), *dots]
+    for m in _BARE_IP.finditer(text):
+        edits += _dots(text, m.start(), m.end())
     return edits
 
 
+def rewritten(text: str) -> Tape | None:
+    """The last tape of a text, or nothing where no transducer changes it."""
+    tape, lookalike = None, _has_lookalike(text)
+    if lookalike:
+        tape = Tape.of(text).mapped(HOMOGLYPHS)
+    if not text.isascii() and (gone := [(*m.span(), "") for m in _INVISIBLE.finditer(text)]):
+        tape = (tape or Tape.of(text)).edited(gone)
+    plain = tape.text if tape else text
+    lower = plain.lower()
+    dots = any(w in lower for w in DOT_WORDS)
+    if (dots or not DIGIT_OF.keys().isdisjoint(lower.replace("-", " ").replace(",", " ").split())) and _SPELLED_SIGN.search(plain) and (edits := spelled_digits(plain)):
+        tape = (tape or Tape.of(text)).edited(edits)
+        plain = tape.text
+    for transducer in (bracketed_signs, bare_signs):
+        if edits := transducer(plain):
+            tape = (tape or Tape.of(text)).edited(edits)
+            plain = tape.text
+    return tape
+
+
 def disguised_spans(text: str, base: list[Span]) -> list[Span]:
-    """Identifiers that show only after rewriting, in source characters."""
-    plain = text.translate(HOMOGLYPHS) if _has_lookalike(text) else text
-    edits = _signs(plain)
-    if plain is text and not edits:
+    """Identifiers that show only after rewriting, in source characters; those within a plain span of their kind are not new."""
+    tape = rewritten(text)
+    if tape is None:
         return []
-    view = Rewritten(plain, edits)
     found: list[Span] = []
-    taken = {k: [(s, e) for s, kind, e in base if kind == k] for k in range(len(KINDS))}
-    for start, kind, end in base_spans(view.text):
-        lo, hi, edited = view.source(start, end)
-        if (edited or hi - lo != end - start or text[lo:hi] != plain[lo:hi]) and all(e <= lo or hi <= s for s, e in taken[kind]):
-            taken[kind].append((lo, hi))
-            found.append((lo, kind, hi))
+    plain = [[(s, e) for s, kind, e in base if kind == k] for k in range(len(KINDS))]
+    for start, kind, end in base_spans(tape.text):
+        lo, hi, changed = tape.source(start, end)
+        if changed and not any(s <= lo and hi <= e for s, e in plain[kind]):
+            # A typographic dash after a plain address does not lengthen it.
+            if not any(s == lo and tape.text[start + e - s : start + e - s + 1] == "-" for s, e in plain[kind] if kind < 2):
+                found.append((lo, kind, hi))
     return found
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """Plain spans, and all spans by start and then kind."""
     base = base_spans(text)
-    return base, sorted(base + disguised_spans(text, base))
+    return base, sorted({*base, *disguised_spans(text, base)}) if base else sorted(disguised_spans(text, base))
 
 
 def joined(spans: list[Span]) -> str:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -123,7 +124,11 @@ def test_base_spans_equal_patterns(spark):
 @pytest.mark.parametrize(("text", "found"), [
     ("mail jo.doe [at] ex [dot] com now", ["email:jo.doe [at] ex [dot] com"]), ("write jane at mail dot example dot org", ["email:jane at mail dot example dot org"]), ("host 10[.]0[.]0[.]1 up", ["ip:10[.]0[.]0[.]1"]),
     ("ｊｏ＠ｅｘ．ｃｏｍ", ["email:ｊｏ＠ｅｘ．ｃｏｍ"]), ("plus four four two oh seven nine four six oh nine five", ["phone:plus four four two oh seven nine four six oh nine five"]), ("jo\u200b@ex.com", ["email:jo\u200b@ex.com"]),
-    ("look at example.com or one two three dots", []), ("meet at dot", []),
+    ("jοhn@ex.com", ["email:jοhn@ex.com", "email:hn@ex.com"]), ("ja\u200bne@ex.com", ["email:ja\u200bne@ex.com", "email:ne@ex.com"]), ("jane_at_ex_dot_com", ["email:jane_at_ex_dot_com"]),
+    ("at 1 9 2 dot 1 6 8 dot 1 dot 1 now", ["ip:1 9 2 dot 1 6 8 dot 1 dot 1"]), ("jo at example punkt com", ["email:jo at example punkt com"]), ("ask jo.doe at example.com", ["email:jo.doe at example.com"]),
+    ("jo arroba ejemplo punto es", ["email:jo arroba ejemplo punto es"]), ("mail jo at example.org", ["email:jo at example.org"]), ("plus four four double two oh seven nine four six oh nine", ["phone:plus four four double two oh seven nine four six oh nine"]),
+    ("jo@ex.com\u2013see", ["email:jo@ex.com"]), ("write jo @ ex.com", ["email:jo @ ex.com"]), ("jο at exаmple dot cοm", ["email:jο at exаmple dot cοm"]),
+    ("look at example.com or one two three dots", []), ("meet at dot", []), ("look at the point where", []), ("at home.Then 5 at best.Or one point two", []), ("we met at 10 point five", []),
 ])
 def test_disguises_map_back(text, found):
     base, spans = pii.all_spans(text)
@@ -131,6 +136,45 @@ def test_disguises_map_back(text, found):
     assert [f"{pii.KINDS[k]}:{text[s:e]}" for s, k, e in spans] == found
 
 
+def planted_disguises(rng):
+    """For each kind of disguise a function from a plain identifier to its disguised form."""
+    names = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
+    spell = lambda t: " ".join(names[int(c)] if c.isdigit() else {"+": "plus", ".": "dot"}[c] for c in t)
+    greek = str.maketrans("aeopx", "аеорх")
+    email = lambda: f"{''.join(rng.choices('abcdeopx', k=6))}{rng.randint(1, 99)}@{''.join(rng.choices('aeopst', k=5))}.{rng.choice(['com', 'org', 'de', 'example'])}"
+    return {
+        "look-alikes": (email, lambda t: t.translate(greek)), "wide": (email, lambda t: "".join(chr(ord(c) + 0xFEE0) for c in t)), "invisible": (email, lambda t: t[:2] + "\u200b" + t[2:]),
+        "brackets": (email, lambda t: t.replace("@", " [at] ").replace(".", " (dot) ")), "bare": (email, lambda t: t.replace("@", " at ").replace(".", " dot ")), "underscores": (email, lambda t: t.replace("@", "_at_").replace(".", "_dot_")), "at only": (email, lambda t: t.replace("@", " at ")),
+        "german": (email, lambda t: t.replace("@", " at ").replace(".", " punkt ")), "spanish": (email, lambda t: t.replace("@", " arroba ").replace(".", " punto ")), "spaced": (email, lambda t: t.replace("@", " @ ")),
+        "spelled phone": (lambda: "+" + "".join(rng.choices("0123456789", k=12)), spell), "spelled address": (lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), spell), "dotted address": (lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), lambda t: t.replace(".", " dot ")),
+    }
+
+
+def test_planted_disguises_are_found_and_masked():
+    rng = random.Random(7)
+    words = "the la der on un said über from été plain word and".split()
+    for name, (plain, disguise) in planted_disguises(rng).items():
+        hits = 0
+        for _ in range(100):
+            hidden = disguise(plain())
+            before = " ".join(rng.choices(words, k=rng.randint(0, 9)) + ["xyz "])
+            text = before + hidden + " " + " ".join(["xyz"] + rng.choices(words, k=rng.randint(0, 9)))
+            hits += any((s, e) == (len(before), len(before) + len(hidden)) for s, _, e in pii.all_spans(text)[1]) and hidden not in pii.mask(text)
+        assert hits >= 90, (name, hits)
+
+
+def test_tapes_compose():
+    tape = pii.Tape.of("aο[at]b").mapped(pii.HOMOGLYPHS).edited([(2, 6, "@")]).edited([(0, 1, ""), (2, 3, "xy")])
+    assert tape.text == "oxyb" and tape.source(0, 1) == (1, 2, True) and tape.source(1, 2) == (2, 6, True) and tape.source(3, 4) == (6, 7, False)
+
+
+def test_long_runs_take_linear_time():
+    for text in ("1" * 1_000_000, "1." * 500_000, "a" * 1_000_000, "+1((" * 250_000, "a@b" * 300_000, "one " * 200_000, "x at y.z" * 100_000, "a_at_b" * 100_000):
+        began = time.process_time()
+        pii.all_spans(text)
+        assert time.process_time() - began < 4
+
+
 def test_masking_keeps_rows_and_columns(odd, none):
     made = pii.masked(odd)
     assert made.columns == odd.columns and made.count() == 12 and pii.masked(none).count() == 0
