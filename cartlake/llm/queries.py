@@ -58,7 +58,7 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return language_id.predict(docs, language_id.fit(docs)).drop("rejected")
+    return language_id.predict(docs, language_id.fit(docs))
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_gif_columns, op3_splitting_tree_mix, op4_tensored_minhash, op5_warc_bundles, op6_suffix_tree_scores, op7_winnowing, op8_sum_of_squares_packing, op9_pii_spans, op10_language_id)}

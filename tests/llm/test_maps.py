@@ -191,10 +191,45 @@ def test_language_id(spark, odd, none):
     assert sum(r.lang_pred == r.lang for r in held) / len(held) > 0.97 and all(0 <= r.score <= 1 for r in rows)
     assert {r.lang_pred for r in language_id.predict(odd, model).where("doc_id in (3, 4, 10)").collect()} == {"und"}
     assert language_id.fit(none) is None and {r.lang_pred for r in language_id.predict(odd, None).collect()} == {"und"}
+    assert 1e-5 < model.temperature < 1e5 and np.isfinite(model.threshold) and not any(r.score == 1 for r in held)
+    assert sum(r.rejected for r in rows) <= 2
+    rng = random.Random(3)
+    salad = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(40))
+    for text in ("Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему.", "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。", salad):
+        assert language_id.identify(text, model)[2]
+    texts = {lang: next(r.text for r in docs.collect() if r.lang == lang and 200 < len(r.text) < 2000) for lang in model.languages}
+    assert not language_id.identify(" ".join(texts.values()), model)[2]
     kept = language_id.accepted(odd, model)
     assert kept.columns == odd.columns and kept.where("doc_id in (3, 4, 10)").count() == 0
 
 
+def test_gradient_temperature_and_threshold_equal_brute_force():
+    rng = np.random.default_rng(1)
+    shapes = ((30, 4), (4, 3), (3,))
+    parts = [rng.normal(size=s) for s in shapes]
+    bucket, share = np.array([2, 5, 9]), np.array([0.5, 0.3, 0.2])
+
+    def loss(parts):
+        return -np.log(language_id.softmax(share @ parts[0][bucket] @ parts[1] + parts[2])[1])
+
+    moved = [p.copy() for p in parts]
+    language_id.gradient_step(*moved, bucket, share, 1, 1e-6)
+    for k, scale in ((0, 3**0.5), (1, 1), (2, 0.1)):
+        for at in np.ndindex(shapes[k]):
+            nudged = [p.copy() for p in parts]
+            nudged[k][at] += 1e-6
+            assert abs((loss(nudged) - loss(parts)) / 1e-6 * scale + (moved[k] - parts[k])[at] / 1e-6) < 1e-4
+    z, truth = rng.normal(size=(200, 3)), rng.integers(0, 3, 200)
+    z[np.arange(200), truth] += 3
+    grid = np.geomspace(0.01, 100, 4001)
+    best = grid[np.argmin([language_id.smoothed_loss(z, truth, t) for t in grid])]
+    assert abs(language_id.fitted_temperature(z, truth) / best - 1) < 0.01
+    apart = np.eye(3)[truth]
+    assert 1e-3 < language_id.fitted_temperature(apart, truth) < 1
+    assert language_id.fitted_threshold(np.array([-5.0, -3]), np.array([1.0, 2]), 100) == -1
+    assert language_id.fitted_threshold(np.array([-5.0, 1.5]), np.array([1.0, 2]), 100) == 1.75
+
+
 def test_chunked_grams_equal_whole(monkeypatch):
     data = b"The cat sat on the mat. " * 9
     whole = language_id.gram_counts(data)
