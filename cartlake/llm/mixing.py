@@ -5,8 +5,9 @@ than ``max_epochs`` times its words, and what is cut off is shared again by weig
 
 Draw: a source's documents are dealt by hash into blocks of about ``block_words`` words, and its blocks are put in
 a random order. The mix takes every block of a source as often as its target holds the source whole, then blocks in that
-order while they fit; the next block gives documents, in random order, while they fit, and then the one document
-that comes nearest to what is left.
+order while they fit. The next block gives documents: half of the rest in random order, then larger ones first wherever
+they fit, from the largest size on that leaves least, and then the one document that comes nearest to what is left, if
+that is nearer than none.
 So each source has an exact quota of block draws. A binary tree splits the vector of quotas among the output
 shards: each node gives its left child a multivariate hypergeometric draw of half its blocks. A shard's counts
 are turned into disjoint ranges of each source's permuted draws, and within a shard rows are in hash order.
@@ -159,20 +160,33 @@ def mix(docs: DataFrame, *, block_words: int = 1 << 14, shard_blocks: int = 256,
     sized = staged(rows.select("source", "size", "row_key"), "sized")
     sources, plan = mix_plan(sized, block_words=block_words, shard_blocks=shard_blocks, seed=seed)
     dealt = with_block(rows, sources.select("source", "source_rank", "source_size", "target", "n_blocks"), seed)
-    # In a block that is taken in part, documents go in hash order while they fit.
+    # In a block that is taken in part, documents go in hash order for half of what is to be taken.
     partial = plan.where("rest is not null").select("source_rank", "block", "rest")
     inside = with_block(sized, sources.select("source", "source_rank", "n_blocks"), seed).join(partial, ["source_rank", "block"])
     inside = inside.groupBy("source_rank", "block", "rest", "row_key").agg(F.sum("size").alias("size"))
     upto = F.sum("size").over(Window.partitionBy("source_rank", "block").orderBy("row_key"))
-    inside = inside.withColumn("fits", upto <= F.col("rest"))
+    inside = inside.withColumn("fits", upto <= F.col("rest") / 2)
     last = inside.groupBy("source_rank", "block").agg(F.max(F.when(F.col("fits"), F.col("row_key"))).alias("last_key"), F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0)).alias("used"))
-    # Of the documents after those, the one nearest to what is left, if that is nearer than none.
-    gap = F.col("rest") - F.col("used")
-    extra = inside.where("not fits").join(last, ["source_rank", "block"]).withColumn("miss", F.abs(F.col("size") - gap)).where(F.col("miss") < gap)
-    extra = extra.groupBy("source_rank", "block").agg(F.min_by("row_key", F.struct("miss", "row_key")).alias("extra_key"))
-    last = last.join(extra, ["source_rank", "block"], "left").drop("used")
+    # Then larger ones first, as many of each size as fit; of the sizes to start from, the one that leaves least. A block
+    # has few distinct sizes, so folds over them decide.
+    block = ["source_rank", "block"]
+    after = inside.where("not fits and size > 0").join(last, block).withColumn("gap", F.col("rest") - F.col("used"))
+    sizes = after.where("size <= gap").groupBy(*block, "size").agg(F.count("*").alias("n"), F.floor(F.max("gap")).alias("gap"))
+    sizes = sizes.groupBy(*block).agg(F.max("gap").alias("gap"), F.reverse(F.sort_array(F.collect_list(F.struct("size", "n")))).alias("sizes"))
+    fold = """array_min(transform(sequence(1, size(sizes)), start -> aggregate(slice(sizes, start, size(sizes)), named_struct('left', gap, 'out', cast(array() as array<struct<size: bigint, most: bigint>>)),
+        (acc, s) -> named_struct('left', acc.left - least(s.n, acc.left div s.size) * s.size, 'out', array_append(acc.out, named_struct('size', s.size, 'most', least(s.n, acc.left div s.size)))))))"""
+    fill = sizes.select(*block, F.expr(fold).alias("fill"))
+    ranked = after.withColumn("rank", F.row_number().over(Window.partitionBy(*block, "size").orderBy("row_key")))
+    ranked = ranked.join(fill.select(*block, F.inline("fill.out")), [*block, "size"], "left").join(fill.select(*block, F.col("fill.left").alias("left")), block, "left")
+    ranked = ranked.withColumn("filled", F.coalesce(F.col("rank") <= F.col("most"), F.lit(False)))
+    # The one document nearest to what is left, if that is nearer than none.
+    gap = F.coalesce("left", "gap")
+    miss = F.abs(F.col("size") - gap)
+    closest = F.min_by("row_key", F.when(~F.col("filled") & (miss < gap), F.struct(miss, "row_key")))
+    more = ranked.groupBy(*block).agg(F.collect_set(F.when(F.col("filled"), F.col("row_key"))).alias("filled_keys"), F.when(F.max(~F.col("filled") & (miss < gap)), closest).alias("extra_key"))
+    last = last.join(more, block, "left").drop("used")
     decided = plan.drop("n_blocks", "rest").join(last, ["source_rank", "block"], "left")
-    taken = F.filter("draws", lambda d: d["whole"] | F.coalesce(F.col("row_key") <= F.col("last_key"), F.lit(False)) | F.coalesce(F.col("row_key") == F.col("extra_key"), F.lit(False)))
+    taken = F.filter("draws", lambda d: d["whole"] | F.coalesce(F.col("row_key") <= F.col("last_key"), F.lit(False)) | F.coalesce(F.col("row_key") == F.col("extra_key"), F.lit(False)) | F.coalesce(F.array_contains("filled_keys", F.col("row_key")), F.lit(False)))
     return dealt.join(decided, ["source_rank", "block"], "left").select("doc", "row_key", "size", "source_size", "target", F.coalesce(F.transform(taken, lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard"))), F.expr("cast(array() as array<struct<epoch: bigint, shard: bigint>>)")).alias("draws"))
 
 
@@ -184,6 +198,6 @@ def mixed_rows(docs: DataFrame, **options: int) -> DataFrame:
 
 
 def mix_report(docs: DataFrame, **options: int) -> DataFrame:
-    """doc_id, size, source_size, target, taken and copies of each row."""
+    """doc_id, size, source_size, target, taken, copies and shards (``epoch:shard`` of each copy) of each row."""
     mixed = mix(need(docs, "doc_id", "text", "source"), **options)
-    return mixed.select(F.col("doc.doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.size("draws").alias("copies"))
+    return mixed.select(F.col("doc.doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.size("draws").alias("copies"), F.array_join(F.transform("draws", lambda d: F.concat_ws(":", d["epoch"], d["shard"])), ",").alias("shards"))

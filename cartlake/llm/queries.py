@@ -28,7 +28,7 @@ def op2_gif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_report(table(spark, sf_dir, "documents")).drop("copies")
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
 def op4_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
