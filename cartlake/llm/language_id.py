@@ -159,13 +159,14 @@ def fit(docs: DataFrame, *, per_language: int = 600, dimension: int = 16, epochs
             own = [text, excerpt(text, mark)]
             made = [(None, made_text(t, mark)) for t in own] if mark % n_languages == 0 else []
             for name, content in [*((lang, t) for t in own), *made]:
-                for column, value in zip(out, (doc, name, *features(content)), strict=True):
+                bucket, share = features(content)
+                for column, value in zip(out, (doc, name, bucket.astype("<u2").tobytes(), share.astype("<f4").tobytes()), strict=True):
                     out[column].append(value)
         yield out
 
-    sampled = map_batches(rows, work, "doc_id long, lang string, bucket array<int>, share array<double>")
-    found = [(r.doc_id or 0, r.lang, np.asarray(r.bucket), np.asarray(r.share)) for r in sampled.toLocalIterator()]
-    found.sort(key=lambda r: (r[0], r[1] is None, r[1] or "", len(r[2]), r[3].tolist()[:4]))
+    sampled = map_batches(rows, work, "doc_id long, lang string, bucket binary, share binary")
+    found = [(r.doc_id or 0, r.lang, np.frombuffer(r.bucket, "<u2"), np.frombuffer(r.share, "<f4")) for r in sampled.toLocalIterator()]
+    found.sort(key=lambda r: (r[0], r[1] is None, r[1] or "", len(r[2]), r[3].tobytes()))
     languages = sorted({r[1] for r in found if r[1] is not None})
     if not languages:
         return None

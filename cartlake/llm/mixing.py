@@ -144,7 +144,7 @@ def mix_plan(sized: DataFrame, *, block_words: int, shard_blocks: int, seed: int
     draws = draws.select("source_rank", "block", "epoch", (F.col("epoch") * F.col("held") + F.col("place")).alias("seat"), ((F.col("epoch") < F.col("epochs")) | (F.col("part") == 2)).alias("whole"))
     seated = draws.join(seats, ["source_rank", "seat"]).groupBy("source_rank", "block").agg(F.sort_array(F.collect_list(F.struct("epoch", "shard", "whole"))).alias("draws"))
     plan = numbered.select("source_rank", "block", "n_blocks", F.when(F.col("part") == 1, F.col("rest")).alias("rest")).join(seated, ["source_rank", "block"])
-    return sources, plan
+    return sources, staged(plan, "plan")
 
 
 def with_block(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
@@ -165,7 +165,7 @@ def mix(docs: DataFrame, *, block_words: int = 1 << 14, shard_blocks: int = 256,
     inside = with_block(sized, sources.select("source", "source_rank", "n_blocks"), seed).join(partial, ["source_rank", "block"])
     inside = inside.groupBy("source_rank", "block", "rest", "row_key").agg(F.sum("size").alias("size"))
     upto = F.sum("size").over(Window.partitionBy("source_rank", "block").orderBy("row_key"))
-    inside = inside.withColumn("fits", upto <= F.col("rest") / 2)
+    inside = staged(inside.withColumn("fits", upto <= F.col("rest") / 2), "partial")
     last = inside.groupBy("source_rank", "block").agg(F.max(F.when(F.col("fits"), F.col("row_key"))).alias("last_key"), F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0)).alias("used"))
     # Then larger ones first, as many of each size as fit; of the sizes to start from, the one that leaves least. A block
     # has few distinct sizes, so folds over them decide.
@@ -175,7 +175,7 @@ def mix(docs: DataFrame, *, block_words: int = 1 << 14, shard_blocks: int = 256,
     sizes = sizes.groupBy(*block).agg(F.max("gap").alias("gap"), F.reverse(F.sort_array(F.collect_list(F.struct("size", "n")))).alias("sizes"))
     fold = """array_min(transform(sequence(1, size(sizes)), start -> aggregate(slice(sizes, start, size(sizes)), named_struct('left', gap, 'out', cast(array() as array<struct<size: bigint, most: bigint>>)),
         (acc, s) -> named_struct('left', acc.left - least(s.n, acc.left div s.size) * s.size, 'out', array_append(acc.out, named_struct('size', s.size, 'most', least(s.n, acc.left div s.size)))))))"""
-    fill = sizes.select(*block, F.expr(fold).alias("fill"))
+    fill = staged(sizes.select(*block, F.expr(fold).alias("fill")), "fill")
     ranked = after.withColumn("rank", F.row_number().over(Window.partitionBy(*block, "size").orderBy("row_key")))
     ranked = ranked.join(fill.select(*block, F.inline("fill.out")), [*block, "size"], "left").join(fill.select(*block, F.col("fill.left").alias("left")), block, "left")
     ranked = ranked.withColumn("filled", F.coalesce(F.col("rank") <= F.col("most"), F.lit(False)))
@@ -185,7 +185,7 @@ def mix(docs: DataFrame, *, block_words: int = 1 << 14, shard_blocks: int = 256,
     closest = F.min_by("row_key", F.when(~F.col("filled") & (miss < gap), F.struct(miss, "row_key")))
     more = ranked.groupBy(*block).agg(F.collect_set(F.when(F.col("filled"), F.col("row_key"))).alias("filled_keys"), F.when(F.max(~F.col("filled") & (miss < gap)), closest).alias("extra_key"))
     last = last.join(more, block, "left").drop("used")
-    decided = plan.drop("n_blocks", "rest").join(last, ["source_rank", "block"], "left")
+    decided = plan.drop("n_blocks", "rest").join(staged(last, "last"), ["source_rank", "block"], "left")
     taken = F.filter("draws", lambda d: d["whole"] | F.coalesce(F.col("row_key") <= F.col("last_key"), F.lit(False)) | F.coalesce(F.col("row_key") == F.col("extra_key"), F.lit(False)) | F.coalesce(F.array_contains("filled_keys", F.col("row_key")), F.lit(False)))
     return dealt.join(decided, ["source_rank", "block"], "left").select("doc", "row_key", "size", "source_size", "target", F.coalesce(F.transform(taken, lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard"))), F.expr("cast(array() as array<struct<epoch: bigint, shard: bigint>>)")).alias("draws"))
 
