@@ -1,18 +1,20 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 Tokens are a text's words (ASCII letters in lower case) and one end. Every word of the training texts is a symbol of its
-own; a start stands before each text. A context is a run of words before a position, as long as it may be within its
-text. It is a candidate if it has entries, n-grams that occur at least ``least`` times, and it is retained if its
-next-symbol distribution differs from that of its longest retained suffix: count times divergence reaches
-``keep_nats``. Contexts become longer, word by word, until a length of which none is retained. Distributions are
-smoothed by absolute discounting: what is taken off goes to the suffix's distribution, at the root to the base model.
-Each position is scored in the state of its longest retained suffix.
+own; a start stands before each text. A context is a run of at most ``depth`` words before a position, within its text. It
+is a candidate if it has entries, n-grams that occur at least ``least`` times, and it is retained if its next-symbol
+distribution differs from that of its longest retained suffix: count times divergence reaches ``keep_nats``. Contexts
+become longer, word by word, up to the depth or a length of which none is retained. Distributions are smoothed by absolute
+discounting: what is taken off goes to the suffix's distribution, at the root to the base model. Each position is
+scored in the state of its longest retained suffix.
 
 All counts are exact, cover all training documents and are cut at a number, not at a share: the tree grows with the
-corpus. N-grams and contexts are Spark tables. An entry's value is what it adds to the score in its suffix's state, so a
+corpus. A run's hash is made of those of the two runs that lack its last and its first word, so these two name it. Tasks
+count runs in blocks of sorted arrays, dealt out by the runs' hashes, and other tasks add the blocks up; what occurs
+``least`` times becomes rows of Spark tables. An entry's value is what it adds to the score in its suffix's state, so a
 text's score is a sum over its runs of words, each met once, in any order. Two things are broadcast, and neither changes
 a result: the values of runs with at least ``lookup_share`` of all tokens (at most 1 / share a length), which are so not
-joined and cannot be hot keys; and sets of bits that tell which runs surely are not in a table.
+joined and cannot be hot keys; and a set of bits of a fixed size that tells which runs surely are not in the tree.
 
 Defined cases: null text is empty and has one token, the end; null ids are learned from; with no training text every
 base probability is 1; equal texts get equal scores; rows that repeat are scored each; an empty table gives an
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartlake.llm.columns import _arrow, map_batches, need, record, utf8
+from cartlake.llm.columns import _arrow, map_batches, need, parts, record, utf8
 from cartlake.llm.staging import freed, short_shuffles, staged
 from cartlake.llm.words import blocks, hash_words, mix
 
@@ -38,6 +40,8 @@ END = np.uint64(0xE0D0E0D0E0D0E0D1)  # stands for the end among word hashes
 START = np.uint64(0x57A257A257A257A3)
 HELD = 4_000_000
 RUNS = "gram long, ctx long, tail long, n long"
+BLOCKS = "part int, counts binary"
+PART_TEXT = 32 << 20  # bytes of text whose runs one task adds up
 BITS = 1 << 27
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -79,25 +83,21 @@ class Table:
 
 
 class Bits:
-    """A set of bits for keys: where one of a key's two bits is missing, the key is in no row."""
+    """A set of bits of a fixed size: where a key's bit is missing, the key is in no row."""
 
     def __init__(self, keys: DataFrame) -> None:
-        places = keys.select(F.explode(F.array(F.col("gram").bitwiseAND(BITS - 1), F.shiftrightunsigned("gram", 32).bitwiseAND(BITS - 1))).alias("at"))
-        found = places.groupBy(F.shiftright("at", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+        at = F.col("gram").bitwiseAND(BITS - 1)
+        found = keys.groupBy(F.shiftright(at, 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(gram & 63 as int))")).alias("bits")).toArrow()
         self.words = np.zeros(BITS >> 6, np.uint64)
         self.words[found.column(0).to_numpy()] = found.column(1).to_numpy().view(np.uint64)
 
     def may_hold(self, keys: np.ndarray) -> np.ndarray:
-        held = self._bit(keys & np.uint64(BITS - 1))
-        held[held] = self._bit(keys[held] >> np.uint64(32) & np.uint64(BITS - 1))
-        return held
-
-    def _bit(self, at: np.ndarray) -> np.ndarray:
+        at = keys & np.uint64(BITS - 1)
         return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 class Tree(NamedTuple):
-    """The stored tree. ``model``: gram, c (of words), n, entry and back, natural logarithms that a run of words adds."""
+    """The stored tree. ``model``: gram, c (of words), n, entry and back, natural logarithms that a run of words adds, all its rows together."""
 
     n: int
     v: int
@@ -147,57 +147,69 @@ def _place(first: np.ndarray) -> np.ndarray:
     return np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
 
 
-def _longer(runs: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Hashes of runs of one more token, by their last token, from those of the runs before them."""
-    return mix(np.concatenate([np.zeros(1, np.uint64), runs[:-1]]) * _BASE + tokens)
+def _longer(runs: np.ndarray) -> np.ndarray:
+    """Hashes of runs of one more token, by their last token: of the run before and the run here."""
+    return mix(np.concatenate([np.zeros(1, np.uint64), runs[:-1]]) * _BASE + runs)
+
 
+def _added_up(ctx: np.ndarray, tail: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct runs by their hashes, with the shorter runs that name them and their summed counts."""
+    gram = mix(ctx * _BASE + tail)
+    order = np.argsort(gram, kind="stable")
+    first = np.flatnonzero(np.diff(gram[order], prepend=~gram[order[:1]]))
+    at = order[first]
+    return gram[at], ctx[at], tail[at], np.add.reduceat(n[order], first) if len(first) else n
 
-def _summed(docs: DataFrame, length: int, bits: Bits | None = None) -> DataFrame:
-    """``gram, ctx, tail, n``: how often each run of ``length`` occurs, and the runs without its last and its first token.
 
-    Runs that hold a shorter one missing in ``bits`` are left out. Tasks send each run once for every few million tokens.
+def _summed(docs: DataFrame, length: int, n_parts: int, least: int) -> DataFrame:
+    """``gram, ctx, tail, n``: how often each run of ``length`` occurs, if ``least`` times, and the runs without its last and its first token.
+
+    A word's own run is named by its hash twice. Each task sends a run once for every few million tokens.
     """
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast(bits) if bits else None
-    kinds = _arrow(RUNS)
+    shift = np.uint64(40)
+    kinds, rows = _arrow(BLOCKS), _arrow(RUNS)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            gram, ctx, tail = (np.concatenate(x) for x in zip(*parts, strict=True))
-            gram, at, n = np.unique(gram, return_index=True, return_counts=True)
-            return record({"gram": pa.array(gram.view(np.int64)), "ctx": pa.array(ctx[at].view(np.int64)), "tail": pa.array(tail[at].view(np.int64)), "n": pa.array(n)}, kinds)
-
-        for batch in batches:
+            ctx, tail = (np.concatenate(x) for x in zip(*held, strict=True))
+            gram, ctx, tail, n = _added_up(ctx, tail, np.ones(len(ctx), np.int64))
+            part = (gram >> shift) % np.uint64(n_parts)
+            order = np.lexsort((ctx, part))
+            cuts = np.searchsorted(part[order], np.arange(n_parts + 1, dtype=np.uint64))
+            own = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            return record({"part": [p for p, x in enumerate(own) if len(x)], "counts": [b"".join((ctx[x].tobytes(), tail[x].tobytes(), n[x].astype("<u4").tobytes())) for x in own if len(x)]}, kinds)
+
+        for batch in parts(batches):
             for _, tokens, first in _tokens(batch.column(0).to_pylist()):
                 tail = tokens
                 for _ in range(length - 2):
-                    tail = _longer(tail, tokens)
-                place = _place(first)
-                inside = np.flatnonzero(place >= max(1, length - 1))
-                if shared:
-                    held = shared.value.may_hold(tail[inside])
-                    inside = inside[held]
-                    inside = inside[shared.value.may_hold(tail[inside - 1])]
-                if length == 1:
-                    parts.append((tokens[inside],) * 3)
-                else:
-                    parts.append((mix(tail[inside - 1] * _BASE + tokens[inside]), tail[inside - 1], tail[inside]))
+                    tail = _longer(tail)
+                inside = np.flatnonzero(_place(first) >= max(1, length - 1))
+                held.append((tail[inside - (length > 1)], tail[inside]))
                 size += len(inside)
                 if size >= HELD:
                     yield flush()
-                    parts, size = [], 0
+                    held, size = [], 0
         if size:
             yield flush()
 
-    made = docs.select("utf8").mapInArrow(run, RUNS)
-    # A task's runs are distinct by now: they are dealt out first, and not grouped before that in vain.
-    if length == 1:
-        return made.groupBy("gram").agg(F.sum("n").alias("n"))
-    if length == 2:
-        return made.select("ctx", "tail", "n").repartition("ctx", "tail").groupBy("ctx", "tail").agg(F.sum("n").alias("n"))
-    return made.repartition("gram").groupBy("gram").agg(F.first("ctx").alias("ctx"), F.first("tail").alias("tail"), F.sum("n").alias("n"))
+    def add_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for counts in batch.column(1).to_pylist():
+                n = len(counts) // 20
+                held.append((np.frombuffer(counts, np.uint64, n), np.frombuffer(counts, np.uint64, n, 8 * n), np.frombuffer(counts, "<u4", n, 16 * n).astype(np.int64)))
+        if held:
+            gram, ctx, tail, n = _added_up(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            often = n >= least
+            gram, ctx, tail, n = (x[often] for x in (ctx if length == 1 else gram, ctx, tail, n))
+            for at in range(0, len(gram), 100_000):
+                part = slice(at, at + 100_000)
+                yield record({"gram": pa.array(gram[part].view(np.int64)), "ctx": pa.array(ctx[part].view(np.int64)), "tail": pa.array(tail[part].view(np.int64)), "n": pa.array(n[part])}, rows)
+
+    return docs.select("utf8").mapInArrow(count, BLOCKS).repartitionById(n_parts, "part").mapInArrow(add_up, RUNS)
 
 
 def _code(*symbols: np.ndarray) -> np.ndarray:
@@ -208,50 +220,44 @@ def _code(*symbols: np.ndarray) -> np.ndarray:
     return total
 
 
-def train(docs: DataFrame, *, lookup_share: float = 2e-7, least: int = 2, keep_nats: float = 12.0, discount: float = 0.5) -> tuple[Tree, DataFrame]:
+def train(docs: DataFrame, *, depth: int = 2, lookup_share: float = 2e-7, least: int = 2, keep_nats: float = 12.0, discount: float = 0.5) -> tuple[Tree, DataFrame]:
     """The tree and the stored table (gram, n) of all training tokens' counts."""
     with short_shuffles(docs.sparkSession):
-        return _trained(docs, lookup_share, least, keep_nats, discount)
+        return _trained(docs, depth, lookup_share, least, keep_nats, discount)
 
 
-def _trained(docs: DataFrame, lookup_share: float, least: int, keep_nats: float, discount: float) -> tuple[Tree, DataFrame]:
+def _trained(docs: DataFrame, depth: int, lookup_share: float, least: int, keep_nats: float, discount: float) -> tuple[Tree, DataFrame]:
     learned = need(docs, "doc_id", "text").where(~held_out()).select(utf8().alias("utf8"))
-    unigrams = staged(_summed(learned, 1), "unigrams")
+    size = learned.agg(F.sum(F.octet_length("utf8"))).first()[0] or 0
+    n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART_TEXT + 1)
+    unigrams = staged(_summed(learned, 1, n_parts, 1).select("gram", "n"), "unigrams")
     n, v = (int(x or 0) for x in unigrams.agg(F.sum("n"), F.count("*")).first())
     total = n + 0.5 * (v + 1)
     started = unigrams.where(F.col("gram") == _signed(END)).select(F.lit(_signed(START)).alias("gram"), "n")
     shorter = unigrams.unionByName(started).withColumn("lp", F.log((F.col("n") + 0.5) / total))
-    parts = [unigrams.select("gram", F.col("n").alias("c"), "n", F.lit(0.0).alias("entry"), F.lit(0.0).alias("back"))]
-    length, bits = 1, Bits(shorter.where(F.col("n") >= least))
-    grown = None
-    while True:
-        rows = _candidates(learned, length, bits, shorter, least)
-        grown, last = _grown(rows, keep_nats, discount), grown
-        kept = grown.where("back is not null")
+    pieces = [unigrams.select("gram", F.col("n").alias("c"), "n", F.lit(0.0).alias("entry"), F.lit(0.0).alias("back"))]
+    longest, grown = 1, None
+    while longest <= depth:
+        counts = _summed(learned, longest + 1, n_parts, least)
+        parents = shorter.select(F.col("gram").alias("tail"), F.col("lp").alias("parent"))
+        rows = staged(counts.join(parents, "tail").select("gram", "ctx", "n", "parent"), "candidates")
+        retained = staged(_retained(rows, shorter, keep_nats, discount), "retained")
+        last, grown = grown, staged(_grown(rows, retained, discount), "grown")
+        freed(rows, *([last] if last else []))
+        kept = grown.where("entry is not null")
         if not kept.take(1):
             break
-        length += 1
-        parts.append(staged(kept.select("gram", F.lit(None).cast("long").alias("c"), "n", "entry", F.lit(0.0).alias("back")), "entries"))
-        parts.append(staged(kept.groupBy("ctx").agg(F.max("of").alias("n"), F.max("back").alias("back")).select(F.col("ctx").alias("gram"), F.lit(None).cast("long").alias("c"), "n", F.lit(0.0).alias("entry"), "back"), "contexts"))
-        shorter, bits = grown.select("gram", "n", "lp"), Bits(grown)
-        freed(rows, *([last] if last else []))
-    freed(rows, grown, *([last] if last else []))
-    model = staged(reduce(DataFrame.unionByName, parts).groupBy("gram").agg(F.max("c").alias("c"), F.max("n").alias("n"), F.sum("entry").alias("entry"), F.sum("back").alias("back")), "model")
-    freed(*parts[1:])
-    near = model.where(F.col("n") >= max(1.0, lookup_share * n)).select("gram", F.coalesce("c", F.lit(0)).alias("c"), (F.col("entry") + F.col("back")).alias("add")).toArrow()
+        longest += 1
+        pieces.append(staged(kept.select("gram", F.lit(None).cast("long").alias("c"), "n", "entry", F.lit(0.0).alias("back")), "entries"))
+        pieces.append(retained.select(F.col("ctx").alias("gram"), F.lit(None).cast("long").alias("c"), F.col("of").alias("n"), F.lit(0.0).alias("entry"), "back"))
+        shorter = grown.select("gram", "n", "lp")
+    freed(*([grown] if grown else []))
+    # A run may be an entry, a context and a word: it has a row for each, and their values add up.
+    model = reduce(DataFrame.unionByName, pieces)
+    common = model.where(F.col("n") >= max(1.0, lookup_share * n))
+    near = common.groupBy("gram").agg(F.coalesce(F.max("c"), F.lit(0)).alias("c"), F.sum(F.col("entry") + F.col("back")).alias("add")).toArrow()
     keys = near.column(0).to_numpy().view(np.uint64)
-    far = model.where("c is null")
-    return Tree(n, v, length, model, Table(keys, np.arange(len(keys))), near.column(1).to_numpy(), near.column(2).to_numpy(), Bits(far)), unigrams
-
-
-def _paired(counts: DataFrame) -> DataFrame:
-    """Runs of two words with their hashes."""
-
-    def work(batch: pa.RecordBatch):
-        ctx, tail = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-        yield {"gram": mix(ctx * _BASE + tail).view(np.int64), "ctx": batch.column(0), "tail": batch.column(1), "n": batch.column(2)}
-
-    return map_batches(counts.select("ctx", "tail", "n"), work, RUNS)
+    return Tree(n, v, longest, model, Table(keys, np.arange(len(keys))), near.column(1).to_numpy(), near.column(2).to_numpy(), Bits(model.where("c is null"))), unigrams
 
 
 def _collected(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -262,30 +268,28 @@ def _collected(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return codes[order], n[order]
 
 
-def _candidates(learned: DataFrame, length: int, bits: Bits, shorter: DataFrame, least: int) -> DataFrame:
-    """gram, ctx, n, of (the context's count) and parent (the last word's log probability after the suffix) of runs of one more token."""
-    counts = _summed(learned, length + 1, bits).where(F.col("n") >= least)
-    if length == 1:
-        counts = _paired(counts)
-    rows = counts.join(shorter.select(F.col("gram").alias("tail"), F.col("lp").alias("parent")), "tail").join(shorter.select(F.col("gram").alias("ctx"), F.col("n").alias("of")), "ctx")
-    return staged(rows.select("gram", "ctx", "n", "of", "parent"), "candidates")
+def _retained(rows: DataFrame, shorter: DataFrame, keep_nats: float, discount: float) -> DataFrame:
+    """ctx, of (its count) and back of the contexts whose distribution differs enough from that after their suffix."""
+    n, parent = F.col("n"), F.col("parent")
+    sums = rows.groupBy("ctx").agg(F.sum(n * (F.log(n) - parent)).alias("gain"), F.sum("n").alias("held"), F.sum(F.exp(parent)).alias("below"), F.count("*").alias("entries"))
+    sums = sums.join(shorter.select(F.col("gram").alias("ctx"), F.col("n").alias("of")), "ctx")
+    rest, parent_rest = F.greatest(F.lit(1e-12), 1 - F.col("held") / F.col("of")), F.greatest(F.lit(1e-12), 1 - F.col("below"))
+    # of * divergence: over the entries n * (log(n / of) - parent), and what they leave
+    weight = F.col("gain") - F.col("held") * F.log("of") + F.col("of") * rest * F.log(rest / parent_rest)
+    return sums.where(weight >= keep_nats).select("ctx", "of", F.log(1 - (F.col("held") - discount * F.col("entries")) / F.col("of")).alias("back"))
 
 
-def _grown(rows: DataFrame, keep_nats: float, discount: float) -> DataFrame:
-    """gram, ctx, n, of, lp, entry and back of candidates; entry and back are null where the context is not retained."""
-    share = F.col("n") / F.col("of")
-    sums = rows.groupBy("ctx").agg(F.max("of").alias("of"), F.sum(share * (F.log(share) - F.col("parent"))).alias("divergence"), F.sum(share).alias("held"), F.sum(F.exp("parent")).alias("below"), F.sum((F.col("n") - discount) / F.col("of")).alias("taken"))
-    rest, parent_rest = (F.greatest(F.lit(1e-12), 1 - F.col(x)) for x in ("held", "below"))
-    kept = sums.where(F.col("of") * (F.col("divergence") + rest * F.log(rest / parent_rest)) >= keep_nats).select("ctx", F.log(1 - F.col("taken")).alias("back"))
+def _grown(rows: DataFrame, retained: DataFrame, discount: float) -> DataFrame:
+    """gram, n, lp and entry of candidates; entry is null where the context is not retained."""
     lp = F.log((F.col("n") - discount) / F.col("of") + F.exp(F.col("back") + F.col("parent")))
-    made = rows.join(kept, "ctx", "left").withColumn("lp", F.coalesce(lp, "parent"))
-    return staged(made.select("gram", "ctx", "n", "of", "lp", (F.col("lp") - F.col("parent") - F.col("back")).alias("entry"), "back"), "grown")
+    made = rows.join(retained, "ctx", "left").withColumn("lp", F.coalesce(lp, "parent"))
+    return made.select("gram", "n", "lp", (F.col("lp") - F.col("parent") - F.col("back")).alias("entry"))
 
 
 def probabilities(tree: Tree, contexts: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     """P(symbol | context) for arrays of context codes (of two symbols) and symbols; collects the tree, so for small ones."""
     words, root = tree.words[0], tree.root
-    found = tree.model.select("gram", "entry", "back").toArrow()
+    found = tree.model.groupBy("gram").agg(F.sum("entry").alias("entry"), F.sum("back").alias("back")).toArrow()
     keys = found.column(0).to_numpy().view(np.uint64)
     at, low = Table(keys, np.arange(len(keys))), np.uint64((1 << 21) - 1)
     entry, back = (np.append(found.column(i).to_numpy(), 0.0) for i in (1, 2))
@@ -293,12 +297,14 @@ def probabilities(tree: Tree, contexts: np.ndarray, symbol: np.ndarray) -> np.nd
     last, before = (as_context[(contexts >> np.uint64(k) & low).astype(np.int64)] for k in (0, 21))
     own = as_symbol[symbol]
     log_p = np.log(root[symbol])
+    tail = own
     for run in (last, mix(before * _BASE + last)):
-        log_p += back[at.find(run, -1)] + entry[at.find(mix(run * _BASE + own), -1)]
+        tail = mix(run * _BASE + tail)
+        log_p += back[at.find(run, -1)] + entry[at.find(tail, -1)]
     return np.exp(log_p)
 
 
-SCORED = "row_id long, doc_id long, held_out boolean, n_tokens long, known long, base double, added double, gram long, n long, words long"
+SCORED = "row_id long, gram long, n long, words long, text struct<doc_id: bigint, held_out: boolean, n_tokens: bigint, known: bigint, base: double, added: double>"
 
 
 def score(docs: DataFrame, tree: Tree, unigrams: DataFrame) -> DataFrame:
@@ -320,7 +326,7 @@ def score(docs: DataFrame, tree: Tree, unigrams: DataFrame) -> DataFrame:
             far, far_of, far_words = [tokens[unmet]], [of[unmet]], [(place[unmet] > 0).astype(np.int64)]
             runs = tokens
             for length in range(2, longest + 1):
-                runs = _longer(runs, tokens)
+                runs = _longer(runs)
                 inside = np.flatnonzero(place >= length - 1)
                 inside = inside[bits.may_hold(runs[inside])]
                 at = near.find(runs[inside], -1)
@@ -335,13 +341,16 @@ def score(docs: DataFrame, tree: Tree, unigrams: DataFrame) -> DataFrame:
             w, d, one = far[by], far_of[by], far_words[by]
             new = np.flatnonzero(np.diff(w, prepend=~w[:1]).astype(bool) | np.diff(d, prepend=-1).astype(bool))
             n = np.diff(np.append(new, len(w)))
-            k = len(new)
             # The text's own row meets no run: a number that spreads rows, and zero occurrences.
-            yield record({"row_id": pa.array(np.concatenate([ids, ids[d[new]]])), "doc_id": pa.concat_arrays([doc.slice(lo, m), pa.nulls(k, pa.int64())]), "held_out": pa.concat_arrays([held.slice(lo, m), pa.nulls(k, pa.bool_())]), "n_tokens": pa.array(np.concatenate([np.diff(first) - 1, np.zeros(k, np.int64)])), "known": pa.array(np.concatenate([sums[0], np.zeros(k)]).astype(np.int64)), "base": pa.array(np.concatenate([sums[1], np.zeros(k)])), "added": pa.array(np.concatenate([sums[2], np.zeros(k)])), "gram": pa.array(np.concatenate([mix(ids.view(np.uint64)), w[new]]).view(np.int64)), "n": pa.array(np.concatenate([np.zeros(m, np.int64), n])), "words": pa.array(np.concatenate([np.zeros(m, np.int64), n * one[new]]))}, kinds)
+            text = pa.StructArray.from_arrays([doc.slice(lo, m), held.slice(lo, m), pa.array(np.diff(first) - 1), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], fields=list(kinds.field("text").type))
+            yield record({"row_id": pa.array(ids), "gram": pa.array(mix(ids.view(np.uint64)).view(np.int64)), "n": pa.array(np.zeros(m, np.int64)), "words": pa.array(np.zeros(m, np.int64)), "text": text}, kinds)
+            if len(new):
+                yield record({"row_id": pa.array(ids[d[new]]), "gram": pa.array(w[new].view(np.int64)), "n": pa.array(n), "words": pa.array(n * one[new]), "text": pa.nulls(len(new), kinds.field("text").type)}, kinds)
 
     rows = need(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), held_out().alias("held_out"), utf8().alias("utf8"))
     met = map_batches(rows, work, SCORED).join(tree.model.select("gram", "c", (F.col("entry") + F.col("back")).alias("add")), "gram", "left")
-    lone = F.when(F.col("words") > 0, F.col("words") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / tree.total)).otherwise(0.0)
-    more = F.col("added") + F.col("n") * F.coalesce("add", F.lit(0.0))
-    parts = met.groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("known") + F.when(F.col("c") > 0, F.col("words")).otherwise(0)).alias("n_known"), (F.sum("base") + F.sum(lone)).alias("base_score"), (F.sum(more) / float(np.log(10))).alias("added"))
-    return parts.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("added")).alias("score"))
+    # A word that is a context too has a second row, without c: only that with c, or none at all, gives the base.
+    lone = F.when((F.col("words") > 0) & (F.col("c").isNotNull() | F.col("add").isNull()), F.col("words") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / tree.total)).otherwise(0.0)
+    sums = met.groupBy("row_id").agg(F.max("text").alias("text"), F.sum(F.when(F.col("c") > 0, F.col("words")).otherwise(0)).alias("known"), F.sum(lone).alias("base"), F.sum(F.col("n") * F.coalesce("add", F.lit(0.0))).alias("added"))
+    base = F.col("text.base") + F.col("base")
+    return sums.select("text.doc_id", "text.held_out", "text.n_tokens", (F.col("text.known") + F.col("known")).alias("n_known"), F.lit(tree.n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + (F.col("text.added") + F.col("added")) / float(np.log(10))).alias("score"))

@@ -275,8 +275,9 @@ def test_suffix_tree_keeps_all_runs(spark):
     assert max(map(len, kept)) >= 4
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for share in (2e-7, 0.01):
-        tree, unigrams = suffix_tree.train(docs, lookup_share=share)
+        tree, unigrams = suffix_tree.train(docs, depth=8, lookup_share=share)
         assert tree.longest == max(map(len, kept)) + 1
+        assert suffix_tree.train(docs, depth=2)[0].longest == 3
         for r in suffix_tree.score(docs, tree, unigrams).collect():
             ts = ["<s>", *texts[r.doc_id].split(), "</s>"]
             wanted = sum(math.log10(p(tuple(ts[max(0, i - 8) : i]), ts[i])) for i in range(1, len(ts)))
