@@ -161,12 +161,12 @@ def _added_up(ctx: np.ndarray, tail: np.ndarray, n: np.ndarray) -> tuple[np.ndar
     return gram[at], ctx[at], tail[at], np.add.reduceat(n[order], first) if len(first) else n
 
 
-def _summed(docs: DataFrame, length: int, n_parts: int, least: int) -> DataFrame:
+def _summed(docs: DataFrame, length: int, n_parts: int, least: int, bits: Bits | None = None) -> DataFrame:
     """``gram, ctx, tail, n``: how often each run of ``length`` occurs, if ``least`` times, and the runs without its last and its first token.
 
-    A word's own run is named by its hash twice. Each task sends a run once for every few million tokens.
+    Runs that hold a shorter one missing in ``bits`` are left out. A word's own run is named by its hash twice. Each task sends a run once for every few million tokens.
     """
-    shift = np.uint64(40)
+    shared = docs.sparkSession.sparkContext.broadcast(bits) if bits else None
     kinds, rows = _arrow(BLOCKS), _arrow(RUNS)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,11 +175,10 @@ def _summed(docs: DataFrame, length: int, n_parts: int, least: int) -> DataFrame
         def flush() -> pa.RecordBatch:
             ctx, tail = (np.concatenate(x) for x in zip(*held, strict=True))
             gram, ctx, tail, n = _added_up(ctx, tail, np.ones(len(ctx), np.int64))
-            part = (gram >> shift) % np.uint64(n_parts)
-            order = np.lexsort((ctx, part))
-            cuts = np.searchsorted(part[order], np.arange(n_parts + 1, dtype=np.uint64))
-            own = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            return record({"part": [p for p, x in enumerate(own) if len(x)], "counts": [b"".join((ctx[x].tobytes(), tail[x].tobytes(), n[x].astype("<u4").tobytes())) for x in own if len(x)]}, kinds)
+            # Parts are ranges of the hash, in whose order the runs are.
+            cuts = np.searchsorted((gram >> np.uint64(40)) * np.uint64(n_parts) >> np.uint64(24), np.arange(n_parts + 1, dtype=np.uint64))
+            own = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            return record({"part": [p for p, x in enumerate(own) if x.start < x.stop], "counts": [b"".join((ctx[x].tobytes(), tail[x].tobytes(), n[x].astype("<u4").tobytes())) for x in own if x.start < x.stop]}, kinds)
 
         for batch in parts(batches):
             for _, tokens, first in _tokens(batch.column(0).to_pylist()):
@@ -187,6 +186,9 @@ def _summed(docs: DataFrame, length: int, n_parts: int, least: int) -> DataFrame
                 for _ in range(length - 2):
                     tail = _longer(tail)
                 inside = np.flatnonzero(_place(first) >= max(1, length - 1))
+                if shared:
+                    known = shared.value.may_hold(tail)
+                    inside = inside[known[inside] & known[inside - 1]]
                 held.append((tail[inside - (length > 1)], tail[inside]))
                 size += len(inside)
                 if size >= HELD:
@@ -236,11 +238,11 @@ def _trained(docs: DataFrame, depth: int, lookup_share: float, least: int, keep_
     started = unigrams.where(F.col("gram") == _signed(END)).select(F.lit(_signed(START)).alias("gram"), "n")
     shorter = unigrams.unionByName(started).withColumn("lp", F.log((F.col("n") + 0.5) / total))
     pieces = [unigrams.select("gram", F.col("n").alias("c"), "n", F.lit(0.0).alias("entry"), F.lit(0.0).alias("back"))]
-    longest, grown = 1, None
+    longest, grown, bits = 1, None, None
     while longest <= depth:
-        counts = _summed(learned, longest + 1, n_parts, least)
+        counts = _summed(learned, longest + 1, n_parts, least, bits)
         parents = shorter.select(F.col("gram").alias("tail"), F.col("lp").alias("parent"))
-        rows = staged(counts.join(parents, "tail").select("gram", "ctx", "n", "parent"), "candidates")
+        rows = staged(counts.join(parents.hint("shuffle_hash"), "tail").select("gram", "ctx", "n", "parent"), "candidates")
         retained = staged(_retained(rows, shorter, keep_nats, discount), "retained")
         last, grown = grown, staged(_grown(rows, retained, discount), "grown")
         freed(rows, *([last] if last else []))
@@ -250,7 +252,7 @@ def _trained(docs: DataFrame, depth: int, lookup_share: float, least: int, keep_
         longest += 1
         pieces.append(staged(kept.select("gram", F.lit(None).cast("long").alias("c"), "n", "entry", F.lit(0.0).alias("back")), "entries"))
         pieces.append(retained.select(F.col("ctx").alias("gram"), F.lit(None).cast("long").alias("c"), F.col("of").alias("n"), F.lit(0.0).alias("entry"), "back"))
-        shorter = grown.select("gram", "n", "lp")
+        shorter, bits = grown.select("gram", "n", "lp"), Bits(grown)
     freed(*([grown] if grown else []))
     # A run may be an entry, a context and a word: it has a row for each, and their values add up.
     model = reduce(DataFrame.unionByName, pieces)
@@ -272,7 +274,7 @@ def _retained(rows: DataFrame, shorter: DataFrame, keep_nats: float, discount: f
     """ctx, of (its count) and back of the contexts whose distribution differs enough from that after their suffix."""
     n, parent = F.col("n"), F.col("parent")
     sums = rows.groupBy("ctx").agg(F.sum(n * (F.log(n) - parent)).alias("gain"), F.sum("n").alias("held"), F.sum(F.exp(parent)).alias("below"), F.count("*").alias("entries"))
-    sums = sums.join(shorter.select(F.col("gram").alias("ctx"), F.col("n").alias("of")), "ctx")
+    sums = shorter.select(F.col("gram").alias("ctx"), F.col("n").alias("of")).join(sums.hint("shuffle_hash"), "ctx")
     rest, parent_rest = F.greatest(F.lit(1e-12), 1 - F.col("held") / F.col("of")), F.greatest(F.lit(1e-12), 1 - F.col("below"))
     # of * divergence: over the entries n * (log(n / of) - parent), and what they leave
     weight = F.col("gain") - F.col("held") * F.log("of") + F.col("of") * rest * F.log(rest / parent_rest)
@@ -282,7 +284,7 @@ def _retained(rows: DataFrame, shorter: DataFrame, keep_nats: float, discount: f
 def _grown(rows: DataFrame, retained: DataFrame, discount: float) -> DataFrame:
     """gram, n, lp and entry of candidates; entry is null where the context is not retained."""
     lp = F.log((F.col("n") - discount) / F.col("of") + F.exp(F.col("back") + F.col("parent")))
-    made = rows.join(retained, "ctx", "left").withColumn("lp", F.coalesce(lp, "parent"))
+    made = rows.join(retained.hint("shuffle_hash"), "ctx", "left").withColumn("lp", F.coalesce(lp, "parent"))
     return made.select("gram", "n", "lp", (F.col("lp") - F.col("parent") - F.col("back")).alias("entry"))
 
 
@@ -348,7 +350,7 @@ def score(docs: DataFrame, tree: Tree, unigrams: DataFrame) -> DataFrame:
                 yield record({"row_id": pa.array(ids[d[new]]), "gram": pa.array(w[new].view(np.int64)), "n": pa.array(n), "words": pa.array(n * one[new]), "text": pa.nulls(len(new), kinds.field("text").type)}, kinds)
 
     rows = need(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), held_out().alias("held_out"), utf8().alias("utf8"))
-    met = map_batches(rows, work, SCORED).join(tree.model.select("gram", "c", (F.col("entry") + F.col("back")).alias("add")), "gram", "left")
+    met = map_batches(rows, work, SCORED).join(tree.model.select("gram", "c", (F.col("entry") + F.col("back")).alias("add")).hint("shuffle_hash"), "gram", "left")
     # A word that is a context too has a second row, without c: only that with c, or none at all, gives the base.
     lone = F.when((F.col("words") > 0) & (F.col("c").isNotNull() | F.col("add").isNull()), F.col("words") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / tree.total)).otherwise(0.0)
     sums = met.groupBy("row_id").agg(F.max("text").alias("text"), F.sum(F.when(F.col("c") > 0, F.col("words")).otherwise(0)).alias("known"), F.sum(lone).alias("base"), F.sum(F.col("n") * F.coalesce("add", F.lit(0.0))).alias("added"))
