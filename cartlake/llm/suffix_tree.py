@@ -38,7 +38,7 @@ from cartlake.llm.words import blocks, hash_words, mix
 
 END = np.uint64(0xE0D0E0D0E0D0E0D1)  # stands for the end among word hashes
 START = np.uint64(0x57A257A257A257A3)
-HELD = 4_000_000
+HELD = 1_500_000
 RUNS = "gram long, ctx long, tail long, n long"
 BLOCKS = "part int, counts binary"
 PART_TEXT = 32 << 20  # bytes of text whose runs one task adds up
@@ -155,8 +155,9 @@ def _longer(runs: np.ndarray) -> np.ndarray:
 def _added_up(ctx: np.ndarray, tail: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct runs by their hashes, with the shorter runs that name them and their summed counts."""
     gram = mix(ctx * _BASE + tail)
-    order = np.argsort(gram, kind="stable")
-    first = np.flatnonzero(np.diff(gram[order], prepend=~gram[order[:1]]))
+    order = np.argsort(gram)
+    sorted_ = gram[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(gram) else order
     at = order[first]
     return gram[at], ctx[at], tail[at], np.add.reduceat(n[order], first) if len(first) else n
 
@@ -164,16 +165,18 @@ def _added_up(ctx: np.ndarray, tail: np.ndarray, n: np.ndarray) -> tuple[np.ndar
 def _summed(docs: DataFrame, length: int, n_parts: int, least: int, bits: Bits | None = None) -> DataFrame:
     """``gram, ctx, tail, n``: how often each run of ``length`` occurs, if ``least`` times, and the runs without its last and its first token.
 
-    Runs that hold a shorter one missing in ``bits`` are left out. A word's own run is named by its hash twice. Each task sends a run once for every few million tokens.
+    Runs that hold a shorter one missing in ``bits`` are left out. A word's own run is named by its hash twice. Each task sends a run once for every ``HELD`` tokens.
     """
     shared = docs.sparkSession.sparkContext.broadcast(bits) if bits else None
     kinds, rows = _arrow(BLOCKS), _arrow(RUNS)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
             ctx, tail = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             gram, ctx, tail, n = _added_up(ctx, tail, np.ones(len(ctx), np.int64))
             # Parts are ranges of the hash, in whose order the runs are.
             cuts = np.searchsorted((gram >> np.uint64(40)) * np.uint64(n_parts) >> np.uint64(24), np.arange(n_parts + 1, dtype=np.uint64))
@@ -193,7 +196,7 @@ def _summed(docs: DataFrame, length: int, n_parts: int, least: int, bits: Bits |
                 size += len(inside)
                 if size >= HELD:
                     yield flush()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield flush()
 
