@@ -42,7 +42,7 @@ HELD = 1_500_000
 RUNS = "gram long, ctx long, tail long, n long"
 BLOCKS = "part int, counts binary"
 PART_TEXT = 32 << 20  # bytes of text whose runs one task adds up
-BITS = 1 << 27
+BITS = 1 << 28
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -107,6 +107,7 @@ class Tree(NamedTuple):
     near_c: np.ndarray
     near_add: np.ndarray
     bits: Bits  # of runs of two words and more
+    least_near: float  # the count from which runs are in ``near``
 
     @property
     def total(self) -> float:
@@ -259,10 +260,11 @@ def _trained(docs: DataFrame, depth: int, lookup_share: float, least: int, keep_
     freed(*([grown] if grown else []))
     # A run may be an entry, a context and a word: it has a row for each, and their values add up.
     model = reduce(DataFrame.unionByName, pieces)
-    common = model.where(F.col("n") >= max(1.0, lookup_share * n))
+    least_near = max(1.0, lookup_share * n)
+    common = model.where(F.col("n") >= least_near)
     near = common.groupBy("gram").agg(F.coalesce(F.max("c"), F.lit(0)).alias("c"), F.sum(F.col("entry") + F.col("back")).alias("add")).toArrow()
     keys = near.column(0).to_numpy().view(np.uint64)
-    return Tree(n, v, longest, model, Table(keys, np.arange(len(keys))), near.column(1).to_numpy(), near.column(2).to_numpy(), Bits(model.where("c is null"))), unigrams
+    return Tree(n, v, longest, model, Table(keys, np.arange(len(keys))), near.column(1).to_numpy(), near.column(2).to_numpy(), Bits(model.where("c is null")), least_near), unigrams
 
 
 def _collected(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -309,7 +311,7 @@ def probabilities(tree: Tree, contexts: np.ndarray, symbol: np.ndarray) -> np.nd
     return np.exp(log_p)
 
 
-SCORED = "row_id long, gram long, n long, words long, text struct<doc_id: bigint, held_out: boolean, n_tokens: bigint, known: bigint, base: double, added: double>"
+SCORED = "row_id long, gram long, n int, words int, doc_id long, held_out boolean, n_tokens long, known long, base double, added double"
 
 
 def score(docs: DataFrame, tree: Tree, unigrams: DataFrame) -> DataFrame:
@@ -347,15 +349,15 @@ def score(docs: DataFrame, tree: Tree, unigrams: DataFrame) -> DataFrame:
             new = np.flatnonzero(np.diff(w, prepend=~w[:1]).astype(bool) | np.diff(d, prepend=-1).astype(bool))
             n = np.diff(np.append(new, len(w)))
             # The text's own row meets no run: a number that spreads rows, and zero occurrences.
-            text = pa.StructArray.from_arrays([doc.slice(lo, m), held.slice(lo, m), pa.array(np.diff(first) - 1), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], fields=list(kinds.field("text").type))
-            yield record({"row_id": pa.array(ids), "gram": pa.array(mix(ids.view(np.uint64)).view(np.int64)), "n": pa.array(np.zeros(m, np.int64)), "words": pa.array(np.zeros(m, np.int64)), "text": text}, kinds)
+            yield record({"row_id": pa.array(ids), "gram": pa.array(mix(ids.view(np.uint64)).view(np.int64)), "n": np.zeros(m, np.int32), "words": np.zeros(m, np.int32), "doc_id": doc.slice(lo, m), "held_out": held.slice(lo, m), "n_tokens": np.diff(first) - 1, "known": sums[0].astype(np.int64), "base": sums[1], "added": sums[2]}, kinds)
             if len(new):
-                yield record({"row_id": pa.array(ids[d[new]]), "gram": pa.array(w[new].view(np.int64)), "n": pa.array(n), "words": pa.array(n * one[new]), "text": pa.nulls(len(new), kinds.field("text").type)}, kinds)
+                nothing = {f.name: pa.nulls(len(new), f.type) for f in list(kinds)[4:]}
+                yield record({"row_id": pa.array(ids[d[new]]), "gram": pa.array(w[new].view(np.int64)), "n": n.astype(np.int32), "words": (n * one[new]).astype(np.int32), **nothing}, kinds)
 
     rows = need(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), held_out().alias("held_out"), utf8().alias("utf8"))
-    met = map_batches(rows, work, SCORED).join(tree.model.select("gram", "c", (F.col("entry") + F.col("back")).alias("add")).hint("shuffle_hash"), "gram", "left")
+    met = map_batches(rows, work, SCORED).join(tree.model.where(F.col("n") < tree.least_near).select("gram", "c", (F.col("entry") + F.col("back")).alias("add")).hint("shuffle_hash"), "gram", "left")
     # A word that is a context too has a second row, without c: only that with c, or none at all, gives the base.
     lone = F.when((F.col("words") > 0) & (F.col("c").isNotNull() | F.col("add").isNull()), F.col("words") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / tree.total)).otherwise(0.0)
-    sums = met.groupBy("row_id").agg(F.max("text").alias("text"), F.sum(F.when(F.col("c") > 0, F.col("words")).otherwise(0)).alias("known"), F.sum(lone).alias("base"), F.sum(F.col("n") * F.coalesce("add", F.lit(0.0))).alias("added"))
-    base = F.col("text.base") + F.col("base")
-    return sums.select("text.doc_id", "text.held_out", "text.n_tokens", (F.col("text.known") + F.col("known")).alias("n_known"), F.lit(tree.n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + (F.col("text.added") + F.col("added")) / float(np.log(10))).alias("score"))
+    far = F.sum(F.col("n") * F.coalesce("add", F.lit(0.0)))
+    sums = met.groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), (F.max("known") + F.sum(F.when(F.col("c") > 0, F.col("words")).otherwise(0))).alias("n_known"), (F.max("base") + F.sum(lone)).alias("base_score"), ((F.max("added") + far) / float(np.log(10))).alias("more"))
+    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("more")).alias("score"))
