@@ -29,6 +29,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ HELD = 1_500_000
 RUNS = "gram long, ctx long, tail long, n long"
 BLOCKS = "part int, counts binary"
 PART_TEXT = 32 << 20  # bytes of text whose runs one task adds up
-BITS = 1 << 28
+BITS = 1 << 27
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -163,12 +164,11 @@ def _added_up(ctx: np.ndarray, tail: np.ndarray, n: np.ndarray) -> tuple[np.ndar
     return gram[at], ctx[at], tail[at], np.add.reduceat(n[order], first) if len(first) else n
 
 
-def _summed(docs: DataFrame, length: int, n_parts: int, least: int, bits: Bits | None = None) -> DataFrame:
+def _summed(docs: DataFrame, length: int, n_parts: int, least: int, shared: Broadcast | None = None) -> DataFrame:
     """``gram, ctx, tail, n``: how often each run of ``length`` occurs, if ``least`` times, and the runs without its last and its first token.
 
-    Runs that hold a shorter one missing in ``bits`` are left out. A word's own run is named by its hash twice. Each task sends a run once for every ``HELD`` tokens.
+    Runs that hold a shorter one missing in the ``shared`` bits are left out. A word's own run is named by its hash twice. Each task sends a run once for every ``HELD`` tokens.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bits) if bits else None
     kinds, rows = _arrow(BLOCKS), _arrow(RUNS)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,11 +242,13 @@ def _trained(docs: DataFrame, depth: int, lookup_share: float, least: int, keep_
     started = unigrams.where(F.col("gram") == _signed(END)).select(F.lit(_signed(START)).alias("gram"), "n")
     shorter = unigrams.unionByName(started).withColumn("lp", F.log((F.col("n") + 0.5) / total))
     pieces = [unigrams.select("gram", F.col("n").alias("c"), "n", F.lit(0.0).alias("entry"), F.lit(0.0).alias("back"))]
-    longest, grown, bits = 1, None, None
+    longest, grown, shared = 1, None, None
     while longest <= depth:
-        counts = _summed(learned, longest + 1, n_parts, least, bits)
+        counts = _summed(learned, longest + 1, n_parts, least, shared)
         parents = shorter.select(F.col("gram").alias("tail"), F.col("lp").alias("parent"))
         rows = staged(counts.join(parents.hint("shuffle_hash"), "tail").select("gram", "ctx", "n", "parent"), "candidates")
+        if shared:
+            shared.destroy()
         retained = staged(_retained(rows, shorter, keep_nats, discount), "retained")
         last, grown = grown, staged(_grown(rows, retained, discount), "grown")
         freed(rows, *([last] if last else []))
@@ -256,7 +258,8 @@ def _trained(docs: DataFrame, depth: int, lookup_share: float, least: int, keep_
         longest += 1
         pieces.append(staged(kept.select("gram", F.lit(None).cast("long").alias("c"), "n", "entry", F.lit(0.0).alias("back")), "entries"))
         pieces.append(retained.select(F.col("ctx").alias("gram"), F.lit(None).cast("long").alias("c"), F.col("of").alias("n"), F.lit(0.0).alias("entry"), "back"))
-        shorter, bits = grown.select("gram", "n", "lp"), Bits(grown)
+        shorter = grown.select("gram", "n", "lp")
+        shared = docs.sparkSession.sparkContext.broadcast(Bits(grown)) if longest <= depth else None
     freed(*([grown] if grown else []))
     # A run may be an entry, a context and a word: it has a row for each, and their values add up.
     model = reduce(DataFrame.unionByName, pieces)
@@ -264,7 +267,7 @@ def _trained(docs: DataFrame, depth: int, lookup_share: float, least: int, keep_
     common = model.where(F.col("n") >= least_near)
     near = common.groupBy("gram").agg(F.coalesce(F.max("c"), F.lit(0)).alias("c"), F.sum(F.col("entry") + F.col("back")).alias("add")).toArrow()
     keys = near.column(0).to_numpy().view(np.uint64)
-    return Tree(n, v, longest, model, Table(keys, np.arange(len(keys))), near.column(1).to_numpy(), near.column(2).to_numpy(), Bits(model.where("c is null")), least_near), unigrams
+    return Tree(n, v, longest, model, Table(keys, np.arange(len(keys), dtype=np.int32)), near.column(1).to_numpy(), near.column(2).to_numpy(), Bits(model.where("c is null")), least_near), unigrams
 
 
 def _collected(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -298,7 +301,7 @@ def probabilities(tree: Tree, contexts: np.ndarray, symbol: np.ndarray) -> np.nd
     words, root = tree.words[0], tree.root
     found = tree.model.groupBy("gram").agg(F.sum("entry").alias("entry"), F.sum("back").alias("back")).toArrow()
     keys = found.column(0).to_numpy().view(np.uint64)
-    at, low = Table(keys, np.arange(len(keys))), np.uint64((1 << 21) - 1)
+    at, low = Table(keys, np.arange(len(keys), dtype=np.int32)), np.uint64((1 << 21) - 1)
     entry, back = (np.append(found.column(i).to_numpy(), 0.0) for i in (1, 2))
     as_context, as_symbol = (np.concatenate([np.array([1, x], np.uint64), words]) for x in (START, END))
     last, before = (as_context[(contexts >> np.uint64(k) & low).astype(np.int64)] for k in (0, 21))
