@@ -226,7 +226,7 @@ def _code(*symbols: np.ndarray) -> np.ndarray:
     return total
 
 
-def train(docs: DataFrame, *, depth: int = 2, lookup_share: float = 2e-7, least: int = 2, keep_nats: float = 12.0, discount: float = 0.5) -> tuple[Tree, DataFrame]:
+def train(docs: DataFrame, *, depth: int = 2, lookup_share: float = 1e-7, least: int = 2, keep_nats: float = 12.0, discount: float = 0.5) -> tuple[Tree, DataFrame]:
     """The tree and the stored table (gram, n) of all training tokens' counts."""
     with short_shuffles(docs.sparkSession):
         return _trained(docs, depth, lookup_share, least, keep_nats, discount)
