@@ -30,9 +30,9 @@ def is_cancelled(name: str) -> Column:
     return F.upper(F.coalesce(F.col(name), F.lit(""))).isin("CANCELLED", "CANCELED")
 
 
-def match_status(paid: str, due: str) -> Column:
-    """Whether payments cover an order to the cent."""
-    gap = F.abs(F.col(paid) - F.coalesce(F.col(due), F.lit(0)))
+def match_status(paid: str, due: str, *, unknown_is_zero: bool = True) -> Column:
+    """Whether payments cover an order to the cent; an order without a total counts as one of 0, or as a mismatch."""
+    gap = F.abs(F.col(paid) - (F.coalesce(F.col(due), F.lit(0)) if unknown_is_zero else F.col(due)))
     return F.when(F.col(paid).isNull(), "NO_PAYMENT").when(gap <= 0.01, "MATCHED").otherwise("MISMATCH")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -100,17 +102,22 @@ def bootstrap_current_state(changes: DataFrame, keys: list[str], *, tombstones:
     return state if tombstones else live(state)
 
 
-def apply_all(targets: dict[str, DataFrame], changes: dict[str, DataFrame], keys: dict[str, str], marks: dict[str, int]) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """Each entity's new state, and the errors of those that failed; one failure does not stop the others."""
-    done, failed = {}, {}
+def apply_all(targets: dict[str, DataFrame], changes: dict[str, DataFrame], keys: dict[str, str], marks: dict[str, int], store: Callable[[str, DataFrame], DataFrame]) -> tuple[dict[str, DataFrame], dict[str, int], dict[str, str]]:
+    """Each entity's stored state, the marks (moved where its changes arrived), and the errors of those that failed.
+
+    ``store`` writes an entity's state and returns it as stored: what fails while it runs fails for that entity alone.
+    """
+    done, moved, failed = {}, dict(marks), {}
     for name, rows in changes.items():
         try:
             slice_ = incremental_slice(rows, high_water=marks.get(name, 0))
             key = [keys[name]]
-            done[name] = apply_changes(targets[name], slice_, key) if name in targets else bootstrap_current_state(slice_, key)
+            done[name] = store(name, apply_changes(targets[name], slice_, key) if name in targets else bootstrap_current_state(slice_, key))
+            newest = slice_.agg(F.max("_ts_ms")).first()[0]
+            moved[name] = max(marks.get(name, 0), newest or 0)
         except Exception as error:  # collected and reported by the caller
             failed[name] = str(error)
-    return done, failed
+    return done, moved, failed
 
 
 def order_envelopes(orders: DataFrame) -> DataFrame:

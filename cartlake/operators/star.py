@@ -83,7 +83,7 @@ def fact_orders(orders: DataFrame, items: DataFrame, payments: DataFrame) -> Dat
     return joined.select(
         "order_id", "customer_id", day_key("order_date"), "order_date", "order_status", "payment_method", "shipping_country", "shipping_state", "total_amount", F.col("discount").alias("order_discount"), "tax",
         *map(or_zero, ("line_count", "item_quantity", "gross_item_amount", "item_discount_amount")), or_zero("paid").alias("payment_amount"), "last_payment_timestamp",
-        (F.coalesce("paid", F.lit(0)) - F.coalesce("total_amount", F.lit(0))).cast(MONEY).alias("payment_variance"), match_status("paid", "total_amount").alias("payment_match_status"), "created_at", "updated_at",
+        (F.coalesce("paid", F.lit(0)) - F.coalesce("total_amount", F.lit(0))).cast(MONEY).alias("payment_variance"), match_status("paid", "total_amount", unknown_is_zero=False).alias("payment_match_status"), "created_at", "updated_at",
     )
 
 

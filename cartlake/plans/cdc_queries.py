@@ -78,6 +78,6 @@ query("serve_customer_360", "select customer_id, first_name, last_name, customer
 query("recent_turns", "select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn, role, text) as place from (select *, row_number() over (partition by conv_id order by turn desc, role desc, text desc) as rn from conversations) x where rn <= 3")(lambda c: serving.recent_turns(c.table("conversations").select("conv_id", "turn", "role", "text"), 3))
 query("chunk_windows", """select doc_id, cast(i as int) as chunk_index, substr(text, cast(i * 850 + 1 as bigint), 1000) as chunk from (select doc_id, text, unnest(generate_series(0, case when length(text) <= 1000 then 0 else cast(ceil((length(text) - 1000) / 850.0) as bigint) end)) as i from documents where length(text) > 0) x""")(lambda c: serving.chunk_windows(c.table("documents").select("doc_id", "text")).select("doc_id", "chunk_index", "chunk"))
 query("chunk_documents")(lambda c: serving.chunk_documents(c.table("documents")))
-query("vector_top_k", """with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings), q as (select * from v where vec_id % 50 = 0), d as (select * from v where vec_id % 50 <> 0),
-    s as (select q.vec_id as query_id, d.vec_id, list_sum(list_transform(range(1, 65), lambda i: q.e[i] * d.e[i])) / sqrt(list_sum(list_transform(q.e, lambda x: x * x))) / sqrt(list_sum(list_transform(d.e, lambda x: x * x))) as score from q, d)
+query("vector_top_k", """with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings), q as (select * from v where vec_id % 50 = 0),
+    s as (select q.vec_id as query_id, d.vec_id, list_sum(list_transform(range(1, 65), lambda i: q.e[i] * d.e[i])) / sqrt(list_sum(list_transform(q.e, lambda x: x * x))) / sqrt(list_sum(list_transform(d.e, lambda x: x * x))) as score from q, v d where d.vec_id <> q.vec_id)
     select query_id, vec_id, score, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, vec_id) as rank from s where score >= 0.3) r where rank <= 5""", ratio=["score"])(lambda c: serving.vector_top_k(c.table("embeddings").where("vec_id % 50 = 0"), c.table("embeddings")))

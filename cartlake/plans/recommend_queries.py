@@ -160,7 +160,7 @@ TUNED = "select model, count(*) as evaluated_customers, avg(precision) as precis
 query("eval_tune_weights", TUNED, ratio=["precision", "recall", "hit_rate", "personalized_weight", "popularity_weight"])(lambda c: E.tune_weights(split_of(c)))
 query("eval_select_config", f"select * from ({TUNED}) t order by round(hit_rate, 9) desc, round(recall, 9) desc, round(precision, 9) desc, model limit 1", ratio=["precision", "recall", "hit_rate", "personalized_weight", "popularity_weight"])(lambda c: E.select_config(E.tune_weights(split_of(c))))
 query("eval_final_test", summary_sql("final_metrics", "final_rankings"), ratio=MEANS)(lambda c: E.final_test(split_of(c), R.Weights(), c.products))
-query("eval_retrieval", """with v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings), s as (select q.vec_id as query_id, d.vec_id, d.label = q.label as same, list_sum(list_transform(range(1, 65), lambda i: q.e[i] * d.e[i])) / sqrt(list_sum(list_transform(q.e, lambda x: x * x))) / sqrt(list_sum(list_transform(d.e, lambda x: x * x))) as score from v q, v d where q.vec_id % 50 = 0 and d.vec_id % 50 <> 0),
+query("eval_retrieval", """with v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings), s as (select q.vec_id as query_id, d.vec_id, d.label = q.label as same, list_sum(list_transform(range(1, 65), lambda i: q.e[i] * d.e[i])) / sqrt(list_sum(list_transform(q.e, lambda x: x * x))) / sqrt(list_sum(list_transform(d.e, lambda x: x * x))) as score from v q, v d where q.vec_id % 50 = 0 and d.vec_id <> q.vec_id),
     r as (select * from (select *, row_number() over (partition by query_id order by round(score, 9) desc, vec_id) as rank from s where score >= 0.3) x where rank <= 5), f as (select query_id, min(rank) as first from r where same group by 1)
     select count(*) as queries, avg(case when f.first is null then 0.0 else 1.0 end) as hit_rate, avg(coalesce(1.0 / f.first, 0)) as mrr from (select vec_id from v where vec_id % 50 = 0) q left join f on f.query_id = q.vec_id""", ratio=["hit_rate", "mrr"])(lambda c: _retrieval(c))
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartlake.operators import cdc
 from cartlake.plans.cdc_queries import order_changes
 from cartlake.plans.registry import query, relation
-from cartlake.streaming import gold
-from cartlake.streaming.runner import final_state
+from cartlake.streaming import changes, gold
+from cartlake.streaming.runner import final_state, streamed
 
 
 def created(df: DataFrame) -> DataFrame:
@@ -21,9 +24,11 @@ def orders_of(c) -> DataFrame:
 
 
 relation("live_state", "select order_id, customer_id, case when order_id % 4 = 0 then 'returned' else status end as status, total_amount + case when order_id % 4 = 0 then 10 else 0 end as total_amount from src_orders where order_id % 20 <> 0")
-query("stream_order_rows", "select order_id, customer_id, status, total_amount, _op, _ts_ms, 'orders' as _source_table from order_changes", money=["total_amount"])(order_changes)
+query("stream_order_rows", "select order_id, customer_id, status, total_amount, _op, _ts_ms, 'orders' as _source_table from order_changes", money=["total_amount"])(
+    lambda c: streamed(c.spark, {"raw": cdc.order_envelopes(c.orders)}, partial(changes.stream_rows, entity="orders", schema=cdc.ORDER_CHANGE), "order_rows", mode="append").drop("batch", "_ingested_at")
+)
 query("stream_order_payment", "select o.order_id, o.customer_id, o.status as order_status, o.total_amount, p.amount as payment_amount, p.payment_status, p.payment_id is not null as payment_match from live_state o left join src_payments p on p.order_id = o.order_id", money=["total_amount", "payment_amount"])(
-    lambda c: final_state(c.spark, {"orders": orders_of(c), "payments": created(c.payments)}, gold.stream_order_payment, "order_id", "order_payment").where("order_id % 20 <> 0")
+    lambda c: final_state(c.spark, {"orders": orders_of(c), "payments": created(c.payments)}, gold.stream_order_payment, "order_id", "order_payment")
 )
 query("stream_product_performance", "select p.product_id, p.product_name, p.category, p.brand, coalesce(i.q, 0) as total_quantity_sold, coalesce(i.r, 0) as total_revenue, coalesce(i.d, 0) as total_discount, coalesce(i.n, 0) as order_count, p.price as current_price, p.inventory_quantity as current_inventory from src_products p left join (select product_id, sum(quantity) as q, sum(quantity * unit_price) as r, sum(discount) as d, count(distinct order_id) as n from src_order_items group by 1) i on i.product_id = p.product_id", money=["total_quantity_sold", "total_revenue", "total_discount", "current_price"])(
     lambda c: final_state(c.spark, {"products": created(c.products), "items": created(c.order_items)}, gold.stream_product_performance, "product_id", "product_performance")
@@ -32,4 +37,6 @@ query("stream_customer_360", """select g.customer_id, g.country, g.customer_segm
     from gold_customers g left join (select customer_id, count(*) as n, sum(total_amount) as s from live_state group by 1) o on o.customer_id = g.customer_id""", money=["total_spend", "total_payments", "marketing_impressions", "marketing_clicks", "marketing_conversions"])(
     lambda c: final_state(c.spark, {"customers": created(c.customers), "orders": orders_of(c), "payments": created(c.payments), "web": created(c.website_events), "tickets": created(c.support_tickets), "marketing": created(c.marketing_events)}, gold.stream_customer_360, "customer_id", "customer_360").drop("last_order_date")
 )
-query("stream_customer_counters", "select customer_id, sum(case when _op = 'd' then -1 else 1 end) as total_orders, sum(case when _op = 'd' then -total_amount else total_amount end) as total_spend from order_changes group by 1", money=["total_orders", "total_spend"])(lambda c: gold.customer_order_counters(order_changes(c)))
+query("stream_customer_counters", "select customer_id, sum(case when _op = 'd' then -1 else 1 end) as total_orders, sum(case when _op = 'd' then -total_amount else total_amount end) as total_spend from order_changes group by 1", money=["total_orders", "total_spend"])(
+    lambda c: final_state(c.spark, {"orders": order_changes(c)}, gold.customer_order_counters, "customer_id", "customer_counters")
+)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -156,8 +157,8 @@ def copy_verified(spark: SparkSession, source: str, target: VersionedTable, *, r
     """Rows copied; a missing optional source is skipped, a differing count is an error."""
     try:
         frozen = read_frozen(spark, source)
-    except Exception:
-        if required:
+    except AnalysisException as missing:
+        if required or missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
     wanted = frozen.count()

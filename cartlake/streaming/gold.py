@@ -34,7 +34,7 @@ def tagged(changes: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
 
 
 class Upserts(StatefulProcessor):
-    """Keeps the newest row of each (entity, id) of a key and emits the key's summary after each batch of changes."""
+    """Keeps the newest row of each (entity, id) of a key and emits the key's summary, or its deletion, after each batch of changes."""
 
     def __init__(self, summarise: Callable[[int, Rows], dict | None], columns: list[str]) -> None:
         self.summarise, self.columns = summarise, columns
@@ -57,8 +57,10 @@ class Upserts(StatefulProcessor):
             if not deleted:
                 held.setdefault(entity, []).append(json.loads(body))
         made = self.summarise(int(key[0]), held)
-        if made is not None:
-            yield pd.DataFrame([made | {"_op": newest[1], "_ts_ms": newest[0]}], columns=self.columns)
+        # A key without a summary is told as deleted, so that readers drop what an earlier batch said of it; where only one of
+        # a key's rows is deleted, the key is updated.
+        told = {self.columns[0]: int(key[0]), "_op": "d"} if made is None else made | {"_op": "u" if newest[1] == "d" else newest[1]}
+        yield pd.DataFrame([[(told | {"_ts_ms": newest[0]}).get(c) for c in self.columns]], columns=self.columns, dtype=object)
 
     def close(self) -> None:
         pass

@@ -1,4 +1,4 @@
-"""Runs a streaming mart over tables' change rows to its end and reads back the newest row of each key."""
+"""Runs a streaming mart over tables' change rows to its end and reads back what it emitted."""
 
 from __future__ import annotations
 
@@ -14,12 +14,17 @@ from cartlake.streaming.gold import ROCKSDB
 
 def work_folder(spark: SparkSession, label: str) -> str:
     """A new folder in the one that driver and executors share; a local one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="cartlake-stream-")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="cartlake-stream-")
     return f"{named.rstrip('/')}/streams/{label}-{uuid.uuid4().hex}"
 
 
-def final_state(spark: SparkSession, changes: dict[str, DataFrame], mart: Callable[..., DataFrame], key: str, label: str, *, files: int = 4) -> DataFrame:
-    """``changes`` by argument name are stored and streamed in several micro-batches through ``mart``."""
+def streamed(spark: SparkSession, changes: dict[str, DataFrame], mart: Callable[..., DataFrame], label: str, *, mode: str = "update", files: int = 4) -> DataFrame:
+    """All rows that ``mart`` emits, with their ``batch``, when ``changes`` by argument name are stored and streamed in several micro-batches."""
     folder = work_folder(spark, label)
     for name, rows in changes.items():
         rows.repartition(files).write.parquet(f"{folder}/in/{name}")
@@ -32,9 +37,17 @@ def final_state(spark: SparkSession, changes: dict[str, DataFrame], mart: Callab
         def keep(batch: DataFrame, batch_id: int) -> None:
             batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
-        query = mart(**streams).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").queryName(f"{label}_{uuid.uuid4().hex[:8]}").trigger(availableNow=True).start()
+        query = mart(**streams).writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").queryName(f"{label}_{uuid.uuid4().hex[:8]}").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return latest_per_key(spark.read.parquet(f"{folder}/out"), [key], ["batch"]).drop("batch", "_op", "_ts_ms")
+    return spark.read.parquet(f"{folder}/out")
+
+
+def final_state(spark: SparkSession, changes: dict[str, DataFrame], mart: Callable[..., DataFrame], key: str, label: str, *, files: int = 4) -> DataFrame:
+    """The newest row of each key after all micro-batches; keys whose newest row is a deletion go."""
+    newest = latest_per_key(streamed(spark, changes, mart, label, files=files), [key], ["batch"])
+    if "_op" in newest.columns:
+        newest = newest.where("_op <> 'd'")
+    return newest.drop("batch", "_op", "_ts_ms")

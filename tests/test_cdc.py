@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cartlake.functions.expressions import cdc_timestamp
 from cartlake.operators import cdc
+from cartlake.sources import tables
 from cartlake.sources.commerce import Commerce
 from cartlake.sources.tables import VersionedTable, conform, copy_verified, high_water, read_frozen, require_columns, set_high_water
 from cartlake.streaming.changes import read_cdc_stream, stream_apply, stream_rows
@@ -80,3 +81,27 @@ def test_conform_and_requirements(spark):
     assert made.dtypes == [("id", "string"), ("x", "double"), ("y", "int")] and made.first().y == 7
     with pytest.raises(ValueError):
         require_columns(made, ["z"])
+
+
+def test_apply_all_isolates_failures_and_moves_marks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", "c", 5), (2, "b", "c", 7), (1, "c", "u", 9)], "id long, v string, _op string, _ts_ms long").withColumn("_ingested_at", F.current_timestamp())
+    broken = rows.withColumn("v", F.expr("cast(raise_error('broken') as string)"))
+
+    def store(name, state):
+        state.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    done, marks, failed = cdc.apply_all({}, {"good": rows, "bad": broken}, {"good": "id", "bad": "id"}, {"bad": 3}, store)
+    assert sorted((r.id, r.v) for r in done["good"].collect()) == [(1, "c"), (2, "b")]
+    assert marks == {"good": 9, "bad": 3} and set(failed) == {"bad"} and "broken" in failed["bad"]
+
+
+def test_missing_optional_source_is_skipped_and_others_raise(spark, tmp_path):
+    target = tables.VersionedTable(spark, f"{tmp_path}/target")
+    assert tables.copy_verified(spark, f"{tmp_path}/nowhere", target, required=False) is None
+    with pytest.raises(Exception, match="nowhere"):
+        tables.copy_verified(spark, f"{tmp_path}/nowhere", target)
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "part.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        tables.copy_verified(spark, f"{tmp_path}/odd", target, required=False)
