@@ -165,17 +165,20 @@ def _strays(buckets: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _stray_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Strays with members of other components, each pair of strays once; ``common`` is the most that a set can share with another."""
+    """Strays with members of other components, each pair once: in the first of the buckets that both are in.
+
+    ``common`` is the most that a set can share with another; ``keys`` are all buckets of the member, at most one a table.
+    """
 
     def side(rows: DataFrame, name: str) -> DataFrame:
-        return rows.select("key", F.col("node").alias(name), F.col("c_node").alias(f"c_{name}"), F.col("n").alias(f"n_{name}"), F.col("common").alias(f"m_{name}"), (F.col("c_node") != F.col("c_first")).alias(f"o_{name}"))
+        return rows.select("key", F.col("node").alias(name), F.col("c_node").alias(f"c_{name}"), F.col("n").alias(f"n_{name}"), F.col("common").alias(f"m_{name}"), F.col("keys").alias(f"k_{name}"), (F.col("c_node") != F.col("c_first")).alias(f"o_{name}"))
 
     most = F.least("m_a", "m_b")
     possible = 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
     once = ~F.col("o_a") | (F.col("a") < F.col("b"))
     odd = side(members.where("c_node <> c_first"), "b")
-    pairs = side(members, "a").join(odd, "key").where((F.col("c_a") != F.col("c_b")) & once & possible)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = side(members, "a").join(odd, "key").where((F.col("c_a") != F.col("c_b")) & once & possible & (F.col("key") == F.array_min(F.array_intersect("k_a", "k_b"))))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _sharing(sets: DataFrame) -> DataFrame:
@@ -217,7 +220,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
         finer = mixed.drop("left", "right").join(again, ["node", "set_a", "set_b"]).dropDuplicates(["node", "set_a", "set_b"])
         again_buckets = _buckets(finer)
         sharing = _sharing(staged(_sets(chosen.select(F.col("doc_id").cast("long").alias("node"), utf8().alias("utf8"))), "crowded_sets"))
-        links.append(confirm(_across(_stray_pairs(_strays(again_buckets, found).join(sharing, "node"), percent), found)))
+        strays = _strays(again_buckets, found)
+        members = strays.join(sharing, "node").join(strays.groupBy("node").agg(F.collect_set("key").alias("keys")), "node")
+        links.append(confirm(_across(_stray_pairs(members, percent), found)))
         found = joined_up()
 
     result = signed.select("doc_id", "n_shingles").join(member.distinct().groupBy("doc_id").agg(F.min("node").alias("node")), "doc_id", "left")
