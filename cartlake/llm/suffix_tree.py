@@ -12,8 +12,9 @@ All counts are exact, cover all training documents and are cut at a number, not
 corpus. A run's hash is made of those of the two runs that lack its last and its first word, so these two name it. Tasks
 count runs in blocks of sorted arrays, dealt out by the runs' hashes, and other tasks add the blocks up; what occurs
 ``least`` times becomes rows of Spark tables. An entry's value is what it adds to the score in its suffix's state, so a
-text's score is a sum over its runs of words, each met once, in any order. Two things are broadcast, and neither changes
-a result: the values of runs with at least ``lookup_share`` of all tokens (at most 1 / share a length), which are so not
+text's score is a sum over its runs of words, each met once, in any order. It is taken length by length, so that only
+one length's runs travel at a time; ``docs`` is read for each, and must give the same rows in the same order, as stored
+tables do. Two things are broadcast, and neither changes a result: the values of runs with at least ``lookup_share`` of all tokens (at most 1 / share a length), which are so not
 joined and cannot be hot keys; and a set of bits of a fixed size that tells which runs surely are not in the tree.
 
 Defined cases: null text is empty and has one token, the end; null ids are learned from; with no training text every
@@ -98,18 +99,22 @@ class Bits:
 
 
 class Tree(NamedTuple):
-    """The stored tree. ``model``: gram, c (of words), n, entry and back, natural logarithms that a run of words adds, all its rows together."""
+    """The stored tree. ``pieces`` by the words in a run: gram, c (of words), n, entry and back, natural logarithms that a run adds, all its rows together."""
 
     n: int
     v: int
     longest: int  # words in the longest run
-    model: DataFrame
+    pieces: dict[int, DataFrame]
     near: Table  # run of words -> place in the next two
     near_c: np.ndarray
     near_add: np.ndarray
     bits: Bits  # of runs of two words and more
     least_near: float  # the count from which runs are in ``near``
 
+    @property
+    def model(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.pieces.values())
+
     @property
     def total(self) -> float:
         return self.n + 0.5 * (self.v + 1)
@@ -241,12 +246,14 @@ def _trained(docs: DataFrame, depth: int, lookup_share: float, least: int, keep_
     total = n + 0.5 * (v + 1)
     started = unigrams.where(F.col("gram") == _signed(END)).select(F.lit(_signed(START)).alias("gram"), "n")
     shorter = unigrams.unionByName(started).withColumn("lp", F.log((F.col("n") + 0.5) / total))
-    pieces = [unigrams.select("gram", F.col("n").alias("c"), "n", F.lit(0.0).alias("entry"), F.lit(0.0).alias("back"))]
+    pieces = {1: unigrams.select("gram", F.col("n").alias("c"), "n", F.lit(0.0).alias("entry"), F.lit(0.0).alias("back"))}
     longest, grown, shared = 1, None, None
     while longest <= depth:
-        counts = _summed(learned, longest + 1, n_parts, least, shared)
+        # Stored by itself, so that the blocks are gone before the counts travel to their suffixes.
+        counts = staged(_summed(learned, longest + 1, n_parts, least, shared), "counts")
         parents = shorter.select(F.col("gram").alias("tail"), F.col("lp").alias("parent"))
         rows = staged(counts.join(parents.hint("shuffle_hash"), "tail").select("gram", "ctx", "n", "parent"), "candidates")
+        freed(counts)
         if shared:
             shared.destroy()
         retained = staged(_retained(rows, shorter, keep_nats, discount), "retained")
@@ -255,19 +262,19 @@ def _trained(docs: DataFrame, depth: int, lookup_share: float, least: int, keep_
         kept = grown.where("entry is not null")
         if not kept.take(1):
             break
+        pieces[longest] = pieces[longest].unionByName(retained.select(F.col("ctx").alias("gram"), F.lit(None).cast("long").alias("c"), F.col("of").alias("n"), F.lit(0.0).alias("entry"), "back"))
         longest += 1
-        pieces.append(staged(kept.select("gram", F.lit(None).cast("long").alias("c"), "n", "entry", F.lit(0.0).alias("back")), "entries"))
-        pieces.append(retained.select(F.col("ctx").alias("gram"), F.lit(None).cast("long").alias("c"), F.col("of").alias("n"), F.lit(0.0).alias("entry"), "back"))
+        pieces[longest] = staged(kept.select("gram", F.lit(None).cast("long").alias("c"), "n", "entry", F.lit(0.0).alias("back")), "entries")
         shorter = grown.select("gram", "n", "lp")
         shared = docs.sparkSession.sparkContext.broadcast(Bits(grown)) if longest <= depth else None
     freed(*([grown] if grown else []))
     # A run may be an entry, a context and a word: it has a row for each, and their values add up.
-    model = reduce(DataFrame.unionByName, pieces)
+    model = reduce(DataFrame.unionByName, pieces.values())
     least_near = max(1.0, lookup_share * n)
     common = model.where(F.col("n") >= least_near)
     near = common.groupBy("gram").agg(F.coalesce(F.max("c"), F.lit(0)).alias("c"), F.sum(F.col("entry") + F.col("back")).alias("add")).toArrow()
     keys = near.column(0).to_numpy().view(np.uint64)
-    return Tree(n, v, longest, model, Table(keys, np.arange(len(keys), dtype=np.int32)), near.column(1).to_numpy(), near.column(2).to_numpy(), Bits(model.where("c is null")), least_near), unigrams
+    return Tree(n, v, longest, pieces, Table(keys, np.arange(len(keys), dtype=np.int32)), near.column(1).to_numpy(), near.column(2).to_numpy(), Bits(model.where("c is null")), least_near), unigrams
 
 
 def _collected(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -320,7 +327,16 @@ SCORED = "row_id long, gram long, n int, words int, doc_id long, held_out boolea
 def score(docs: DataFrame, tree: Tree, unigrams: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast((tree.near, np.append(tree.near_c, 0), np.append(tree.near_add, 0.0), tree.bits))
-    kinds, total, longest = _arrow(SCORED), tree.total, tree.longest
+    lengths = [range(1, min(tree.longest, 2) + 1), *([k] for k in range(3, tree.longest + 1))]
+    with short_shuffles(docs.sparkSession):
+        added = reduce(DataFrame.unionByName, [staged(_added(docs, tree, own, shared), "added") for own in lengths])
+    sums = added.groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("more").alias("more"))
+    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("more")).alias("score"))
+
+
+def _added(docs: DataFrame, tree: Tree, lengths: Iterable[int], shared: Broadcast) -> DataFrame:
+    """Per row what its runs of these ``lengths`` add: row_id, doc_id, held_out, n_tokens, n_known, base_score and more; what words tell is 0 without length 1."""
+    kinds, total, lengths = _arrow(SCORED), tree.total, list(lengths)
 
     def work(batch: pa.RecordBatch):
         near, near_c, near_add, bits = shared.value
@@ -328,15 +344,19 @@ def score(docs: DataFrame, tree: Tree, unigrams: DataFrame) -> DataFrame:
         for lo, tokens, first in _tokens(batch.column(3).to_pylist()):
             m = len(first) - 1
             of, place = np.repeat(np.arange(m), np.diff(first)), _place(first)
-            at = near.find(tokens, -1)
-            c = near_c[at]
-            base = np.where(c > 0, np.log10((np.maximum(c, 1) + 0.5) / total), 0.0)
-            sums = [np.bincount(of, x, m) for x in (c > 0, base, near_add[at])]
-            unmet = np.flatnonzero(at < 0)
-            far, far_of, far_words = [tokens[unmet]], [of[unmet]], [(place[unmet] > 0).astype(np.int64)]
+            sums, far, far_of, far_words = [np.zeros(m) for _ in range(3)], [], [], []
+            if 1 in lengths:
+                at = near.find(tokens, -1)
+                c = near_c[at]
+                base = np.where(c > 0, np.log10((np.maximum(c, 1) + 0.5) / total), 0.0)
+                sums = [np.bincount(of, x, m) for x in (c > 0, base, near_add[at])]
+                unmet = np.flatnonzero(at < 0)
+                far, far_of, far_words = [tokens[unmet]], [of[unmet]], [(place[unmet] > 0).astype(np.int64)]
             runs = tokens
-            for length in range(2, longest + 1):
+            for length in range(2, max(lengths) + 1):
                 runs = _longer(runs)
+                if length not in lengths:
+                    continue
                 inside = np.flatnonzero(place >= length - 1)
                 inside = inside[bits.may_hold(runs[inside])]
                 at = near.find(runs[inside], -1)
@@ -358,9 +378,9 @@ def score(docs: DataFrame, tree: Tree, unigrams: DataFrame) -> DataFrame:
                 yield record({"row_id": pa.array(ids[d[new]]), "gram": pa.array(w[new].view(np.int64)), "n": n.astype(np.int32), "words": (n * one[new]).astype(np.int32), **nothing}, kinds)
 
     rows = need(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), held_out().alias("held_out"), utf8().alias("utf8"))
-    met = map_batches(rows, work, SCORED).join(tree.model.where(F.col("n") < tree.least_near).select("gram", "c", (F.col("entry") + F.col("back")).alias("add")).hint("shuffle_hash"), "gram", "left")
+    model = reduce(DataFrame.unionByName, [tree.pieces[k] for k in lengths])
+    met = map_batches(rows, work, SCORED).join(model.where(F.col("n") < tree.least_near).select("gram", "c", (F.col("entry") + F.col("back")).alias("add")).hint("shuffle_hash"), "gram", "left")
     # A word that is a context too has a second row, without c: only that with c, or none at all, gives the base.
     lone = F.when((F.col("words") > 0) & (F.col("c").isNotNull() | F.col("add").isNull()), F.col("words") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / tree.total)).otherwise(0.0)
     far = F.sum(F.col("n") * F.coalesce("add", F.lit(0.0)))
-    sums = met.groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), (F.max("known") + F.sum(F.when(F.col("c") > 0, F.col("words")).otherwise(0))).alias("n_known"), (F.max("base") + F.sum(lone)).alias("base_score"), ((F.max("added") + far) / float(np.log(10))).alias("more"))
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("more")).alias("score"))
+    return met.groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), (F.max("known") + F.sum(F.when(F.col("c") > 0, F.col("words")).otherwise(0))).alias("n_known"), (F.max("base") + F.sum(lone)).alias("base_score"), ((F.max("added") + far) / float(np.log(10))).alias("more"))
