@@ -79,27 +79,29 @@ def _intelligence(c):
     return record.select("customer_id", "total_orders", F.col("churn.churn_probability").alias("churn_probability"), F.size("recommendations").cast("long").alias("recommended"), F.col("recommendations")[0]["product_id"].alias("first_product"))
 
 
-def _trained(c, kind: str, **options):
-    train, test = churn.time_split(churn.churn_training_set(c).persist())
-    return churn.train_churn(train, kind, **options), test
-
-
-query("churn_scores")(lambda c: churn.score_churn(churn.scoring_features(c), _trained(c, "logistic", maxIter=20)[0]))
+#: Small sizes, so that the registered queries end soon; the operator's own defaults are larger.
+SMALL_MODELS = {"logistic": {"maxIter": 20}, "forest": {"numTrees": 10, "maxDepth": 5}, "boosted": {"maxIter": 3}}
 
 
 def _compared(c):
-    """Metrics of small models of each kind on the test dates, the champion first."""
-    rows = []
+    """Metrics of a model of each kind on the test dates, the models by kind, and the test rows."""
+    rows, models = [], {}
     train, test = (side.persist() for side in churn.time_split(churn.churn_training_set(c).persist()))
-    for kind, options in (("logistic", {"maxIter": 20}), ("forest", {"numTrees": 10, "maxDepth": 5}), ("boosted", {"maxIter": 3})):
-        trained = churn.train_churn(train, kind, **options)
-        scored = churn.probability(test, trained)
+    for kind, options in SMALL_MODELS.items():
+        models[kind] = churn.train_churn(train, kind, **options)
+        scored = churn.probability(test, models[kind])
         areas = churn.area_metrics(scored)
         counted = churn.classification_metrics(scored.withColumn("churn_prediction", (F.col("churn_probability") >= 0.5).cast("int")))
         rows.append(counted.withColumns({"model": F.lit(kind), "roc_auc": F.lit(areas["areaUnderROC"]), "pr_auc": F.lit(areas["areaUnderPR"])}))
-    metrics = rows[0].unionByName(rows[1]).unionByName(rows[2])
-    return churn.select_champion(metrics)
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]), models, test
+
+
+def _champion(c):
+    """The model that the comparison picks, and the test rows."""
+    metrics, models, test = _compared(c)
+    return models[churn.select_champion(metrics).first()["model"]], test
 
 
-query("churn_champion")(_compared)
-query("churn_holdout_predictions")(lambda c: churn.holdout_predictions(*reversed(_trained(c, "logistic", maxIter=20))))
+query("churn_champion")(lambda c: churn.select_champion(_compared(c)[0]))
+query("churn_scores")(lambda c: churn.score_churn(churn.scoring_features(c), _champion(c)[0]))
+query("churn_holdout_predictions")(lambda c: churn.holdout_predictions(*reversed(_champion(c))))
