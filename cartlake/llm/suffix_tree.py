@@ -49,7 +49,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Table:
-    """Values of 64-bit keys in an open-addressing table, looked up for whole arrays."""
+    """Values of 64-bit keys in an open-addressing table, looked up for whole arrays; it travels without its empty slots."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         size = 1 << max(4, int(np.ceil(np.log2(len(keys) * 2 + 1))))
@@ -65,6 +65,10 @@ class Table:
             rest[chosen] = False
             left, slots = left[rest], (slots[rest] + 1) & int(self.mask)
 
+    def __reduce__(self) -> tuple:
+        held = np.flatnonzero(self.keys)
+        return Table, (self.keys[held], self.values[held])
+
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         return (mix(keys) & self.mask).astype(np.int64)
 
@@ -274,7 +278,7 @@ def _trained(docs: DataFrame, depth: int, lookup_share: float, least: int, keep_
     common = model.where(F.col("n") >= least_near)
     near = common.groupBy("gram").agg(F.coalesce(F.max("c"), F.lit(0)).alias("c"), F.sum(F.col("entry") + F.col("back")).alias("add")).toArrow()
     keys = near.column(0).to_numpy().view(np.uint64)
-    return Tree(n, v, longest, pieces, Table(keys, np.arange(len(keys), dtype=np.int32)), near.column(1).to_numpy(), near.column(2).to_numpy(), Bits(model.where("c is null")), least_near), unigrams
+    return Tree(n, v, longest, pieces, Table(keys, np.arange(len(keys), dtype=np.int32)), near.column(1).to_numpy().astype(np.int64 if n >> 31 else np.int32), near.column(2).to_numpy(), Bits(model.where("c is null")), least_near), unigrams
 
 
 def _collected(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -326,7 +330,7 @@ SCORED = "row_id long, gram long, n int, words int, doc_id long, held_out boolea
 
 def score(docs: DataFrame, tree: Tree, unigrams: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast((tree.near, np.append(tree.near_c, 0), np.append(tree.near_add, 0.0), tree.bits))
+    shared = docs.sparkSession.sparkContext.broadcast((tree.near, np.append(tree.near_c, tree.near_c.dtype.type(0)), np.append(tree.near_add, 0.0), tree.bits))
     lengths = [range(1, min(tree.longest, 2) + 1), *([k] for k in range(3, tree.longest + 1))]
     with short_shuffles(docs.sparkSession):
         added = reduce(DataFrame.unionByName, [staged(_added(docs, tree, own, shared), "added") for own in lengths])
