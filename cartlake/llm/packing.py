@@ -39,7 +39,8 @@ class WordIds:
     when the younger generation of words is full it becomes the older one, and words met again move to the new one.
 
     The tokenizer lower-cases, drops white space, and joins neither characters across it nor letters with
-    punctuation, so a text's ids are its words' ids, and "word." has those of "word" and of ".". A text that names one of
+    punctuation, so a text's ids are its words' ids, and "word." has those of "word" and of "." where the word's lower case
+    ends in a letter (that of U+0130 ends in a mark, which joins the punctuation). A text that names one of
     the vocabulary's own added tokens is given to the tokenizer as it is.
     """
 
@@ -84,7 +85,7 @@ class WordIds:
         for word in self.older.keys() & words:
             self._keep(word, self.older.pop(word))
         new = [w for w in words if w not in self.known]
-        cored = [(w, w[:-1], w[-1:]) for w in new if w[-1:] in ENDS and w[:-1].decode("utf-8", "replace")[-1:].isalpha()]
+        cored = [(w, w[:-1], w[-1:]) for w in new if w[-1:] in ENDS and w[:-1].decode("utf-8", "replace").lower()[-1:].isalpha()]
         within = {w for w, _, _ in cored}
         alone = {w for w in new if w not in within} | {c for _, core, end in cored for c in (core, end)}
         self._encode_alone([w for w in alone if w not in self.known])

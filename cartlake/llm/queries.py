@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartlake.llm import language_id, media_columns, mixing, near_dedup, packing, pii, suffix_tree, token_counts, warc_bundles, winnowing
+from cartlake.llm import language_id, media_columns, mixing, near_dedup, packing, pii, suffix_tree, token_counts, token_files, warc_bundles, winnowing
 from cartlake.llm.staging import staged
 
 
@@ -61,7 +61,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_gif_columns, op3_splitting_tree_mix, op4_tensored_minhash, op5_warc_bundles, op6_suffix_tree_scores, op7_winnowing, op8_sum_of_squares_packing, op9_pii_spans, op10_language_id)}
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_places(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_gif_columns, op3_splitting_tree_mix, op4_tensored_minhash, op5_warc_bundles, op6_suffix_tree_scores, op7_winnowing, op8_sum_of_squares_packing, op9_pii_spans, op10_language_id, op12_token_files)}
 #: The other nine depend on compression, trained models, random draws, hash functions or tokenizers that SQL does not have.
 ORACLES: dict[str, str] = {
     "op5_warc_bundles": """select page_id, n as payload_bytes, digest as payload_digest, case when page_id > first_id then 'revisit' else 'response' end as record_type, case when page_id > first_id then first_id end as refers_to from (

@@ -35,11 +35,11 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/cartlake/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _on_exit(df.sparkSession, path)
+    gone_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _on_exit(spark: SparkSession, path: str) -> None:
+def gone_at_exit(spark: SparkSession, path: str) -> None:
     """Marks a folder for deletion at the end of the application."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
