@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartlake.llm import language_id, media_columns, mixing, near_dedup, packing, pii, prefix_trie, suffix_tree, token_counts, token_files, warc_bundles, winnowing
+from cartlake.llm import hard_negatives, language_id, media_columns, mixing, near_dedup, packing, pii, prefix_trie, suffix_tree, token_counts, token_files, warc_bundles, winnowing
 from cartlake.llm.staging import staged
 
 
@@ -69,11 +69,21 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_places(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_gif_columns, op3_splitting_tree_mix, op4_tensored_minhash, op5_warc_bundles, op6_suffix_tree_scores, op7_winnowing, op8_sum_of_squares_packing, op9_pii_spans, op10_language_id, op11_prefix_trie, op12_token_files)}
+def op13_hyperplane_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_gif_columns, op3_splitting_tree_mix, op4_tensored_minhash, op5_warc_bundles, op6_suffix_tree_scores, op7_winnowing, op8_sum_of_squares_packing, op9_pii_spans, op10_language_id, op11_prefix_trie, op12_token_files, op13_hyperplane_tree_negatives)}
 #: The others depend on compression, trained models, random draws, hash functions or tokenizers that SQL does not have.
 ORACLES: dict[str, str] = {
     "op5_warc_bundles": """select page_id, n as payload_bytes, digest as payload_digest, case when page_id > first_id then 'revisit' else 'response' end as record_type, case when page_id > first_id then first_id end as refers_to from (
         select page_id, n, digest, case when n >= 100 then min(page_id) over (partition by digest) end as first_id from (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as digest from pages) p) q""",
+    "op13_hyperplane_tree_negatives": """with e as (select row_number() over () as rid, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+            from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select a.rid as a, a.vec_id as anchor_id, b.rid, b.vec_id, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score from e a join e b on a.vec_id % 100 = 0 and a.rid <> b.rid),
+        p as (select *, row_number() over (partition by a order by score desc, vec_id, rid) as n from s where same qualify n <= 5)
+        select p.anchor_id, p.vec_id as positive_id, row_number() over (partition by p.a, p.n order by s.score desc, s.vec_id, s.rid) as rank, s.vec_id as negative_id, p.score as positive_score, s.score as negative_score
+        from p join s on s.a = p.a and not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score qualify rank <= 10""",
     # crc32 is spelled out, as the engine has none; a prefix is the joined digests of its turns, 64 characters each.
     "op11_prefix_trie": """with tab as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
         own as (select conv_id, md5(role) || md5(text) as p, octet_length(encode(text)) as b, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as pos from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null) c),
