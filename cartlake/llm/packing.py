@@ -31,7 +31,18 @@ PIECES = "row_id long, doc_id long, piece int, start long, length long, ids_crc3
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 CACHE_BYTES = 48 << 20  # of a generation of remembered words; two are held
 ENTRY_BYTES = 160  # of a remembered word, beside its characters and ids
-ENDS = {b".", b",", b";", b":", b"!", b"?"}
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+
+
+def _letters(word: bytes) -> int:
+    """2 for a word of letters, in lower case too; 1 for one whose last character is a letter, in lower case too; else 0."""
+    if word.isalpha():
+        return 2
+    if word.isascii():
+        return int(word[-1:].isalpha())
+    text = word.decode("utf-8", "replace")
+    lower = text.lower()
+    return 2 if text.isalpha() and lower.isalpha() else int(text[-1:].isalpha() and lower[-1:].isalpha())
 
 
 class WordIds:
@@ -39,8 +50,8 @@ class WordIds:
     when the younger generation of words is full it becomes the older one, and words met again move to the new one.
 
     The tokenizer lower-cases, drops white space, and joins neither characters across it nor letters with
-    punctuation, so a text's ids are its words' ids, and "word." has those of "word" and of "." where the word's lower case
-    ends in a letter (that of U+0130 ends in a mark, which joins the punctuation). A text that names one of
+    punctuation, so a text's ids are its words' ids, and "word..." has those of "word" and of "..." where the word's lower
+    case ends in a letter (that of U+0130 ends in a mark, which joins the punctuation). A text that names one of
     the vocabulary's own added tokens is given to the tokenizer as it is.
     """
 
@@ -50,6 +61,9 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.added = re.compile(b"|".join(re.escape(t.content.lower().encode()) for t in self.tokenizer.get_added_tokens_decoder().values()) or b"(?!)")
+        tokens = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.closes = np.zeros(max(tokens.values(), default=0) + 1, bool)  # ids that end a word
+        self.closes[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.held = 0
@@ -58,6 +72,23 @@ class WordIds:
         self.known[word] = ids
         self.held += len(word) + len(ids) + ENTRY_BYTES
 
+    def _encode_letters(self, words: list[bytes]) -> None:
+        """Words of letters, many in one call: each is one run of letters, so its ids end where an id ends a word."""
+        for at in range(0, len(words), 1 << 14):
+            part = words[at : at + (1 << 14)]
+            texts = [b" ".join(part[k : k + 512]).decode() for k in range(0, len(part), 512)]
+            if not all(unicodedata.is_normalized("NFC", t) for t in texts):
+                self._encode_alone(part)
+                continue
+            ids = np.asarray([i for coded in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in coded.ids], "<u4")
+            ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+            if len(ends) != len(part):
+                self._encode_alone(part)
+                continue
+            plain = ids.tobytes()
+            self.known.update(zip(part, map(plain.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+            self.held += len(plain) + sum(map(len, part)) + ENTRY_BYTES * len(part)
+
     def _encode_alone(self, words: list[bytes]) -> None:
         """Many words in one call: a token's place in the joined text tells its word."""
         joined, plain = [], []
@@ -82,15 +113,22 @@ class WordIds:
     def learn(self, words: set[bytes]) -> None:
         if self.held > CACHE_BYTES:
             self.older, self.known, self.held = self.known, {}, 0
-        for word in self.older.keys() & words:
+        new = words.difference(self.known)
+        for word in new.intersection(self.older):
             self._keep(word, self.older.pop(word))
-        new = [w for w in words if w not in self.known]
-        cored = [(w, w[:-1], w[-1:]) for w in new if w[-1:] in ENDS and w[:-1].decode("utf-8", "replace").lower()[-1:].isalpha()]
-        within = {w for w, _, _ in cored}
-        alone = {w for w in new if w not in within} | {c for _, core, end in cored for c in (core, end)}
+        letters, alone, tailed = set(), set(), []
+        for word in new.difference(self.known):
+            core = word.rstrip(MARKS)
+            if (kind := _letters(core)) and len(core) < len(word):
+                tailed.append((word, core, word[len(core) :]))
+                alone.add(tailed[-1][2])
+            else:
+                core, kind = word, kind if core == word else 0
+            (letters if kind == 2 else alone).add(core)
+        self._encode_letters([w for w in letters if w not in self.known])
         self._encode_alone([w for w in alone if w not in self.known])
-        for word, core, end in cored:
-            self._keep(word, self.known[core] + self.known[end])
+        for word, core, tail in tailed:
+            self._keep(word, self.known[core] + self.known[tail])
 
     def encode(self, texts: list[bytes]) -> Iterable[bytes]:
         for at in range(0, len(texts), 500):

@@ -41,6 +41,7 @@ from cartlake.llm.staging import staged
 
 ROWS, MOST_CELLS, SLICE = 3, 1 << 24, 1 << 16
 CHUNK_IDS, MOST_BLOCKS = 1 << 15, 64  # ids of one block of text; blocks of a node that one task may hold
+BLOCK = 4096  # positions of a conversation that one window holds
 EMPTY = hashlib.sha256(b"").hexdigest()
 NODE = ["depth", "hi", "lo"]
 XOR = (F.bit_xor, lambda a, b: a.bitwiseXOR(b))
@@ -73,11 +74,11 @@ def grafted(turns: DataFrame, *, family: int = 5, heads: int = 9) -> tuple[DataF
     return begins.unionByName(rest), convs.select("conv_id")
 
 
-def prefixes(turns: DataFrame) -> DataFrame:
+def prefixes(turns: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """Each turn's prefix: conv_id, depth, its digest (hi, lo) and its parent's (up_hi, up_lo), n_bytes."""
     pos = F.col("pos").cast("long")
     hashed = turns.select("conv_id", pos.alias("pos"), "n_bytes", F.xxhash64(pos, "key_hi", "key_lo").alias("own_hi"), F.xxhash64("key_lo", "key_hi", pos, F.lit(7)).alias("own_lo"))
-    run = along(hashed.withColumns({"hi": F.col("own_hi"), "lo": F.col("own_lo")}), "conv_id", "pos", {"hi": XOR, "lo": XOR})
+    run = along(hashed.withColumns({"hi": F.col("own_hi"), "lo": F.col("own_lo")}), "conv_id", "pos", {"hi": XOR, "lo": XOR}, block=block)
     return run.select("conv_id", (F.col("pos") + 1).alias("depth"), "hi", "lo", F.col("hi").bitwiseXOR(F.col("own_hi")).alias("up_hi"), F.col("lo").bitwiseXOR(F.col("own_lo")).alias("up_lo"), "n_bytes")
 
 
@@ -203,12 +204,12 @@ def end_hashes(ends: DataFrame) -> DataFrame:
     return joined.where("ends_sha256 is not null").unionByName(rest).select(*NODE, "ends_sha256")
 
 
-def prefix_trie(turns: DataFrame, convs: DataFrame, *, most_cells: int = MOST_CELLS) -> DataFrame:
+def prefix_trie(turns: DataFrame, convs: DataFrame, *, most_cells: int = MOST_CELLS, block: int = BLOCK) -> DataFrame:
     """conv_id (smallest member), depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 of each node.
 
     ``turns`` has dense positions from 0 for each conversation; ``convs`` has each conversation once, those without turns too.
     """
-    rows = screened(staged(prefixes(turns), "prefixes"), most_cells=most_cells)
+    rows = screened(staged(prefixes(turns, block=block), "prefixes"), most_cells=most_cells)
     last = turns.groupBy("conv_id").agg((F.max("pos") + 1).cast("long").alias("length"))
     rows = rows.join(last, "conv_id").withColumn("ends", F.expr("depth = length")).drop("length")
     zero = F.lit(0).cast("long")
@@ -225,7 +226,7 @@ def prefix_trie(turns: DataFrame, convs: DataFrame, *, most_cells: int = MOST_CE
     weights = nodes.select("conv_id", "depth", F.when(F.col("n_children") == 0, 1).otherwise(0).cast("long").alias("n_leaves"), ((F.col("n_convs") - 1) * F.col("n_bytes")).alias("saved_tokens"))
     weights = weights.unionByName(tails.select("conv_id", F.col("depth") - 1, F.lit(1).cast("long"), zero).toDF("conv_id", "depth", "n_leaves", "saved_tokens")).groupBy("conv_id", "depth").agg(*(F.sum(c).alias(c) for c in ("n_leaves", "saved_tokens")))
     weighed = shared.select("conv_id", *NODE).join(weights, ["conv_id", "depth"], "left").na.fill({"n_leaves": 0, "saved_tokens": 0})
-    sums = along(weighed, "conv_id", "depth", {"n_leaves": ADD, "saved_tokens": ADD}, backwards=True).groupBy(*NODE).agg(*(F.sum(c).alias(c) for c in ("n_leaves", "saved_tokens")))
+    sums = along(weighed, "conv_id", "depth", {"n_leaves": ADD, "saved_tokens": ADD}, backwards=True, block=block).groupBy(*NODE).agg(*(F.sum(c).alias(c) for c in ("n_leaves", "saved_tokens")))
 
     names = nodes.select(*NODE, F.col("conv_id").alias("parent_conv_id"))
     up = [(F.col("depth") + 1).alias("depth"), F.col("hi").alias("up_hi"), F.col("lo").alias("up_lo"), "parent_conv_id"]

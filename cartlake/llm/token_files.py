@@ -73,7 +73,7 @@ def _publish(where: fs.FileSystem, written: str, final: str) -> None:
 
 def id_width(vocabulary: str, *extra: int) -> int:
     """Bytes of an id: two where all ids of the vocabulary (and extra ones) are below 65,536, else four."""
-    return 2 if max(word_ids(vocabulary).tokenizer.get_vocab_size(with_added_tokens=True) - 1, *extra) < 1 << 16 else 4
+    return 2 if max([word_ids(vocabulary).tokenizer.get_vocab_size(with_added_tokens=True) - 1, *extra]) < 1 << 16 else 4
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, *, end_id: int = 2) -> TokenFiles:
