@@ -1,8 +1,11 @@
-"""Streaming marts as registered queries: their final state against a batch answer in SQL."""
+"""Streaming marts as registered queries: their final state against a batch answer in SQL.
+
+Feeds hold creates, updates, stale updates, deletes and updates that come after a delete, of every entity.
+"""
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,30 +16,61 @@ from cartlake.plans.registry import query, relation
 from cartlake.streaming import changes, gold
 from cartlake.streaming.runner import final_state, streamed
 
+#: Entity -> its identifier and what updates change: column -> SQL that both engines read.
+FEEDS = {
+    "customers": ("customer_id", {"customer_segment": "concat(customer_segment, '-new')"}),
+    "products": ("product_id", {"price": "price + 1", "inventory_quantity": "inventory_quantity + 5"}),
+    "orders": ("order_id", {"total_amount": "total_amount + 10", "status": "'returned'"}),
+    "order_items": ("order_item_id", {"quantity": "quantity + 1", "discount": "discount + 0.5"}),
+    "payments": ("payment_id", {"amount": "amount - 1", "payment_status": "'refunded'"}),
+    "website_events": ("event_id", {}),
+    "support_tickets": ("ticket_id", {"status": "'reopened'"}),
+    "marketing_events": ("marketing_event_id", {"click": "not click"}),
+}
+#: Of each entity's rows: which, operation, time, whether as updated.
+EVENTS = [("true", "r", 1000, False), ("{k} % 4 = 0", "u", 2000, True), ("{k} % 8 = 0", "u", 500, False), ("{k} % 5 = 1", "d", 3000, False), ("{k} % 10 = 1", "u", 2500, True)]
+
+for entity, (k, edits) in FEEDS.items():
+    replaced = f" replace ({', '.join(f'{sql} as {c}' for c, sql in edits.items())})" if edits else ""
+    relation(f"feed_{entity}", " union all ".join(f"select *{replaced if edited else ''}, '{op}' as _op, {ts} as _ts_ms from src_{entity} where {which.format(k=k)}" for which, op, ts, edited in EVENTS))
+    relation(f"live_{entity}", f"select * exclude (_op, _ts_ms) from (select *, row_number() over (partition by {k} order by _ts_ms desc) as rn from feed_{entity}) f where rn = 1 and _op <> 'd'")
+
 
-def created(df: DataFrame) -> DataFrame:
-    """A snapshot as change rows."""
-    return df.withColumns({"_op": F.lit("r"), "_ts_ms": F.lit(0).cast("long")})
+def feed(c, entity: str) -> DataFrame:
+    """An entity's change rows."""
+    k, edits = FEEDS[entity]
+    rows, kinds = getattr(c, entity), dict(getattr(c, entity).dtypes)
+    edited = rows.withColumns({n: F.expr(sql).cast(kinds[n]) for n, sql in edits.items()})
+    return reduce(DataFrame.unionByName, ((edited if is_edited else rows).where(which.format(k=k)).withColumns({"_op": F.lit(op), "_ts_ms": F.lit(ts).cast("long")}) for which, op, ts, is_edited in EVENTS))
 
 
-def orders_of(c) -> DataFrame:
-    return order_changes(c).drop("_source_table")
+def newest_of(key: str, entities: list[str]) -> str:
+    """The time and operation of the newest change of any of a key's rows; a deletion beside the profile's is an update."""
+    union = " union all ".join(f"select {key}, _ts_ms, _op from feed_{e}" for e in entities)
+    return f"select {key}, max(_ts_ms) as _ts_ms, case arg_max(_op, _ts_ms) when 'd' then 'u' else arg_max(_op, _ts_ms) end as _op from ({union}) u group by 1"
 
 
-relation("live_state", "select order_id, customer_id, case when order_id % 4 = 0 then 'returned' else status end as status, total_amount + case when order_id % 4 = 0 then 10 else 0 end as total_amount from src_orders where order_id % 20 <> 0")
 query("stream_order_rows", "select order_id, customer_id, status, total_amount, _op, _ts_ms, 'orders' as _source_table from order_changes", money=["total_amount"])(
     lambda c: streamed(c.spark, {"raw": cdc.order_envelopes(c.orders)}, partial(changes.stream_rows, entity="orders", schema=cdc.ORDER_CHANGE), "order_rows", mode="append").drop("batch", "_ingested_at")
 )
-query("stream_order_payment", "select o.order_id, o.customer_id, o.status as order_status, o.total_amount, p.amount as payment_amount, p.payment_status, p.payment_id is not null as payment_match from live_state o left join src_payments p on p.order_id = o.order_id", money=["total_amount", "payment_amount"])(
-    lambda c: final_state(c.spark, {"orders": orders_of(c), "payments": created(c.payments)}, gold.stream_order_payment, "order_id", "order_payment")
-)
-query("stream_product_performance", "select p.product_id, p.product_name, p.category, p.brand, coalesce(i.q, 0) as total_quantity_sold, coalesce(i.r, 0) as total_revenue, coalesce(i.d, 0) as total_discount, coalesce(i.n, 0) as order_count, p.price as current_price, p.inventory_quantity as current_inventory from src_products p left join (select product_id, sum(quantity) as q, sum(quantity * unit_price) as r, sum(discount) as d, count(distinct order_id) as n from src_order_items group by 1) i on i.product_id = p.product_id", money=["total_quantity_sold", "total_revenue", "total_discount", "current_price"])(
-    lambda c: final_state(c.spark, {"products": created(c.products), "items": created(c.order_items)}, gold.stream_product_performance, "product_id", "product_performance")
-)
-query("stream_customer_360", """select g.customer_id, g.country, g.customer_segment, coalesce(o.n, 0) as total_orders, coalesce(o.s, 0) as total_spend, g.total_payments, g.website_event_count, g.support_ticket_count, g.marketing_impressions, g.marketing_clicks, g.marketing_conversions, case when coalesce(o.n, 0) >= 10 then 'VIP' when coalesce(o.n, 0) >= 5 then 'ACTIVE' when coalesce(o.n, 0) >= 1 then 'CUSTOMER' else 'NEW' end as customer_status
-    from gold_customers g left join (select customer_id, count(*) as n, sum(total_amount) as s from live_state group by 1) o on o.customer_id = g.customer_id""", money=["total_spend", "total_payments", "marketing_impressions", "marketing_clicks", "marketing_conversions"])(
-    lambda c: final_state(c.spark, {"customers": created(c.customers), "orders": orders_of(c), "payments": created(c.payments), "web": created(c.website_events), "tickets": created(c.support_tickets), "marketing": created(c.marketing_events)}, gold.stream_customer_360, "customer_id", "customer_360").drop("last_order_date")
+query("stream_order_payment", """select o.order_id, o.customer_id, o.order_date, o.status as order_status, o.payment_method, o.total_amount, o.discount, o.tax, p.amount as payment_amount, p.payment_status, p.transaction_timestamp, p.payment_id is not null as payment_match,
+    case when p._ts_ms > o._ts_ms then p._op else o._op end as _op, greatest(o._ts_ms, coalesce(p._ts_ms, 0)) as _ts_ms
+    from (select * from (select *, row_number() over (partition by order_id order by _ts_ms desc) as rn from feed_orders) f where rn = 1 and _op <> 'd') o left join (select * from (select *, row_number() over (partition by order_id order by _ts_ms desc) as rn from feed_payments) f where rn = 1 and _op <> 'd') p on p.order_id = o.order_id""",
+    money=["total_amount", "payment_amount", "discount", "tax"], stamps=["order_date", "transaction_timestamp"])(
+    lambda c: final_state(c.spark, {"orders": feed(c, "orders"), "payments": feed(c, "payments")}, gold.order_payment, "order_id", "order_payment")
+)
+query("stream_product_performance", f"""select p.product_id, p.product_name, p.category, p.brand, coalesce(i.q, 0) as total_quantity_sold, coalesce(i.r, 0) as total_revenue, coalesce(i.d, 0) as total_discount, coalesce(i.n, 0) as order_count, p.price as current_price, p.inventory_quantity as current_inventory, t._op, t._ts_ms
+    from live_products p left join (select product_id, sum(quantity) as q, sum(quantity * unit_price) as r, sum(discount) as d, count(distinct order_id) as n from live_order_items group by 1) i on i.product_id = p.product_id join ({newest_of('product_id', ['products', 'order_items'])}) t on t.product_id = p.product_id""", money=["total_quantity_sold", "total_revenue", "total_discount", "current_price"])(
+    lambda c: final_state(c.spark, {"products": feed(c, "products"), "items": feed(c, "order_items")}, gold.product_changes, "product_id", "product_performance", then=gold.product_performance)
 )
+query("stream_customer_360", f"""select c.customer_id, c.first_name, c.last_name, c.email, c.country, c.state, c.city, c.customer_segment, coalesce(o.n, 0) as total_orders, coalesce(o.s, 0) as total_spend, coalesce(p.s, 0) as total_payments, coalesce(w.n, 0) as website_event_count, coalesce(s.n, 0) as support_ticket_count,
+    coalesce(m.i, 0) as marketing_impressions, coalesce(m.c, 0) as marketing_clicks, coalesce(m.v, 0) as marketing_conversions, o.t as last_order_date, p.t as last_payment_date, w.t as last_website_event, case when coalesce(o.n, 0) >= 10 then 'VIP' when coalesce(o.n, 0) >= 5 then 'ACTIVE' when coalesce(o.n, 0) >= 1 then 'CUSTOMER' else 'NEW' end as customer_status, t._op, t._ts_ms
+    from live_customers c left join (select customer_id, count(*) as n, sum(total_amount) as s, max(order_date) as t from live_orders group by 1) o on o.customer_id = c.customer_id left join (select customer_id, sum(amount) as s, max(transaction_timestamp) as t from live_payments group by 1) p on p.customer_id = c.customer_id
+    left join (select customer_id, count(*) as n, max(event_timestamp) as t from live_website_events group by 1) w on w.customer_id = c.customer_id left join (select customer_id, count(*) as n from live_support_tickets group by 1) s on s.customer_id = c.customer_id
+    left join (select customer_id, sum(cast(impression as int)) as i, sum(cast(click as int)) as c, sum(cast(conversion as int)) as v from live_marketing_events group by 1) m on m.customer_id = c.customer_id join ({newest_of('customer_id', ['customers', 'orders', 'payments', 'website_events', 'support_tickets', 'marketing_events'])}) t on t.customer_id = c.customer_id""",
+    money=["total_spend", "total_payments", "marketing_impressions", "marketing_clicks", "marketing_conversions"], stamps=["last_order_date", "last_payment_date", "last_website_event"])(
+    lambda c: final_state(c.spark, {name: feed(c, entity) for name, entity in (("customers", "customers"), ("orders", "orders"), ("payments", "payments"), ("web", "website_events"), ("tickets", "support_tickets"), ("marketing", "marketing_events"))}, gold.customer_changes, "customer_id", "customer_360", then=gold.customer_360)
+)
 query("stream_customer_counters", "select customer_id, sum(case when _op = 'd' then -1 else 1 end) as total_orders, sum(case when _op = 'd' then -total_amount else total_amount end) as total_spend from order_changes group by 1", money=["total_orders", "total_spend"])(
     lambda c: final_state(c.spark, {"orders": order_changes(c)}, gold.customer_order_counters, "customer_id", "customer_counters")
 )
