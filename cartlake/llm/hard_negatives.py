@@ -10,8 +10,8 @@ stores, for each sibling's subtree, the range of its distances to that subtree's
 drops a sibling if for any split point the range and the anchor's annulus, moved by the anchor's distance to that point,
 do not meet. What remains is scored exactly, so recall is 1.
 
-Levels follow the number of rows (leaves of about ``LEAF_ROWS``), up to three: at most 16^3 leaves, 70,000 ranges and
-4,369 split points, which is what tasks get. Leaves are stored in blocks of about ``BLOCK_ROWS`` rows dealt by row, so a group of equal
+Levels follow the number of rows (one at least, another where leaves would still hold ``LEAF_ROWS`` on average), up to
+three: at most 16^3 leaves, 70,000 ranges and 4,369 split points, which is what tasks get. Leaves are stored in blocks of about ``BLOCK_ROWS`` rows dealt by row, so a group of equal
 vectors is many blocks; anchors travel in blocks of their leaf. A block of anchors meets each block of rows whose leaf
 it may not drop: the pairs of blocks are the key, and neither side is more than one block for it.
 A search runs twice: over the anchors' own leaves, whose k-th best score narrows each window, then over all that is left.
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from cartlake.llm.columns import map_batches, need
 from cartlake.llm.staging import staged
 
-ARITY, LEAF_ROWS, BLOCK_ROWS, ANCHOR_ROWS = 16, 1024, 4096, 256
+ARITY, LEAF_ROWS, BLOCK_ROWS, ANCHOR_ROWS = 16, 4096, 4096, 256
 SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 32 << 20
 EXACT = float(1 << 53)
 
@@ -165,7 +165,7 @@ def fit(rows: DataFrame, *, leaf_rows: int = LEAF_ROWS) -> Tree:
     tree = Tree(size // 8, top)
     sample = min(SAMPLE_ROWS, max(ARITY, SAMPLE_BYTES // max(8, size)))
     picked = rows.orderBy(F.xxhash64("row_id"), "row_id").limit(sample).select("vec", "norm").toPandas()
-    levels = int(np.clip(np.ceil(np.log(max(1, n / leaf_rows)) / np.log(ARITY)), 0, 3))
+    levels = int(np.clip(np.log(max(1, n / leaf_rows)) // np.log(ARITY), 1, 3))
     tree.grow(tree.lifted(stacked(list(picked["vec"]), tree.width), picked["norm"].to_numpy()), levels)
     if not tree.points:
         tree.leaves = 1

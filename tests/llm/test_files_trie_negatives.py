@@ -183,7 +183,7 @@ VECTORS = "vec_id long, label int, embedding array<float>, leaf string, block in
 
 
 def test_negatives_equal_brute_force(spark):
-    """Clusters, a group of equal vectors, repeated and missing ids, bad and short vectors, on trees of one, two and three levels."""
+    """Clusters, a group of equal vectors, repeated and missing ids, bad and short vectors, on trees of one and two levels."""
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(6, 8))
     rows = [(int(i), int(rng.integers(0, 4)), [float(v) for v in (centres[i % 6] + rng.normal(size=8) * 0.3).astype(np.float32)]) for i in range(900)]
