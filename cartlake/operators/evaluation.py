@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartlake.operators import recommend as R
+from cartlake.sources.staging import staged
 
 
 def temporal_split(events: DataFrame, *, validation_days: int = 30, test_days: int = 30) -> DataFrame:
@@ -45,10 +46,10 @@ def actuals(split: DataFrame, part: str, before: tuple[str, ...]) -> DataFrame:
 
 
 def training_sides(split: DataFrame, parts: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs, popularity and personal candidates learned from these parts of the events only."""
-    pairs = R.interactions_of_events(split.where(F.col("split").isin(*parts)))
+    """Pairs, popularity and personal candidates learned from these parts of the events only; each stored once."""
+    pairs = staged(R.interactions_of_events(split.where(F.col("split").isin(*parts))), "pairs")
     similarity = R.product_similarity(pairs)
-    return pairs, R.product_popularity(pairs), R.item_item_candidates(pairs, similarity)
+    return pairs, staged(R.product_popularity(pairs), "popularity"), staged(R.item_item_candidates(pairs, similarity), "personal")
 
 
 def candidate_set(pairs: DataFrame, popularity: DataFrame, personal: DataFrame, wanted: DataFrame, *, limit: int = 100) -> DataFrame:
@@ -106,7 +107,7 @@ def model_metrics(predictions: DataFrame, wanted: DataFrame, catalog: DataFrame,
 
 def tune_weights(split: DataFrame, *, grid: list[tuple[str, float, float]] = GRID, k: int = 10) -> DataFrame:
     """Each weight pair's precision, recall and hit rate on VALIDATION, from one candidate set learned from TRAIN."""
-    wanted = actuals(split, "VALIDATION", ("TRAIN",))
+    wanted = staged(actuals(split, "VALIDATION", ("TRAIN",)), "wanted")
     rankings = weighted_rankings(candidate_set(*training_sides(split, ("TRAIN",)), wanted), grid, k=k, fallback_scaled=True)
     means = customer_metrics(rankings, wanted, k=k).groupBy("model").agg(F.count("*").alias("evaluated_customers"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("hit_rate").alias("hit_rate"))
     weight = F.create_map(*(F.lit(x) for model, wp, _ in grid for x in (model, wp)))
@@ -121,9 +122,9 @@ def select_config(tuned: DataFrame) -> DataFrame:
 def final_test(split: DataFrame, weights: R.Weights, catalog: DataFrame, *, k: int = 10) -> DataFrame:
     """The selected weights, learned from TRAIN and VALIDATION, judged on TEST."""
     before = ("TRAIN", "VALIDATION")
-    wanted = actuals(split, "TEST", before)
+    wanted = staged(actuals(split, "TEST", before), "wanted")
     rankings = weighted_rankings(candidate_set(*training_sides(split, before), wanted), [("champion", weights.personal, weights.popularity)], k=k, fallback_scaled=True)
-    return model_metrics(rankings, wanted, catalog, k=k)
+    return model_metrics(staged(rankings, "rankings"), wanted, catalog, k=k)
 
 
 def retrieval_metrics(found: DataFrame, relevant: DataFrame, queries: DataFrame, *, k: int = 5) -> DataFrame:

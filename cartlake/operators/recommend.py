@@ -7,11 +7,13 @@ depend on how sums were split among tasks.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartlake.functions.expressions import is_cancelled
+from cartlake.functions.ordered import placed
 
 VIEWS = ("product_view", "view_product", "product_viewed")
 ATTRIBUTES = ("product_name", "category", "subcategory", "brand", "price")
@@ -87,41 +89,47 @@ def product_popularity(pairs: DataFrame) -> DataFrame:
     return totals.crossJoin(F.broadcast(most)).withColumn("popularity_score", score(sum(shares[1:], shares[0]))).drop(*(f"max_{c}" for c in METRICS))
 
 
-def global_rank(df: DataFrame, value: str, ties: list[Column], *, steps: int = 1000) -> DataFrame:
-    """``popularity_rank`` over all rows by a score in 0..1, descending, without one task sorting everything.
+def ranked_within(df: DataFrame, groups: list[str], order: list[Column], name: str) -> DataFrame:
+    """``name``: place from 1 within the groups (of all rows, if none are named), in an order that leaves no ties.
 
-    Rows are counted by steps of the score; a step's rows start after those of all higher steps.
+    Rows are sorted by range over (groups, order), so a group is as many tasks as its rows need; a group's rank is the
+    place less the group's first one.
     """
-    df = df.withColumn("_step", F.floor(F.col(value) * steps).cast("int"))
-    counts = df.groupBy("_step").agg(F.count("*").alias("_n"))  # at most steps + 1 rows
-    before = counts.select("_step", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_step")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_step").orderBy(F.desc(value), *ties)
-    return df.join(F.broadcast(before), "_step").withColumn("popularity_rank", (F.col("_before") + F.row_number().over(inside)).cast("long")).drop("_step", "_before")
+    rows = placed(df, [*groups, *order], name="_place")
+    if not groups:
+        return rows.withColumn(name, F.col("_place") + 1).drop("_place")
+    first = rows.groupBy(*(F.col(g).alias(f"_{g}") for g in groups)).agg(F.min("_place").alias("_first"))
+    same = reduce(lambda x, y: x & y, (F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups))
+    return rows.join(first, same).withColumn(name, F.col("_place") - F.col("_first") + 1).drop("_place", "_first", *(f"_{g}" for g in groups))
 
 
 def popularity_ranks(popularity: DataFrame, products: DataFrame) -> DataFrame:
     """Rank among all products and within category, subcategory and brand; ties by customers, then id."""
-    ties = [F.desc("unique_customers"), F.asc("product_id")]
-    df = global_rank(popularity.join(products.select("product_id", *ATTRIBUTES[:-1], F.col("price").cast("double").alias("price")), "product_id", "left"), "popularity_score", ties)
-    for name, keys in (("category_rank", ["category"]), ("subcategory_rank", ["category", "subcategory"]), ("brand_rank", ["brand"])):
-        df = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("popularity_score"), *ties)))
+    order = [F.desc("popularity_score"), F.desc("unique_customers"), F.asc("product_id")]
+    df = popularity.join(products.select("product_id", *ATTRIBUTES[:-1], F.col("price").cast("double").alias("price")), "product_id", "left")
+    for name, groups in (("popularity_rank", []), ("category_rank", ["category"]), ("subcategory_rank", ["category", "subcategory"]), ("brand_rank", ["brand"])):
+        df = ranked_within(df, groups, order, name)
     return df
 
 
-def product_similarity(pairs: DataFrame, *, min_customers: int = 2, min_co: int = 2, top_n: int = 50, max_basket: int | None = None) -> DataFrame:
+def product_similarity(pairs: DataFrame, *, min_customers: int = 2, min_co: int = 2, top_n: int = 50, block: int = 2000) -> DataFrame:
     """Cosine and Jaccard similarity of products by common customers, the best of each product, in both directions.
 
-    Products below the support go before the self join. ``max_basket`` leaves out customers with more products, who
-    add pairs by the square of their number; by default all count.
+    Products below the support go before the self join. A customer's products are cut into blocks of about ``block``, and
+    (customer, block, block) is the join's key, so a task has at most the pairs of two blocks, however many products
+    one customer has. A pair meets once: in its two blocks in ascending order, or in its common block with a < b.
     """
     binary = pairs.select("customer_id", "product_id").distinct()
     support = binary.groupBy("product_id").agg(F.count("*").alias("support")).where(F.col("support") >= min_customers)
     kept = binary.join(support, "product_id")
-    if max_basket is not None:
-        kept = kept.join(kept.groupBy("customer_id").count().where(F.col("count") <= max_basket).select("customer_id"), "customer_id", "left_semi")
-    left = kept.select("customer_id", F.col("product_id").alias("a"), F.col("support").alias("n_a"))
-    right = kept.select("customer_id", F.col("product_id").alias("b"), F.col("support").alias("n_b"))
-    met = left.join(right, "customer_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("co"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")).where(F.col("co") >= min_co)
+    n_blocks = kept.groupBy("customer_id").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
+    kept = kept.join(n_blocks, "customer_id").withColumn("block", F.pmod(F.xxhash64("product_id"), F.col("n_blocks")).cast("int"))
+    left = kept.select("customer_id", F.col("block").alias("low"), F.explode(F.sequence("block", F.col("n_blocks") - 1)).alias("high"), F.col("product_id").alias("p"), F.col("support").alias("n_p"))
+    right = kept.select("customer_id", F.explode(F.sequence(F.lit(0), "block")).alias("low"), F.col("block").alias("high"), F.col("product_id").alias("q"), F.col("support").alias("n_q"))
+    met = left.join(right, ["customer_id", "low", "high"]).where((F.col("low") < F.col("high")) | (F.col("p") < F.col("q")))
+    ascending = F.col("p") < F.col("q")
+    met = met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.when(ascending, F.col("n_p")).otherwise(F.col("n_q")).alias("n_a"), F.when(ascending, F.col("n_q")).otherwise(F.col("n_p")).alias("n_b"))
+    met = met.groupBy("a", "b").agg(F.count("*").alias("co"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")).where(F.col("co") >= min_co)
     met = met.withColumns({"similarity_score": score(F.col("co") / F.sqrt(F.col("n_a").cast("double") * F.col("n_b"))), "jaccard_score": score(F.col("co") / (F.col("n_a") + F.col("n_b") - F.col("co")))})
     return top_similar(symmetrize(met), top_n)
 
@@ -137,12 +145,23 @@ def top_similar(edges: DataFrame, n: int = 50) -> DataFrame:
     return edges.withColumn("similarity_rank", F.row_number().over(best)).where(F.col("similarity_rank") <= n)
 
 
-def item_item_candidates(pairs: DataFrame, similarity: DataFrame) -> DataFrame:
-    """Unseen products similar to what a customer interacted with, with summed contributions."""
+def item_item_candidates(pairs: DataFrame, similarity: DataFrame, popularity: DataFrame | None = None) -> DataFrame:
+    """Unseen products similar to what a customer interacted with, with summed contributions; with their ``popularity_score``
+    if ``popularity`` is given, which joins the edges (a few for each product) and not the candidates."""
+    edges = similarity.select("source_product_id", F.col("similar_product_id").alias("product_id"), "similarity_score")
+    more = []
+    if popularity is not None:
+        edges = edges.join(popularity.select("product_id", "popularity_score"), "product_id", "left")
+        more = [F.max(F.coalesce("popularity_score", F.lit(0.0))).alias("popularity_score")]
     own = pairs.select("customer_id", F.col("product_id").alias("source_product_id"), "interaction_score")
-    met = own.join(similarity.select("source_product_id", F.col("similar_product_id").alias("product_id"), "similarity_score"), "source_product_id").withColumn("contribution", F.col("interaction_score") * F.col("similarity_score"))
+    met = own.join(edges, "source_product_id").withColumn("contribution", F.col("interaction_score") * F.col("similarity_score"))
     unseen = met.join(pairs.select("customer_id", "product_id"), ["customer_id", "product_id"], "left_anti")
-    return unseen.groupBy("customer_id", "product_id").agg(score(F.sum("contribution")).alias("raw_personalized_score"), F.max("similarity_score").alias("max_similarity"), F.countDistinct("source_product_id").alias("supporting_products"), F.max_by("source_product_id", F.struct(score("contribution").alias("c"), (-F.col("source_product_id")).alias("s"))).alias("primary_source_product_id"))
+    return unseen.groupBy("customer_id", "product_id").agg(score(F.sum("contribution")).alias("raw_personalized_score"), F.max("similarity_score").alias("max_similarity"), F.countDistinct("source_product_id").alias("supporting_products"), F.max_by("source_product_id", F.struct(score("contribution").alias("c"), (-F.col("source_product_id")).alias("s"))).alias("primary_source_product_id"), *more)
+
+
+def described(df: DataFrame, products: DataFrame) -> DataFrame:
+    """With the products' attributes."""
+    return df.join(products.select("product_id", *ATTRIBUTES[:-1], F.col("price").cast("double").alias("price")), "product_id", "left")
 
 
 def ranked(df: DataFrame, by: str, k: int, rank: str = "recommendation_rank") -> DataFrame:
@@ -150,8 +169,11 @@ def ranked(df: DataFrame, by: str, k: int, rank: str = "recommendation_rank") ->
     return df.withColumn(rank, F.row_number().over(best)).where(F.col(rank) <= k)
 
 
-def item_item_recommend(pairs: DataFrame, similarity: DataFrame, *, k: int = 10) -> DataFrame:
-    return ranked(item_item_candidates(pairs, similarity), "raw_personalized_score", k)
+def item_item_recommend(pairs: DataFrame, similarity: DataFrame, products: DataFrame, *, generated_at: Column | None = None, k: int = 10) -> DataFrame:
+    """The k products with the largest sums of contributions, in 15 columns."""
+    best = ranked(item_item_candidates(pairs, similarity), "raw_personalized_score", k)
+    stamped = described(best, products).withColumns({"recommendation_reason": F.lit("similar_to_customer_history"), "model_name": F.lit("item_item_cosine_v1"), "generated_at": F.current_timestamp() if generated_at is None else generated_at})
+    return stamped.select("customer_id", "product_id", *ATTRIBUTES, F.col("raw_personalized_score").alias("recommendation_score"), "recommendation_rank", "max_similarity", "supporting_products", "primary_source_product_id", "recommendation_reason", "model_name", "generated_at")
 
 
 def cold_start_recommend(customers: DataFrame, pairs: DataFrame, popularity: DataFrame, *, k: int = 10) -> DataFrame:
@@ -193,17 +215,54 @@ def hybrid_score(weights: Weights, *, fallback_scaled: bool) -> Column:
     return score(mixed if fallback_scaled else F.when(F.col("is_personal"), mixed).otherwise(F.col("popularity_score")))
 
 
-def hybrid_recommend(customers: DataFrame, pairs: DataFrame, personal: DataFrame, popularity: DataFrame, *, weights: Weights = Weights(), k: int = 10, candidate_limit: int = 100, fallback_scaled: bool = False) -> DataFrame:
-    """Top k by the weighted score. Without a personal side the popularity counts whole, or by its weight (``fallback_scaled``)."""
-    scored = hybrid_candidates(customers, pairs, personal, popularity, candidate_limit=candidate_limit).withColumn("recommendation_score", hybrid_score(weights, fallback_scaled=fallback_scaled))
-    scored = scored.withColumn("recommendation_reason", recommendation_reason(F.col("has_history"), F.col("is_personal"), F.col("popularity_score")))
-    return ranked(scored, "recommendation_score", k).select("customer_id", "product_id", "recommendation_rank", "recommendation_score", "personalized_score", "popularity_score", "max_similarity", "supporting_products", "primary_source_product_id", "recommendation_reason")
+HYBRID = ("customer_id", "product_id", *ATTRIBUTES, "recommendation_rank", "recommendation_score", "personalized_score", "popularity_score", "hybrid_score", "max_similarity", "supporting_products", "primary_source_product_id", "has_history", "recommendation_reason", "model_name", "model_version", "generated_at")
 
 
-def production_recommend(customers: DataFrame, pairs: DataFrame, similarity: DataFrame, popularity: DataFrame, *, weights: Weights, run_id: str, generated_at: Column, k: int = 10) -> DataFrame:
+def hybrid_recommend(
+    customers: DataFrame, pairs: DataFrame, personal: DataFrame, popularity: DataFrame, products: DataFrame, *, weights: Weights = Weights(), k: int = 10, candidate_limit: int = 100, fallback_scaled: bool = False,
+    model_name: str = "hybrid_item_item_popularity", model_version: str = "v1", generated_at: Column | None = None,
+) -> DataFrame:
+    """Top k by the weighted score, in 20 columns. Without a personal side the popularity counts whole, or by its weight (``fallback_scaled``).
+
+    Personal candidates, what was seen of the popular products, and the customers meet in one exchange by customer. There a
+    customer keeps the k best personal candidates; the popular products are one array of ``candidate_limit`` entries,
+    in order, that each customer filters and cuts to k; the two short arrays are merged.
+    """
+    if "popularity_score" not in personal.columns:
+        personal = personal.join(popularity.select("product_id", "popularity_score"), "product_id", "left").na.fill({"popularity_score": 0.0})
+    scaled = weights.popularity if fallback_scaled else 1.0
+    popular = popularity.orderBy(F.desc("popularity_score"), F.desc("unique_customers"), "product_id").limit(candidate_limit)
+    entry = F.struct((-score(F.col("popularity_score") * scaled)).alias("s"), "product_id", "popularity_score")
+    listed = popular.agg(F.array_sort(F.collect_list(entry)).alias("popular"))  # one row of a bounded array
+    popular = popular.select("product_id", F.lit(True).alias("is_popular"))
+
+    about = ("raw_personalized_score", "popularity_score", "max_similarity", "supporting_products", "primary_source_product_id")
+    close = personal.select("customer_id", "product_id", *about, F.lit(True).alias("is_personal"))
+    seen = pairs.select("customer_id", "product_id", F.lit(False).alias("is_personal"))
+    rows = customers.select("customer_id").unionByName(close.unionByName(seen, allowMissingColumns=True), allowMissingColumns=True).join(F.broadcast(popular), "product_id", "left")
+    each = Window.partitionBy("customer_id")
+    most = F.max("raw_personalized_score").over(each)
+    rows = rows.withColumn("personalized_score", score(F.when(most > 0, F.col("raw_personalized_score") / most).otherwise(F.lit(0.0))))
+    rows = rows.withColumn("mixed", score(F.col("personalized_score") * weights.personal + F.col("popularity_score") * weights.popularity))
+    rows = rows.withColumn("place", F.row_number().over(each.orderBy(F.coalesce("is_personal", F.lit(False)).desc(), F.desc("mixed"), "product_id")))
+
+    held = F.struct((-F.col("mixed")).alias("s"), "product_id", "popularity_score", "mixed", "personalized_score", *about[2:], F.lit(True).alias("is_personal"))
+    taken = F.when(F.col("is_popular"), F.col("product_id"))
+    found = rows.groupBy("customer_id").agg(
+        F.collect_list(F.when(F.col("is_personal") & (F.col("place") <= k), held)).alias("best"), F.collect_set(taken).alias("taken"), F.max(F.coalesce(~F.col("is_personal"), F.lit(False))).alias("has_history"), F.max(F.col("product_id").isNull()).alias("asked"),
+    ).where("asked").crossJoin(F.broadcast(listed))
+    nulls = {"personalized_score": F.lit(0.0), "max_similarity": F.lit(None).cast("double"), "supporting_products": F.lit(None).cast("long"), "primary_source_product_id": F.lit(None).cast(dict(pairs.dtypes)["product_id"])}
+    fallback = F.transform(F.slice(F.filter("popular", lambda x: ~F.array_contains("taken", x["product_id"])), 1, k), lambda x: F.struct(x["s"].alias("s"), x["product_id"].alias("product_id"), x["popularity_score"].alias("popularity_score"), score(x["popularity_score"] * weights.popularity).alias("mixed"), *(v.alias(n) for n, v in nulls.items()), F.lit(False).alias("is_personal")))
+    chosen = found.select("customer_id", "has_history", F.posexplode(F.slice(F.array_sort(F.concat("best", fallback)), 1, k)).alias("i", "r"))
+    flat = chosen.select("customer_id", "has_history", (F.col("i") + 1).cast("int").alias("recommendation_rank"), "r.*").withColumns({"recommendation_score": -F.col("s"), "hybrid_score": F.col("mixed"), "recommendation_reason": recommendation_reason(F.col("has_history"), F.col("is_personal"), F.col("popularity_score"))})
+    stamped = described(flat, products).withColumns({"model_name": F.lit(model_name), "model_version": F.lit(model_version), "generated_at": F.current_timestamp() if generated_at is None else generated_at})
+    return stamped.select(*HYBRID)
+
+
+def production_recommend(customers: DataFrame, pairs: DataFrame, similarity: DataFrame, popularity: DataFrame, products: DataFrame, *, weights: Weights, run_id: str, generated_at: Column, k: int = 10, model_name: str = "hybrid_item_item_popularity") -> DataFrame:
     """The ranking with the champion's weights for all candidates, stamped with its run."""
-    made = hybrid_recommend(customers, pairs, item_item_candidates(pairs, similarity), popularity, weights=weights, k=k, fallback_scaled=True)
-    return made.withColumns({"run_id": F.lit(run_id), "personalized_weight": F.lit(weights.personal), "popularity_weight": F.lit(weights.popularity), "generated_at": generated_at})
+    made = hybrid_recommend(customers, pairs, item_item_candidates(pairs, similarity, popularity), popularity, products, weights=weights, k=k, fallback_scaled=True, model_name=model_name, generated_at=generated_at)
+    return made.withColumns({"run_id": F.lit(run_id), "personalized_weight": F.lit(weights.personal), "popularity_weight": F.lit(weights.popularity)})
 
 
 REASONS = ("popular_cold_start", "hybrid_personalized", "personalized_similarity", "popular_fallback")

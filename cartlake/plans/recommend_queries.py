@@ -8,6 +8,7 @@ from cartlake.operators import evaluation as E
 from cartlake.operators import monitoring, serving
 from cartlake.operators import recommend as R
 from cartlake.plans.registry import query, relation
+from cartlake.sources.staging import staged
 
 LIVE = "upper(coalesce(o.status, '')) not in ('CANCELLED', 'CANCELED')"
 relation("rec_events", f"""select customer_id, product_id, event_type, event_timestamp, max(interaction_weight) as interaction_weight, source, source_event_id, cast(event_timestamp as date) as event_date from (
@@ -69,37 +70,42 @@ query("rec_popularity", "select a.product_id, a.unique_customers, a.total_purcha
 query("rec_popularity_ranks", """select s.product_id, s.popularity_score, row_number() over (order by s.popularity_score desc, s.unique_customers desc, s.product_id) as popularity_rank, row_number() over (partition by p.category order by s.popularity_score desc, s.unique_customers desc, s.product_id) as category_rank,
     row_number() over (partition by p.category, p.subcategory order by s.popularity_score desc, s.unique_customers desc, s.product_id) as subcategory_rank, row_number() over (partition by p.brand order by s.popularity_score desc, s.unique_customers desc, s.product_id) as brand_rank from all_pop s left join src_products p on p.product_id = s.product_id""", ratio=["popularity_score"])(lambda c: R.popularity_ranks(R.product_popularity(pairs_of(c)), c.products).select("product_id", "popularity_score", "popularity_rank", "category_rank", "subcategory_rank", "brand_rank"))
 query("rec_similarity", "select * from all_sim", ratio=["similarity_score", "jaccard_score"])(lambda c: R.product_similarity(pairs_of(c)))
-query("rec_item_item", "select * from (select *, row_number() over (partition by customer_id order by raw_personalized_score desc, product_id) as recommendation_rank from all_personal) r where recommendation_rank <= 10", ratio=["raw_personalized_score", "max_similarity"])(lambda c: R.item_item_recommend(pairs_of(c), R.product_similarity(pairs_of(c))))
+query("rec_item_item", "select r.customer_id, r.product_id, p.product_name, p.category, p.subcategory, p.brand, p.price, r.raw_personalized_score as recommendation_score, r.recommendation_rank, r.max_similarity, r.supporting_products, r.primary_source_product_id, 'similar_to_customer_history' as recommendation_reason, 'item_item_cosine_v1' as model_name, timestamp '2001-08-02' as generated_at from (select *, row_number() over (partition by customer_id order by raw_personalized_score desc, product_id) as recommendation_rank from all_personal) r left join src_products p on p.product_id = r.product_id where recommendation_rank <= 10", money=["price"], ratio=["recommendation_score", "max_similarity"], stamps=["generated_at"])(lambda c: R.item_item_recommend(pairs_of(c), R.product_similarity(pairs_of(c)), c.products, generated_at=run_at()))
 query("rec_normalised_scores", "select customer_id, product_id, round(raw_personalized_score / max(raw_personalized_score) over (partition by customer_id), 9) as personalized_score from all_personal", ratio=["personalized_score"])(lambda c: R.normalise_per_customer(R.item_item_candidates(pairs_of(c), R.product_similarity(pairs_of(c)))).select("customer_id", "product_id", "personalized_score"))
 query("rec_cold_start", "select c.customer_id, t.product_id, t.popularity_score, t.recommendation_rank from src_customers c, (select product_id, popularity_score, row_number() over (order by popularity_score desc, unique_customers desc, product_id) as recommendation_rank from all_pop) t where t.recommendation_rank <= 10 and not exists (select 1 from all_pairs p where p.customer_id = c.customer_id)", ratio=["popularity_score"])(lambda c: R.cold_start_recommend(c.customers, pairs_of(c), R.product_popularity(pairs_of(c))))
 relation("all_candidates", candidates_sql("all", "src_customers"))
 
 
 def hybrid_sql(scaled: bool) -> str:
-    mixed = "personalized_score * 0.8 + popularity_score * 0.2"
-    score = mixed if scaled else f"case when is_personal then {mixed} else popularity_score end"
-    return f"""select customer_id, product_id, row_number() over (partition by customer_id order by round({score}, 9) desc, product_id) as recommendation_rank, round({score}, 9) as recommendation_score, personalized_score, popularity_score, max_similarity, supporting_products, primary_source_product_id,
-        case when not has_history then 'popular_cold_start' when is_personal and popularity_score > 0 then 'hybrid_personalized' when is_personal then 'personalized_similarity' else 'popular_fallback' end as recommendation_reason from all_candidates"""
+    mixed = "round(personalized_score * 0.8 + popularity_score * 0.2, 9)"
+    used = mixed if scaled else f"case when is_personal then {mixed} else popularity_score end"
+    return f"""select h.customer_id, h.product_id, p.product_name, p.category, p.subcategory, p.brand, p.price, h.recommendation_rank, h.recommendation_score, h.personalized_score, h.popularity_score, h.hybrid_score, h.max_similarity, h.supporting_products, h.primary_source_product_id, h.has_history,
+        case when not has_history then 'popular_cold_start' when is_personal and popularity_score > 0 then 'hybrid_personalized' when is_personal then 'personalized_similarity' else 'popular_fallback' end as recommendation_reason, 'hybrid_item_item_popularity' as model_name, 'v1' as model_version, timestamp '2001-08-02' as generated_at
+        from (select *, {used} as recommendation_score, {mixed} as hybrid_score, row_number() over (partition by customer_id order by {used} desc, product_id) as recommendation_rank from all_candidates) h left join src_products p on p.product_id = h.product_id where h.recommendation_rank <= 10"""
 
 
-HYBRID = f"select * from ({hybrid_sql(False)}) h where recommendation_rank <= 10"
-PRODUCTION = f"select * from ({hybrid_sql(True)}) h where recommendation_rank <= 10"
+HYBRID, PRODUCTION = hybrid_sql(False), hybrid_sql(True)
 relation("production", PRODUCTION)
 
 
+def run_at():
+    return F.lit("2001-08-02").cast("timestamp_ntz")
+
+
 def hybrid_of(c):
-    pairs = pairs_of(c)
-    return R.hybrid_recommend(c.customers, pairs, R.item_item_candidates(pairs, R.product_similarity(pairs)), R.product_popularity(pairs))
+    pairs = staged(pairs_of(c), "pairs")
+    popularity = staged(R.product_popularity(pairs), "popularity")
+    return R.hybrid_recommend(c.customers, pairs, R.item_item_candidates(pairs, R.product_similarity(pairs), popularity), popularity, c.products, generated_at=run_at())
 
 
 def production_of(c):
-    pairs = pairs_of(c)
-    return R.production_recommend(c.customers, pairs, R.product_similarity(pairs), R.product_popularity(pairs), weights=R.Weights(), run_id="run-1", generated_at=F.lit("2001-08-02").cast("timestamp_ntz"))
+    pairs = staged(pairs_of(c), "pairs")
+    return R.production_recommend(c.customers, pairs, R.product_similarity(pairs), staged(R.product_popularity(pairs), "popularity"), c.products, weights=R.Weights(), run_id="run-1", generated_at=run_at())
 
 
-SCORES = ["recommendation_score", "personalized_score", "popularity_score", "max_similarity"]
-query("rec_hybrid", HYBRID, ratio=SCORES)(hybrid_of)
-query("rec_production", "select *, 'run-1' as run_id, 0.8 as personalized_weight, 0.2 as popularity_weight from production", ratio=[*SCORES, "personalized_weight", "popularity_weight"])(lambda c: production_of(c).drop("generated_at"))
+SCORES = ["recommendation_score", "personalized_score", "popularity_score", "hybrid_score", "max_similarity"]
+query("rec_hybrid", HYBRID, ratio=SCORES, money=["price"], stamps=["generated_at"])(hybrid_of)
+query("rec_production", "select *, 'run-1' as run_id, 0.8 as personalized_weight, 0.2 as popularity_weight from production", ratio=[*SCORES, "personalized_weight", "popularity_weight"], money=["price"], stamps=["generated_at"])(production_of)
 query("rec_reasons", f"select recommendation_reason, count(*) as n from ({HYBRID}) x group by 1")(lambda c: hybrid_of(c).groupBy("recommendation_reason").agg(F.count("*").alias("n")))
 query("rec_run_history", "select count(*) as recommendations, count(distinct customer_id) as customers_reached, count(distinct product_id) as products_recommended, " + ", ".join(f"sum(case when recommendation_reason = '{r}' then 1 else 0 end) as {r}" for r in R.REASONS) + ", (select count(*) from src_customers) as customers, 'run-1' as run_id, 0.0 as duration_seconds, 'SUCCESS' as status from production", money=[*R.REASONS, "duration_seconds"])(lambda c: R.run_history_row(production_of(c), c.customers, run_id="run-1"))
 
@@ -134,13 +140,13 @@ relation("final_metrics", metrics_sql("final_rankings", "final_targets"))
 
 
 def split_of(c):
-    return E.temporal_split(events_of(c))
+    return staged(E.temporal_split(events_of(c)), "split")
 
 
 def baseline_of(c):
     split = split_of(c)
-    wanted = E.actuals(split, "TEST", ("TRAIN",))
-    return E.baseline_predictions(split, wanted), wanted
+    wanted = staged(E.actuals(split, "TEST", ("TRAIN",)), "wanted")
+    return staged(E.baseline_predictions(split, wanted), "predictions"), wanted
 
 
 def summary_sql(metrics: str, rankings: str) -> str:

@@ -62,3 +62,61 @@ def test_chunks_cover_texts(spark):
 def test_sections(spark):
     docs = spark.createDataFrame([(1, "intro\n# One\nbody\n## Two\nmore")], "doc_id int, text string")
     assert [(r.heading, r.body.strip()) for r in serving.sections(docs).orderBy("section").collect()] == [(None, "intro"), ("One", "body"), ("Two", "more")]
+
+
+def test_similarity_in_blocks_is_exact(spark):
+    """Cut into many blocks, a customer with all products gives the same pairs, and no join key has many rows."""
+    rows = [(c, p) for c in range(12) for p in range(60) if c == 0 or (p * 7 + c * 5) % 11 < 4]
+    pairs = spark.createDataFrame(rows, "customer_id int, product_id long")
+    whole, cut = (sorted(map(tuple, recommend.product_similarity(pairs, block=b, top_n=100).collect())) for b in (2000, 7))
+    support, met = {}, {}
+    for c, p in rows:
+        support[p] = support.get(p, 0) + 1
+        for d, q in rows:
+            if c == d and p != q:
+                met[p, q] = met.get((p, q), 0) + 1
+    assert whole == cut and {(r[0], r[1]): r[2] for r in whole} == {k: n for k, n in met.items() if n >= 2 and support[k[0]] >= 2 and support[k[1]] >= 2}
+
+
+def test_a_customer_of_all_products_is_no_long_task(spark):
+    """The self join's largest key holds the pairs of two blocks: its rows do not grow with one customer's products."""
+    most = {}
+    for n in (400, 1600):
+        pairs = spark.range(n).select(F.explode(F.array(F.lit(1), F.lit(2))).alias("customer_id"), F.col("id").alias("product_id")).where("customer_id = 1 or product_id < 20")
+        pairs = pairs.unionByName(spark.range(n).select((F.col("id") + 10).cast("int").alias("customer_id"), F.col("id").alias("product_id")))
+        kept = pairs.join(pairs.groupBy("customer_id").agg(F.ceil(F.count("*") / 100).cast("int").alias("n")), "customer_id").withColumn("b", F.pmod(F.xxhash64("product_id"), F.col("n")))
+        most[n] = kept.groupBy("customer_id", "b").count().agg(F.max("count")).first()[0]
+        assert recommend.product_similarity(pairs, block=100, top_n=5).count() == 20 * 5
+    assert most[1600] < 2 * most[400]
+
+
+def test_ranks_of_ties_and_missing_groups(spark):
+    popularity = spark.createDataFrame([(i, 0.5 if i % 3 else 0.0, 2) for i in range(200)], "product_id long, popularity_score double, unique_customers long")
+    products = spark.createDataFrame([(i, "n", "c" if i % 2 else None, "s", "b", 1.0) for i in range(0, 180)], "product_id long, product_name string, category string, subcategory string, brand string, price double")
+    rows = recommend.popularity_ranks(popularity, products).collect()
+    order = sorted(rows, key=lambda r: (-r.popularity_score, r.product_id))
+    assert [r.popularity_rank for r in order] == list(range(1, 201))
+    for rank, group in (("category_rank", lambda r: r.category), ("subcategory_rank", lambda r: (r.category, r.subcategory)), ("brand_rank", lambda r: r.brand)):
+        seen = {}
+        for r in order:
+            seen[group(r)] = seen.get(group(r), 0) + 1
+            assert r[rank] == seen[group(r)]
+
+
+@pytest.mark.parametrize("scaled", [False, True])
+def test_hybrid_ranking_equals_scoring_every_candidate(spark, scaled):
+    """Customers with no, some and very many products, popular products that are seen or personal, and tied scores."""
+    customers = spark.createDataFrame([(c,) for c in range(6)], "customer_id long")
+    pairs = spark.createDataFrame([(c, p, float(1 + (c * p) % 3)) for c in range(1, 6) for p in range(0, 40, 7 - c)], "customer_id long, product_id long, interaction_score double")
+    similarity = spark.createDataFrame([(a, b, ((a * 3 + b) % 10 + 1) / 11) for a in range(0, 40, 2) for b in range(a % 3, 60, 3) if a != b], "source_product_id long, similar_product_id long, similarity_score double")
+    popularity = spark.createDataFrame([(p, ((p * 13) % 8) / 8, p % 3) for p in range(50)], "product_id long, popularity_score double, unique_customers long")
+    products = spark.createDataFrame([(p, f"n{p}", "c", "s", "b", 2.0) for p in range(60)], "product_id long, product_name string, category string, subcategory string, brand string, price double")
+    personal = recommend.item_item_candidates(pairs, similarity, popularity)
+    found = {}
+    for r in recommend.hybrid_recommend(customers, pairs, personal, popularity, products, k=4, candidate_limit=20, fallback_scaled=scaled).collect():
+        found.setdefault(r.customer_id, []).append((r.recommendation_rank, r.product_id, r.recommendation_score, r.recommendation_reason, r.has_history, r.product_name))
+    all_ = recommend.hybrid_candidates(customers, pairs, personal.drop("popularity_score"), popularity, candidate_limit=20).withColumn("s", recommend.hybrid_score(recommend.Weights(), fallback_scaled=scaled)).collect()
+    for c in range(6):
+        best = sorted((r for r in all_ if r.customer_id == c), key=lambda r: (-r.s, r.product_id))[:4]
+        reasons = ["popular_cold_start" if not r.has_history else ("hybrid_personalized" if r.popularity_score > 0 else "personalized_similarity") if r.is_personal else "popular_fallback" for r in best]
+        assert sorted(found[c]) == [(i + 1, r.product_id, r.s, why, c > 0, f"n{r.product_id}") for i, (r, why) in enumerate(zip(best, reasons, strict=True))]
