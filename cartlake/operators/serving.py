@@ -1,11 +1,7 @@
-"""Serving views, conversation turns, text chunks and vector search."""
+"""Serving views, conversation turns and text chunks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,53 +83,3 @@ def chunk_documents(docs: DataFrame, *, size: int = 1000, overlap: int = 150) ->
     """id, chunk_id, section, heading, chunk_index and chunk of heading sections cut into windows."""
     windows = chunk_windows(sections(docs), size=size, overlap=overlap, text_column="body")
     return windows.select("id", chunk_id(F.concat_ws("/", "id", "section"), F.col("chunk_index")).alias("chunk_id"), "section", "heading", "chunk_index", "chunk")
-
-
-def _blocks(vectors: DataFrame, rows: int) -> DataFrame:
-    """``ids, unit, width``: blocks of up to ``rows`` vectors of one length as packed numbers; null and zero vectors go."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-
-        def block(width: int) -> pa.RecordBatch:
-            ids, found = zip(*held.pop(width), strict=True)
-            matrix = np.array(found)
-            matrix /= np.sqrt((matrix**2).sum(axis=1, keepdims=True))
-            return pa.record_batch([pa.array([np.array(ids, "<i8").tobytes()]), pa.array([matrix.tobytes()]), pa.array([width], pa.int32())], names=["ids", "unit", "width"])
-
-        for batch in batches:
-            for ident, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if ident is not None and vector and None not in vector and any(vector):
-                    held.setdefault(len(vector), []).append((ident, vector))
-                    if len(held[len(vector)]) == rows:
-                        yield block(len(vector))
-        for width in list(held):
-            yield block(width)
-
-    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(work, "ids binary, unit binary, width int")
-
-
-def vector_top_k(queries: DataFrame, vectors: DataFrame, *, k: int = 5, min_score: float = 0.3, query_rows: int = 512, vector_rows: int = 4096) -> DataFrame:
-    """query_id, vec_id, score and rank of the k most similar other vectors by cosine, above the threshold; ties by the smaller id.
-
-    A stated set of queries meets all vectors in blocks: a task multiplies a block of queries with a block of vectors and keeps
-    the k best of each query, so that what is shuffled is k rows for each query and block of vectors.
-    """
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for asked, q, ids, v, width in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                asked, ids = np.frombuffer(asked, "<i8"), np.frombuffer(ids, "<i8")
-                scores = np.frombuffer(q).reshape(-1, width) @ np.frombuffer(v).reshape(-1, width).T
-                out: list[tuple[int, int, float]] = []
-                for i, own in enumerate(asked.tolist()):
-                    at = np.flatnonzero((scores[i] >= min_score) & (ids != own))
-                    at = at[np.lexsort((ids[at], -scores[i][at].round(9)))[:k]]
-                    out += [(own, int(ids[j]), float(scores[i][j])) for j in at]
-                if out:
-                    yield pa.record_batch([pa.array(x) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
-
-    asked = _blocks(queries, query_rows).select("width", F.col("ids").alias("q_ids"), F.col("unit").alias("q"))
-    met = asked.join(_blocks(vectors, vector_rows), "width").select("q_ids", "q", "ids", "unit", "width").mapInArrow(work, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
-    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

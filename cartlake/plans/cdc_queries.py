@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartlake.functions.expressions import cdc_timestamp
-from cartlake.operators import cdc, quality, serving
+from cartlake.operators import cdc, quality, serving, vectors
 from cartlake.operators.star import Star
-from cartlake.plans.registry import query, relation
+from cartlake.plans.registry import ORACLES, query, relation
 from cartlake.plans.star_queries import profiles
 
 DAY = 86_400_000
@@ -77,7 +77,23 @@ query("quality_validate_layers", "select 'orders' as table_name, count(*) as row
 query("serve_customer_360", "select customer_id, first_name, last_name, customer_segment, country, total_orders, total_spend, website_event_count, support_ticket_count, last_order_date from gold_customers", money=["total_spend"], stamps=["last_order_date"])(lambda c: serving.serve_customer_360(profiles(c)))
 query("recent_turns", "select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn, role, text) as place from (select *, row_number() over (partition by conv_id order by turn desc, role desc, text desc) as rn from conversations) x where rn <= 3")(lambda c: serving.recent_turns(c.table("conversations").select("conv_id", "turn", "role", "text"), 3))
 query("chunk_windows", """select doc_id, cast(i as int) as chunk_index, substr(text, cast(i * 850 + 1 as bigint), 1000) as chunk from (select doc_id, text, unnest(generate_series(0, case when length(text) <= 1000 then 0 else cast(ceil((length(text) - 1000) / 850.0) as bigint) end)) as i from documents where length(text) > 0) x""")(lambda c: serving.chunk_windows(c.table("documents").select("doc_id", "text")).select("doc_id", "chunk_index", "chunk"))
-query("chunk_documents")(lambda c: serving.chunk_documents(c.table("documents")))
+query("chunk_documents", """with l as (select doc_id as id, i, lines[i] as line, i = len(lines) as last from (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as i from documents) d),
+    h as (select *, regexp_matches(line, '^#{1,6} ') as head from l), s as (select *, sum(cast(head as int)) over (partition by id order by i) - first_value(cast(head as int)) over (partition by id order by i) as section from h),
+    b as (select id, section, nullif(coalesce(max(case when head then regexp_extract(line, '^#{1,6} +(.*)$', 1) end), ''), '') as heading, coalesce(string_agg(line || case when last then '' else chr(10) end, '' order by i) filter (where not head), '') as body from s group by 1, 2),
+    w as (select *, unnest(generate_series(0, case when length(body) <= 1000 then 0 else cast(ceil((length(body) - 1000) / 850.0) as bigint) end)) as n from b where trim(body) <> '')
+    select id, cast('0x' || substr(sha256(cast(id as varchar) || '/' || cast(section as varchar) || ':' || cast(n as varchar)), 1, 15) as bigint) as chunk_id, cast(section as int) as section, heading, cast(n as int) as chunk_index, substr(body, cast(n * 850 + 1 as bigint), 1000) as chunk from w""")(lambda c: serving.chunk_documents(c.table("documents")))
 query("vector_top_k", """with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings), q as (select * from v where vec_id % 50 = 0),
     s as (select q.vec_id as query_id, d.vec_id, list_sum(list_transform(range(1, 65), lambda i: q.e[i] * d.e[i])) / sqrt(list_sum(list_transform(q.e, lambda x: x * x))) / sqrt(list_sum(list_transform(d.e, lambda x: x * x))) as score from q, v d where d.vec_id <> q.vec_id)
-    select query_id, vec_id, score, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, vec_id) as rank from s where score >= 0.3) r where rank <= 5""", ratio=["score"])(lambda c: serving.vector_top_k(c.table("embeddings").where("vec_id % 50 = 0"), c.table("embeddings")))
+    select query_id, vec_id, score, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, vec_id) as rank from s where score >= 0.3) r where rank <= 5""", ratio=["score"])(lambda c: vectors.vector_top_k(c.table("embeddings").where("vec_id % 50 = 0"), c.table("embeddings")))
+
+
+def indexed(c):
+    """What an index with chosen probes finds of the exact answer, for all queries."""
+    rows = c.table("embeddings")
+    asked = rows.where("vec_id % 50 = 0")
+    index = vectors.build_index(rows)
+    found = vectors.search_index(index, asked, probes=vectors.choose_probes(index, asked, rows))
+    return vectors.recall(found, vectors.vector_top_k(asked, rows)).select("wanted", (F.col("recall") >= 0.9).alias("enough"))
+
+
+query("vector_index_recall", f"select count(*) as wanted, true as enough from ({ORACLES['vector_top_k']}) x")(indexed)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cartlake.operators import evaluation as E
 from cartlake.operators import monitoring, serving
 from cartlake.operators import recommend as R
+from cartlake.operators import vectors as vectors_of
 from cartlake.plans.registry import query, relation
 from cartlake.sources.staging import staged
 
@@ -175,7 +176,7 @@ def _retrieval(c):
     vectors = c.table("embeddings")
     asked = vectors.where("vec_id % 50 = 0")
     relevant = asked.select(F.col("vec_id").alias("query_id"), "label").join(vectors.select("vec_id", "label"), "label").drop("label")
-    return E.retrieval_metrics(serving.vector_top_k(asked, vectors), relevant, asked.select(F.col("vec_id").alias("query_id")))
+    return E.retrieval_metrics(vectors_of.vector_top_k(asked, vectors), relevant, asked.select(F.col("vec_id").alias("query_id")))
 
 
 # --- validation, monitoring, serving of recommendations ------------------------------------------------------

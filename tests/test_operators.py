@@ -1,10 +1,13 @@
 """Invariants of operators that SQL does not cover."""
 
+import random
+
+import numpy as np
 import pytest
 from oracle import SMALL
 from pyspark.sql import functions as F
 
-from cartlake.operators import churn, evaluation, quality, recommend, reports, serving
+from cartlake.operators import churn, evaluation, quality, recommend, reports, serving, vectors
 from cartlake.sources.commerce import Commerce
 
 
@@ -120,3 +123,31 @@ def test_hybrid_ranking_equals_scoring_every_candidate(spark, scaled):
         best = sorted((r for r in all_ if r.customer_id == c), key=lambda r: (-r.s, r.product_id))[:4]
         reasons = ["popular_cold_start" if not r.has_history else ("hybrid_personalized" if r.popularity_score > 0 else "personalized_similarity") if r.is_personal else "popular_fallback" for r in best]
         assert sorted(found[c]) == [(i + 1, r.product_id, r.s, why, c > 0, f"n{r.product_id}") for i, (r, why) in enumerate(zip(best, reasons, strict=True))]
+
+
+def test_vectors_of_odd_rows_and_many_blocks(spark):
+    """Blocks of any size give the same answer; null, zero and broken vectors go; lengths do not mix; a cell of equal vectors is many blocks."""
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(300)] + [(1000 + i, [1.0, 2.0]) for i in range(200)] + [(None, [1.0] * 6), (2000, None), (2001, []), (2002, [0.0] * 6), (2003, [1.0, None]), (2004, [3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 50 = 0")
+    whole, cut = (sorted(map(tuple, vectors.vector_top_k(asked, df, query_rows=q, vector_rows=v).select("query_id", "vec_id", "rank").collect())) for q, v in ((512, 4096), (3, 17)))
+    assert whole == cut and {q for q, _, _ in whole} >= {0, 50, 1000} and not {v for _, v, _ in whole} & {2000, 2001, 2002, 2003}
+    assert [v for q, v, _ in whole if q == 1000] == [1001, 1002, 1003, 1004, 1005]
+    index = vectors.build_index(df, cells=4, block_rows=16)
+    assert index.blocks.groupBy("width", "cell", "block").count().count() == index.blocks.count() and index.blocks.where("size(ids) > 64").count() == 0
+    every = sorted(map(tuple, vectors.search_index(index, asked, probes=100).select("query_id", "vec_id", "rank").collect()))
+    assert every == whole
+    assert vectors.vector_top_k(asked.limit(0), df).count() == 0 and vectors.search_index(vectors.build_index(df.limit(0)), asked, probes=2).count() == 0
+
+
+def test_index_probes_few_cells_of_clustered_vectors(spark):
+    """On clusters a part of the cells finds nearly all that the exact way finds."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in centres[i % 40] + rng.normal(size=16) * 0.4]) for i in range(4000)], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 50 = 7")
+    index = vectors.build_index(df)
+    probes = vectors.choose_probes(index, asked, df)
+    cells = len(index.centres[16])
+    assert probes <= cells // 2 and vectors.recall(vectors.search_index(index, asked, probes=probes), vectors.vector_top_k(asked, df)).first()["recall"] >= 0.9
