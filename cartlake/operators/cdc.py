@@ -120,30 +120,16 @@ def apply_all(targets: dict[str, DataFrame], changes: dict[str, DataFrame], keys
     return done, moved, failed
 
 
-def order_envelopes(orders: DataFrame) -> DataFrame:
-    """A change log made from orders: reads, updates, stale updates, repeats, deletes and malformed rows."""
-    t0 = F.unix_millis(F.col("order_date").cast("timestamp"))
-    columns = ("order_id", "customer_id", "status", "total_amount")
-
-    def envelope(op: str, ts: Column, *, amount: float = 0, status: Column | None = None, deleted: bool = False, wrapped: bool = True) -> Column:
-        row = F.struct(*(F.col(c).cast("string").alias(c) for c in columns[:2]), (F.col("status") if status is None else status).alias("status"), (F.col("total_amount") + F.lit(amount).cast("decimal(18,2)")).cast("string").alias("total_amount"))
-        none = F.lit(None).cast("struct<order_id:string>")
-        body = F.struct(F.lit(op).alias("op"), ts.alias("ts_ms"), (row if deleted else none).alias("before"), (none if deleted else row).alias("after"))
-        return F.to_json(F.struct(body.alias("payload")) if wrapped else body).alias("value")
-
-    key, day = F.col("order_id"), 86_400_000
-    parts = [
-        orders.select(envelope("r", t0)),
-        orders.where(key % 4 == 0).select(envelope("u", t0 + day, amount=10, status=F.lit("returned"))),
-        orders.where(key % 8 == 0).select(envelope("u", t0 - 1000, amount=999, wrapped=False)),
-        orders.where(key % 5 == 0).select(envelope("r", t0, wrapped=False)),
-        orders.where(key % 20 == 0).select(envelope("d", t0 + 2 * day, deleted=True)),
-        orders.where(key % 100 == 1).select(F.explode(F.array(*map(F.lit, ("no json", '{"payload": null}', '{"payload": {"ts_ms": 1, "after": {"order_id": "1"}}}', '{"payload": {"op": "x", "ts_ms": 1, "after": {"order_id": "1"}}}', '{"payload": {"op": "u", "ts_ms": 1, "after": null}}')))).alias("value")),
-    ]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return union
-
-
+#: Columns and types of each entity's images; fixed by the tables that changes come from.
+CHANGES: dict[str, dict[str, str]] = {
+    "customers": {"customer_id": "long", "first_name": "string", "last_name": "string", "email": "string", "phone": "string", "country": "string", "state": "string", "city": "string", "signup_date": "date", "customer_segment": "string"},
+    "products": {"product_id": "long", "product_name": "string", "category": "string", "subcategory": "string", "brand": "string", "price": "decimal(18,2)", "cost": "decimal(18,2)", "supplier_id": "long", "inventory_quantity": "long"},
+    "orders": {"order_id": "long", "customer_id": "long", "order_date": "timestamp", "status": "string", "payment_method": "string", "total_amount": "decimal(18,2)", "discount": "decimal(18,2)", "tax": "decimal(18,2)", "shipping_country": "string", "shipping_state": "string"},
+    "order_items": {"order_item_id": "long", "order_id": "long", "product_id": "long", "quantity": "long", "unit_price": "decimal(18,2)", "discount": "decimal(18,2)"},
+    "payments": {"payment_id": "long", "order_id": "long", "customer_id": "long", "amount": "decimal(18,2)", "payment_method": "string", "payment_status": "string", "transaction_timestamp": "timestamp"},
+    "inventory": {"inventory_id": "long", "product_id": "long", "warehouse_id": "long", "quantity": "long", "reserved_quantity": "long"},
+    "website_events": {"event_id": "long", "customer_id": "long", "session_id": "string", "event_type": "string", "product_id": "long", "event_timestamp": "timestamp"},
+    "support_tickets": {"ticket_id": "long", "customer_id": "long", "created_at": "timestamp", "status": "string", "resolution_time_minutes": "int", "category": "string", "message": "string"},
+    "marketing_events": {"marketing_event_id": "long", "campaign_id": "long", "customer_id": "long", "impression": "boolean", "click": "boolean", "conversion": "boolean", "cost": "decimal(18,2)", "event_timestamp": "timestamp"},
+}
 ORDER_CHANGE = {"order_id": "long", "customer_id": "long", "status": "string", "total_amount": "decimal(18,2)"}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartlake.functions.expressions import cdc_timestamp
@@ -9,6 +10,42 @@ from cartlake.operators import cdc, quality, serving, vectors
 from cartlake.operators.star import Star
 from cartlake.plans.registry import ORACLES, query, relation
 from cartlake.plans.star_queries import profiles
+from cartlake.sources.commerce import KEYS
+
+def order_envelopes(orders: DataFrame) -> DataFrame:
+    """A change log made from orders: reads, updates, stale updates, repeats, deletes and malformed rows."""
+    t0 = F.unix_millis(F.col("order_date").cast("timestamp"))
+    columns = ("order_id", "customer_id", "status", "total_amount")
+
+    def envelope(op: str, ts: Column, *, amount: float = 0, status: Column | None = None, deleted: bool = False, wrapped: bool = True) -> Column:
+        row = F.struct(*(F.col(c).cast("string").alias(c) for c in columns[:2]), (F.col("status") if status is None else status).alias("status"), (F.col("total_amount") + F.lit(amount).cast("decimal(18,2)")).cast("string").alias("total_amount"))
+        none = F.lit(None).cast("struct<order_id:string>")
+        body = F.struct(F.lit(op).alias("op"), ts.alias("ts_ms"), (row if deleted else none).alias("before"), (none if deleted else row).alias("after"))
+        return F.to_json(F.struct(body.alias("payload")) if wrapped else body).alias("value")
+
+    key, day = F.col("order_id"), 86_400_000
+    parts = [
+        orders.select(envelope("r", t0)),
+        orders.where(key % 4 == 0).select(envelope("u", t0 + day, amount=10, status=F.lit("returned"))),
+        orders.where(key % 8 == 0).select(envelope("u", t0 - 1000, amount=999, wrapped=False)),
+        orders.where(key % 5 == 0).select(envelope("r", t0, wrapped=False)),
+        orders.where(key % 20 == 0).select(envelope("d", t0 + 2 * day, deleted=True)),
+        orders.where(key % 100 == 1).select(F.explode(F.array(*map(F.lit, ("no json", '{"payload": null}', '{"payload": {"ts_ms": 1, "after": {"order_id": "1"}}}', '{"payload": {"op": "x", "ts_ms": 1, "after": {"order_id": "1"}}}', '{"payload": {"op": "u", "ts_ms": 1, "after": null}}')))).alias("value")),
+    ]
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    return union
+
+
+def envelopes(rows, key: str):
+    """An entity's rows as envelopes: a read of each, an update in upper case of every third, a delete of every seventh."""
+    def envelope(op: str, ts: int, deleted: bool):
+        row, none = F.struct(*(F.col(c).cast("string").alias(c) for c in rows.columns)), F.lit(None)
+        return F.to_json(F.struct(F.lit(op).alias("op"), F.lit(ts).alias("ts_ms"), (row if deleted else none).alias("before"), (none if deleted else row).alias("after"))).alias("value")
+
+    return rows.select(envelope("r", 1, False)).unionByName(rows.where(F.col(key) % 3 == 0).select(envelope("U", 2, False))).unionByName(rows.where(F.col(key) % 7 == 0).select(envelope("d", 3, True)))
+
 
 DAY = 86_400_000
 relation("order_times", "select *, epoch_ms(order_date) as t0 from src_orders")
@@ -20,11 +57,19 @@ relation("order_changes", f"""select order_id, customer_id, status, total_amount
 
 
 def order_changes(c):
-    return cdc.bronze_rows(cdc.order_envelopes(c.orders), "orders", cdc.ORDER_CHANGE).drop("_ingested_at")
+    return cdc.bronze_rows(order_envelopes(c.orders), "orders", cdc.ORDER_CHANGE).drop("_ingested_at")
 
 
 query("cdc_bronze_rows", "select *, 'orders' as _source_table from order_changes", money=["total_amount"])(order_changes)
-query("cdc_parse_envelope", "select _op as op, count(*) as n, min(_ts_ms) as lo, max(_ts_ms) as hi from order_changes group by 1 union all select 'x', count(*), 1, 1 from order_times where order_id % 100 = 1 having count(*) > 0")(lambda c: cdc.select_image(cdc.parse_envelope(cdc.order_envelopes(c.orders), "order_id string")).groupBy("op").agg(F.count("*").alias("n"), F.min("ts_ms").alias("lo"), F.max("ts_ms").alias("hi")))
+ENTITY_STAMPS = {"customers": [], "orders": ["order_date"], "payments": ["transaction_timestamp"], "website_events": ["event_timestamp"], "support_tickets": ["created_at"], "marketing_events": ["event_timestamp"]}
+for _entity, _schema in cdc.CHANGES.items():
+    _money = [n for n, k in _schema.items() if k.startswith("decimal")]
+    _key = KEYS[_entity]
+    _columns = ", ".join(_schema)
+    query(f"cdc_typed_{_entity}", f"select {_columns}, op as _op, ts as _ts_ms from (select *, 'r' as op, 1 as ts from src_{_entity} union all select *, 'u', 2 from src_{_entity} where {_key} % 3 = 0 union all select *, 'd', 3 from src_{_entity} where {_key} % 7 = 0) e".replace("phone, ", "cast(null as varchar) as phone, " if _entity == "customers" else "phone, ").replace("shipping_country, shipping_state", "cast(null as varchar) as shipping_country, cast(null as varchar) as shipping_state").replace("category, message", "cast(null as varchar) as category, cast(null as varchar) as message"), money=_money, stamps=ENTITY_STAMPS.get(_entity, []), dates=["signup_date"] if _entity == "customers" else [])(
+        lambda c, e=_entity, schema=_schema, key=_key: cdc.bronze_rows(envelopes(getattr(c, e), key), e, schema).drop("_ingested_at", "_source_table")
+    )
+query("cdc_parse_envelope", "select _op as op, count(*) as n, min(_ts_ms) as lo, max(_ts_ms) as hi from order_changes group by 1 union all select 'x', count(*), 1, 1 from order_times where order_id % 100 = 1 having count(*) > 0")(lambda c: cdc.select_image(cdc.parse_envelope(order_envelopes(c.orders), "order_id string")).groupBy("op").agg(F.count("*").alias("n"), F.min("ts_ms").alias("lo"), F.max("ts_ms").alias("hi")))
 query("cdc_timestamp", "select order_id, case when order_id % 4 = 3 then null else epoch_ms(order_date) end as millis from src_orders")(
     lambda c: c.orders.select("order_id", F.when(F.col("order_id") % 4 == 0, F.unix_millis(F.col("order_date").cast("timestamp")).cast("string")).when(F.col("order_id") % 4 == 1, F.date_format("order_date", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).when(F.col("order_id") % 4 == 2, F.concat(F.lit(" "), F.unix_millis(F.col("order_date").cast("timestamp")).cast("string"), F.lit(" "))).otherwise("abc").alias("t")).select("order_id", F.unix_millis(cdc_timestamp("t")).alias("millis"))
 )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartlake.operators import cdc
-from cartlake.plans.cdc_queries import order_changes
+from cartlake.plans.cdc_queries import order_changes, order_envelopes
 from cartlake.plans.registry import query, relation
 from cartlake.streaming import changes, gold
 from cartlake.streaming.runner import final_state, streamed
@@ -51,7 +51,7 @@ def newest_of(key: str, entities: list[str]) -> str:
 
 
 query("stream_order_rows", "select order_id, customer_id, status, total_amount, _op, _ts_ms, 'orders' as _source_table from order_changes", money=["total_amount"])(
-    lambda c: streamed(c.spark, {"raw": cdc.order_envelopes(c.orders)}, partial(changes.stream_rows, entity="orders", schema=cdc.ORDER_CHANGE), "order_rows", mode="append").drop("batch", "_ingested_at")
+    lambda c: streamed(c.spark, {"raw": order_envelopes(c.orders)}, partial(changes.stream_rows, entity="orders", schema=cdc.ORDER_CHANGE), "order_rows", mode="append").drop("batch", "_ingested_at")
 )
 query("stream_order_payment", """select o.order_id, o.customer_id, o.order_date, o.status as order_status, o.payment_method, o.total_amount, o.discount, o.tax, p.amount as payment_amount, p.payment_status, p.transaction_timestamp, p.payment_id is not null as payment_match,
     case when p._ts_ms > o._ts_ms then p._op else o._op end as _op, greatest(o._ts_ms, coalesce(p._ts_ms, 0)) as _ts_ms

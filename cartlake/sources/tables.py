@@ -1,21 +1,12 @@
-"""Readers, writers and a thin versioned table over Parquet.
-
-A versioned table is a folder with one folder for each version's data and a log, appended last: readers see the
-highest logged version, so an unfinished write is never seen. One writer at a time; no manifests.
-"""
+"""Readers, writers and checks of tables. Tables are plain Parquet: what is replaced is replaced by partition."""
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-LOG = "version long, written_ms long, rows long, source string, batch_id long"
-
 
 def read_jdbc_table(spark: SparkSession, url: str, table: str, *, driver: str, partition_column: str | None = None, lower: int = 0, upper: int = 0, partitions: int = 8, **options: str) -> DataFrame:
     """A table's snapshot, read in parallel ranges of a numeric column where one is named."""
@@ -72,8 +63,10 @@ def require_non_empty(df: DataFrame, name: str = "table") -> DataFrame:
     return df
 
 
-def export_single_file(df: DataFrame, path: str, *, rows: int | None = None) -> None:
-    """A small result as one file; with ``rows``, only if it has that many."""
+def export_single_file(df: DataFrame, path: str, *, rows: int | None = None, most: int = 100_000) -> None:
+    """A small result as one file: of ``rows`` rows if given, and of ``most`` at most if not."""
+    if rows is None and not df.limit(most + 1).count() <= most:
+        raise ValueError(f"more than {most} rows for a single file")
     if rows is not None and (found := df.count()) != rows:
         raise ValueError(f"{found} rows where {rows} were expected")
     df.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
@@ -83,78 +76,25 @@ def export_features(df: DataFrame, path: str, order: list[str] | None = None) ->
     (df.orderBy(*order) if order else df).write.mode("overwrite").parquet(path)
 
 
-class VersionedTable:
-    """A Parquet table whose writes are new versions."""
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def log(self) -> DataFrame:
-        """Snapshots, newest first."""
-        if not self.exists():
-            return self.spark.createDataFrame([], LOG)
-        return self.spark.read.schema(LOG).parquet(f"{self.path}/log").orderBy(F.desc("version"))
-
-    def exists(self) -> bool:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/log")
-        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
-
-    def version(self) -> int:
-        newest = self.log().agg(F.max("version")).first()[0]
-        return -1 if newest is None else newest
-
-    def read(self, version: int | None = None) -> DataFrame:
-        at = self.version() if version is None else version
-        if at < 0:
-            raise ValueError(f"{self.path} has no version")
-        return self.spark.read.parquet(f"{self.path}/v={at}")
-
-    def applied(self, source: str, batch_id: int) -> bool:
-        return not self.log().where((F.col("source") == source) & (F.col("batch_id") == batch_id)).isEmpty()
-
-    def replace(self, df: DataFrame, *, source: str = "", batch_id: int = -1) -> int:
-        """A new version; the log entry comes last and counts the rows that were written."""
-        at = self.version() + 1
-        target = f"{self.path}/v={at}"
-        df.write.mode("overwrite").parquet(target)
-        rows = self.spark.read.parquet(target).count()
-        self.spark.createDataFrame([(at, int(time.time() * 1000), rows, source, batch_id)], LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
-        return at
-
-    def append(self, df: DataFrame, **named) -> int:
-        return self.replace(self.read().unionByName(df) if self.exists() else df, **named)
-
-    def create_if_absent(self, df: DataFrame) -> bool:
-        if self.exists():
-            return False
-        self.replace(df)
-        return True
-
-    def update(self, change: Callable[[DataFrame], DataFrame], *, source: str, batch_id: int) -> bool:
-        """Applies a change once for each batch of a source."""
-        if self.applied(source, batch_id):
-            return False
-        self.replace(change(self.read()), source=source, batch_id=batch_id)
-        return True
+def replace_partitions(df: DataFrame, path: str, *by: str) -> None:
+    """Writes plain Parquet by partition; of what is there, only the partitions that ``df`` has rows for give way."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
-    def replace_where(self, predicate: str, df: DataFrame) -> int:
-        """Rows for which the predicate does not hold stay; ``df`` takes the place of the others."""
-        return self.replace(self.read().where(f"not coalesce({predicate}, false)").unionByName(df)) if self.exists() else self.replace(df)
 
-    def compact(self, target_bytes: int = 128 << 20, *, bytes_per_row: int = 200) -> int:
-        """The same rows in files of about the target size."""
-        rows = self.log().first()["rows"]
-        return self.replace(self.read().repartition(max(1, rows * bytes_per_row // target_bytes)))
+def record_run(history: DataFrame, path: str, run: str = "run_id") -> DataFrame:
+    """A run's rows in a history: a repeated run replaces its own rows and no others. The whole history."""
+    replace_partitions(history, path, run)
+    kinds = dict(history.dtypes)
+    return history.sparkSession.read.option("basePath", path).parquet(path).withColumn(run, F.col(run).cast(kinds[run])).select(*history.columns)
 
 
-def init_missing_tables(tables: dict[str, tuple[VersionedTable, DataFrame]]) -> list[str]:
-    """Names of the tables that had to be created."""
-    return [name for name, (table, empty) in tables.items() if table.create_if_absent(empty)]
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder)
 
 
-def copy_verified(spark: SparkSession, source: str, target: VersionedTable, *, required: bool = True) -> int | None:
-    """Rows copied; a missing optional source is skipped, a differing count is an error."""
+def copy_verified(spark: SparkSession, source: str, target: str, *, required: bool = True) -> int | None:
+    """Rows copied to a Parquet folder; a missing optional source is skipped, a differing count is an error."""
     try:
         frozen = read_frozen(spark, source)
     except AnalysisException as missing:
@@ -162,13 +102,13 @@ def copy_verified(spark: SparkSession, source: str, target: VersionedTable, *, r
             raise
         return None
     wanted = frozen.count()
-    target.replace(frozen)
-    if (found := target.read().count()) != wanted:
+    frozen.write.mode("overwrite").parquet(target)
+    if (found := spark.read.parquet(target).count()) != wanted:
         raise ValueError(f"{found} of {wanted} rows arrived")
     return wanted
 
 
-def migrate_all(spark: SparkSession, jobs: dict[str, tuple[str, VersionedTable]]) -> dict[str, int]:
+def migrate_all(spark: SparkSession, jobs: dict[str, tuple[str, str]]) -> dict[str, int]:
     """Copies each dataset; errors are collected and raised together at the end."""
     done, failed = {}, {}
     for name, (source, target) in jobs.items():
@@ -181,17 +121,16 @@ def migrate_all(spark: SparkSession, jobs: dict[str, tuple[str, VersionedTable]]
     return done
 
 
-def high_water(control: VersionedTable, name: str) -> int:
-    """The control value of a table, 0 if there is none."""
-    if not control.exists():
+def high_water(spark: SparkSession, path: str, name: str) -> int:
+    """The mark of a table among those kept at ``path``, 0 if there is none."""
+    if not exists(spark, path):
         return 0
-    return control.read().where(F.col("table_name") == name).agg(F.coalesce(F.max("high_water"), F.lit(0))).first()[0]
+    return spark.read.parquet(path).where(F.col("table_name") == name).agg(F.coalesce(F.max("high_water"), F.lit(0))).first()[0]
 
 
-def set_high_water(control: VersionedTable, name: str, value: int) -> None:
-    """Keyed upsert; marks never move back."""
-    row = control.spark.createDataFrame([(name, max(value, high_water(control, name)))], "table_name string, high_water long")
-    control.replace_where(f"table_name = '{name}'", row)
+def set_high_water(spark: SparkSession, path: str, name: str, value: int) -> None:
+    """Marks are a partition a table and never move back."""
+    replace_partitions(spark.createDataFrame([(name, max(value, high_water(spark, path, name)))], "table_name string, high_water long"), path, "table_name")
 
 
 def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
