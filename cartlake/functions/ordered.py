@@ -33,6 +33,20 @@ def placed(df: DataFrame, order: list[Column | str], *, by: list[Column | str] |
     return rows.withColumn("_range", part).join(F.broadcast(before), "_range").withColumn(name, place).drop("_range", "_before")
 
 
+def running(df: DataFrame, order: list[Column | str], sums: list[str]) -> DataFrame:
+    """``df`` with ``before_<c>`` for each of ``sums``: its total over all rows that come before in the order.
+
+    A range is one window; the totals of the ranges before are one row a range.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = staged(rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_at", WITHIN)), "running")
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("_range").agg(*(F.sum(c).alias(f"_{c}") for c in sums)).select("_range", *(F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}") for c in sums))
+    inside = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
+    return local.join(F.broadcast(totals), "_range").withColumns({f"before_{c}": F.col(f"before_{c}") + F.col(f"_{c}") for c in sums}).drop("_range", "_at", *(f"_{c}" for c in sums))
+
+
 def along(df: DataFrame, key: str, position: str, values: dict[str, tuple[Callable[[str], Column], Callable[[Column, Column], Column]]], *, backwards: bool = False, block: int = 4096) -> DataFrame:
     """``df`` with each of ``values`` (column: its aggregate, and how two of its results combine) run over the key's rows up to this one.
 

@@ -8,11 +8,13 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartlake.functions.expressions import is_cancelled, or_zero
+from cartlake.functions.ordered import running
 from cartlake.operators.serving import risk_band
+from cartlake.sources.tables import conform, record_run, require_columns, require_non_empty
 
 NEVER = 9999
 
@@ -56,49 +58,76 @@ def snapshots(customers: DataFrame, dates: DataFrame) -> DataFrame:
     return panel.select(F.concat_ws("_", F.col("customer_id"), F.date_format("observation_date", "yyyyMMdd")).alias("snapshot_id"), "customer_id", "observation_date", "customer_segment", "country", "state", F.date_diff("observation_date", "signup_date").alias("tenure_days"))
 
 
-def window_rollup(events: DataFrame, time: str, dates: DataFrame, days: int, aggregates: list[Column], *, future: bool = False) -> DataFrame:
-    """Aggregates of each customer's events over the days up to (or after) each observation date.
+def window_values(events: DataFrame, time: str, dates: DataFrame, *, distinct: dict[str, tuple[str, int]], sums: dict[str, tuple[str, int]] | None = None, last: tuple[str, int] | None = None, future: bool = False) -> DataFrame:
+    """Of each customer's events over the days up to (or after) each observation date: how many different identifiers, sums, and
+    days since the last one. ``distinct`` and ``sums``: name -> (column, days); ``last``: name and days.
 
-    An event is repeated for the dates whose window holds it, a few of the monthly ones, and then grouped: no range
-    join. ``aggregates`` may refer to ``age``, the days from the event to the date.
+    No event is repeated by date and no range is joined. Events become one row a customer, identifier and day; a customer's
+    rows are summed up along the days, and a window is the sum at its end less the sum before its start. An identifier
+    with several days in a window counts once: of its successive days, pairs less than the window apart are taken off,
+    which lie inside exactly if the later is in the sum at the end and the earlier is not in the sum before the start.
     """
-    listed = dates.agg(F.sort_array(F.collect_list("observation_date")).alias("_dates"))  # one row, a date a month
-    day = F.col(time).cast("date")
-    gap = (lambda t: F.date_diff(day, t)) if future else (lambda t: F.date_diff(t, day))
-    inside = F.filter("_dates", lambda t: (gap(t) > 0) & (gap(t) <= days) if future else (gap(t) >= 0) & (gap(t) < days))
-    repeated = events.crossJoin(F.broadcast(listed)).withColumn("observation_date", F.explode(inside)).withColumn("age", F.abs(F.date_diff("observation_date", day)))
-    return repeated.groupBy("customer_id", "observation_date").agg(*aggregates)
-
-
-def _within(days: int, value: Column | str) -> Column:
-    return F.when(F.col("age") < days, F.col(value) if isinstance(value, str) else value)
+    sums, day = sums or {}, F.col(time).cast("date")
+    spans = sorted({d for _, d in [*distinct.values(), *sums.values(), *([last] if last else [])]})
+    rows = None
+    for ident in dict.fromkeys(c for c, _ in distinct.values()):
+        lengths = sorted({d for c, d in distinct.values() if c == ident})
+        one = events.where(F.col(ident).isNotNull() & F.col(time).isNotNull()).groupBy("customer_id", F.col(ident).alias("_id"), day.alias("day")).agg(F.lit(1).cast("long").alias(f"n_{ident}"))
+        own = Window.partitionBy("customer_id", "_id").orderBy("day")
+        near = {f"{side}_{ident}_{d}": F.when(F.abs(F.date_diff(at("day").over(own), "day")) < d, 1).otherwise(0).cast("long") for d in lengths for side, at in (("end", F.lag), ("start", F.lead))}
+        one = one.withColumns(near).drop("_id")
+        rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
+    if sums:
+        added = events.where(F.col(time).isNotNull()).groupBy("customer_id", day.alias("day")).agg(*(F.sum(c).alias(f"s_{c}") for c in dict.fromkeys(c for c, _ in sums.values())))
+        rows = rows.unionByName(added, allowMissingColumns=True)
+    measures = [c for c in rows.columns if c not in ("customer_id", "day")]
+    daily = rows.groupBy("customer_id", "day").agg(*(F.sum(c).alias(c) for c in measures)).where("customer_id is not null")
+
+    ends = [0, *spans]
+    listed = dates.agg(F.collect_list("observation_date").alias("_dates"))  # one row, a date a month
+    asked = daily.select("customer_id").distinct().crossJoin(F.broadcast(listed)).select("customer_id", F.explode("_dates").alias("observation_date"))
+    probes = asked.select("customer_id", "observation_date", F.explode(F.array(*(F.lit(e) for e in ends))).alias("_end"))
+    probes = probes.withColumn("day", F.date_add("observation_date", F.col("_end")) if future else F.date_sub("observation_date", F.col("_end")))
+    along_days = Window.partitionBy("customer_id").orderBy("day").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = daily.withColumn("_seen", F.col("day")).unionByName(probes, allowMissingColumns=True)
+    at = both.withColumns({c: F.coalesce(F.sum(c).over(along_days), F.lit(0)) for c in measures} | {"_seen": F.max("_seen").over(along_days)}).where("observation_date is not null")
+    at = at.groupBy("customer_id", "observation_date").agg(*(F.max(F.when(F.col("_end") == e, F.col(c))).alias(f"{c}_{e}") for e in ends for c in [*measures, "_seen"]))
+
+    def inside(start: str, end: str, days: int) -> Column:
+        later, earlier = (days, 0) if future else (0, days)
+        return F.col(f"{end}_{later}") - F.col(f"{start}_{earlier}")
+
+    made = {n: inside(f"n_{c}", f"n_{c}", d) - inside(f"start_{c}_{d}", f"end_{c}_{d}", d) for n, (c, d) in distinct.items()} | {n: inside(f"s_{c}", f"s_{c}", d) for n, (c, d) in sums.items()}
+    if last:
+        age = F.date_diff("observation_date", "_seen_0")
+        made[last[0]] = F.when(age < last[1], age)
+    return at.select("customer_id", "observation_date", *(v.alias(n) for n, v in made.items()))
 
 
 def window_orders(orders: DataFrame, dates: DataFrame) -> DataFrame:
-    counts = [F.countDistinct(_within(d, "order_id")).alias(f"orders_{d}d") for d in (30, 90, 180)]
-    sums = [F.coalesce(F.sum(_within(d, "total_amount")), F.lit(0)).alias(f"revenue_{d}d") for d in (30, 90, 180)]
-    return window_rollup(orders, "order_date", dates, 180, [*counts, *sums, F.min("age").alias("days_since_last_order")])
+    return window_values(orders, "order_date", dates, distinct={f"orders_{d}d": ("order_id", d) for d in (30, 90, 180)}, sums={f"revenue_{d}d": ("total_amount", d) for d in (30, 90, 180)}, last=("days_since_last_order", 180))
 
 
 def window_payments(payments: DataFrame, dates: DataFrame) -> DataFrame:
-    return window_rollup(payments, "transaction_timestamp", dates, 90, [F.countDistinct("payment_id").alias("payments_90d"), F.sum("amount").alias("payment_amount_90d")])
+    return window_values(payments, "transaction_timestamp", dates, distinct={"payments_90d": ("payment_id", 90)}, sums={"payment_amount_90d": ("amount", 90)})
 
 
 def window_website(web: DataFrame, dates: DataFrame) -> DataFrame:
-    return window_rollup(web, "event_timestamp", dates, 90, [F.countDistinct(_within(30, "event_id")).alias("website_events_30d"), F.countDistinct("event_id").alias("website_events_90d"), F.countDistinct(_within(30, "session_id")).alias("sessions_30d")])
+    return window_values(web, "event_timestamp", dates, distinct={"website_events_30d": ("event_id", 30), "website_events_90d": ("event_id", 90), "sessions_30d": ("session_id", 30)})
 
 
 def window_support(tickets: DataFrame, dates: DataFrame) -> DataFrame:
-    return window_rollup(tickets, "created_at", dates, 90, [F.countDistinct("ticket_id").alias("support_tickets_90d")])
+    return window_values(tickets, "created_at", dates, distinct={"support_tickets_90d": ("ticket_id", 90)})
 
 
 def window_marketing(marketing: DataFrame, dates: DataFrame) -> DataFrame:
-    flags = [F.sum(F.col(c).cast("long")).alias(f"marketing_{c}s_90d") for c in ("impression", "click", "conversion")]
-    return window_rollup(marketing, "event_timestamp", dates, 90, [*flags, F.sum("cost").alias("marketing_cost_90d")])
+    counted = marketing.withColumns({c: F.col(c).cast("long") for c in ("impression", "click", "conversion")})
+    sums = {f"marketing_{c}s_90d": (c, 90) for c in ("impression", "click", "conversion")} | {"marketing_cost_90d": ("cost", 90)}
+    return window_values(counted, "event_timestamp", dates, distinct={"_events": ("marketing_event_id", 90)}, sums=sums).drop("_events")
 
 
 def churn_label(orders: DataFrame, dates: DataFrame, *, horizon_days: int = 60) -> DataFrame:
-    return window_rollup(orders, "order_date", dates, horizon_days, [F.countDistinct("order_id").alias(f"future_orders_{horizon_days}d")], future=True)
+    return window_values(orders, "order_date", dates, distinct={f"future_orders_{horizon_days}d": ("order_id", horizon_days)}, future=True)
 
 
 WINDOWED = ("orders_30d", "orders_90d", "orders_180d", "revenue_30d", "revenue_90d", "revenue_180d", "avg_order_value_90d", "payments_90d", "payment_amount_90d", "website_events_30d", "website_events_90d", "sessions_30d", "support_tickets_90d", "marketing_impressions_90d", "marketing_clicks_90d", "marketing_conversions_90d", "marketing_cost_90d")
@@ -235,16 +264,37 @@ def classification_metrics(scored: DataFrame, *, label: str = "churned", predict
     return made.withColumn("f1", over(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def area_metrics(scored: DataFrame) -> dict[str, float]:
-    """Areas under the ROC and precision-recall curves."""
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+def area_metrics(scored: DataFrame, *, label: str = "churned", score: str = "churn_probability") -> DataFrame:
+    """``positives, negatives, roc_auc, pr_auc``, exact with tied scores: a row a different score, summed up along the scores.
+
+    The ROC area is the share of pairs of a positive and a negative that are in order, ties by half; the precision-recall area
+    is the mean precision at the positives. Null where a class is absent; rows without a score or label do not count.
+    """
+    counts = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("_score")).agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) != 1).cast("long")).alias("neg"))
+    at = running(counts, [F.desc("_score")], ["pos", "neg"])
+    tp, fp = F.col("before_pos") + F.col("pos"), F.col("before_neg") + F.col("neg")
+    sums = at.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("positives"), F.coalesce(F.sum("neg"), F.lit(0)).alias("negatives"), F.sum(F.col("neg") * (F.col("before_pos") + F.col("pos") / 2)).alias("_pairs"), F.sum(F.col("pos") * tp / (tp + fp)).alias("_precisions"))
+    return sums.select("positives", "negatives", F.when((F.col("positives") > 0) & (F.col("negatives") > 0), F.col("_pairs") / F.col("positives") / F.col("negatives")).alias("roc_auc"), F.when(F.col("positives") > 0, F.col("_precisions") / F.col("positives")).alias("pr_auc"))
+
 
-    return {m: BinaryClassificationEvaluator(labelCol="churned", rawPredictionCol="churn_probability", metricName=m).evaluate(scored) for m in ("areaUnderROC", "areaUnderPR")}
+def class_report(scored: DataFrame, *, label: str = "churned", prediction: str = "churn_prediction") -> DataFrame:
+    """``class, precision, recall, f1, support`` of both classes, their plain mean (macro) and the one weighted by support."""
+
+    def over(a: Column, b: Column) -> Column:
+        return F.when(b > 0, a / b).otherwise(F.lit(0.0))
+
+    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
+    sides = F.array(*(F.struct(F.lit(n).alias("class"), over(hit, hit + wrong).alias("precision"), over(hit, hit + missed).alias("recall"), (hit + missed).alias("support")) for n, hit, wrong, missed in (("0", tn, fn, fp), ("1", tp, fp, fn))))
+    each = classification_counts(scored, label=label, prediction=prediction).select(F.inline(sides)).withColumn("f1", over(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    names = ("precision", "recall", "f1")
+    weighed = [over(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(c) for c in names]
+    means = each.agg(F.lit("macro").alias("class"), *(F.avg(c).alias(c) for c in names), F.sum("support").alias("support")).unionByName(each.agg(F.lit("weighted").alias("class"), *weighed, F.sum("support").alias("support")))
+    return each.unionByName(means)
 
 
 def select_champion(metrics: DataFrame) -> DataFrame:
     """The best model by precision-recall area, then ROC area, then F1, then name."""
-    return metrics.orderBy(F.desc("pr_auc"), F.desc("roc_auc"), F.desc("f1"), "model").limit(1)
+    return metrics.orderBy(*(F.desc(F.round(c, 9)) for c in ("pr_auc", "roc_auc", "f1")), "model").limit(1)
 
 
 def score_churn(features: DataFrame, trained: Trained, *, threshold: float = 0.5, alias: str = "champion") -> DataFrame:
@@ -259,3 +309,20 @@ def with_bands(scored: DataFrame, *, threshold: float = 0.5) -> DataFrame:
 def holdout_predictions(test: DataFrame, trained: Trained, *, threshold: float = 0.5) -> DataFrame:
     """Scored test rows with their labels."""
     return with_bands(probability(test, trained), threshold=threshold).select("snapshot_id", "customer_id", "observation_date", "churned", "churn_probability", "churn_prediction", "risk_band")
+
+
+PREDICTIONS = {"customer_id": "long", "prediction_date": "date", "churn_probability": "double", "churn_prediction": "int", "risk_band": "string", "revenue_180d": "double", "revenue_at_risk": "double", "model_name": "string", "model_version": "string", "model_alias": "string"}
+
+
+def load_predictions(spark: SparkSession, source: str, target: str) -> DataFrame:
+    """Stored scores in the table's columns and types; a day's scores replace that day's, and no others. The whole table.
+
+    Scores without the table's columns, of no rows, or with values that break the table's rules are not loaded.
+    """
+    found = require_non_empty(require_columns(spark.read.parquet(source), [c for c in PREDICTIONS if c != "model_alias"]), "predictions")
+    rows = conform(found, PREDICTIONS, {"model_alias": "champion"})
+    p = F.col("churn_probability")
+    broken = F.coalesce(F.col("customer_id").isNull() | F.col("prediction_date").isNull() | ~p.between(0, 1), F.lit(True))
+    if bad := rows.where(broken).count():
+        raise ValueError(f"{bad} predictions have no key or no probability")
+    return record_run(rows, target, "prediction_date")

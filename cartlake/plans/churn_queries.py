@@ -9,6 +9,8 @@ from cartlake.operators.star import Star
 from cartlake.plans import recommend_queries
 from cartlake.plans.registry import query, relation
 from cartlake.plans.star_queries import profiles
+from cartlake.sources.staging import staged
+from cartlake.streaming.runner import work_folder
 
 AS_OF = "2001-08-02"
 relation("live_orders", "select * from src_orders where status <> 'cancelled'")
@@ -67,8 +69,30 @@ def ruled(c):
 
 query("churn_bands", "select customer_id, prediction_date, churn_probability, case when churn_probability >= 0.5 then 1 else 0 end as churn_prediction, case when churn_probability >= 0.8 then 'CRITICAL' when churn_probability >= 0.6 then 'HIGH' when churn_probability >= 0.3 then 'MEDIUM' else 'LOW' end as risk_band, cast(revenue_180d as double) * churn_probability as revenue_at_risk from rule_scores", dates=["prediction_date"], money=["revenue_at_risk", "churn_probability"])(lambda c: ruled(c).select("customer_id", "prediction_date", "churn_probability", "churn_prediction", "risk_band", "revenue_at_risk"))
 query("churn_classification_metrics", f"select tp, fp, tn, fn, cast(tp + tn as double) / (tp + fp + tn + fn) as accuracy, cast(tp as double) / (tp + fp) as precision, cast(tp as double) / (tp + fn) as recall, 2.0 * tp / (2 * tp + fp + fn) as f1 from (select sum(case when churned = 1 and p = 1 then 1 else 0 end) as tp, sum(case when churned = 0 and p = 1 then 1 else 0 end) as fp, sum(case when churned = 0 and p = 0 then 1 else 0 end) as tn, sum(case when churned = 1 and p = 0 then 1 else 0 end) as fn from (select churned, case when {RULE} >= 0.5 then 1 else 0 end as p from training_set) x) y", ratio=["accuracy", "precision", "recall", "f1"], money=["tp", "fp", "tn", "fn"])(lambda c: churn.classification_metrics(churn.churn_training_set(c).withColumn("churn_prediction", (F.expr(RULE) >= 0.5).cast("int"))))
+relation("rule_labels", f"select churned, cast({RULE} as double) as p from training_set")
+query("churn_areas", """with g as (select p, sum(churned) as pos, count(*) - sum(churned) as neg from rule_labels group by 1), a as (select *, sum(pos) over (order by p desc) as tp, sum(neg) over (order by p desc) as fp from g)
+    select cast(sum(pos) as bigint) as positives, cast(sum(neg) as bigint) as negatives, sum(neg * (tp - pos / 2.0)) / sum(pos) / sum(neg) as roc_auc, sum(pos * (cast(tp as double) / (tp + fp))) / sum(pos) as pr_auc from a""", ratio=["roc_auc", "pr_auc"])(lambda c: churn.area_metrics(churn.churn_training_set(c).withColumn("churn_probability", F.expr(RULE).cast("double"))))
+query("churn_class_report", """with k as (select churned as y, case when p >= 0.5 then 1 else 0 end as g from rule_labels), r as (select cast(c.c as varchar) as class, cast(count(*) filter (where y = c.c and g = c.c) as double) as hit, count(*) filter (where g = c.c) as given, count(*) filter (where y = c.c) as support from k, (select unnest([0, 1]) as c) c group by 1),
+    e as (select class, case when given > 0 then hit / given else 0 end as precision, case when support > 0 then hit / support else 0 end as recall, support from r), f as (select *, case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end as f1 from e)
+    select class, precision, recall, f1, support from f union all select 'macro', avg(precision), avg(recall), avg(f1), sum(support) from f union all select 'weighted', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) from f""", ratio=["precision", "recall", "f1"], money=["support"])(
+    lambda c: churn.class_report(churn.churn_training_set(c).withColumn("churn_prediction", (F.expr(RULE) >= 0.5).cast("int")))
+)
 query("churn_validate_predictions", "select count(*) as row_count, 0 as invalid, count(*) - count(distinct customer_id) as duplicates from rule_scores")(lambda c: monitoring.validate_churn_predictions(ruled(c)))
-query("churn_monitor", "select count(*) as predictions, count(distinct customer_id) as customers_scored, avg(churn_probability) as avg_probability, min(churn_probability) as min_probability, max(churn_probability) as max_probability, avg(case when churn_probability >= 0.5 then 1.0 else 0.0 end) as predicted_rate, sum(cast(revenue_180d as double) * churn_probability) as revenue_at_risk, sum(case when churn_probability >= 0.8 then 1 else 0 end) as band_critical, sum(case when churn_probability >= 0.6 and churn_probability < 0.8 then 1 else 0 end) as band_high, sum(case when churn_probability >= 0.3 and churn_probability < 0.6 then 1 else 0 end) as band_medium, sum(case when churn_probability < 0.3 then 1 else 0 end) as band_low, 1 as model_versions, (select count(*) from src_customers) as customers, cast(count(distinct customer_id) as double) / (select count(*) from src_customers) as coverage, 'PASS' as status from rule_scores", ratio=["avg_probability", "min_probability", "max_probability", "predicted_rate", "coverage"], money=["revenue_at_risk", "band_critical", "band_high", "band_medium", "band_low"])(lambda c: monitoring.monitor_churn(ruled(c), c.customers))
+query("churn_monitor", "select timestamp '2001-08-03' as monitored_at, 'PASS' as status, count(*) as prediction_count, (select count(*) from scoring_panel) as feature_count, cast(count(distinct customer_id) as double) / (select count(distinct customer_id) from scoring_panel) as prediction_coverage, avg(churn_probability) as avg_churn_probability, min(churn_probability) as min_churn_probability, max(churn_probability) as max_churn_probability, avg(case when churn_probability >= 0.5 then 1.0 else 0.0 end) as predicted_churn_rate, sum(cast(revenue_180d as double) * churn_probability) as revenue_at_risk, sum(case when churn_probability < 0.3 then 1 else 0 end) as low_risk_customers, sum(case when churn_probability >= 0.3 and churn_probability < 0.6 then 1 else 0 end) as medium_risk_customers, sum(case when churn_probability >= 0.6 and churn_probability < 0.8 then 1 else 0 end) as high_risk_customers, sum(case when churn_probability >= 0.8 then 1 else 0 end) as critical_risk_customers, 0 as invalid_probability_count, count(*) - count(distinct customer_id) as duplicate_customer_count, 'rule' as model_name, '1' as model_version, 'champion' as model_alias, '[]' as validation_errors from rule_scores",
+    ratio=["prediction_coverage", "avg_churn_probability", "min_churn_probability", "max_churn_probability", "predicted_churn_rate"], money=["revenue_at_risk", "low_risk_customers", "medium_risk_customers", "high_risk_customers", "critical_risk_customers"], stamps=["monitored_at"])(
+    lambda c: monitoring.monitor_churn(ruled(c).withColumns({"model_name": F.lit("rule"), "model_alias": F.lit("champion")}), churn.scoring_features(c), monitored_at=F.lit("2001-08-03").cast("timestamp_ntz"))
+)
+
+
+def _loaded(c):
+    """Rule scores stored, loaded twice into the same table and read from it."""
+    source, target = work_folder(c.spark, "scores"), work_folder(c.spark, "predictions")
+    ruled(c).select("customer_id", "prediction_date", "churn_probability", "churn_prediction", "risk_band", "revenue_180d", "revenue_at_risk", F.lit("rule").alias("model_name"), "model_version").write.parquet(source)
+    churn.load_predictions(c.spark, source, target)
+    return churn.load_predictions(c.spark, source, target)
+
+
+query("churn_loaded_predictions", "select customer_id, prediction_date, churn_probability, case when churn_probability >= 0.5 then 1 else 0 end as churn_prediction, case when churn_probability >= 0.8 then 'CRITICAL' when churn_probability >= 0.6 then 'HIGH' when churn_probability >= 0.3 then 'MEDIUM' else 'LOW' end as risk_band, revenue_180d, cast(revenue_180d as double) * churn_probability as revenue_at_risk, 'rule' as model_name, '1' as model_version, 'champion' as model_alias from rule_scores", dates=["prediction_date"], money=["revenue_180d", "revenue_at_risk", "churn_probability"])(_loaded)
 query("serve_churn", "select customer_id, prediction_date, churn_probability, case when churn_probability >= 0.5 then 1 else 0 end as churn_prediction, case when churn_probability >= 0.8 then 'CRITICAL' when churn_probability >= 0.6 then 'HIGH' when churn_probability >= 0.3 then 'MEDIUM' else 'LOW' end as risk_band, cast(revenue_180d as double) * churn_probability as revenue_at_risk from rule_scores", dates=["prediction_date"], money=["revenue_at_risk", "churn_probability"])(lambda c: serving.serve_churn(ruled(c)))
 query("q_customer_metrics", "select g.customer_segment, g.country, g.total_orders, g.total_spend, g.website_event_count, g.support_ticket_count, r.churn_probability, case when r.churn_probability >= 0.8 then 'CRITICAL' when r.churn_probability >= 0.6 then 'HIGH' when r.churn_probability >= 0.3 then 'MEDIUM' when r.churn_probability is not null then 'LOW' end as risk_band from gold_customers g left join rule_scores r on r.customer_id = g.customer_id", money=["total_spend", "churn_probability"])(lambda c: reports.customer_metrics(profiles(c), ruled(c)))
 query("serve_customer_intelligence", "select g.customer_id, g.total_orders, r.churn_probability, (select count(*) from production p where p.customer_id = g.customer_id and p.recommendation_rank <= 10) as recommended, (select min(product_id) from production p where p.customer_id = g.customer_id and p.recommendation_rank = 1) as first_product from gold_customers g left join rule_scores r on r.customer_id = g.customer_id", money=["churn_probability"])(lambda c: _intelligence(c))
@@ -84,15 +108,14 @@ SMALL_MODELS = {"logistic": {"maxIter": 20}, "forest": {"numTrees": 10, "maxDept
 
 
 def _compared(c):
-    """Metrics of a model of each kind on the test dates, the models by kind, and the test rows."""
+    """Metrics of a model of each kind on the test dates, the models by kind, and the test rows; both sides are stored once."""
     rows, models = [], {}
-    train, test = (side.persist() for side in churn.time_split(churn.churn_training_set(c).persist()))
+    train, test = (staged(side, "panel") for side in churn.time_split(staged(churn.churn_training_set(c), "training")))
     for kind, options in SMALL_MODELS.items():
         models[kind] = churn.train_churn(train, kind, **options)
-        scored = churn.probability(test, models[kind])
-        areas = churn.area_metrics(scored)
+        scored = staged(churn.probability(test, models[kind]), "scored")
         counted = churn.classification_metrics(scored.withColumn("churn_prediction", (F.col("churn_probability") >= 0.5).cast("int")))
-        rows.append(counted.withColumns({"model": F.lit(kind), "roc_auc": F.lit(areas["areaUnderROC"]), "pr_auc": F.lit(areas["areaUnderPR"])}))
+        rows.append(counted.crossJoin(churn.area_metrics(scored)).withColumn("model", F.lit(kind)))  # one row each
     return rows[0].unionByName(rows[1]).unionByName(rows[2]), models, test
 
 
@@ -102,6 +125,22 @@ def _champion(c):
     return models[churn.select_champion(metrics).first()["model"]], test
 
 
+relation("rule_models", " union all ".join(f"select '{m}' as model, least(1.0, greatest(0.0, p + {d})) as p, churned from rule_labels" for m, d in (("as_is", 0.0), ("bolder", 0.15), ("shyer", -0.35))))
+query("churn_select_champion", """with g as (select model, p, sum(churned) as pos, count(*) - sum(churned) as neg from rule_models group by 1, 2), a as (select *, sum(pos) over (partition by model order by p desc) as tp, sum(neg) over (partition by model order by p desc) as fp from g),
+    m as (select model, sum(neg * (tp - pos / 2.0)) / sum(pos) / sum(neg) as roc_auc, sum(pos * (cast(tp as double) / (tp + fp))) / sum(pos) as pr_auc from a group by 1), f as (select model, coalesce(2.0 * sum(case when p >= 0.5 then churned else 0 end) / nullif(sum(case when p >= 0.5 then 1 else 0 end) + sum(churned), 0), 0) as f1 from rule_models group by 1)
+    select m.model, m.pr_auc, m.roc_auc, f.f1 from m join f on f.model = m.model order by round(m.pr_auc, 9) desc, round(m.roc_auc, 9) desc, round(f.f1, 9) desc, m.model limit 1""", ratio=["pr_auc", "roc_auc", "f1"])(lambda c: _rule_champion(c))
+
+
+def _rule_champion(c):
+    """The choice among the rule and two that shift its scores: equal areas, so that F1 and the name decide."""
+    parts = []
+    labelled = staged(churn.churn_training_set(c).select("churned", F.expr(RULE).cast("double").alias("rule")), "labelled")
+    for name, shift in (("as_is", 0.0), ("bolder", 0.15), ("shyer", -0.35)):
+        scored = labelled.withColumn("churn_probability", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("rule") + shift))).withColumn("churn_prediction", (F.col("churn_probability") >= 0.5).cast("int"))
+        parts.append(churn.classification_metrics(scored).crossJoin(churn.area_metrics(scored)).withColumn("model", F.lit(name)))
+    return churn.select_champion(parts[0].unionByName(parts[1]).unionByName(parts[2])).select("model", "pr_auc", "roc_auc", "f1")
+
+
 query("churn_champion")(lambda c: churn.select_champion(_compared(c)[0]))
 query("churn_scores")(lambda c: churn.score_churn(churn.scoring_features(c), _champion(c)[0]))
 query("churn_holdout_predictions")(lambda c: churn.holdout_predictions(*reversed(_champion(c))))

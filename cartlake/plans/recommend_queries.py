@@ -10,6 +10,8 @@ from cartlake.operators import recommend as R
 from cartlake.operators import vectors as vectors_of
 from cartlake.plans.registry import query, relation
 from cartlake.sources.staging import staged
+from cartlake.sources.tables import record_run
+from cartlake.streaming.runner import work_folder
 
 LIVE = "upper(coalesce(o.status, '')) not in ('CANCELLED', 'CANCELED')"
 relation("rec_events", f"""select customer_id, product_id, event_type, event_timestamp, max(interaction_weight) as interaction_weight, source, source_event_id, cast(event_timestamp as date) as event_date from (
@@ -182,6 +184,27 @@ def _retrieval(c):
 # --- validation, monitoring, serving of recommendations ------------------------------------------------------
 
 query("validate_recommendations", "select count(*) as row_count, 0 as null_keys, count(*) - count(distinct customer_id * 1000000000 + product_id) as duplicates, sum(case when recommendation_rank not between 1 and 10 then 1 else 0 end) as bad_ranks, sum(case when recommendation_score < 0 then 1 else 0 end) as bad_scores, (select count(*) from production p join all_pairs a on a.customer_id = p.customer_id and a.product_id = p.product_id) as seen, 1 as runs, cast(count(distinct customer_id) as double) / (select count(*) from src_customers) as coverage from production", ratio=["coverage"], money=["bad_ranks", "bad_scores"])(lambda c: monitoring.validate_recommendations(production_of(c), pairs_of(c), c.customers))
-query("monitor_recommendations", "select 'run-1' as run_id, count(*) as recommendations, count(distinct customer_id) as customers_reached, count(distinct product_id) as products, avg(recommendation_score) as avg_score, min(recommendation_score) as min_score, max(recommendation_score) as max_score, " + ", ".join(f"sum(case when recommendation_reason = '{r}' then 1.0 else 0.0 end) / count(*) as share_{r}" for r in R.REASONS) + ", 'PASS' as status from production", ratio=["avg_score", "min_score", "max_score", *(f"share_{r}" for r in R.REASONS)])(lambda c: monitoring.monitor_recommendations(production_of(c)).drop("median_score"))
+MONITOR = """select '{run}' as run_id, 'hybrid_item_item_popularity' as model_name, 'v1' as model_version, 0.8 as personalized_weight, 0.2 as popularity_weight, (select count(*) from src_customers) as total_customers, count(distinct customer_id) as recommended_customers, cast(count(distinct customer_id) as double) / (select count(*) from src_customers) as customer_coverage, (select count(*) from src_products) as total_products, count(distinct product_id) as recommended_products, cast(count(distinct product_id) as double) / (select count(*) from src_products) as catalog_coverage,
+    count(*) as total_recommendations, cast(count(*) as double) / count(distinct customer_id) as avg_recommendations_per_customer, avg(recommendation_score) as avg_score, min(recommendation_score) as min_score, max(recommendation_score) as max_score, count(*) filter (where recommendation_reason in ('hybrid_personalized', 'personalized_similarity')) as personalized_count, cast(count(*) filter (where recommendation_reason in ('hybrid_personalized', 'personalized_similarity')) as double) / count(*) as personalized_pct,
+    count(*) filter (where recommendation_reason = 'popular_fallback') as fallback_count, cast(count(*) filter (where recommendation_reason = 'popular_fallback') as double) / count(*) as fallback_pct, count(*) filter (where recommendation_reason = 'popular_cold_start') as cold_start_count, cast(count(*) filter (where recommendation_reason = 'popular_cold_start') as double) / count(*) as cold_start_pct, 0 as duplicate_pairs, 0 as invalid_scores, timestamp '{at}' as monitored_at from production"""
+MONITORED = ["personalized_weight", "popularity_weight", "customer_coverage", "catalog_coverage", "avg_recommendations_per_customer", "avg_score", "min_score", "max_score", "personalized_pct", "fallback_pct", "cold_start_pct"]
+
+
+def monitored(c, made, run: str, at: str):
+    return monitoring.monitor_recommendations(made.withColumn("run_id", F.lit(run)), c.customers, c.products, monitored_at=F.lit(at).cast("timestamp_ntz"))
+
+
+query("monitor_recommendations", MONITOR.format(run="run-1", at="2001-08-03"), ratio=MONITORED, stamps=["monitored_at"])(lambda c: monitored(c, production_of(c), "run-1", "2001-08-03").drop("median_score"))
+query("monitor_history", f"{MONITOR.format(run='run-1', at='2001-08-05')} union all {MONITOR.format(run='run-2', at='2001-08-04')}", ratio=MONITORED, stamps=["monitored_at"])(lambda c: _history(c).drop("median_score"))
+
+
+def _history(c):
+    """Two runs, the first of them repeated: its later rows take the place of its earlier ones."""
+    made, path = staged(production_of(c), "production"), work_folder(c.spark, "monitoring")
+    for run, at in (("run-1", "2001-08-03"), ("run-2", "2001-08-04"), ("run-1", "2001-08-05")):
+        history = record_run(monitored(c, made, run, at), path)
+    return history
+
+
 query("serve_recommendations", "select customer_id, product_id, recommendation_rank, recommendation_score, recommendation_reason from production", ratio=["recommendation_score"])(lambda c: serving.serve_recommendations(production_of(c)))
 query("top_recommendations", "select customer_id, product_id, recommendation_rank from production where recommendation_rank <= 3")(lambda c: serving.top_recommendations(production_of(c), 3).select("customer_id", "product_id", "recommendation_rank"))
