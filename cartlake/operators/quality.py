@@ -5,9 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from cartlake.operators.star import build_star
+from cartlake.sources.tables import record_run
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -43,15 +46,53 @@ def run_expectations(df: DataFrame, table_name: str, rules: list[Rule]) -> DataF
     return each.select(F.lit(table_name).alias("table_name"), "v.expectation", "v.broken", ((F.col("v.broken") == 0) & (F.col("rows") > 0)).alias("success"))
 
 
-STAR_RULES: dict[str, list[Rule]] = {
-    "dim_customer": [Rule("not_null", "customer_id"), Rule("unique", "customer_id"), Rule("not_null", "email")],
-    "dim_product": [Rule("not_null", "product_id"), Rule("unique", "product_id"), Rule("non_negative", "price")],
-    "dim_date": [Rule("not_null", "date_key"), Rule("unique", "date_key")],
-    "fact_orders": [Rule("not_null", "order_id"), Rule("unique", "order_id"), Rule("not_null", "customer_id"), Rule("non_negative", "total_amount"), Rule("in_set", "payment_match_status", ("MATCHED", "MISMATCH", "NO_PAYMENT")), Rule("non_negative", "line_count")],
-    "fact_payments": [Rule("not_null", "payment_id"), Rule("unique", "payment_id"), Rule("not_null", "order_id"), Rule("non_negative", "amount")],
-    "fact_customer_activity": [Rule("not_null", "customer_id"), Rule("unique", "customer_id"), Rule("non_negative", "website_event_count"), Rule("non_negative", "session_count"), Rule("non_negative", "support_ticket_count")],
-    "mart_customer_value": [Rule("not_null", "customer_id"), Rule("unique", "customer_id"), Rule("non_negative", "total_orders"), Rule("non_negative", "lifetime_order_value"), Rule("in_set", "customer_value_segment", ("HIGH_VALUE", "MEDIUM_VALUE", "LOW_VALUE", "PROSPECT"))],
+#: Rules of the star schema; fixed values: table -> kind -> columns, or the accepted values of a column.
+STAR_COLUMNS: dict[str, dict[str, tuple[str, ...] | dict[str, tuple[str, ...]]]] = {
+    "dim_customer": {"not_null": ("customer_id", "email"), "unique": ("customer_id",)},
+    "dim_product": {"not_null": ("product_id", "price"), "unique": ("product_id",), "non_negative": ("price", "cost", "inventory_quantity")},
+    "dim_date": {"not_null": ("date_key", "date_day"), "unique": ("date_key", "date_day")},
+    "fact_orders": {"not_null": ("order_id", "customer_id", "date_key"), "unique": ("order_id",), "non_negative": ("total_amount", "line_count", "item_quantity", "gross_item_amount"), "in_set": {"payment_match_status": ("MATCHED", "MISMATCH", "NO_PAYMENT")}},
+    "fact_payments": {"not_null": ("payment_id", "order_id", "customer_id"), "unique": ("payment_id",), "non_negative": ("amount",)},
+    "fact_customer_activity": {"not_null": ("customer_id",), "unique": ("customer_id",), "non_negative": ("website_event_count", "session_count", "support_ticket_count", "open_support_ticket_count", "marketing_impressions", "marketing_clicks", "marketing_conversions", "marketing_cost")},
+    "mart_customer_value": {"not_null": ("customer_id", "customer_value_segment"), "unique": ("customer_id",), "non_negative": ("total_orders", "lifetime_order_value", "lifetime_payments"), "in_set": {"customer_value_segment": ("HIGH_VALUE", "MEDIUM_VALUE", "LOW_VALUE", "PROSPECT")}},
 }
+STAR_RULES: dict[str, list[Rule]] = {table: [Rule(kind, c, columns[c] if isinstance(columns, dict) else ()) for kind, columns in kinds.items() for c in columns] for table, kinds in STAR_COLUMNS.items()}
+
+
+def write_checked(df: DataFrame, path: str, table_name: str, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
+    """Writes a table and gives it back as stored, with the verdicts of its rules.
+
+    What counts rows is observed while the table is written, so it costs no pass of its own; uniqueness reads one stored
+    column a rule, pre-aggregated by value.
+    """
+    seen = Observation(f"quality {table_name}")
+    counted = [r for r in rules if r.kind != "unique"]
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *(_broken(r).alias(r.name) for r in counted)).write.mode("overwrite").parquet(path)
+    stored, broken = df.sparkSession.read.schema(df.schema).parquet(path), dict(seen.get)
+    for rule in rules:
+        if rule.kind == "unique":
+            again = stored.where(F.col(rule.column).isNotNull()).groupBy(rule.column).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)))
+            broken[rule.name] = again.first()[0]
+    verdicts = [(table_name, r.name, int(broken[r.name]), broken[r.name] == 0 and broken["rows"] > 0) for r in rules]
+    return stored, df.sparkSession.createDataFrame(verdicts, "table_name string, expectation string, broken long, success boolean")
+
+
+def run_checked(source, folder: str, rules: dict[str, list[Rule]] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The star's models, each stored once under ``folder`` and checked as it is written, and all verdicts."""
+    verdicts = []
+
+    def store(name: str, model: DataFrame) -> DataFrame:
+        stored, found = write_checked(model, f"{folder}/{name}", name, (rules or STAR_RULES).get(name, []))
+        verdicts.append(found)
+        return stored
+
+    return build_star(source, store=store), reduce(DataFrame.unionByName, verdicts)
+
+
+def audit(verdicts: DataFrame, path: str, *, run_id: str, checked_at: Column | None = None) -> DataFrame:
+    """The run's verdicts among those of all runs: run_id, table_name, expectation, success, checked_at; a repeated run replaces its own."""
+    rows = verdicts.select(F.lit(run_id).alias("run_id"), "table_name", "expectation", "success", (F.current_timestamp() if checked_at is None else checked_at).alias("checked_at"))
+    return record_run(rows, path)
 
 
 def run_quality(tables: dict[str, DataFrame], rules: dict[str, list[Rule]] | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,13 +120,17 @@ def mart_customer_value(customers: DataFrame, orders: DataFrame, payments: DataF
 
 
 class Star:
-    """The star schema of a set of entities; each model is built once, from those it needs."""
+    """The star schema of a set of entities; each model is built once, from those it needs.
+
+    With ``store`` (a model's name and frame to the frame as stored), each model is stored once, and what is built from it
+    reads it there; without it models are plans.
+    """
 
     STAGING = {"customers": stg_customers, "products": stg_products, "orders": stg_orders, "order_items": stg_order_items, "payments": stg_payments, "website_events": stg_website_events, "support_tickets": stg_support_tickets, "marketing_events": stg_marketing_events}
     MODELS = ("dim_customer", "dim_product", "dim_date", "fact_orders", "fact_payments", "fact_customer_activity", "mart_customer_value")
 
-    def __init__(self, source) -> None:
-        self.source, self.built = source, {}
+    def __init__(self, source, store: Callable[[str, DataFrame], DataFrame] | None = None) -> None:
+        self.source, self.built, self.store = source, {}, store
 
     def stg(self, entity: str) -> DataFrame:
         name = f"stg_{entity}"
@@ -134,7 +140,7 @@ class Star:
 
     def model(self, name: str) -> DataFrame:
         if name not in self.built:
-            self.built[name] = {
+            made = {
                 "dim_customer": lambda: dim_customer(self.stg("customers")),
                 "dim_product": lambda: dim_product(self.stg("products")),
                 "dim_date": lambda: dim_date(self.stg("orders")),
@@ -143,10 +149,11 @@ class Star:
                 "fact_customer_activity": lambda: fact_customer_activity(self.stg("customers"), self.stg("website_events"), self.stg("support_tickets"), self.stg("marketing_events")),
                 "mart_customer_value": lambda: mart_customer_value(*map(self.model, ("dim_customer", "fact_orders", "fact_payments", "fact_customer_activity"))),
             }[name]()
+            self.built[name] = made if self.store is None else self.store(name, made)
         return self.built[name]
 
 
-def build_star(source, names: tuple[str, ...] = Star.MODELS) -> dict[str, DataFrame]:
-    """The named models, those that they need included in their plans."""
-    star = Star(source)
+def build_star(source, names: tuple[str, ...] = Star.MODELS, *, store: Callable[[str, DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The named models: those that they need are included in their plans or, with ``store``, stored once for the run."""
+    star = Star(source, store)
     return {name: star.model(name) for name in names}

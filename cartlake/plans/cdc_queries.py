@@ -11,6 +11,7 @@ from cartlake.operators.star import Star
 from cartlake.plans.registry import ORACLES, query, relation
 from cartlake.plans.star_queries import profiles
 from cartlake.sources.commerce import KEYS
+from cartlake.streaming.runner import work_folder
 
 def order_envelopes(orders: DataFrame) -> DataFrame:
     """A change log made from orders: reads, updates, stale updates, repeats, deletes and malformed rows."""
@@ -102,9 +103,21 @@ _SQL_RULE = {
     "non_negative": "sum(case when {c} < 0 then 1 else 0 end)",
     "in_set": "sum(case when {c} not in ({v}) then 1 else 0 end)",
 }
-relation("dim_date_keys", "select distinct date_key from (select year(d) * 10000 + month(d) * 100 + day(d) as date_key from (select cast(unnest(generate_series(lo, hi, interval 1 day)) as date) as d from (select cast(min(order_date) as date) as lo, cast(max(order_date) as date) as hi from stg_orders) ends) days) keys")
+relation("dim_date_keys", "select distinct date_key, date_day from (select year(d) * 10000 + month(d) * 100 + day(d) as date_key, d as date_day from (select cast(unnest(generate_series(lo, hi, interval 1 day)) as date) as d from (select cast(min(order_date) as date) as lo, cast(max(order_date) as date) as hi from stg_orders) ends) days) keys")
 _RULES_SQL = " union all ".join(f"select '{t}' as table_name, '{r.name}' as expectation, cast({_SQL_RULE[r.kind].format(c=r.column, v=', '.join(repr(v) for v in r.values))} as bigint) as broken, {_SQL_RULE[r.kind].format(c=r.column, v=', '.join(repr(v) for v in r.values))} = 0 as success from {'dim_date_keys' if t == 'dim_date' else t}" for t, rules in quality.STAR_RULES.items() for r in rules)
-query("quality_rules", _RULES_SQL)(lambda c: quality.run_quality({n: Star(c).model(n) for n in Star.MODELS}))
+query("quality_rules", _RULES_SQL)(lambda c: quality.run_checked(c, work_folder(c.spark, "star"))[1])
+query("quality_audit", " union all ".join(f"select '{run}' as run_id, table_name, expectation, success, timestamp '{at}' as checked_at from ({_RULES_SQL}) r" for run, at in (("run-1", "2001-08-05"), ("run-2", "2001-08-04"))), stamps=["checked_at"])(lambda c: _audited(c))
+
+
+def _audited(c):
+    """Verdicts of two runs, the first of them told twice."""
+    _, verdicts = quality.run_checked(c, work_folder(c.spark, "star"))
+    path = work_folder(c.spark, "audit")
+    for run, at in (("run-1", "2001-08-03"), ("run-2", "2001-08-04"), ("run-1", "2001-08-05")):
+        rows = quality.audit(verdicts, path, run_id=run, checked_at=F.lit(at).cast("timestamp_ntz"))
+    return rows
+
+
 query("quality_raw_lineitem_rules", "select 'lineitem' as table_name, 'unique(l_orderkey)' as expectation, count(l_orderkey) - count(distinct l_orderkey) as broken, false as success from lineitem union all select 'lineitem', 'in_set(l_returnflag)', sum(case when l_returnflag <> 'A' then 1 else 0 end), false from lineitem", money=["broken"])(lambda c: quality.run_expectations(c.table("lineitem"), "lineitem", [quality.Rule("unique", "l_orderkey"), quality.Rule("in_set", "l_returnflag", ("A",))]))
 query("quality_relationships", "select 'fact_orders' as table_name, 'relationships(customer_id)' as expectation, count(*) as broken, count(*) = 0 as success from fact_orders f where not exists (select 1 from dim_customer d where d.customer_id = f.customer_id) union all select 'website_events', 'relationships(customer_id)', count(*), count(*) = 0 from src_website_events f where not exists (select 1 from dim_customer d where d.customer_id = f.customer_id)")(
     lambda c: quality.relationship(Star(c).model("fact_orders"), "customer_id", Star(c).model("dim_customer"), "customer_id", "fact_orders").unionByName(quality.relationship(c.website_events, "customer_id", Star(c).model("dim_customer"), "customer_id", "website_events"))

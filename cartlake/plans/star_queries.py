@@ -18,19 +18,20 @@ relation("dim_product", "select product_id, product_name, category, subcategory,
 relation("order_lines", """select order_id, 'line' as kind, quantity as units, quantity * unit_price as value, discount as cut, null as stamp from src_order_items
     union all select order_id, 'payment', null, amount, null, transaction_timestamp from stg_payments""")
 relation("fact_orders", """with totals as (select order_id, count(*) filter (where kind = 'line') as lines, sum(units) as units, sum(value) filter (where kind = 'line') as gross, sum(cut) as cut, sum(value) filter (where kind = 'payment') as paid, max(stamp) as stamp from order_lines group by order_id)
-    select order_id, customer_id, cast(strftime(order_date, '%Y%m%d') as bigint) as date_key, order_date, order_status, payment_method, total_amount, discount as order_discount, tax, ifnull(lines, 0) as line_count, ifnull(units, 0) as item_quantity, ifnull(gross, 0) as gross_item_amount, ifnull(cut, 0) as item_discount_amount,
-    ifnull(paid, 0) as payment_amount, stamp as last_payment_timestamp, ifnull(paid, 0) - total_amount as payment_variance, if(paid is null, 'NO_PAYMENT', if(paid between total_amount - 0.01 and total_amount + 0.01, 'MATCHED', 'MISMATCH')) as payment_match_status from stg_orders left join totals using (order_id)""")
+    select order_id, customer_id, cast(strftime(order_date, '%Y%m%d') as bigint) as date_key, order_date, order_status, payment_method, total_amount, discount as order_discount, tax, coalesce(lines, 0) as line_count, coalesce(units, 0) as item_quantity, coalesce(gross, 0) as gross_item_amount, coalesce(cut, 0) as item_discount_amount,
+    coalesce(paid, 0) as payment_amount, stamp as last_payment_timestamp, coalesce(paid, 0) - total_amount as payment_variance, case when paid is null then 'NO_PAYMENT' when abs(paid - total_amount) <= 0.01 then 'MATCHED' else 'MISMATCH' end as payment_match_status from stg_orders left join totals using (order_id)""")
 relation("fact_payments", "select p.payment_id, p.order_id, p.customer_id, year(p.transaction_timestamp) * 10000 + month(p.transaction_timestamp) * 100 + day(p.transaction_timestamp) as date_key, p.amount, p.payment_method, p.payment_status, p.transaction_timestamp, o.order_status, o.total_amount as order_total_amount from stg_payments p left join stg_orders o on o.order_id = p.order_id")
-relation("fact_customer_activity", """select c.customer_id, coalesce(w.n, 0) as website_event_count, coalesce(w.s, 0) as session_count, w.t as last_website_event, coalesce(s.n, 0) as support_ticket_count, coalesce(s.o, 0) as open_support_ticket_count, coalesce(s.a, 0) as avg_resolution_time_minutes,
-    coalesce(m.i, 0) as marketing_impressions, coalesce(m.c, 0) as marketing_clicks, coalesce(m.v, 0) as marketing_conversions, coalesce(m.k, 0) as marketing_cost from src_customers c
-    left join (select customer_id, count(*) as n, count(distinct session_id) as s, max(event_timestamp) as t from src_website_events group by 1) w on w.customer_id = c.customer_id
-    left join (select customer_id, count(*) as n, sum(case when upper(status) in ('CLOSED', 'RESOLVED') then 0 else 1 end) as o, avg(resolution_time_minutes) as a from src_support_tickets group by 1) s on s.customer_id = c.customer_id
-    left join (select customer_id, sum(cast(impression as int)) as i, sum(cast(click as int)) as c, sum(cast(conversion as int)) as v, sum(cost) as k from src_marketing_events group by 1) m on m.customer_id = c.customer_id""")
+# From the definitions: what a customer did, as rows of one list, of which each measure counts its own kind.
+relation("activity_rows", """select customer_id, 'visit' as kind, session_id, event_timestamp as stamp, null as is_open, null as minutes, null as shown, null as clicked, null as converted, null as cost from src_website_events
+    union all select customer_id, 'ticket', null, null, upper(status) not in ('CLOSED', 'RESOLVED'), resolution_time_minutes, null, null, null, null from src_support_tickets
+    union all select customer_id, 'contact', null, null, null, null, impression, click, conversion, cost from src_marketing_events""")
+relation("fact_customer_activity", """select c.customer_id, count(*) filter (where kind = 'visit') as website_event_count, count(distinct session_id) as session_count, max(stamp) as last_website_event, count(*) filter (where kind = 'ticket') as support_ticket_count, count(*) filter (where is_open) as open_support_ticket_count, coalesce(avg(minutes), 0) as avg_resolution_time_minutes,
+    count(*) filter (where shown) as marketing_impressions, count(*) filter (where clicked) as marketing_clicks, count(*) filter (where converted) as marketing_conversions, coalesce(sum(cost), 0) as marketing_cost from src_customers c left join activity_rows using (customer_id) group by c.customer_id""")
 relation("mart_customer_value", """with sums as (select customer_id, count(order_id) as orders, sum(value) as value, max(bought) as bought, sum(paid) as paid, max(paid_at) as paid_at from (
-        select customer_id, order_id, if(order_status like 'CANCEL%ED', 0, total_amount) as value, order_date as bought, null as paid, null as paid_at from fact_orders
+        select customer_id, order_id, case when order_status in ('CANCELLED', 'CANCELED') then 0 else total_amount end as value, order_date as bought, null as paid, null as paid_at from fact_orders
         union all select customer_id, null, null, null, amount, transaction_timestamp from fact_payments) x group by customer_id)
-    select customer_id, customer_name, email, country, state, city, customer_segment, ifnull(orders, 0) as total_orders, ifnull(value, 0) as lifetime_order_value, ifnull(paid, 0) as lifetime_payments, website_event_count, session_count, support_ticket_count, marketing_impressions, marketing_clicks, marketing_conversions,
-    bought as last_order_date, paid_at as last_payment_date, case greatest(if(orders >= 10 or value >= 5000, 3, 0), if(orders >= 3 or value >= 1000, 2, 0), if(orders > 0, 1, 0)) when 3 then 'HIGH_VALUE' when 2 then 'MEDIUM_VALUE' when 1 then 'LOW_VALUE' else 'PROSPECT' end as customer_value_segment
+    select customer_id, customer_name, email, country, state, city, customer_segment, coalesce(orders, 0) as total_orders, coalesce(value, 0) as lifetime_order_value, coalesce(paid, 0) as lifetime_payments, website_event_count, session_count, support_ticket_count, marketing_impressions, marketing_clicks, marketing_conversions,
+    bought as last_order_date, paid_at as last_payment_date, case when orders >= 10 or value >= 5000 then 'HIGH_VALUE' when orders >= 3 or value >= 1000 then 'MEDIUM_VALUE' when orders > 0 then 'LOW_VALUE' else 'PROSPECT' end as customer_value_segment
     from dim_customer left join fact_customer_activity using (customer_id) left join sums using (customer_id)""")
 
 # --- cleaning ------------------------------------------------------------------------------------------------
