@@ -1,5 +1,6 @@
 """Invariants of operators that SQL does not cover."""
 
+import datetime
 import random
 
 import numpy as np
@@ -151,3 +152,70 @@ def test_index_probes_few_cells_of_clustered_vectors(spark):
     probes = vectors.choose_probes(index, asked, df)
     cells = len(index.centres[16])
     assert probes <= cells // 2 and vectors.recall(vectors.search_index(index, asked, probes=probes), vectors.vector_top_k(asked, df)).first()["recall"] >= 0.9
+
+
+def test_checked_writes_tell_the_same_as_expectations(spark, tmp_path):
+    rows = spark.createDataFrame([(1, -1.0, "A"), (1, 2.0, "B"), (1, 2.0, None), (None, 3.0, None)], "k int, amount double, status string")
+    rules = [quality.Rule("not_null", "k"), quality.Rule("unique", "k"), quality.Rule("non_negative", "amount"), quality.Rule("in_set", "status", ("A",))]
+    stored, found = quality.write_checked(rows, f"{tmp_path}/t", "t", rules)
+    assert stored.count() == 4 and sorted(map(tuple, found.collect())) == sorted(map(tuple, quality.run_expectations(rows, "t", rules).collect()))
+    _, empty = quality.write_checked(rows.limit(0), f"{tmp_path}/e", "t", rules)
+    assert not any(r.success for r in empty.collect())
+    assert sum(len(r) for r in quality.STAR_RULES.values()) == 44
+
+
+def test_windows_equal_looking_at_every_event(spark):
+    """Identifiers on several days, windows of several lengths, both directions, missing values and customers without events."""
+    rng = random.Random(6)
+    day = datetime.date(2024, 1, 1)
+    events = [(rng.randint(1, 4), rng.choice([None, *"abcdef"]), day + datetime.timedelta(rng.randint(0, 120)), rng.choice([None, 1, 5])) for _ in range(300)]
+    dates = [day + datetime.timedelta(n) for n in (0, 31, 60, 90, 130, 400)]
+    df = spark.createDataFrame(events, "customer_id int, id string, t date, v int")
+    when = spark.createDataFrame([(d,) for d in dates], "observation_date date")
+    for future in (False, True):
+        found = {(r.customer_id, r.observation_date): (r.n7, r.n30, r.s, r.age) for r in churn.window_values(df, "t", when, distinct={"n7": ("id", 7), "n30": ("id", 30)}, sums={"s": ("v", 14)}, last=("age", 20), future=future).collect()}
+        for c in range(1, 5):
+            for d in dates:
+                def inside(days, e):
+                    gap = (e[2] - d).days if future else (d - e[2]).days
+                    return e[0] == c and (0 < gap <= days if future else 0 <= gap < days)
+
+                n7, n30 = (len({e[1] for e in events if inside(n, e)} - {None}) for n in (7, 30))
+                # The last day is that of an event with an identifier or a value.
+                ages = [(d - e[2]).days for e in events if e[0] == c and e[2] <= d and (e[1] is not None or e[2] is not None)]
+                age = min(ages, default=None)
+                assert found[c, d] == (n7, n30, sum(e[3] or 0 for e in events if inside(14, e)), age if age is not None and age < 20 else None)
+
+
+def test_areas_with_ties(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([0, 1]), rng.randint(0, 5) / 5) for _ in range(400)] + [(None, 0.5), (1, None)]
+    r = churn.area_metrics(spark.createDataFrame(rows, "churned int, churn_probability double").repartition(5)).first()
+    pos, neg = ([p for y, p in rows[:400] if y == side] for side in (1, 0))
+    roc = sum((p > q) + (p == q) / 2 for p in pos for q in neg) / len(pos) / len(neg)
+    precision = {s: sum(p >= s for p in pos) / sum(p >= s for p in pos + neg) for s in set(pos)}
+    assert (r.positives, r.negatives) == (len(pos), len(neg)) and r.roc_auc == pytest.approx(roc) and r.pr_auc == pytest.approx(sum(precision[p] for p in pos) / len(pos))
+    one = churn.area_metrics(spark.createDataFrame([(1, 0.5)], "churned int, churn_probability double")).first()
+    assert one.roc_auc is None and one.pr_auc == 1.0
+
+
+def test_broken_predictions_are_not_loaded(spark, tmp_path):
+    good = [(1, datetime.date(2024, 1, 1), 0.5, 1, "MEDIUM", 1.0, 0.5, "m", "1")]
+    schema = "customer_id long, prediction_date date, churn_probability double, churn_prediction int, risk_band string, revenue_180d double, revenue_at_risk double, model_name string, model_version string"
+    for name, rows in (("empty", []), ("bad", [(1, None, *good[0][2:])]), ("high", [(*good[0][:2], 1.5, *good[0][3:])])):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}")
+        with pytest.raises(ValueError):
+            churn.load_predictions(spark, f"{tmp_path}/{name}", f"{tmp_path}/table")
+    spark.createDataFrame(good, schema).write.parquet(f"{tmp_path}/good")
+    assert churn.load_predictions(spark, f"{tmp_path}/good", f"{tmp_path}/table").first().model_alias == "champion"
+
+
+def test_pipeline_of_features_and_model(spark):
+    """Missing numbers are filled, unknown categories scored, weights balance the classes."""
+    rows = [(i, f"s{i}", None if i % 9 == 0 else float(i % 10), "ab"[i % 2], "xyz"[i % 3], "pq"[i % 2], int(i % 10 > 6)) for i in range(120)]
+    df = spark.createDataFrame(rows, "customer_id int, snapshot_id string, orders_30d double, customer_segment string, country string, state string, churned int")
+    trained = churn.train_churn(df, "logistic", maxIter=20)
+    weights = churn.balanced(df).groupBy("churned").agg(F.sum("weight").alias("w")).collect()
+    assert len({round(r.w, 6) for r in weights}) == 1
+    scored = churn.probability(df.withColumn("customer_segment", F.lit("never seen")), trained).collect()
+    assert all(0 <= r.churn_probability <= 1 for r in scored) and churn.area_metrics(churn.probability(df, trained)).first().roc_auc > 0.9
