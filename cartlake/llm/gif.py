@@ -63,7 +63,7 @@ def lzw_encode(pixels: bytes, depth: int = 8) -> bytes:
 
 
 def lzw_decode(data: bytes, depth: int, n_pixels: int) -> bytes:
-    """Pixels of a code stream; what is missing at its end stays index 0, what exceeds the image is left out."""
+    """Pixels of a code stream; one that ends before the image is full is an error, what exceeds the image is left out."""
     clear, end = 1 << depth, (1 << depth) + 1
     literals = [bytes([i]) for i in range(clear)] + [b"", b""]
     table, width, limit, before = literals[:], depth + 1, 2 << depth, b""
@@ -73,7 +73,7 @@ def lzw_decode(data: bytes, depth: int, n_pixels: int) -> bytes:
     while done < n_pixels:
         while held < width:
             if at >= n_bytes:
-                return b"".join(out).ljust(n_pixels, b"\0")[:n_pixels]
+                raise ValueError(f"the code stream ends after {done} of {n_pixels} pixels")
             value |= int.from_bytes(data[at : at + 6], "little") << held
             held += 8 * len(data[at : at + 6])
             at += 6
@@ -85,7 +85,7 @@ def lzw_decode(data: bytes, depth: int, n_pixels: int) -> bytes:
             mask = (1 << width) - 1
             continue
         if code == end:
-            break
+            raise ValueError(f"the code stream ends after {done} of {n_pixels} pixels")
         if code < len(table):
             piece = table[code]
             if before and len(table) < 4096:
@@ -102,7 +102,7 @@ def lzw_decode(data: bytes, depth: int, n_pixels: int) -> bytes:
             width += 1
             limit <<= 1
             mask = (1 << width) - 1
-    return b"".join(out).ljust(n_pixels, b"\0")[:n_pixels]
+    return b"".join(out)[:n_pixels]
 
 
 def _blocks(data: bytes) -> bytes:
@@ -121,7 +121,8 @@ def encode(frames: list[bytes], width: int, *, delay_cs: int = 10, palette: np.n
 
 
 def decode(data: bytes) -> Iterator[Frame]:
-    """Composed frames of a file: palettes, interlacing, transparency and disposal applied."""
+    """Composed frames of a file: palettes, interlacing, transparency and disposal applied; a broken or cut file is an error
+    where the damage is reached."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF file")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
@@ -175,6 +176,8 @@ def decode(data: bytes) -> Iterator[Frame]:
             delay, disposal, clear_index = 0, 0, None
         else:
             raise ValueError(f"unknown block {data[at]:#x}")
+    if at >= len(data):
+        raise ValueError("the file ends without its trailer")
 
 
 def histogram(rgb: np.ndarray) -> np.ndarray:

@@ -60,9 +60,9 @@ def gif_frames(media: DataFrame, id_column: str = "media_id", file_column: str =
                     rows.append((key, k, start, frame.delay_ms, width, height, frame.disposal, frame.transparent, bins[:8], bins[8:16], bins[16:], frame.rgb.tobytes() if keep_pixels else None, None))
                     start += frame.delay_ms
             except (ValueError, IndexError, OSError) as broken:
-                rows.append((key, *[None] * 11, str(broken)))
+                rows = [(key, *[None] * 11, str(broken))]
             except Exception as broken:  # struct.error of a cut header
-                rows.append((key, *[None] * 11, f"cut short: {broken}"))
+                rows = [(key, *[None] * 11, f"cut short: {broken}")]
             yield {n.split()[0]: [r[i] for r in rows] for i, n in enumerate(names)}
 
     return map_batches(need(media, id_column, file_column).toDF("media_id", "media"), work, FRAMES)

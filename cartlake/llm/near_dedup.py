@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartlake.functions.ordered import placed
 from cartlake.llm.columns import map_batches, need, utf8
 from cartlake.llm.components import components
 from cartlake.llm.staging import staged
@@ -231,11 +232,18 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
 
 
 def without_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
-    """The rows, with all their columns, of the smallest id of each component; of an id's repeated rows one stays."""
-    found = staged(near_duplicates(docs, percent=percent), "near")
-    gone = found.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    kept = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
-    if not repeated.take(1):
-        return kept
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    """The rows, with all their columns, of the smallest id of each component; rows without an id stay.
+
+    Where ids repeat, rows are told apart by a number of their own, in the order of (id, hash of the text), so that unlike
+    texts of one id are judged each for itself and all of them can stay.
+    """
+    ids = need(docs, "doc_id").where("doc_id is not null").groupBy("doc_id").count()
+    if not ids.where("count > 1").take(1):
+        gone = staged(near_duplicates(docs, percent=percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "near")
+        return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("`doc_id`").alias("key_id"), F.col("`text`").alias("key_text"))
+    rows = rows.withColumns({"key_hash": F.xxhash64("key_text"), "row": F.monotonically_increasing_id()})
+    numbered = staged(placed(rows, ["key_id", "key_hash", "row"], keep=["doc", "key_id", "key_text"]), "numbered")
+    number = F.when(F.col("key_id").isNotNull(), F.col("place"))
+    gone = staged(near_duplicates(numbered.select(number.alias("doc_id"), F.col("key_text").alias("text")), percent=percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "near")
+    return numbered.withColumn("number", number).join(gone, F.col("number") == F.col("gone_id"), "left_anti").select("doc.*")

@@ -12,7 +12,7 @@ from oracle import SMALL, compare
 from pyspark.sql import functions as F
 
 from cartlake.functions.ordered import along, placed
-from cartlake.llm import hard_negatives, packing, prefix_trie, token_files
+from cartlake.llm import gif, hard_negatives, media_columns, near_dedup, packing, prefix_trie, token_files
 from cartlake.llm.queries import ORACLES, QUERIES, vocabulary_path
 
 WORDS = "word_bpe_49k.json"
@@ -224,3 +224,39 @@ def test_tree_drops_leaves_and_loses_none(spark):
 def test_scores_beyond_doubles():
     big = np.asarray([[float(1 << 29), 1.0, 3.0]])
     assert hard_negatives.scores(big, big)[0, 0] == (1 << 58) + 10
+
+
+WORDY = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+
+
+def test_unlike_texts_of_one_id_stay(spark, odd, none):
+    """Each text of a repeated id is judged for itself; equal rows and near copies leave one; rows without an id stay."""
+    rows = [(3, WORDY, "a", 1), (3, "something else that has nothing in common with the other text of this id", "b", 2), (3, WORDY, "c", 3), (7, WORDY + " more", "d", 4), (9, "alone", "e", 5), (None, WORDY, "f", 6), (4, None, "g", 7), (4, "", "h", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, place int").repartition(3)
+    found = sorted(near_dedup.without_duplicates(df, percent=80).collect(), key=lambda r: r.place)
+    assert found[0].text == WORDY and found[0].doc_id == 3 and [r.place for r in found if r.place not in (1, 3)] == [2, 5, 6, 7, 8] and len(found) == 6
+    assert near_dedup.without_duplicates(odd).columns == odd.columns and near_dedup.without_duplicates(none).count() == 0
+    single = spark.createDataFrame([(1, WORDY, 5), (2, WORDY, 6), (None, "x", 7)], "doc_id long, text string, gone_id int")
+    assert sorted(r.gone_id for r in near_dedup.without_duplicates(single).collect()) == [5, 7]
+
+
+def test_cut_and_broken_files_give_one_error_row(spark, none):
+    """Wherever a file of two frames is cut, it gives one row that says so, and no frame."""
+    whole = gif.encode([bytes(range(192)) * 8, bytes(reversed(range(192))) * 4], 192)
+    cut = [whole[:n] for n in (0, 5, 12, 400, 800, len(whole) // 2, len(whole) - 120, len(whole) - 3, len(whole) - 1)]
+    broken = [b"no gif", whole[:-1] + b"\x55\x3b", None]
+    media = spark.createDataFrame([(i, f) for i, f in enumerate([*cut, *broken, whole])], "media_id int, media binary")
+    found = {}
+    for r in media_columns.gif_frames(media).collect():
+        found.setdefault(r.media_id, []).append(r)
+    last = len(cut) + len(broken)
+    assert all(len(found[i]) == 1 and found[i][0].error and found[i][0].frame is None for i in range(last))
+    assert len(found[last]) == 2 and not any(r.error for r in found[last])
+    assert media_columns.gif_frames(media.limit(0)).count() == 0
+
+
+def test_fixed_bytes_of_the_format():
+    """The code stream of a picture of ten by ten pixels in four colours, as descriptions of the format give it."""
+    rows = ["1111122222"] * 3 + ["1110000222"] * 2 + ["2220000111"] * 2 + ["2222211111"] * 3
+    stream = bytes.fromhex("8c2d99872a1cdc33a00275ec95faa8de608c04914c01")
+    assert gif.lzw_decode(stream, 2, 100) == bytes(int(c) for row in rows for c in row)
