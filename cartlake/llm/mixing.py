@@ -6,8 +6,8 @@ than ``max_epochs`` times its words, and what is cut off is shared again by weig
 Draw: a source's documents are dealt by hash into blocks of about ``block_words`` words, and its blocks are put in
 a random order. The mix takes every block of a source as often as its target holds the source whole, then blocks in that
 order while they fit. The next block gives documents: half of the rest in random order, then larger ones first wherever
-they fit, from the largest size on that leaves least, and then the one document that comes nearest to what is left, if
-that is nearer than none.
+they fit, from the largest size on that leaves least, and then up to six changes of one document, put in, left out or
+one for another, each of which comes nearest to what is left.
 So each source has an exact quota of block draws. A binary tree splits the vector of quotas among the output
 shards: each node gives its left child a multivariate hypergeometric draw of half its blocks. A shard's counts
 are turned into disjoint ranges of each source's permuted draws, and within a shard rows are in hash order.
@@ -153,6 +153,18 @@ def with_block(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     return joined.withColumn("block", F.pmod(F.xxhash64("row_key", F.lit(seed)), F.col("n_blocks")))
 
 
+_KEPT = "least(s.n - s.begun, greatest(0L, acc.left div s.size))"
+_FIRST = f"""array_min(transform(sequence(1, size(sizes)), start -> aggregate(sizes, named_struct('left', gap, 'out', cast(array() as array<struct<size: bigint, n: bigint, begun: bigint, most: bigint>>), 'at', 1),
+    (acc, s) -> named_struct('left', acc.left - if(acc.at < start, 0, {_KEPT}) * s.size, 'out', array_append(acc.out, named_struct('size', s.size, 'n', s.n, 'begun', s.begun, 'most', s.begun + if(acc.at < start, 0, {_KEPT}))), 'at', acc.at + 1))))"""
+_NONE = "named_struct('size', 0L, 'n', 0L, 'begun', 0L, 'most', 0L)"
+_SWAP = f"""array_min(flatten(transform(array_append(filter(f.out, x -> x.most < x.n), {_NONE}), b -> transform(array_append(filter(f.out, x -> x.most > 0), {_NONE}),
+    a -> named_struct('miss', abs(f.left - b.size + a.size), 'more', b.size, 'less', a.size)))))"""
+_SWAPPED = f"""transform(array({_SWAP}), w -> named_struct('left', f.left - w.more + w.less, 'out', transform(f.out, x -> named_struct('size', x.size, 'n', x.n, 'begun', x.begun, 'most', x.most + if(x.size = w.more, 1L, 0L) - if(x.size = w.less, 1L, 0L))), 'at', f.at))[0]"""
+#: How many documents of each size a block gives: sizes (size, n, and how many are taken already), largest first, and what is
+#: left (``gap``), to left and out (size, n, begun, most).
+FILL = f"aggregate(sequence(1, 6), {_FIRST}, (f, i) -> {_SWAPPED})"
+
+
 def mix(docs: DataFrame, *, block_words: int = 1 << 14, shard_blocks: int = 256, seed: int = 11) -> DataFrame:
     """Each input row as ``doc`` (a struct of all its columns) with source_size, target, size and draws (epoch, shard): the times it is taken."""
     named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("`doc_id`").alias("key_id"), F.col("`text`").alias("key_text"), F.col("`source`").alias("source"))
@@ -167,26 +179,20 @@ def mix(docs: DataFrame, *, block_words: int = 1 << 14, shard_blocks: int = 256,
     upto = F.sum("size").over(Window.partitionBy("source_rank", "block").orderBy("row_key"))
     inside = staged(inside.withColumn("fits", upto <= F.col("rest") / 2), "partial")
     last = inside.groupBy("source_rank", "block").agg(F.max(F.when(F.col("fits"), F.col("row_key"))).alias("last_key"), F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0)).alias("used"))
-    # Then larger ones first, as many of each size as fit; of the sizes to start from, the one that leaves least. A block
-    # has few distinct sizes, so folds over them decide.
+    # Then larger ones first, as many of each size as fit; of the sizes to start from, the one that leaves least. Then, a few
+    # times, the change of one document (put in, left out, or one for another) that comes nearest to what is to be taken.
+    # A block has few distinct sizes, so folds over them decide.
     block = ["source_rank", "block"]
-    after = inside.where("not fits and size > 0").join(last, block).withColumn("gap", F.col("rest") - F.col("used"))
-    sizes = after.where("size <= gap").groupBy(*block, "size").agg(F.count("*").alias("n"), F.floor(F.max("gap")).alias("gap"))
-    sizes = sizes.groupBy(*block).agg(F.max("gap").alias("gap"), F.reverse(F.sort_array(F.collect_list(F.struct("size", "n")))).alias("sizes"))
-    fold = """array_min(transform(sequence(1, size(sizes)), start -> aggregate(slice(sizes, start, size(sizes)), named_struct('left', gap, 'out', cast(array() as array<struct<size: bigint, most: bigint>>)),
-        (acc, s) -> named_struct('left', acc.left - least(s.n, acc.left div s.size) * s.size, 'out', array_append(acc.out, named_struct('size', s.size, 'most', least(s.n, acc.left div s.size)))))))"""
-    fill = staged(sizes.select(*block, F.expr(fold).alias("fill")), "fill")
-    ranked = after.withColumn("rank", F.row_number().over(Window.partitionBy(*block, "size").orderBy("row_key")))
-    ranked = ranked.join(fill.select(*block, F.inline("fill.out")), [*block, "size"], "left").join(fill.select(*block, F.col("fill.left").alias("left")), block, "left")
-    ranked = ranked.withColumn("filled", F.coalesce(F.col("rank") <= F.col("most"), F.lit(False)))
-    # The one document nearest to what is left, if that is nearer than none.
-    gap = F.coalesce("left", "gap")
-    miss = F.abs(F.col("size") - gap)
-    closest = F.min_by("row_key", F.when(~F.col("filled") & (miss < gap), F.struct(miss, "row_key")))
-    more = ranked.groupBy(*block).agg(F.collect_set(F.when(F.col("filled"), F.col("row_key"))).alias("filled_keys"), F.when(F.max(~F.col("filled") & (miss < gap)), closest).alias("extra_key"))
+    some = inside.where("size > 0").join(last, block).withColumn("gap", F.floor(F.col("rest") - F.col("used") + 0.5).cast("long"))
+    sizes = some.groupBy(*block, "size").agg(F.count("*").alias("n"), F.count(F.when(F.col("fits"), 1)).alias("begun"), F.max("gap").alias("gap"))
+    sizes = sizes.groupBy(*block).agg(F.max("gap").alias("gap"), F.reverse(F.sort_array(F.collect_list(F.struct("size", "n", "begun")))).alias("sizes"))
+    fill = staged(sizes.select(*block, F.expr(FILL).alias("fill")), "fill").select(*block, F.inline("fill.out")).select(*block, "size", "begun", "most")
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy(*block, "size").orderBy(F.desc("fits"), "row_key"))).join(fill, [*block, "size"])
+    chosen = F.col("rank") <= F.col("most")
+    more = ranked.groupBy(*block).agg(F.collect_set(F.when(chosen & ~F.col("fits"), F.col("row_key"))).alias("filled_keys"), F.collect_set(F.when(~chosen & F.col("fits"), F.col("row_key"))).alias("dropped_keys"))
     last = last.join(more, block, "left").drop("used")
     decided = plan.drop("n_blocks", "rest").join(staged(last, "last"), ["source_rank", "block"], "left")
-    taken = F.filter("draws", lambda d: d["whole"] | F.coalesce(F.col("row_key") <= F.col("last_key"), F.lit(False)) | F.coalesce(F.col("row_key") == F.col("extra_key"), F.lit(False)) | F.coalesce(F.array_contains("filled_keys", F.col("row_key")), F.lit(False)))
+    taken = F.filter("draws", lambda d: d["whole"] | F.coalesce((F.col("row_key") <= F.col("last_key")) & ~F.coalesce(F.array_contains("dropped_keys", F.col("row_key")), F.lit(False)), F.lit(False)) | F.coalesce(F.array_contains("filled_keys", F.col("row_key")), F.lit(False)))
     return dealt.join(decided, ["source_rank", "block"], "left").select("doc", "row_key", "size", "source_size", "target", F.coalesce(F.transform(taken, lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard"))), F.expr("cast(array() as array<struct<epoch: bigint, shard: bigint>>)")).alias("draws"))
 
 

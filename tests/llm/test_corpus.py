@@ -58,12 +58,12 @@ def test_mix_meets_targets(spark):
     by_id = {r.doc_id: (r.source, r.text) for r in docs.collect()}
     found = QUERIES["op3_splitting_tree_mix"](spark, SMALL).collect()
     sizes, target, taken = check_mix(found, [by_id[r.doc_id] for r in found])
-    # Ten documents a source, of very different sizes: a target is met as nearly as they allow.
-    assert sum(abs(taken[s] - target[s]) <= 0.03 * target[s] for s in sizes) >= 18
+    # Ten documents a source, of very different sizes.
+    assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] for s in sizes)
     larger = [(r.source, r.text) for r in spark.read.parquet(f"{LARGER}/documents.parquet").orderBy("doc_id").collect()]
     more = sorted(QUERIES["op3_splitting_tree_mix"](spark, LARGER).collect(), key=lambda r: r.doc_id)
     _, goal, given = check_mix(more, larger)
-    assert all(abs(given[s] - goal[s]) <= 0.01 * goal[s] for s in goal)
+    assert all(abs(given[s] - goal[s]) <= 0.001 * goal[s] for s in goal)
     again = {r.doc_id: (r.taken, r.shards) for r in QUERIES["op3_splitting_tree_mix"](spark, SMALL).collect()}
     assert again == {r.doc_id: (r.taken, r.shards) for r in found}
 
