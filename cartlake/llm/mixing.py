@@ -165,9 +165,9 @@ _SWAPPED = f"""transform(array({_SWAP}), w -> named_struct('left', f.left - w.mo
 FILL = f"aggregate(sequence(1, 6), {_FIRST}, (f, i) -> {_SWAPPED})"
 
 
-def mix(docs: DataFrame, *, block_words: int = 1 << 14, shard_blocks: int = 256, seed: int = 11) -> DataFrame:
-    """Each input row as ``doc`` (a struct of all its columns) with source_size, target, size and draws (epoch, shard): the times it is taken."""
-    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("`doc_id`").alias("key_id"), F.col("`text`").alias("key_text"), F.col("`source`").alias("source"))
+def mix(docs: DataFrame, *, keep: list[str] | None = None, block_words: int = 1 << 14, shard_blocks: int = 256, seed: int = 11) -> DataFrame:
+    """Each input row as ``doc`` (a struct of all its columns, or of ``keep``; only these travel) with source_size, target, size and draws (epoch, shard): the times it is taken."""
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep or docs.columns)).alias("doc"), F.col("`doc_id`").alias("key_id"), F.col("`text`").alias("key_text"), F.col("`source`").alias("source"))
     rows = named.select("doc", "source", word_count("key_text").alias("size"), F.xxhash64(F.lit(seed), "key_id", "key_text").alias("row_key"))
     sized = staged(rows.select("source", "size", "row_key"), "sized")
     sources, plan = mix_plan(sized, block_words=block_words, shard_blocks=shard_blocks, seed=seed)
@@ -205,5 +205,5 @@ def mixed_rows(docs: DataFrame, **options: int) -> DataFrame:
 
 def mix_report(docs: DataFrame, **options: int) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies and shards (``epoch:shard`` of each copy) of each row."""
-    mixed = mix(need(docs, "doc_id", "text", "source"), **options)
+    mixed = mix(need(docs, "doc_id", "text", "source"), keep=["doc_id"], **options)
     return mixed.select(F.col("doc.doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.size("draws").alias("copies"), F.array_join(F.transform("draws", lambda d: F.concat_ws(":", d["epoch"], d["shard"])), ",").alias("shards"))
