@@ -28,7 +28,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 UNIT = 10_000  # parts of one that amounts are summed in
 PROFILE = "profile"
-SALTS = 16
+SALTS = 8
 # State workers do not see the driver's module path, so this module's code travels with the query.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -77,14 +77,25 @@ class Moments:
     BIAS = 1 << 47
 
     def __init__(self, state) -> None:
-        self.state = state
+        self.state, self.nodes = state, {}
 
     def _get(self, name: str, level: int, prefix: int) -> int:
         at = (name, level, prefix)
-        return self.state.getValue(at)[0] & (1 << 64) - 1 if self.state.containsKey(at) else 0
+        if at not in self.nodes:
+            self.nodes[at] = self.state.getValue(at)[0] & (1 << 64) - 1 if self.state.containsKey(at) else 0
+        return self.nodes[at]
 
     def _put(self, name: str, level: int, prefix: int, value: int) -> None:
-        self.state.updateValue((name, level, prefix), (value - (1 << 64) if value >> 63 else value,))
+        self.nodes[name, level, prefix] = value
+
+    def store(self) -> None:
+        """Writes what one call has read or changed; nodes of zero go."""
+        for at, value in self.nodes.items():
+            if value:
+                self.state.updateValue(at, (value - (1 << 64) if value >> 63 else value,))
+            elif self.state.containsKey(at):
+                self.state.removeKey(at)
+        self.nodes = {}
 
     def _path(self, leaf: int) -> Iterator[tuple[int, int, int]]:
         """(level, prefix, bit of the child) from the leaf's parent up."""
@@ -105,16 +116,14 @@ class Moments:
     def remove(self, name: str, moment: int) -> None:
         leaf = moment + self.BIAS
         n = self._get(name, self.LEVELS, leaf)
+        self._put(name, self.LEVELS, leaf, n - 1)
         if n > 1:
-            self._put(name, self.LEVELS, leaf, n - 1)
             return
-        self.state.removeKey((name, self.LEVELS, leaf))
         for level, prefix, bit in self._path(leaf):
             mask = self._get(name, level, prefix) & ~bit
+            self._put(name, level, prefix, mask)
             if mask:
-                self._put(name, level, prefix, mask)
                 return
-            self.state.removeKey((name, level, prefix))
 
     def last(self, name: str) -> int | None:
         prefix = 0
@@ -162,6 +171,7 @@ class Differences(StatefulProcessor):
                 self._put(total, json.loads(change[2]), 1)
         for name in total.get("last", ()):
             total["last"][name] = self.moments.last(name)
+        self.moments.store()
         self.summary.update((seq + 1, op, ts, json.dumps(total)))
         yield pd.DataFrame([[int(key[0]), int(key[1]), seq + 1, op, ts, json.dumps(total)]], columns=[c.split()[0] for c in PARTIAL.split(", ")], dtype=object)
 

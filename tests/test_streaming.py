@@ -124,8 +124,11 @@ def test_moments_hold_no_node_that_is_empty():
             held.append(rng.choice([rng.randint(-(1 << 41), 1 << 43), rng.randint(0, 50)]))
             tree.add("t", held[-1])
         assert tree.last("t") == max(held, default=None)
+        if rng.random() < 0.3:
+            tree.store()
     for moment in held:
         tree.remove("t", moment)
+    tree.store()
     assert not tree.state.data
 
 
