@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import struct
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -24,84 +25,88 @@ def colour_cube() -> np.ndarray:
     return np.stack([(index >> 5) * 36, (index >> 2 & 7) * 36, (index & 3) * 85], axis=1).astype(np.uint8)
 
 
+@functools.cache
+def _widths(depth: int) -> np.ndarray:
+    """Bits of the codes after a clear code: a code's width follows from how many there were, as each of them adds an entry."""
+    entries = (1 << depth) + 1 + np.arange(1 << 13)
+    return np.clip(np.floor(np.log2(entries)).astype(np.int64) + 1, depth + 1, 12)
+
+
 def lzw_encode(pixels: bytes, depth: int = 8) -> bytes:
-    """Variable-width LZW codes of the pixels, packed from the low bit on."""
-    clear, codes, widths = 1 << depth, [1 << depth], [depth + 1]
-    table: dict[int, int] = {}
-    get, code, width, next_code = table.get, -1, depth + 1, clear + 2
-    for pixel in pixels:
-        if code < 0:
-            code = pixel
+    """Variable-width LZW codes of the pixels, packed from the low bit on; the table is a tree of dictionaries that hold their code at -1."""
+    clear = 1 << depth
+    codes, next_code, node = [clear], clear + 2, None
+    roots, append = [{-1: i} for i in range(clear)], codes.append
+    for pixel in pixels[:1]:
+        node = roots[pixel]
+    for pixel in pixels[1:]:
+        longer = node.get(pixel)
+        if longer:
+            node = longer
             continue
-        longer = get(code << 8 | pixel)
-        if longer is not None:
-            code = longer
-            continue
-        codes.append(code)
-        widths.append(width)
+        append(node[-1])
         if next_code < 4096:
-            table[code << 8 | pixel] = next_code
-            if next_code == 1 << width:
-                width += 1
+            node[pixel] = {-1: next_code}
             next_code += 1
         else:
-            codes.append(clear)
-            widths.append(width)
-            table.clear()
-            width, next_code = depth + 1, clear + 2
-        code = pixel
-    if code >= 0:
-        codes.append(code)
-        widths.append(width)
-        if next_code < 4096 and next_code == 1 << width:  # the decoder adds an entry for this code too
-            width += 1
-    codes.append(clear + 1)
-    widths.append(width)
-    code_of, width_of = np.asarray(codes, np.uint16), np.asarray(widths)
+            append(clear)
+            roots, next_code = [{-1: i} for i in range(clear)], clear + 2
+        node = roots[pixel]
+    if node:
+        append(node[-1])
+    append(clear + 1)
+    code_of, places = np.asarray(codes, np.uint16), np.arange(len(codes))
+    last_clear = np.maximum.accumulate(np.where(code_of[:-1] == clear, places[:-1], 0))
+    width_of = np.concatenate([[depth + 1], _widths(depth)[np.minimum(places[1:] - last_clear - 1, (1 << 13) - 1)]])
     bits = (code_of[:, None] >> np.arange(12, dtype=np.uint16) & 1).astype(np.uint8)
     return np.packbits(bits[np.arange(12) < width_of[:, None]], bitorder="little").tobytes()
 
 
 def lzw_decode(data: bytes, depth: int, n_pixels: int) -> bytes:
-    """Pixels of a code stream; one that ends before the image is full is an error, what exceeds the image is left out."""
-    clear, end = 1 << depth, (1 << depth) + 1
+    """Pixels of a code stream; one that ends before the image is full is an error, what exceeds the image is left out.
+
+    The codes up to the next clear code are cut out of the stream together, since their widths are known beforehand.
+    """
+    clear, widths = 1 << depth, _widths(depth)
     literals = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table, width, limit, before = literals[:], depth + 1, 2 << depth, b""
+    bits, stream = 8 * len(data), np.frombuffer(data + bytes(4), np.uint8).astype(np.uint32)
     out: list[bytes] = []
-    done, at, held, value = 0, 0, 0, 0
-    mask, n_bytes, append = (1 << width) - 1, len(data), out.append
+    table, before, done, pos, since = literals[:], b"", 0, 0, 0
     while done < n_pixels:
-        while held < width:
-            if at >= n_bytes:
-                raise ValueError(f"the code stream ends after {done} of {n_pixels} pixels")
-            value |= int.from_bytes(data[at : at + 6], "little") << held
-            held += 8 * len(data[at : at + 6])
-            at += 6
-        code = value & mask
-        value >>= width
-        held -= width
-        if code == clear:
-            table, width, limit, before = literals[:], depth + 1, 2 << depth, b""
-            mask = (1 << width) - 1
-            continue
-        if code == end:
+        width = widths[since : since + 4096] if since < 4096 else np.full(4096, 12)
+        width = width[: (bits - pos) // (depth + 1) + 1]
+        at = pos + np.cumsum(width) - width
+        at = at[at + width <= bits]
+        if not len(at):
             raise ValueError(f"the code stream ends after {done} of {n_pixels} pixels")
-        if code < len(table):
-            piece = table[code]
-            if before and len(table) < 4096:
-                table.append(before + piece[:1])
-        elif before and code == len(table) and code < 4096:
-            piece = before + before[:1]
-            table.append(piece)
-        else:
-            raise ValueError(f"LZW code {code} before it is defined")
-        append(piece)
-        done += len(piece)
-        before = piece
-        if len(table) == limit and width < 12:
-            width += 1
-            limit <<= 1
-            mask = (1 << width) - 1
+        width, byte = width[: len(at)], at >> 3
+        codes = (stream[byte] | stream[byte + 1] << 8 | stream[byte + 2] << 16) >> (at & 7) & (1 << width) - 1
+        stops = np.flatnonzero((codes == clear) | (codes == clear + 1))
+        n = int(stops[0]) if len(stops) else len(codes)
+        pieces: list[bytes] = []
+        append, grow, size = pieces.append, table.append, len(table)
+        for code in codes[:n].tolist():
+            if code < size:
+                piece = table[code]
+            elif before and code == size < 4096:
+                piece = before + before[:1]
+            elif done + sum(map(len, pieces)) >= n_pixels:
+                break
+            else:
+                raise ValueError(f"LZW code {code} before it is defined")
+            if before and size < 4096:
+                grow(before + piece[:1])
+                size += 1
+            append(piece)
+            before = piece
+        out += pieces
+        done += sum(map(len, pieces))
+        last = min(n, len(codes) - 1)
+        pos, since = int(at[last] + width[last]), since + n
+        if n < len(codes):
+            if codes[n] != clear and done < n_pixels:
+                raise ValueError(f"the code stream ends after {done} of {n_pixels} pixels")
+            table, before, since = literals[:], b"", 0
     return b"".join(out)[:n_pixels]
 
 
