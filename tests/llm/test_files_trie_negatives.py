@@ -11,6 +11,7 @@ import pytest
 from oracle import SMALL, compare
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cartlake.functions.ordered import along, placed
 from cartlake.llm import gif, hard_negatives, media_columns, near_dedup, packing, prefix_trie, token_files
 from cartlake.llm.queries import ORACLES, QUERIES, vocabulary_path
@@ -260,3 +261,20 @@ def test_fixed_bytes_of_the_format():
     rows = ["1111122222"] * 3 + ["1110000222"] * 2 + ["2220000111"] * 2 + ["2222211111"] * 3
     stream = bytes.fromhex("8c2d99872a1cdc33a00275ec95faa8de608c04914c01")
     assert gif.lzw_decode(stream, 2, 100) == bytes(int(c) for row in rows for c in row)
+
+
+def test_pipeline_of_odd_empty_and_given_tables(spark, odd, none, tmp_path):
+    """``run`` on nulls, repeats, clashing names and nothing; on the given table its pieces are whole and gapless."""
+    odd.withColumnsRenamed({"block": "component"}).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    none.write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    rows = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert {r.doc_id for r in rows} <= {1, 2, 5, 6, 7, 8, 9, None} and not {3, 4, 10} & {r.doc_id for r in rows}
+    pieces = corpus_pipeline.run(spark, SMALL).collect()
+    packed = collections.defaultdict(list)
+    for r in pieces:
+        packed[r.sequence_id].append((r.offset, r.length))
+    assert len({r.doc_id for r in pieces}) > 100
+    for held in packed.values():
+        ends = [0, *(o + n for o, n in sorted(held))]
+        assert [o for o, _ in sorted(held)] == ends[:-1] and ends[-1] <= 4096
