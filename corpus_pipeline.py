@@ -1,4 +1,10 @@
-"""From documents to packed training sequences: five stages, each over all that its predecessor kept."""
+"""From documents to packed training sequences: five stages, each over all that its predecessor kept.
+
+Defined cases, for all stages: an empty table gives an empty table, and columns of any name travel along unread. Null or
+empty texts have no language and go with the first stage; very long ones are worked on whole. Rows that repeat as they are leave
+one of them with the second stage; unlike texts of one id are judged each for itself; rows without an id stay. A null source
+is a source of its own.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +16,7 @@ from cartlake.llm.staging import staged
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the classifier does not reject."""
+    """Documents whose language the classifier does not reject; none, where no labelled text is there to learn from."""
     return language_id.accepted(docs, language_id.fit(docs))
 
 
