@@ -28,7 +28,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 UNIT = 10_000  # parts of one that amounts are summed in
 PROFILE = "profile"
-SALTS = 8
+SALTS = 4
 # State workers do not see the driver's module path, so this module's code travels with the query.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
