@@ -45,6 +45,7 @@ RUNS = "gram long, ctx long, tail long, n long"
 BLOCKS = "part int, counts binary"
 PART_TEXT = 32 << 20  # bytes of text whose runs one task adds up
 BITS = 1 << 27
+BIT_BLOCKS = 64  # pieces in which bits travel
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -92,10 +93,34 @@ class Bits:
     """A set of bits of a fixed size: where a key's bit is missing, the key is in no row."""
 
     def __init__(self, keys: DataFrame) -> None:
-        at = F.col("gram").bitwiseAND(BITS - 1)
-        found = keys.groupBy(F.shiftright(at, 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(gram & 63 as int))")).alias("bits")).toArrow()
+        kinds = _arrow(BLOCKS)
+
+        def marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = np.zeros(BITS >> 6, np.uint64)
+            for batch in batches:
+                at = np.unique(batch.column(0).to_numpy().view(np.uint64) & np.uint64(BITS - 1))
+                slots = (at >> np.uint64(6)).astype(np.int64)
+                first = np.flatnonzero(np.diff(slots, prepend=-1))
+                if len(at):
+                    words[slots[first]] |= np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
+            for i, own in enumerate(np.split(words, BIT_BLOCKS)):
+                if own.any():
+                    yield record({"part": [i], "counts": [own.tobytes()]}, kinds)
+
+        def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            whole: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for i, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    words = np.frombuffer(own, np.uint64)
+                    whole[i] = whole[i] | words if i in whole else words
+            for i, words in whole.items():
+                yield record({"part": [i], "counts": [words.tobytes()]}, kinds)
+
         self.words = np.zeros(BITS >> 6, np.uint64)
-        self.words[found.column(0).to_numpy()] = found.column(1).to_numpy().view(np.uint64)
+        blocks_of = np.split(self.words, BIT_BLOCKS)
+        found = keys.select("gram").mapInArrow(marked, BLOCKS).repartition("part").mapInArrow(joined, BLOCKS).toArrow()
+        for part, counts in zip(*(c.to_pylist() for c in found.columns), strict=True):
+            blocks_of[part][:] = np.frombuffer(counts, np.uint64)
 
     def may_hold(self, keys: np.ndarray) -> np.ndarray:
         at = keys & np.uint64(BITS - 1)
@@ -325,7 +350,8 @@ def probabilities(tree: Tree, contexts: np.ndarray, symbol: np.ndarray) -> np.nd
     return np.exp(log_p)
 
 
-SCORED = "row_id long, gram long, n int, words int, doc_id long, held_out boolean, n_tokens long, known long, base double, added double"
+#: A run that is joined, with its occurrences in the text (below zero: as a word), or a text's own sums; ``size`` is twice its tokens, and one more if it is held out.
+SCORED = "row_id long, gram long, n int, own struct<doc_id: bigint, size: bigint, known: bigint, base: double, added: double>"
 
 
 def score(docs: DataFrame, tree: Tree, unigrams: DataFrame) -> DataFrame:
@@ -334,13 +360,13 @@ def score(docs: DataFrame, tree: Tree, unigrams: DataFrame) -> DataFrame:
     lengths = [range(1, min(tree.longest, 2) + 1), *([k] for k in range(3, tree.longest + 1))]
     with short_shuffles(docs.sparkSession):
         added = reduce(DataFrame.unionByName, [staged(_added(docs, tree, own, shared), "added") for own in lengths])
-    sums = added.groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("more").alias("more"))
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("more")).alias("score"))
+    sums = added.groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), F.max("size").alias("size"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("more").alias("more"))
+    return sums.select("doc_id", (F.col("size") % 2 == 1).alias("held_out"), F.shiftright("size", 1).alias("n_tokens"), "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("more")).alias("score"))
 
 
 def _added(docs: DataFrame, tree: Tree, lengths: Iterable[int], shared: Broadcast) -> DataFrame:
-    """Per row what its runs of these ``lengths`` add: row_id, doc_id, held_out, n_tokens, n_known, base_score and more; what words tell is 0 without length 1."""
-    kinds, total, lengths = _arrow(SCORED), tree.total, list(lengths)
+    """Per row what its runs of these ``lengths`` add: row_id, doc_id, size, n_known, base_score and more; what words tell is 0 without length 1."""
+    kinds, own_kinds, total, lengths = _arrow(SCORED), list(_arrow(SCORED).field("own").type), tree.total, list(lengths)
 
     def work(batch: pa.RecordBatch):
         near, near_c, near_add, bits = shared.value
@@ -376,15 +402,20 @@ def _added(docs: DataFrame, tree: Tree, lengths: Iterable[int], shared: Broadcas
             new = np.flatnonzero(np.diff(w, prepend=~w[:1]).astype(bool) | np.diff(d, prepend=-1).astype(bool))
             n = np.diff(np.append(new, len(w)))
             # The text's own row meets no run: a number that spreads rows, and zero occurrences.
-            yield record({"row_id": pa.array(ids), "gram": pa.array(mix(ids.view(np.uint64)).view(np.int64)), "n": np.zeros(m, np.int32), "words": np.zeros(m, np.int32), "doc_id": doc.slice(lo, m), "held_out": held.slice(lo, m), "n_tokens": np.diff(first) - 1, "known": sums[0].astype(np.int64), "base": sums[1], "added": sums[2]}, kinds)
+            size = 2 * (np.diff(first) - 1) + held.slice(lo, m).to_numpy(zero_copy_only=False)
+            own = pa.StructArray.from_arrays([doc.slice(lo, m), *(pa.array(x) for x in (size.astype(np.int64), sums[0].astype(np.int64), sums[1], sums[2]))], fields=own_kinds)
+            yield record({"row_id": pa.array(ids), "gram": pa.array(mix(ids.view(np.uint64)).view(np.int64)), "n": np.zeros(m, np.int32), "own": own}, kinds)
             if len(new):
-                nothing = {f.name: pa.nulls(len(new), f.type) for f in list(kinds)[4:]}
-                yield record({"row_id": pa.array(ids[d[new]]), "gram": pa.array(w[new].view(np.int64)), "n": n.astype(np.int32), "words": (n * one[new]).astype(np.int32), **nothing}, kinds)
+                signed = np.where(one[new] > 0, -n, n).astype(np.int32)
+                yield record({"row_id": pa.array(ids[d[new]]), "gram": pa.array(w[new].view(np.int64)), "n": signed, "own": pa.nulls(len(new), kinds.field("own").type)}, kinds)
 
     rows = need(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), held_out().alias("held_out"), utf8().alias("utf8"))
     model = reduce(DataFrame.unionByName, [tree.pieces[k] for k in lengths])
     met = map_batches(rows, work, SCORED).join(model.where(F.col("n") < tree.least_near).select("gram", "c", (F.col("entry") + F.col("back")).alias("add")).hint("shuffle_hash"), "gram", "left")
     # A word that is a context too has a second row, without c: only that with c, or none at all, gives the base.
-    lone = F.when((F.col("words") > 0) & (F.col("c").isNotNull() | F.col("add").isNull()), F.col("words") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / tree.total)).otherwise(0.0)
-    far = F.sum(F.col("n") * F.coalesce("add", F.lit(0.0)))
-    return met.groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), (F.max("known") + F.sum(F.when(F.col("c") > 0, F.col("words")).otherwise(0))).alias("n_known"), (F.max("base") + F.sum(lone)).alias("base_score"), ((F.max("added") + far) / float(np.log(10))).alias("more"))
+    words = F.greatest(F.lit(0), -F.col("n"))
+    known = F.when(F.col("c") > 0, words).otherwise(0) + F.coalesce("own.known", F.lit(0))
+    lone = F.when((words > 0) & (F.col("c").isNotNull() | F.col("add").isNull()), words * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / tree.total)).otherwise(0.0)
+    more = F.abs("n") * F.coalesce("add", F.lit(0.0)) + F.coalesce("own.added", F.lit(0.0))
+    sums = met.groupBy("row_id").agg(F.max("own.doc_id").alias("doc_id"), F.max("own.size").alias("size"), F.sum(known).alias("n_known"), F.sum(lone + F.coalesce("own.base", F.lit(0.0))).alias("base_score"), F.sum(more).alias("more"))
+    return sums.withColumn("more", F.col("more") / float(np.log(10)))
