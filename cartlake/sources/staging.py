@@ -33,14 +33,19 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
     A lost executor costs no recomputation of what lies before, and readers prune its columns.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/cartlake/{label}-{uuid.uuid4().hex}"
+    path = stored_folder(df.sparkSession, label)
     df.write.parquet(path)
     gone_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, for a staged table or model."""
+    return f"{shared_folder(spark).rstrip('/')}/cartlake/{label}-{uuid.uuid4().hex}"
+
+
 def gone_at_exit(spark: SparkSession, path: str) -> None:
-    """Marks a folder for deletion at the end of the application."""
+    """Marks a folder that is there for deletion at the end of the application."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
 

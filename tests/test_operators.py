@@ -219,3 +219,11 @@ def test_pipeline_of_features_and_model(spark):
     assert len({round(r.w, 6) for r in weights}) == 1
     scored = churn.probability(df.withColumn("customer_segment", F.lit("never seen")), trained).collect()
     assert all(0 <= r.churn_probability <= 1 for r in scored) and churn.area_metrics(churn.probability(df, trained)).first().roc_auc > 0.9
+
+
+@pytest.mark.parametrize("kind, options", [("logistic", {"maxIter": 2}), ("forest", {"numTrees": 2, "maxDepth": 2}), ("boosted", {"maxIter": 1})])
+def test_models_score_in_a_session_that_has_observed(spark, kind, options):
+    """A session that has observed a query holds what cannot be sent to tasks; models must not carry it there."""
+    spark.range(3).observe("seen", F.count("*").alias("n")).collect()
+    df = spark.createDataFrame([(i, float(i % 10), "ab"[i % 2], int(i % 10 > 6)) for i in range(40)], "customer_id int, orders_30d double, customer_segment string, churned int")
+    assert churn.probability(df, churn.train_churn(df, kind, **options)).count() == len([r for r in churn.probability(df, churn.train_churn(df, kind, **options)).collect() if 0 <= r.churn_probability <= 1])
