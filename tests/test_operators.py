@@ -227,3 +227,12 @@ def test_models_score_in_a_session_that_has_observed(spark, kind, options):
     spark.range(3).observe("seen", F.count("*").alias("n")).collect()
     df = spark.createDataFrame([(i, float(i % 10), "ab"[i % 2], int(i % 10 > 6)) for i in range(40)], "customer_id int, orders_30d double, customer_segment string, churned int")
     assert churn.probability(df, churn.train_churn(df, kind, **options)).count() == len([r for r in churn.probability(df, churn.train_churn(df, kind, **options)).collect() if 0 <= r.churn_probability <= 1])
+
+
+def test_windows_work_follows_events_and_not_dates(spark):
+    """A customer with one event meets the few dates whose windows hold it, however many dates there are."""
+    when = spark.sql("select explode(sequence(date '1990-01-01', date '2023-12-01', interval 1 month)) as observation_date")
+    events = spark.createDataFrame([(1, "a", datetime.date(2000, 1, 15), 2)], "customer_id int, id string, t date, v int")
+    windows = churn.Windows(events, "t", {"n": ("id", 60)}, {"s": ("v", 90)}, ("age", 90))
+    assert windows.met(when).count() == 6  # an identifier and a value on three dates
+    assert [(str(r.observation_date), r.n, r.s, r.age) for r in churn.window_rows(when, windows).orderBy("observation_date").collect()] == [("2000-02-01", 1, 2, 17), ("2000-03-01", 1, 2, 46), ("2000-04-01", 0, 2, 77)]
