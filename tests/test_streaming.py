@@ -205,3 +205,31 @@ def test_orders_without_rows_to_tell_of(spark):
     payments = [(1, 7, 2.0, "ok", day, "c", 20), (3, 8, 1.0, "ok", day, "c", 1)]
     found = final_state(spark, {"orders": spark.createDataFrame(orders, order), "payments": spark.createDataFrame(payments, "order_id long, payment_id long, amount double, payment_status string, transaction_timestamp timestamp, _op string, _ts_ms long")}, gold.order_payment, "order_id", "few").collect()
     assert [(r.order_id, r.payment_match, r.discount, r._ts_ms) for r in found] == [(1, True, None, 20)]
+
+
+def test_moments_write_only_what_changed():
+    """Looking up the last time writes nothing."""
+    class Counted(Held):
+        writes = 0
+
+        def updateValue(self, key, value):
+            self.writes += 1
+            super().updateValue(key, value)
+
+    tree = gold.Moments(Counted())
+    tree.add("t", 1_000)
+    tree.store()
+    before = tree.state.writes
+    assert tree.last("t") == 1_000
+    tree.store()
+    assert tree.state.writes == before == 9
+
+
+def test_marts_are_told_by_rows(spark):
+    """No frame is made for each key: a plan of each mart holds row-based stages only."""
+    c = Commerce(spark, SMALL)
+    with keyed_state(spark):
+        feeds = stored_feed(spark, {"orders": feed(c, "orders"), "payments": feed(c, "payments")}, work_folder(spark, "rows"), 1)
+        partials = gold.differences(gold.tagged("customer_id", (feeds["orders"], ["status"]), {"payment": (feeds["payments"], gold.Side("payment_id", {"s": ("amount",)}))}))
+        plans = [df._jdf.queryExecution().analyzed().toString() for df in (gold.order_payment(**feeds), partials, gold.merged(partials, dict, "key long, _op string, _ts_ms long"))]
+    assert all("TransformWithState" in p and "InPandas" not in p for p in plans), plans
