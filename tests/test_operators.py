@@ -236,3 +236,23 @@ def test_windows_work_follows_events_and_not_dates(spark):
     windows = churn.Windows(events, "t", {"n": ("id", 60)}, {"s": ("v", 90)}, ("age", 90))
     assert windows.met(when).count() == 6  # an identifier and a value on three dates
     assert [(str(r.observation_date), r.n, r.s, r.age) for r in churn.window_rows(when, windows).orderBy("observation_date").collect()] == [("2000-02-01", 1, 2, 17), ("2000-03-01", 1, 2, 46), ("2000-04-01", 0, 2, 77)]
+
+
+def test_rows_by_customer_give_the_same_ranking_without_another_exchange(spark):
+    """Candidates, what was seen and customers in one exchange rank as the three apart do, also for customers without history."""
+    c = Commerce(spark, SMALL)
+    pairs = recommend.interactions(c.orders, c.order_items, c.website_events, c.products).where("customer_id % 3 = 0").localCheckpoint()
+    similarity, popularity = recommend.product_similarity(pairs).localCheckpoint(), recommend.product_popularity(pairs).localCheckpoint()
+    together = recommend.customer_rows(pairs, similarity, popularity, c.customers)
+    apart = recommend.item_item_candidates(pairs, similarity, popularity)
+    found, wanted = (recommend.hybrid_recommend(c.customers, pairs, personal, popularity, c.products, generated_at=F.lit(0)) for personal in (together, apart))
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, wanted.collect()))
+    assert together.where("is_personal and product_id is null").count() == 0 and together.where("is_personal is null").count() == c.customers.count()
+    ranked = together.groupBy("customer_id").agg(F.max("max_similarity"))
+    assert ranked._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(customer_id") == 1
+
+
+def test_only_judged_customers_get_candidates(spark):
+    split = spark.createDataFrame([(c, p, "purchase", datetime.datetime(2024, 1, 1), 5.0, "orders", f"{c}-{p}", "TRAIN") for c in range(6) for p in range(6) if (c + p) % 3], "customer_id int, product_id int, event_type string, event_timestamp timestamp, interaction_weight double, source string, source_event_id string, split string")
+    pairs, _, personal = evaluation.training_sides(split, ("TRAIN",), spark.createDataFrame([(1, 2)], "customer_id int, product_id int"))
+    assert pairs.select("customer_id").distinct().count() == 6 and [r[0] for r in personal.select("customer_id").distinct().collect()] == [1]
