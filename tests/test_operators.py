@@ -256,3 +256,38 @@ def test_only_judged_customers_get_candidates(spark):
     split = spark.createDataFrame([(c, p, "purchase", datetime.datetime(2024, 1, 1), 5.0, "orders", f"{c}-{p}", "TRAIN") for c in range(6) for p in range(6) if (c + p) % 3], "customer_id int, product_id int, event_type string, event_timestamp timestamp, interaction_weight double, source string, source_event_id string, split string")
     pairs, _, personal = evaluation.training_sides(split, ("TRAIN",), spark.createDataFrame([(1, 2)], "customer_id int, product_id int"))
     assert pairs.select("customer_id").distinct().count() == 6 and [r[0] for r in personal.select("customer_id").distinct().collect()] == [1]
+
+
+def test_rounding_by_whole_numbers_equals_round(spark):
+    """Nine places as ``round`` gives them, also at ties, below zero, for large and for missing numbers."""
+    values = [(x,) for x in (0.1234567895, 0.1234567885, -0.1234567895, 5e-10, 0.0, 1 / 3, 2 / 3, 1234.5678901235, 1e13 / 7, 1e300, float("nan"), None, 0.3 * 0.9 + 0.123456789 * 0.1)] + [(k * 0.7e-9 + 0.3 * k / 7,) for k in range(500)]
+    got = spark.createDataFrame(values, "x double").select(recommend.score("x").alias("a"), F.round("x", 9).alias("b")).collect()
+    assert all(repr(r.a) == repr(r.b) for r in got)
+
+
+@pytest.mark.parametrize("shift", [0, 2**40])
+def test_meetings_and_contributions_travel_in_arrays(spark, shift):
+    """Rows of an exchange are a customer's products and not their pairs; parts of a hot product and wide ids give the same."""
+    rows = [(c, p + shift) for c in range(40) for p in range(30) if (p * 7 + c * 5) % 11 < 6 or p == 3]
+    pairs = spark.createDataFrame(rows, "customer_id int, product_id long").withColumn("interaction_score", F.lit(5.0))
+    whole, parted = (sorted(map(tuple, recommend.product_similarity(pairs, task_rows=n, top_n=100).collect())) for n in (2_000_000, 100))
+    met = {}
+    for c, p in rows:
+        for d, q in rows:
+            if c == d and p != q:
+                met[p, q] = met.get((p, q), 0) + 1
+    assert whole == parted and {(r[0], r[1]): r[2] for r in whole} == {k: n for k, n in met.items() if n >= 2}
+    similarity = recommend.product_similarity(pairs, top_n=100).localCheckpoint()
+    made = {(r.customer_id, r.product_id): r for r in recommend.item_item_candidates(pairs, similarity).collect()}
+    close, seen = {(r[0], r[1]): r.similarity_score for r in similarity.collect()}, set(rows)
+    for c in range(40):
+        for p in {q for _, q in rows}:
+            sources = {s: close[s, p] for d, s in rows if d == c and (s, p) in close}
+            if (c, p) in seen or not sources:
+                assert (c, p) not in made
+            else:
+                r = made[c, p]
+                assert abs(r.raw_personalized_score - 5 * sum(sources.values())) < 1e-8 and r.max_similarity == max(sources.values()) and r.supporting_products == len(sources)
+                assert r.primary_source_product_id == min(s for s in sources if sources[s] == max(sources.values()))
+    plan = recommend.item_item_candidates(pairs, similarity)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("Repartition")  # the plan's root comes first: rows are made after the exchange
