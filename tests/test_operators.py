@@ -291,3 +291,22 @@ def test_meetings_and_contributions_travel_in_arrays(spark, shift):
                 assert r.primary_source_product_id == min(s for s in sources if sources[s] == max(sources.values()))
     plan = recommend.item_item_candidates(pairs, similarity)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate posexplode") < plan.index("Repartition")  # the plan's root comes first: rows are made after the exchange
+
+
+def test_targets_and_pairs_are_told_in_one_exchange(spark):
+    """First meetings of known customers equal looking at each pair; events are not expanded for distinct counts."""
+    parts = ("TRAIN", "VALIDATION", "TEST")
+    rows = [(c, p, "purchase" if (c + p) % 2 else "product_view", datetime.datetime(2024, 1, 1 + i), 5.0, "orders", f"{c}-{p}-{i % 2}", parts[(c * 5 + p * 3 + i) % 3]) for c in range(9) for p in range(9) for i in range((c * p) % 4)]
+    split = spark.createDataFrame(rows, "customer_id int, product_id int, event_type string, event_timestamp timestamp, interaction_weight double, source string, source_event_id string, split string")
+    for part, before in (("TEST", ("TRAIN",)), ("TEST", ("TRAIN", "VALIDATION")), ("VALIDATION", ("TRAIN",))):
+        earlier = {(r[0], r[1]) for r in rows if r[7] in before}
+        wanted = {(r[0], r[1]) for r in rows if r[7] == part and r[0] in {c for c, _ in earlier}} - earlier
+        found = evaluation.actuals(split, part, before)
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert sorted(map(tuple, found.collect())) == sorted(wanted)
+    pairs = recommend.interactions_of_events(split)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Expand" not in plan
+    for r in pairs.collect():
+        mine = [x for x in rows if (x[0], x[1]) == (r.customer_id, r.product_id)]
+        assert (r.purchase_count, r.product_view_count) == tuple(len({x[6] for x in mine if x[2] == k}) for k in ("purchase", "product_view")) and r.last_interaction_at == max(x[3] for x in mine)
