@@ -310,3 +310,55 @@ def test_targets_and_pairs_are_told_in_one_exchange(spark):
     for r in pairs.collect():
         mine = [x for x in rows if (x[0], x[1]) == (r.customer_id, r.product_id)]
         assert (r.purchase_count, r.product_view_count) == tuple(len({x[6] for x in mine if x[2] == k}) for k in ("purchase", "product_view")) and r.last_interaction_at == max(x[3] for x in mine)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranges_of_customers_give_the_same_rows_without_another_exchange(spark):
+    """More contributions than a task's are dealt by ranges of customers; what follows by customer is local to them too."""
+    c = Commerce(spark, SMALL)
+    pairs = recommend.scored_pairs(c.orders, c.order_items, c.website_events).localCheckpoint()
+    similarity, popularity = recommend.product_similarity(pairs).localCheckpoint(), recommend.product_popularity(pairs).localCheckpoint()
+    dealt, usual = (recommend.customer_rows(pairs, similarity, popularity, c.customers, task_rows=n) for n in (1000, 10**9))
+    assert sorted(map(repr, dealt.collect())) == sorted(map(repr, usual.collect()))
+    grouped = _plan(dealt.groupBy("customer_id").agg(F.max("max_similarity")))
+    assert grouped.count("Exchange rangepartitioning(customer_id") == 1 and "Exchange hashpartitioning(customer_id" not in grouped
+
+
+def test_similarity_by_ranges_and_without_the_exchange_for_supports(spark):
+    """Ranges and known supports change no pair, nor do many products of one customer; few of them cost no table of their own."""
+    c = Commerce(spark, SMALL)
+    pairs = recommend.scored_pairs(c.orders, c.order_items, c.website_events).localCheckpoint()
+    supports = recommend.supports_of(recommend.product_popularity(pairs)).localCheckpoint()
+    single = pairs.unionByName(pairs.withColumn("product_id", F.col("product_id") + 1_000_000 * (F.col("customer_id") + 1)))  # each added product has one customer
+    wanted = sorted(map(repr, recommend.product_similarity(pairs, task_rows=10**9).collect()))
+    assert wanted and all(sorted(map(repr, found.collect())) == wanted for found in (recommend.product_similarity(pairs, support=supports, task_rows=500), recommend.product_similarity(single, task_rows=500)))
+    assert sorted(map(repr, recommend.product_similarity(pairs, support=supports, min_customers=30).collect())) == sorted(map(repr, recommend.product_similarity(pairs, min_customers=30, task_rows=500).collect()))
+
+
+def test_rankings_without_attributes_exchange_nothing_by_product(spark):
+    """Queries that show no attribute join no products; popularity adds up pairs once, not again for the largest totals."""
+    c = Commerce(spark, SMALL)
+    pairs = recommend.scored_pairs(c.orders, c.order_items, c.website_events).localCheckpoint()
+    similarity, popularity = recommend.product_similarity(pairs).localCheckpoint(), recommend.product_popularity(pairs)
+    assert "hashpartitioning(product_id" not in _plan(popularity)
+    popularity = popularity.localCheckpoint()
+    rows = recommend.customer_rows(pairs, similarity, popularity, c.customers)
+    plain, full = (recommend.hybrid_recommend(c.customers, pairs, rows, popularity, c.products, generated_at=F.lit(0), attributes=a) for a in (False, True))
+    assert plain.columns == [n for n in full.columns if n not in recommend.ATTRIBUTES]
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, full.drop(*recommend.ATTRIBUTES).collect()))
+    assert "part.parquet" in _plan(full) and "part.parquet" not in _plan(plain)
+
+
+def test_order_lines_are_those_of_the_items(spark, tmp_path):
+    """Of repeated lines the same one stays, though discount and tax are not read."""
+    base = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    again = base.where("l_orderkey % 3 = 0").withColumn("l_quantity", F.col("l_quantity") + 1)
+    moved = base.where("l_orderkey % 5 = 0").withColumns({"l_partkey": F.col("l_partkey") + 1, "l_tax": F.col("l_tax") + 1})
+    base.unionByName(again).unionByName(moved).unionByName(base.where("l_orderkey % 2 = 0")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    c = Commerce(spark, str(tmp_path))
+    lines, items = c.order_lines, c.order_items.select("order_id", "product_id", "quantity")
+    assert lines.exceptAll(items).count() == items.exceptAll(lines).count() == 0 < lines.count()
+    assert "l_tax" in _plan(items) and "l_tax" not in _plan(lines)
