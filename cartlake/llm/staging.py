@@ -1,5 +1,5 @@
 """Intermediate tables in the folder that driver and executors share; see ``cartlake.sources.staging``."""
 
-from cartlake.sources.staging import cut, freed, shared_folder, short_shuffles, staged
+from cartlake.sources.staging import cut, freed, shared_folder, short_shuffles, small_batches, staged
 
-__all__ = ["cut", "freed", "shared_folder", "short_shuffles", "staged"]
+__all__ = ["cut", "freed", "shared_folder", "short_shuffles", "small_batches", "staged"]

@@ -14,8 +14,8 @@ count runs in blocks of sorted arrays, dealt out by the runs' hashes, and other
 ``least`` times becomes rows of Spark tables. An entry's value is what it adds to the score in its suffix's state, so a
 text's score is a sum over its runs of words, each met once, in any order. It is taken length by length, so that only
 one length's runs travel at a time; ``docs`` is read for each, and must give the same rows in the same order, as stored
-tables do. Two things are broadcast, and neither changes a result: the values of runs with at least ``lookup_share`` of all tokens (at most 1 / share a length), which are so not
-joined and cannot be hot keys; and a set of bits of a fixed size that tells which runs surely are not in the tree.
+tables do. Two things are broadcast, and neither changes a result: the values of runs with at least ``lookup_share`` of all tokens (at most 1 / share a length) and at least ``lookup_least``
+occurrences, which are so not joined and cannot be hot keys, while small and large inputs join the same kinds of runs; and a set of bits of a fixed size that tells which runs surely are not in the tree.
 
 Defined cases: null text is empty and has one token, the end; null ids are learned from; with no training text every
 base probability is 1; equal texts get equal scores; rows that repeat are scored each; an empty table gives an
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartlake.llm.columns import _arrow, map_batches, need, parts, record, utf8
-from cartlake.llm.staging import freed, short_shuffles, staged
+from cartlake.llm.staging import freed, short_shuffles, small_batches, staged
 from cartlake.llm.words import blocks, hash_words, mix
 
 END = np.uint64(0xE0D0E0D0E0D0E0D1)  # stands for the end among word hashes
@@ -260,13 +260,13 @@ def _code(*symbols: np.ndarray) -> np.ndarray:
     return total
 
 
-def train(docs: DataFrame, *, depth: int = 2, lookup_share: float = 1e-7, least: int = 2, keep_nats: float = 12.0, discount: float = 0.5) -> tuple[Tree, DataFrame]:
+def train(docs: DataFrame, *, depth: int = 2, lookup_share: float = 1e-7, lookup_least: int = 12, least: int = 2, keep_nats: float = 12.0, discount: float = 0.5) -> tuple[Tree, DataFrame]:
     """The tree and the stored table (gram, n) of all training tokens' counts."""
-    with short_shuffles(docs.sparkSession):
-        return _trained(docs, depth, lookup_share, least, keep_nats, discount)
+    with short_shuffles(docs.sparkSession), small_batches(docs.sparkSession):
+        return _trained(docs, depth, lookup_share, lookup_least, least, keep_nats, discount)
 
 
-def _trained(docs: DataFrame, depth: int, lookup_share: float, least: int, keep_nats: float, discount: float) -> tuple[Tree, DataFrame]:
+def _trained(docs: DataFrame, depth: int, lookup_share: float, lookup_least: int, least: int, keep_nats: float, discount: float) -> tuple[Tree, DataFrame]:
     learned = need(docs, "doc_id", "text").where(~held_out()).select(utf8().alias("utf8"))
     size = learned.agg(F.sum(F.octet_length("utf8"))).first()[0] or 0
     n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART_TEXT + 1)
@@ -299,7 +299,7 @@ def _trained(docs: DataFrame, depth: int, lookup_share: float, least: int, keep_
     freed(*([grown] if grown else []))
     # A run may be an entry, a context and a word: it has a row for each, and their values add up.
     model = reduce(DataFrame.unionByName, pieces.values())
-    least_near = max(1.0, lookup_share * n)
+    least_near = max(float(lookup_least), lookup_share * n)
     common = model.where(F.col("n") >= least_near)
     near = common.groupBy("gram").agg(F.coalesce(F.max("c"), F.lit(0)).alias("c"), F.sum(F.col("entry") + F.col("back")).alias("add")).toArrow()
     keys = near.column(0).to_numpy().view(np.uint64)
@@ -358,8 +358,9 @@ def score(docs: DataFrame, tree: Tree, unigrams: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast((tree.near, np.append(tree.near_c, tree.near_c.dtype.type(0)), np.append(tree.near_add, 0.0), tree.bits))
     lengths = [range(1, min(tree.longest, 2) + 1), *([k] for k in range(3, tree.longest + 1))]
-    with short_shuffles(docs.sparkSession):
+    with short_shuffles(docs.sparkSession), small_batches(docs.sparkSession):
         added = reduce(DataFrame.unionByName, [staged(_added(docs, tree, own, shared), "added") for own in lengths])
+    shared.destroy()
     sums = added.groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), F.max("size").alias("size"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("more").alias("more"))
     return sums.select("doc_id", (F.col("size") % 2 == 1).alias("held_out"), F.shiftright("size", 1).alias("n_tokens"), "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("more")).alias("score"))
 

@@ -62,9 +62,21 @@ def freed(*tables: DataFrame) -> None:
 @contextmanager
 def short_shuffles(spark: SparkSession) -> Iterator[None]:
     """Inside, a query's shuffle files go when it ends; for steps of which each is staged or collected."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    with _option(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        yield
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
+    """Inside, rows travel to Python in batches of about ``size`` bytes, however many rows those are."""
+    with _option(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(size)):
+        yield
+
+
+@contextmanager
+def _option(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key)
-    spark.conf.set(key, "true")
+    spark.conf.set(key, value)
     try:
         yield
     finally:

@@ -15,6 +15,7 @@ SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 import corpus_pipeline
 from cartlake.llm import columns, mixing, near_dedup, packing, suffix_tree, warc_bundles, winnowing, words
 from cartlake.llm.queries import QUERIES, vocabulary_path
+from cartlake.llm.staging import small_batches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -284,6 +285,25 @@ def test_suffix_tree_keeps_all_runs(spark):
             assert math.isclose(r.score, wanted, rel_tol=1e-9)
 
 
+def test_rare_runs_are_joined_on_small_tables_too(spark):
+    """What is broadcast is what occurs often, so that the joined share of the runs does not jump as the table grows."""
+    tree, _ = suffix_tree.train(documents(spark))
+    often = {r.gram for r in tree.model.where("n >= 12").select("gram").distinct().collect()}
+    rare = {r.gram for r in tree.model.select("gram").distinct().collect()} - often
+    assert tree.least_near == 12 and often and len(rare) > len(often)
+    assert sorted(tree.near.keys[tree.near.keys > 0].view(np.int64).tolist()) == sorted(often)
+
+
+def test_small_batches(spark):
+    def sizes(batches):
+        yield from (pa.record_batch({"n": pa.array([b.nbytes])}) for b in batches)
+
+    rows = spark.range(3000).selectExpr("repeat('x', 1000) as t").coalesce(1)
+    with small_batches(spark, 1 << 20):
+        inside = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert len(inside) > 2 and max(inside) < 2 << 20 and rows.mapInArrow(sizes, "n long").count() == 1
+
+
 def brute_windows(codes, w):
     """Positions that windows keep: the smallest, the rightmost on ties."""
     last = max(1, len(codes) - w + 1)
