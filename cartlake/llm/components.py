@@ -13,18 +13,22 @@ def components(links: DataFrame) -> DataFrame:
 
     Each step points nodes at the smallest neighbour that they know; links become stars in a number of rounds that
     grows with the logarithm of the longest path. A node with many neighbours is only ever pre-aggregated (its
-    minimum) or joined to that one row, so its neighbours can be split among tasks.
+    minimum) or joined to that one row, so its neighbours can be split among tasks. Links that are stars already, as
+    earlier components are, need no step, so that new links may be added to them.
     """
     stars = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    seen = None
-    while True:
+    while not _are_stars(stars):
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b"))).distinct()
         stars = staged(small, "stars")
-        state = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        seen = state
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def _are_stars(links: DataFrame) -> bool:
+    """Whether each node that points at a smaller one points at no other, and none points at it."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("points"), F.lit(0).alias("centre")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("points"), F.lit(1).alias("centre")))
+    found = ends.groupBy("node").agg(F.sum("points").alias("points"), F.max("centre").alias("centre"))
+    return not found.where("points + centre > 1").agg(F.count("*")).first()[0]

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -165,8 +166,7 @@ def fit(docs: DataFrame, *, per_language: int = 600, dimension: int = 16, epochs
         yield out
 
     sampled = map_batches(rows, work, "doc_id long, lang string, bucket binary, share binary")
-    found = [(r.doc_id or 0, r.lang, np.frombuffer(r.bucket, "<u2"), np.frombuffer(r.share, "<f4")) for r in sampled.toLocalIterator()]
-    found.sort(key=lambda r: (r[0], r[1] is None, r[1] or "", len(r[2]), r[3].tobytes()))
+    found = _gathered(sampled)
     languages = sorted({r[1] for r in found if r[1] is not None})
     if not languages:
         return None
@@ -190,6 +190,24 @@ def fit(docs: DataFrame, *, per_language: int = 600, dimension: int = 16, epochs
     return model._replace(temperature=temperature, threshold=fitted_threshold(odds[~made], odds[made], keep_weight))
 
 
+def _gathered(sampled: DataFrame) -> list[tuple[int, str | None, np.ndarray, np.ndarray]]:
+    """The examples in a fixed order: id, language, buckets, shares. They are slices of two buffers, whose memory goes back as a whole."""
+    buckets, shares, rows = bytearray(), bytearray(), []
+    for r in sampled.toLocalIterator():
+        rows.append((r.doc_id or 0, r.lang, len(buckets) // 2, len(r.bucket) // 2))
+        buckets += r.bucket
+        shares += r.share
+    bucket, share = np.frombuffer(buckets, "<u2"), np.frombuffer(shares, "<f4")
+
+    def order(r: tuple) -> tuple:
+        return r[0], r[1] is None, r[1] or "", r[3]
+
+    rows.sort(key=order)
+    like = (list(g) for _, g in groupby(rows, order))
+    ordered = (r for g in like for r in (sorted(g, key=lambda r: share[r[2] : r[2] + r[3]].tobytes()) if len(g) > 1 else g))
+    return [(doc, lang, bucket[at : at + n], share[at : at + n]) for doc, lang, at, n in ordered]
+
+
 def smoothed_loss(z: np.ndarray, truth: np.ndarray, temperature: float) -> float:
     """Mean loss against targets of (n + 1) / (n + 2) for a class of n rows, the rest spread evenly over the others."""
     n = np.bincount(truth, minlength=z.shape[1])[truth]

@@ -30,7 +30,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +39,7 @@ from pyspark.sql import functions as F
 from cartlake.functions.ordered import placed
 from cartlake.llm.columns import map_batches, need, utf8
 from cartlake.llm.components import components
-from cartlake.llm.staging import staged
+from cartlake.llm.staging import small_batches, staged
 from cartlake.llm.words import mix, shingle_sets
 
 FIRST, SECOND = (3, 10), (12, 80)  # k and m at TUNED percent
@@ -191,6 +190,11 @@ def _sharing(sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row; 100 * intersection >= percent * union links two sets."""
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, percent)
+
+
+def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     docs = need(docs, "doc_id", "text")
     signed = staged(signatures(docs, *_level(FIRST, percent)), "signatures")
     # Classes of equal sets, named by their smallest id; ids with several texts tie their classes together.
@@ -198,21 +202,19 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     classes = staged(named.groupBy("n_shingles", "set_a", "set_b").agg(F.min_by(F.struct("left", "right", "sketch"), "doc_id").alias("keys"), F.min("doc_id").alias("node")).select("node", "n_shingles", "set_a", "set_b", "keys.left", "keys.right", "keys.sketch"), "classes")
     member = staged(named.select("doc_id", "n_shingles", "set_a", "set_b").join(classes.select("n_shingles", "set_a", "set_b", "node"), ["n_shingles", "set_a", "set_b"]).select("doc_id", "node"), "members")
     tied = member.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("c")).where("b < c")
-    links = [member.join(tied.select("doc_id", "b"), "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")]
+    ties = member.join(tied.select("doc_id", "b"), "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         return _confirmed(staged(_plausible(pairs, classes, percent), "pairs"), docs, percent)
 
-    def joined_up() -> DataFrame:
-        return components(reduce(DataFrame.unionByName, [x.select("a", "b") for x in links]))
+    def joined_up(found: DataFrame, links: DataFrame) -> DataFrame:
+        return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
 
     buckets = _buckets(classes)
     # First each member with the one leader it shares most tables with, then what still lies across components.
     stars = staged(buckets.where("first <> node").groupBy(F.col("first").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n")), "candidates")
-    links.append(confirm(stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")))
-    found = joined_up()
-    links.append(confirm(_across(stars.select("a", "b"), found)))
-    found = joined_up()
+    found = components(ties.unionByName(confirm(stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"))))
+    found = joined_up(found, confirm(_across(stars.select("a", "b"), found)))
     crowded = staged(_strays(buckets, found).select("node").distinct(), "crowded")
     if crowded.take(1):
         mixed = classes.join(crowded, "node", "left_semi")
@@ -223,8 +225,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
         sharing = _sharing(staged(_sets(chosen.select(F.col("doc_id").cast("long").alias("node"), utf8().alias("utf8"))), "crowded_sets"))
         strays = _strays(again_buckets, found)
         members = strays.join(sharing, "node").join(strays.groupBy("node").agg(F.collect_set("key").alias("keys")), "node")
-        links.append(confirm(_across(_stray_pairs(members, percent), found)))
-        found = joined_up()
+        found = joined_up(found, confirm(_across(_stray_pairs(members, percent), found)))
 
     result = signed.select("doc_id", "n_shingles").join(member.distinct().groupBy("doc_id").agg(F.min("node").alias("node")), "doc_id", "left")
     result = result.join(found, "node", "left").withColumn("component_id", F.coalesce("component", "node", "doc_id"))
