@@ -5,7 +5,7 @@ Feeds hold creates, updates, stale updates, deletes and updates that come after
 
 from __future__ import annotations
 
-from functools import partial, reduce
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from cartlake.operators import cdc
 from cartlake.plans.cdc_queries import order_changes, order_envelopes
 from cartlake.plans.registry import query, relation
-from cartlake.streaming import changes, gold
-from cartlake.streaming.runner import final_state, streamed
+from cartlake.streaming import changes, gold, kept
+from cartlake.streaming.runner import final_state, kept_state, streamed
 
 #: Entity -> its identifier and what updates change: column -> SQL that both engines read.
 FEEDS = {
@@ -37,11 +37,13 @@ for entity, (k, edits) in FEEDS.items():
 
 
 def feed(c, entity: str) -> DataFrame:
-    """An entity's change rows."""
+    """An entity's change rows; the entity is read once."""
     k, edits = FEEDS[entity]
     rows, kinds = getattr(c, entity), dict(getattr(c, entity).dtypes)
-    edited = rows.withColumns({n: F.expr(sql).cast(kinds[n]) for n, sql in edits.items()})
-    return reduce(DataFrame.unionByName, ((edited if is_edited else rows).where(which.format(k=k)).withColumns({"_op": F.lit(op), "_ts_ms": F.lit(ts).cast("long")}) for which, op, ts, is_edited in EVENTS))
+    told = F.array(*(F.when(F.expr(which.format(k=k)), F.struct(F.lit(op).alias("_op"), F.lit(ts).cast("long").alias("_ts_ms"), F.lit(is_edited).alias("edited"))) for which, op, ts, is_edited in EVENTS))
+    events = rows.withColumn("_event", F.explode(F.array_compact(told)))
+    columns = (F.when(F.col("_event.edited"), F.expr(edits[n]).cast(kinds[n])).otherwise(F.col(n)).alias(n) if n in edits else F.col(n) for n in rows.columns)
+    return events.select(*columns, "_event._op", "_event._ts_ms")
 
 
 def newest_of(key: str, entities: list[str]) -> str:
@@ -69,7 +71,7 @@ query("stream_customer_360", f"""select c.customer_id, c.first_name, c.last_name
     left join (select customer_id, count(*) as n, max(event_timestamp) as t from live_website_events group by 1) w on w.customer_id = c.customer_id left join (select customer_id, count(*) as n from live_support_tickets group by 1) s on s.customer_id = c.customer_id
     left join (select customer_id, sum(cast(impression as int)) as i, sum(cast(click as int)) as c, sum(cast(conversion as int)) as v from live_marketing_events group by 1) m on m.customer_id = c.customer_id join ({newest_of('customer_id', ['customers', 'orders', 'payments', 'website_events', 'support_tickets', 'marketing_events'])}) t on t.customer_id = c.customer_id""",
     money=["total_spend", "total_payments", "marketing_impressions", "marketing_clicks", "marketing_conversions"], stamps=["last_order_date", "last_payment_date", "last_website_event"])(
-    lambda c: final_state(c.spark, {name: feed(c, entity) for name, entity in (("customers", "customers"), ("orders", "orders"), ("payments", "payments"), ("web", "website_events"), ("tickets", "support_tickets"), ("marketing", "marketing_events"))}, gold.customer_changes, "customer_id", "customer_360", then=gold.customer_360)
+    lambda c: kept_state(c.spark, {name: feed(c, entity) for name, entity in (("profile", "customers"), ("order", "orders"), ("payment", "payments"), ("web", "website_events"), ("ticket", "support_tickets"), ("marketing", "marketing_events"))}, kept.CUSTOMER, "customer_360")
 )
 query("stream_customer_counters", "select customer_id, sum(case when _op = 'd' then -1 else 1 end) as total_orders, sum(case when _op = 'd' then -total_amount else total_amount end) as total_spend from order_changes group by 1", money=["total_orders", "total_spend"])(
     lambda c: final_state(c.spark, {"orders": order_changes(c)}, gold.customer_order_counters, "customer_id", "customer_counters")

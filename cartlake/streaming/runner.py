@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cartlake.operators.cdc import latest_per_key
 from cartlake.sources.staging import gone_at_exit, shared_folder
 from cartlake.streaming.gold import ROCKSDB
+from cartlake.streaming.kept import Mart, merging
 
 
 def work_folder(spark: SparkSession, label: str) -> str:
@@ -33,17 +34,18 @@ def keyed_state(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def ran(df: DataFrame, folder: str, *, name: str, mode: str = "update") -> None:
-    """Runs a stream until its input is used up; each batch's rows are stored as ``out/batch=n``, over what an attempt before left."""
+def ran(df: DataFrame, folder: str, *, name: str, mode: str = "update", each: Callable[[DataFrame, int], DataFrame] | None = None) -> None:
+    """Runs a stream until its input is used up; each batch's rows, or what ``each`` makes of them, are stored as ``out/batch=n``, over what an attempt before left."""
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        (each(batch, batch_id) if each else batch).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
     df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").queryName(name).trigger(availableNow=True).start().awaitTermination()
 
 
 def stored_feed(spark: SparkSession, changes: dict[str, DataFrame], folder: str, files: int) -> dict[str, DataFrame]:
-    """Change rows stored in several files each, and streams that read about half of them at a time."""
+    """Change rows stored in several files each, as many for each core of the cluster, and streams that read about half of them at a time."""
+    files *= -(-spark.sparkContext.defaultParallelism // files)
     for name, rows in changes.items():
         rows.repartition(files).write.mode("append").parquet(f"{folder}/in/{name}")
     return {name: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, files // 2)).parquet(f"{folder}/in/{name}") for name, rows in changes.items()}
@@ -69,7 +71,19 @@ def streamed(spark: SparkSession, changes: dict[str, DataFrame], mart: Callable[
 
 def final_state(spark: SparkSession, changes: dict[str, DataFrame], mart: Callable[..., DataFrame], key: str, label: str, *, files: int = 4, then: Callable[[DataFrame], DataFrame] | None = None, folder: str | None = None) -> DataFrame:
     """The newest row of each key after all micro-batches; keys whose newest row is a deletion go."""
-    newest = latest_per_key(streamed(spark, changes, mart, label, files=files, then=then, folder=folder), [key], ["batch"])
+    return newest_told(streamed(spark, changes, mart, label, files=files, then=then, folder=folder), key)
+
+
+def kept_state(spark: SparkSession, changes: dict[str, DataFrame], mart: Mart, label: str, *, files: int = 4, folder: str | None = None) -> DataFrame:
+    """``final_state`` of a mart over kept rows; with the same ``folder`` it resumes."""
+    folder = folder or work_folder(spark, label)
+    ran(mart.rows(**stored_feed(spark, changes, folder, files)), folder, name=f"{label}_{uuid.uuid4().hex[:8]}", each=merging(mart, folder))
+    return newest_told(spark.read.parquet(f"{folder}/out"), mart.key)
+
+
+def newest_told(rows: DataFrame, key: str) -> DataFrame:
+    """Of all rows that a mart told, the newest of each key that is not a deletion."""
+    newest = latest_per_key(rows, [key], ["batch"])
     if "_op" in newest.columns:
         newest = newest.where("_op <> 'd'")
     return newest.drop("batch")
