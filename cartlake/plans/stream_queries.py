@@ -63,7 +63,7 @@ query("stream_order_payment", """select o.order_id, o.customer_id, o.order_date,
 )
 query("stream_product_performance", f"""select p.product_id, p.product_name, p.category, p.brand, coalesce(i.q, 0) as total_quantity_sold, coalesce(i.r, 0) as total_revenue, coalesce(i.d, 0) as total_discount, coalesce(i.n, 0) as order_count, p.price as current_price, p.inventory_quantity as current_inventory, t._op, t._ts_ms
     from live_products p left join (select product_id, sum(quantity) as q, sum(quantity * unit_price) as r, sum(discount) as d, count(distinct order_id) as n from live_order_items group by 1) i on i.product_id = p.product_id join ({newest_of('product_id', ['products', 'order_items'])}) t on t.product_id = p.product_id""", money=["total_quantity_sold", "total_revenue", "total_discount", "current_price"])(
-    lambda c: final_state(c.spark, {"products": feed(c, "products"), "items": feed(c, "order_items")}, gold.product_changes, "product_id", "product_performance", then=gold.product_performance)
+    lambda c: kept_state(c.spark, {"profile": feed(c, "products"), "item": feed(c, "order_items")}, kept.PRODUCT, "product_performance")
 )
 query("stream_customer_360", f"""select c.customer_id, c.first_name, c.last_name, c.email, c.country, c.state, c.city, c.customer_segment, coalesce(o.n, 0) as total_orders, coalesce(o.s, 0) as total_spend, coalesce(p.s, 0) as total_payments, coalesce(w.n, 0) as website_event_count, coalesce(s.n, 0) as support_ticket_count,
     coalesce(m.i, 0) as marketing_impressions, coalesce(m.c, 0) as marketing_clicks, coalesce(m.v, 0) as marketing_conversions, o.t as last_order_date, p.t as last_payment_date, w.t as last_website_event, case when coalesce(o.n, 0) >= 10 then 'VIP' when coalesce(o.n, 0) >= 5 then 'ACTIVE' when coalesce(o.n, 0) >= 1 then 'CUSTOMER' else 'NEW' end as customer_status, t._op, t._ts_ms
