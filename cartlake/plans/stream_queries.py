@@ -59,7 +59,7 @@ query("stream_order_payment", """select o.order_id, o.customer_id, o.order_date,
     case when p._ts_ms > o._ts_ms then p._op else o._op end as _op, greatest(o._ts_ms, coalesce(p._ts_ms, 0)) as _ts_ms
     from (select * from (select *, row_number() over (partition by order_id order by _ts_ms desc) as rn from feed_orders) f where rn = 1 and _op <> 'd') o left join (select * from (select *, row_number() over (partition by order_id order by _ts_ms desc) as rn from feed_payments) f where rn = 1 and _op <> 'd') p on p.order_id = o.order_id""",
     money=["total_amount", "payment_amount", "discount", "tax"], stamps=["order_date", "transaction_timestamp"])(
-    lambda c: final_state(c.spark, {"orders": feed(c, "orders"), "payments": feed(c, "payments")}, gold.order_payment, "order_id", "order_payment")
+    lambda c: final_state(c.spark, {"orders": feed(c, "orders"), "payments": feed(c, "payments")}, kept.order_payment, "order_id", "order_payment")
 )
 query("stream_product_performance", f"""select p.product_id, p.product_name, p.category, p.brand, coalesce(i.q, 0) as total_quantity_sold, coalesce(i.r, 0) as total_revenue, coalesce(i.d, 0) as total_discount, coalesce(i.n, 0) as order_count, p.price as current_price, p.inventory_quantity as current_inventory, t._op, t._ts_ms
     from live_products p left join (select product_id, sum(quantity) as q, sum(quantity * unit_price) as r, sum(discount) as d, count(distinct order_id) as n from live_order_items group by 1) i on i.product_id = p.product_id join ({newest_of('product_id', ['products', 'order_items'])}) t on t.product_id = p.product_id""", money=["total_quantity_sold", "total_revenue", "total_discount", "current_price"])(

@@ -23,7 +23,7 @@ def products(spark, least=0):
     return {"profile": feed(c, "products").where(f"product_id < 30 and _ts_ms >= {least}"), "item": feed(c, "order_items").where(f"product_id < 30 and _ts_ms >= {least}")}
 
 
-@pytest.mark.parametrize("name", ["stream_product_performance", "stream_customer_360"])
+@pytest.mark.parametrize("name", ["stream_order_payment", "stream_product_performance", "stream_customer_360"])
 def test_registered_marts_call_no_python_for_a_key(spark, monkeypatch, name):
     def never(*_, **__):
         raise AssertionError("a call in Python for each key")
