@@ -4,7 +4,7 @@
 not grow with what the key holds. Here a batch is merged into the newest rows of its buckets, and the marts of its keys
 are added up again from those: work grows with the rows of the buckets that the batch falls into, at the speed of a scan.
 Both give the same marts: of changes to one row the one with the greatest (time, deletion, content) counts, and a mart
-carries the time and operation of the newest change of any of its rows.
+carries the time and operation of the newest change of any of its rows. Last times are kept to the microsecond here.
 """
 
 from __future__ import annotations
